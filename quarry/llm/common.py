@@ -40,6 +40,7 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], values: list[str],
     other rows meet the table in a shuffle; there, rows of hot keys carry a
     salt made from ``spread``, which matches nothing, and so lie evenly.
     """
+    table = stored(table.select(*keys, *values, rows), "lookup")  # as a file it has no partitioning, so the salt takes part in the next one
     total = table.agg(F.sum(rows).alias("all_rows"))
     is_hot = F.col(rows) >= F.greatest(F.col("all_rows") * F.lit(HOT_SHARE), F.lit(100.0))
     of_hot = table.join(F.broadcast(total), is_hot).select(*keys, *(F.col(v).alias(f"hot_{v}") for v in values))
