@@ -2,16 +2,16 @@
 
 Two models of the letters of words, one of toxic and one of ordinary documents,
 give each letter a probability after the letters before it in its word.  A class's own
-counts of ``ORDER``-letter runs are discounted, and what the discount frees goes
+counts of ``ORDER``-letter runs (in how many of its documents each occurs) are discounted, and what the discount frees goes
 to the next shorter run, whose Kneser-Ney continuation counts both classes share; so
 an expression that a class has seen rarely is smoothed by what the whole corpus knows.
 
 Counting runs in Spark over every training document: tasks add up the runs of their
 rows, and the sums, the continuation counts of all lower orders and the
 probabilities are groupings and joins of count tables, which grow with the corpus.
-For scoring, log-likelihood ratios are laid into hash tables of fixed size (24 MB and
-6 MB whatever the corpus; of several runs in a place, the most frequent stays, and a check
-value tells the others, which then count as unseen).
+For scoring, log-likelihood ratios are laid into a hash table of fixed size (24 MB
+whatever the corpus; of several runs in a place, the most frequent stays, and a check
+value tells the others).  Runs that neither class has seen are left out of the comparison.
 
 A document is compared by its length-normalised log-likelihoods as a whole, and by those of its
 most suspicious words.  A logistic curve turns these into a score; it is fitted on a bounded
@@ -38,8 +38,10 @@ from .labelled import by_hash, fit_logistic, fold
 from .words import WordTable, mix64, slices_of_bytes
 
 ORDER = 6
+#: Discounts of counts of one, two, and three or more in a class; and of continuation counts.
+DISCOUNTS = (1.0, 1.25, 1.5)
 DISCOUNT = 0.75
-RUN_BITS, CONTEXT_BITS, PARTS = 22, 20, 32
+RUN_BITS, PARTS = 22, 32
 CALIBRATION_ROWS = 6000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -78,26 +80,28 @@ def run_counts(docs: DataFrame, text: str) -> DataFrame:
             texts, toxic = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=np.int64)
             for a, b in slices_of_bytes(texts, 1 << 23):
                 runs, table, lengths = letter_runs(texts[a:b])
-                owner = np.repeat(np.repeat(toxic[a:b], np.diff(table.bounds)), lengths)
-                keys, counts = np.unique(runs << np.uint64(1) | owner.astype(np.uint64), return_counts=True)
+                owner = np.repeat(np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(table.bounds)), lengths)
+                once = np.unique(runs << np.uint64(16) | owner)  # a slice has fewer than 2**16 texts: a batch has 10,000
+                owner = toxic[a:b][(once & np.uint64(0xFFFF)).astype(np.int64)]
+                keys, counts = np.unique(once >> np.uint64(16) << np.uint64(1) | owner.astype(np.uint64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(1)).astype(np.int64)), pa.array((keys & np.uint64(1)).astype(np.int64)), pa.array(counts.astype(np.int64))], names=["run", "is_toxic", "n"])
 
     rows = docs.select(text, F.col("is_toxic").cast("int").alias("is_toxic")).mapInArrow(count, "run long, is_toxic long, n long")
     return rows.groupBy("run").agg(F.sum(F.col("n") * F.col("is_toxic")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("is_toxic"))).alias("ordinary"))
 
 
-def shared_backoff(runs: DataFrame) -> DataFrame:
-    """run (of ORDER - 1 bytes) and p: its last byte's probability by Kneser-Ney continuation counts of both classes."""
-    levels = []
-    longer = runs.select("run")
+def shared_backoff(counts: DataFrame) -> DataFrame:
+    """run and p: its last byte's Kneser-Ney probability after the bytes before it, by the counts of both classes together.
+
+    The longest runs count as often as they occur, shorter ones by the number of different bytes before them.
+    """
+    levels = [counts.select("run", (F.col("toxic") + F.col("ordinary")).alias("n"))]
     for order in range(ORDER - 1, 0, -1):
         mask = (1 << (8 * order)) - 1
-        level = stored(longer.groupBy(F.col("run").bitwiseAND(F.lit(mask)).alias("run")).agg(F.count(F.lit(1)).alias("n")), f"order{order}")
-        levels.append(level)
-        longer = level
+        levels.append(stored(levels[-1].groupBy(F.col("run").bitwiseAND(F.lit(mask)).alias("run")).agg(F.count(F.lit(1)).alias("n")), f"order{order}"))
     p = None
-    for level in reversed(levels):
-        context = F.shiftright("run", 8)
+    context = F.shiftright("run", 8)
+    for order, level in enumerate(reversed(levels), 1):
         sums = level.groupBy(context.alias("context")).agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("kinds"))
         joined = level.join(sums, context == F.col("context"))
         own = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("all_n")
@@ -105,7 +109,6 @@ def shared_backoff(runs: DataFrame) -> DataFrame:
         if p is None:
             p = joined.select("run", (own + free / 256).alias("p"))
         else:
-            order = ORDER - 1 - levels.index(level)
             shorter = p.select(F.col("run").alias("shorter"), F.col("p").alias("q"))
             suffix = F.col("run").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1))
             p = joined.join(shorter, suffix == F.col("shorter")).select("run", (own + free * F.col("q")).alias("p"))
@@ -113,25 +116,23 @@ def shared_backoff(runs: DataFrame) -> DataFrame:
     return p
 
 
-def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(run, n, ratio) of the runs seen, and (context, n, ratio) for runs unseen after a context: log toxic - log ordinary."""
-    p = shared_backoff(counts)
+def ratios(counts: DataFrame) -> DataFrame:
+    """(key, n, ratio) of the runs seen: log toxic - log ordinary probability of the last byte after those before it."""
     context = F.shiftright("run", 8)
-    per = [F.sum("toxic").alias("t_all"), F.sum("ordinary").alias("o_all"), F.sum((F.col("toxic") > 0).cast("long")).alias("t_kinds"), F.sum((F.col("ordinary") > 0).cast("long")).alias("o_kinds")]
-    contexts = stored(counts.groupBy(context.alias("context")).agg(*per), "contexts")
 
-    def free(c: str):
-        return F.when(F.col(f"{c}_all") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_all")).otherwise(1.0)
+    def off(n: str):
+        return F.when(F.col(n) >= 3, DISCOUNTS[2]).when(F.col(n) == 2, DISCOUNTS[1]).when(F.col(n) == 1, DISCOUNTS[0]).otherwise(0.0)
+
+    per = [F.sum("toxic").alias("t_all"), F.sum("ordinary").alias("o_all"), F.sum(off("toxic")).alias("t_off"), F.sum(off("ordinary")).alias("o_off")]
+    contexts = counts.groupBy(context.alias("context")).agg(*per)
 
-    def own(c: str, n: str):
-        return F.when(F.col(f"{c}_all") > 0, F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_all")).otherwise(0.0)
+    def probability(c: str, n: str):
+        own = (F.col(n) - off(n)) / F.col(f"{c}_all")
+        return F.when(F.col(f"{c}_all") > 0, own + F.col(f"{c}_off") / F.col(f"{c}_all") * F.col("p")).otherwise(F.col("p"))
 
-    mask = (1 << (8 * (ORDER - 1))) - 1
-    joined = counts.join(contexts, context == F.col("context")).join(p.withColumnRenamed("run", "shorter"), F.col("run").bitwiseAND(F.lit(mask)) == F.col("shorter"))
-    toxic, ordinary = own("t", "toxic") + free("t") * F.col("p"), own("o", "ordinary") + free("o") * F.col("p")
-    seen = joined.select(F.col("run").alias("key"), (F.col("toxic") + F.col("ordinary")).alias("n"), F.log(toxic / ordinary).cast("float").alias("ratio"))
-    unseen = contexts.select(F.col("context").alias("key"), (F.col("t_all") + F.col("o_all")).alias("n"), F.log(free("t") / free("o")).cast("float").alias("ratio"))
-    return seen, unseen
+    joined = counts.join(contexts, context == F.col("context")).join(shared_backoff(counts), "run")
+    ratio = F.log(probability("t", "toxic") / probability("o", "ordinary"))
+    return joined.select(F.col("run").alias("key"), (F.col("toxic") + F.col("ordinary")).alias("n"), ratio.cast("float").alias("ratio"))
 
 
 def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +151,7 @@ def hash_table(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array((at // part).astype(np.int32)), pa.array((at % part).astype(np.int32)), pa.array(check.astype(np.int32)), batch.column(1), batch.column(2)], names=["part", "at", "check", "n", "ratio"])
 
     def lay(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        checks, values = np.zeros(part, "<u2"), np.full(part, np.nan, "<f4")
+        checks, values = np.zeros(part, "<u2"), np.zeros(part, "<f4")
         for batch in batches:  # a row a place: the aggregate before has chosen
             at = batch.column("at").to_numpy()
             checks[at], values[at] = batch.column("check").to_numpy(), batch.column("ratio").to_numpy()
@@ -158,23 +159,24 @@ def hash_table(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
     placed = rows.mapInArrow(place, "part int, at int, check int, n long, ratio float")
     best = placed.groupBy("part", "at").agg(F.max(F.struct("n", "check", "ratio")).alias("best")).select("part", "at", "best.check", "best.ratio")
-    checks, values = np.zeros(size, np.uint16), np.full(size, np.nan, np.float32)
+    checks, values = np.zeros(size, np.uint16), np.zeros(size, np.float32)
     for r in best.groupBy("part").applyInArrow(lay, "part int, checks binary, ratios binary").collect():  # PARTS rows, 6 bytes a place
         checks[r.part * part : (r.part + 1) * part] = np.frombuffer(r.checks, "<u2")
         values[r.part * part : (r.part + 1) * part] = np.frombuffer(r.ratios, "<f4")
     return checks, values
 
 
+EVIDENCE = 8
+
+
 def evidence(texts: list[str | None], tables) -> np.ndarray:
-    """For each text: the mean log-likelihood ratio of its letters, the largest and third largest of its words, and of words a letter."""
-    (run_checks, run_values), (context_checks, context_values) = tables
+    """EVIDENCE measures of each text: length-normalised log-likelihood ratios of the whole, of its three most
+    suspicious words and of the most suspicious one a letter, how many words are suspicious, and its length."""
+    checks, values = tables
     runs, table, lengths = letter_runs(texts)
     at, check = _places(runs, RUN_BITS)
-    value = np.where(run_checks[at] == check, run_values[at], np.float32(np.nan))
-    lost = np.flatnonzero(np.isnan(value))
-    at, check = _places(runs[lost] >> np.uint64(8), CONTEXT_BITS)
-    value[lost] = np.where(context_checks[at] == check, np.nan_to_num(context_values[at]), 0)
-    out = np.zeros((len(texts), 5))
+    value = np.where(checks[at] == check, values[at], np.float32(0))
+    out = np.zeros((len(texts), EVIDENCE))
     if not len(lengths):
         return out
     begins = np.cumsum(lengths) - lengths
@@ -185,7 +187,10 @@ def evidence(texts: list[str | None], tables) -> np.ndarray:
             continue
         words, sizes = per_word[a:b], lengths[a:b]
         top = np.sort(np.partition(words, -3)[-3:] if len(words) > 3 else words)[::-1]
-        out[d] = words.sum() / sizes.sum(), top[0], top[min(2, len(top) - 1)], (words / sizes).max(), np.log1p(np.maximum(words - 3, 0).sum())
+        out[d] = (
+            words.sum() / sizes.sum(), top[0], top[min(1, len(top) - 1)], top[min(2, len(top) - 1)], (words / sizes).max(),
+            np.log1p((words > 3).sum()), np.log1p((words > 6).sum()), np.log1p(len(words)),
+        )
     return np.clip(out, -20, 20)
 
 
@@ -197,26 +202,27 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", thre
     share = known.agg(F.avg(F.col("is_toxic").cast("double"))).first()[0]
     training = docs.select("doc_id", text).join(known.where("counted"), "doc_id")
     counts = stored(run_counts(training, text), "runs")
-    seen, unseen = ratios(counts)
-    tables = spark.sparkContext.broadcast((hash_table(seen, RUN_BITS), hash_table(unseen, CONTEXT_BITS)))
+    tables = spark.sparkContext.broadcast(hash_table(ratios(counts), RUN_BITS))
+
+    columns = [f"e{i}" for i in range(EVIDENCE)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices_of_bytes(texts):
                 found = evidence(texts[a:b], tables.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(found[:, i]) for i in range(found.shape[1]))], names=["doc_id", "e0", "e1", "e2", "e3", "e4"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(found[:, i]) for i in range(found.shape[1]))], names=["doc_id", *columns])
 
-    schema = "doc_id long, e0 double, e1 double, e2 double, e3 double, e4 double"
+    schema = "doc_id long, " + ", ".join(f"{c} double" for c in columns)
     sample = known.where("not counted")
     # toxic rows are few: each class gives up to half of the sample, weighted back below by their shares
     chosen = by_hash(sample.where("is_toxic"), calibration // 2, 1).unionByName(by_hash(sample.where("not is_toxic"), calibration // 2, 1))
     sampled = docs.select("doc_id", text).join(F.broadcast(chosen.select("doc_id", "is_toxic")), "doc_id")
     rows = sampled.select("doc_id", text).mapInArrow(measure, schema).join(F.broadcast(chosen), "doc_id").collect()  # bounded by calibration
     y = np.array([float(r.is_toxic) for r in rows])
-    weights, mean, scale = None, np.zeros(5), np.ones(5)
+    weights, mean, scale = None, np.zeros(EVIDENCE), np.ones(EVIDENCE)
     if len(rows) and 0 < y.sum() < len(y):
-        x = np.array([(r.e0, r.e1, r.e2, r.e3, r.e4) for r in rows])
+        x = np.array([[r[c] for c in columns] for r in rows])
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         weights = fit_logistic((x - mean) / scale, y)
         weights[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
@@ -225,7 +231,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", thre
         score = F.lit(0.5 if share is None else float(share))
     else:
         linear = F.lit(float(weights[-1]))
-        for i in range(5):
+        for i in range(EVIDENCE):
             linear = linear + (F.col(f"e{i}") - float(mean[i])) / float(scale[i]) * float(weights[i])
         score = 1 / (1 + F.exp(-linear))
     found = found.withColumn("score", score)
