@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate, is_contaminated
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .jaccard_join import jaccard_classes
 from .line_dedup import line_dedup
 from .packing import pack
 from .quality import quality_scores
+from .quotations import link_quotes
 from .toxicity import toxicity_scores
+from .url_filter import host_of, judge_captures
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,42 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
+def _number(text: str) -> str:
+    """SQL for a number below 2**24 that a text's md5 gives, the same in DuckDB."""
+    return f"cast(conv(substring(md5({text}), 1, 6), 16, 10) as int)"
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture fetched on a day of 2024 or 2025 that its id gives, against two lists.
+
+    No table has dated lists, so their entries are made from the pages' hosts: a third of
+    all hosts enter list "hosts" on some day and leave it on a later one, half of these come again,
+    and for every fifth host the pages below one language's folder are on list "paths".
+    """
+    captures = _table(spark, sf_dir, "pages").selectExpr("page_id as capture_id", "url", f"date_add(date '2024-01-01', {_number("concat('f', page_id)")} % 730) as fetched")
+    hosts = captures.selectExpr(f"{host_of('url')} as host").where("host is not null").distinct()
+    day = lambda kind, most: f"{_number(f"concat('{kind}', host)")} % {most}"
+    listed = hosts.where(f"{_number("concat('h', host)")} % 3 = 0")
+    entries = (
+        listed.selectExpr("'hosts' as list", "concat('host:', host) as key", "'add' as action", f"date_add(date '2024-01-01', {day('a', 300)}) as dated")
+        .unionAll(listed.selectExpr("'hosts'", "concat('host:', host)", "'remove'", f"date_add(date '2024-01-01', 300 + {day('b', 200)})"))
+        .unionAll(listed.where(f"{_number("concat('c', host)")} % 2 = 0").selectExpr("'hosts'", "concat('host:', host)", "'add'", f"date_add(date '2024-01-01', 500 + {day('d', 200)})"))
+        .unionAll(hosts.where(f"{_number("concat('p', host)")} % 5 = 0").selectExpr("'paths'", "concat('path:', host, '/', element_at(array('en', 'fr', 'de', 'es'), 1 + " + day("l", 4) + "))", "'add'", f"date_add(date '2024-01-01', {day('e', 500)})"))
+    )
+    out = judge_captures(captures, entries)
+    return out.select("capture_id", "fetched", "host", "n_matches", F.array_join("lists", ",").alias("lists"), "blocked")
+
+
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = link_quotes(_table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "parent_turn", "thread_turn", "depth", "n_quotes", "n_linked", F.sha2("body", 256).alias("body_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -70,9 +109,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_html_text": op3_html_text,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op6_url_filter": op6_url_filter,
     "op7_quality": op7_quality,
+    "op8_quotations": op8_quotations,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
@@ -125,6 +167,24 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE first_doc IS NOT NULL
 FROM k LEFT JOIN s USING (key) GROUP BY doc_id
 """
 
+_N = "CAST('0x' || substr(md5({}), 1, 6) AS INTEGER)".format
+_OP6_SQL = f"""
+WITH c AS (
+  SELECT page_id AS capture_id, url, date '2024-01-01' + {_N("'f' || page_id")} % 730 AS fetched,
+    nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)', 1)), '') AS host,
+    regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)', 2) AS path FROM pages),
+h AS (SELECT DISTINCT host FROM c WHERE host IS NOT NULL),
+spans AS (
+  SELECT 'hosts' AS list, host AS pattern, date '2024-01-01' + {_N("'a' || host")} % 300 AS f, date '2024-01-01' + 300 + {_N("'b' || host")} % 200 AS t FROM h WHERE {_N("'h' || host")} % 3 = 0
+  UNION ALL SELECT 'hosts', host, date '2024-01-01' + 500 + {_N("'d' || host")} % 200, date '9999-01-01' FROM h WHERE {_N("'h' || host")} % 3 = 0 AND {_N("'c' || host")} % 2 = 0
+  UNION ALL SELECT 'paths', host || '/' || ['en', 'fr', 'de', 'es'][1 + {_N("'l' || host")} % 4], date '2024-01-01' + {_N("'e' || host")} % 500, date '9999-01-01' FROM h WHERE {_N("'p' || host")} % 5 = 0),
+m AS (
+  SELECT capture_id, list FROM c JOIN spans ON list = 'hosts' AND (host = pattern OR ends_with(host, '.' || pattern)) AND f <= fetched AND fetched < t
+  UNION ALL SELECT capture_id, list FROM c JOIN spans ON list = 'paths' AND (host || path = pattern OR starts_with(host || path, pattern || '/')) AND f <= fetched AND fetched < t)
+SELECT c.capture_id, fetched, host, coalesce(n, 0) AS n_matches, coalesce(lists, '') AS lists, n IS NOT NULL AS blocked
+FROM c LEFT JOIN (SELECT capture_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM m GROUP BY capture_id) x ON c.capture_id = x.capture_id
+"""
+
 _OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
@@ -134,5 +194,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": _OP1_SQL,
     "op2_jaccard_join": _OP2_SQL,
     "op4_line_dedup": _OP4_SQL,
+    "op6_url_filter": _OP6_SQL,
     "op9_exact_dedup": _OP9_SQL,
 }
