@@ -1,4 +1,54 @@
+"""A training-corpus pipeline over ``documents``: five stages, each one of the operators at its production parameters.
+
+quality classifier, exact dedup, n-gram Jaccard join, benchmark decontamination, packing.
+Every stage works on all that its predecessor kept, and all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quarry.llm.common import stored
+from quarry.llm.decontaminate import without_contaminated
+from quarry.llm.exact_dedup import keep_one_of_equal
+from quarry.llm.jaccard_join import keep_one_of_near
+from quarry.llm.quality import without_rejected
+from quarry.llm.queries import packed
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects; it learns from the documents here and the labels."""
+    return without_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the largest doc_id of equal texts."""
+    return keep_one_of_equal(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each class of near copies."""
+    return keep_one_of_near(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which a twentieth or more lies in benchmark windows."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a sequence of 2048 tokens."""
+    return packed(docs)
+
+
+STAGES = [("quality classifier", quality), ("exact dedup", exact_dedup), ("n-gram Jaccard join", near_dedup), ("benchmark decontamination", decontamination), ("packing", packing)]
+
+#: The classifier can't be written in SQL; tests/llm/test_pipeline.py holds the result against a plain version.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
