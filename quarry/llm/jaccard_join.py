@@ -7,9 +7,10 @@ First pivots.  Almost all documents lie at distance 1 from any given document, w
 no window of the triangle inequality excludes anything.  So the first pivots
 are one-shingle sets, of which each document has several at less than 1.  In one order
 of all shingles, rarer ones first, documents at a distance of at most r share one
-of the first floor(n (1 - similarity)) + 1 shingles of either; a document's region
-is that of its first shingle, and the other ones are the window over which it is
-replicated.  The order comes from a count-min row of fixed size that counts every
+of the first floor(n (1 - similarity)) + 1 shingles of either, and the smaller one
+has it in a still shorter part; a document's region is that of its first shingle,
+and the other ones are the window over which it is replicated.  Sizes differ by a
+factor of at most 1 / similarity, so a region falls apart into chains of sizes.  The order comes from a count-min row of fixed size that counts every
 shingle of every document; the order decides on cost alone, never on results.
 
 Cells.  Regions overlap heavily.  A region's pivot document is its member with the least
@@ -122,46 +123,90 @@ def shingle_table(docs: DataFrame, text: str, n: int, percent: int) -> tuple[Dat
 # ---- regions and cells -----------------------------------------------------------------------------------------
 
 
-def shared_regions(table: DataFrame, counts) -> DataFrame:
-    """(shingle, doc_id) for each shingle that two rows or more have in their windows."""
+def _partners(shingle, doc, code, percent, state):
+    """Which rows, sorted by (shingle, size), have a partner of a fitting size and place; and their chains of sizes.
+
+    Of two linked sets the smaller one holds a shared shingle in the first part of its window
+    (flag 1 in ``code``, size * 2 + flag), and the larger has at most 100 / percent times its size.  The last row
+    waits in ``state`` for the next batch.
+    """
+    if state is not None:
+        shingle, doc, code = (np.concatenate((state[k], x)) for k, x in zip(("shingle", "doc", "code"), (shingle, doc, code), strict=True))
+    size, early = code >> 1, (code & 1) == 1
+    n = len(size)
+    new = np.ones(n, dtype=bool)
+    new[1:] = shingle[1:] != shingle[:-1]
+    far = np.ones(n, dtype=bool)
+    far[1:] = 100 * size[:-1] < percent * size[1:]
+    carried = state is not None
+    begins = new | far
+    places = np.arange(n)
+    chain_at = np.maximum.accumulate(np.where(begins, places, 0))
+    chain = size[chain_at]
+    early_at = np.maximum.accumulate(np.where(early, places, -1))
+    before = np.concatenate(([-1], early_at[:-1]))  # the last early row ahead of each row
+    first = np.maximum.accumulate(np.where(new, places, 0))
+    known = before >= first
+    smaller = np.where(known, size[np.maximum(before, 0)], 0)
+    if carried:  # rows of the first shingle also see what the batches before held
+        head = first == 0
+        smaller = np.where(head & ~known, state["smaller"] if not early[0] else size[0], smaller)
+        smaller[0] = state["smaller"]
+        chain = np.where(chain_at == 0, state["chain"], chain)
+    has_smaller = (smaller > 0) & (100 * smaller >= percent * size)
+    has_larger = np.zeros(n, dtype=bool)
+    has_larger[:-1] = early[:-1] & ~new[1:] & ~far[1:]
+    keep = has_smaller | has_larger
+    last = {"shingle": shingle[-1:], "doc": doc[-1:], "code": code[-1:], "smaller": int(smaller[-1]), "chain": int(chain[-1])}
+    return shingle, doc, chain, keep, last
+
+
+def shared_regions(table: DataFrame, counts, percent: int) -> DataFrame:
+    """(region, doc_id) for each shingle and chain of sizes that rows of different documents may meet in."""
+    typical = int(np.median(counts.value))
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shingle = batch.column(0).to_numpy()
-            bound = counts.value[(shingle.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            typical = np.median(counts.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 + np.maximum(0, bound - 2 * typical).astype(np.int64) // ROWS_A_SHARE)], names=["shingle", "doc_id", "shares"])
+            bound = counts.value[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            share = 1 + np.maximum(0, bound - 2 * typical).astype(np.int64) // ROWS_A_SHARE
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share.astype(np.int32))], names=["shingle", "doc_id", "code", "shares"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row of the batches so far, and whether its shingle came before
+        def rows(shingle, chain, doc, keep):
+            region = mix64(shingle.view(np.uint64) + chain.astype(np.uint64)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(region[keep]), pa.array(doc[keep])], names=["region", "doc_id"])
+
+        state = None
         for batch in batches:
-            shingle, doc, shares = (batch.column(i).to_numpy() for i in range(3))
-            if held is not None:
-                shingle, doc, shares = (np.concatenate(([h], x)) for h, x in zip(held[0], (shingle, doc, shares), strict=True))
-            same = shingle[1:] == shingle[:-1]
-            before = np.concatenate(([held[1] if held else False], same))
-            after = np.concatenate((same, [False]))
-            keep = before | after | (shares > 1)
-            if len(shingle):
-                keep[-1] = False
-                held = ((shingle[-1], doc[-1], shares[-1]), bool(before[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(doc[keep])], names=["shingle", "doc_id"])
-        if held is not None and (held[1] or held[0][2] > 1):
-            yield pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int64()), pa.array([held[0][1]], pa.int64())], names=["shingle", "doc_id"])
-
-    rows = table.select(F.explode("window").alias("shingle"), "doc_id")
-    rows = rows.mapInArrow(shares, "shingle long, doc_id long, shares long")
-    rows = rows.repartition("shingle", F.pmod(F.xxhash64("doc_id"), F.col("shares"))).sortWithinPartitions("shingle")
-    return stored(rows.mapInArrow(runs, "shingle long, doc_id long"), "regions")
+            if not len(batch):
+                continue
+            split = batch.column(3).to_numpy() > 1
+            shingle, doc, chain, keep, last = _partners(*(batch.column(k).to_numpy() for k in range(3)), percent, state)
+            if split.any():  # a dealt shingle's partners may lie in other tasks: all of its rows stay, in one chain
+                split = np.concatenate((np.zeros(len(keep) - len(split), dtype=bool), split))
+                keep, chain = keep | split, np.where(split, 0, chain)
+            state = last
+            yield rows(shingle[:-1], chain[:-1], doc[:-1], keep[:-1])
+            final = rows(shingle[-1:], chain[-1:], doc[-1:], keep[-1:])
+        if state is not None:
+            yield final
+
+    place = F.floor(F.col("n_shingles") * (100 - percent) / (100 + percent))
+    early = (F.col("pos") <= place).cast("int")
+    rows = table.select("doc_id", "n_shingles", F.posexplode("window").alias("pos", "shingle"))
+    rows = rows.select("shingle", "doc_id", (F.col("n_shingles").cast("int") * 2 + early).alias("code"))
+    rows = rows.mapInArrow(shares, "shingle long, doc_id long, code int, shares int")
+    rows = rows.repartition("shingle", F.pmod(F.xxhash64("doc_id"), F.col("shares"))).sortWithinPartitions("shingle", "code")
+    return stored(rows.mapInArrow(runs, "region long, doc_id long"), "regions")
 
 
 def cells(regions: DataFrame, members: DataFrame) -> DataFrame:
     """(pivot, member) for the pivots' cells; members: doc_id, member (the smallest doc_id with its set)."""
-    inside = lookup(regions, members, ["doc_id"], ["member"], "rows", F.col("shingle")).select("shingle", "member")
+    inside = lookup(regions, members, ["doc_id"], ["member"], "rows", F.col("region")).select("region", "member")
     inside = stored(inside.distinct(), "inside")
     by_hash = F.struct(F.xxhash64("member").alias("hash"), "member")
-    heads = inside.groupBy("shingle").agg(F.min(by_hash).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("shingle", "head.member", "rows").withColumnRenamed("member", "pivot")
-    celled = lookup(inside, heads, ["shingle"], ["pivot"], "rows", F.col("member")).where("pivot is not null")
+    heads = inside.groupBy("region").agg(F.min(by_hash).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("region", "head.member", "rows").withColumnRenamed("member", "pivot")
+    celled = lookup(inside, heads, ["region"], ["pivot"], "rows", F.col("member")).where("pivot is not null")
     return stored(celled.select("pivot", "member").distinct(), "cells")
 
 
@@ -348,7 +393,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", n: int = SHINGLE_WORDS,
     named = lookup(table.select("doc_id", "n_shingles", "s1", "s2"), sets, ["n_shingles", "s1", "s2"], ["member"], "rows", F.col("doc_id"))
     named = stored(named.select("doc_id", "n_shingles", F.coalesce("member", "doc_id").alias("member")), "named")
     once = named.groupBy("doc_id").agg(F.min("member").alias("member"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("rows"))
-    regions = shared_regions(table, counts)
+    regions = shared_regions(table, counts, percent)
     cell_rows = cells(regions, once.select("doc_id", "member", "rows"))
     links = cell_links(cell_rows, docs, text, n, percent, once.select(F.col("doc_id").alias("member"), "n_shingles", "rows"))
     found = connected_components(links)
