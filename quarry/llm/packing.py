@@ -17,6 +17,7 @@ as often as it comes.  A null doc_id sorts first.  Other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,45 +31,66 @@ from .words import slices_of_bytes
 
 SEQUENCE_TOKENS = 2048
 DIMENSIONS, BITS = 4, 8
-CACHED_CHUNKS = 300_000
+CACHED_WORDS = 800_000
 
-_loaded: dict[str, "ChunkTokenizer"] = {}
+_loaded: dict[str, "WordTokenizer"] = {}
 
 
-class ChunkTokenizer:
-    """A tokenizer that splits at white space, with a bounded cache of the ids of chunks between spaces.
+#: Texts of these characters alone (ASCII, Latin-1 and Latin Extended-A) can be cut into pre-tokens here; they are stable under NFC.
+_PLAIN = re.compile("[\t\n\r -~\u00a1-\u017f]*")
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PRE_TOKEN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_DIGITS}{_LETTERS}]+")
 
-    It holds for tokenizers whose pre-tokens never cross white space and drop it,
-    such as those that lower-case words and mark word ends.
+
+class WordTokenizer:
+    """A tokenizer of lower-cased words that marks word ends, with a bounded cache of the ids of words.
+
+    Pre-tokens of such a tokenizer are encoded one by one whatever stands around them, so a text's ids
+    are those of its pre-tokens.  New ones are encoded together and parted at the ids that end
+    a word.  Texts of other alphabets, or that may hold special tokens, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [c for c in set(chunks) if c not in known]
+        size = self.model.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends_word = np.array([self.model.id_to_token(i).endswith("</w>") for i in range(size)])
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        cut = [_PRE_TOKEN.findall(t.lower()) if p else () for t, p in zip(texts, plain, strict=True)]
+        new = list(set().union(*cut).difference(self.known))
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known = {}
+            new = list(set().union(*cut))
         if new:
-            if len(known) + len(new) > CACHED_CHUNKS:
-                known.clear()
-                known[""] = b""
-                new = list(set(chunks) - {""})
-            for c, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return b"".join(map(known.__getitem__, chunks))
-
-
-def tokenizer_of(path: str) -> ChunkTokenizer:
+            ids = np.array(self.model.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            stops = (np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize
+            if len(stops) == len(new):
+                whole, begin = ids.tobytes(), 0
+                for word, stop in zip(new, stops.tolist(), strict=True):
+                    self.known[word] = whole[begin:stop]
+                    begin = stop
+            else:  # a vocabulary that can't end every word: one by one
+                for word, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                    self.known[word] = np.array(e.ids, dtype=self.dtype).tobytes()
+        get = self.known.__getitem__
+        return [b"".join(map(get, c)) if p else self.encode_whole(t) for t, c, p in zip(texts, cut, plain, strict=True)]
+
+    def encode_whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _loaded:
-        _loaded[path] = ChunkTokenizer(path)
+        _loaded[path] = WordTokenizer(path)
     return _loaded[path]
 
 
@@ -106,7 +128,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, text: str = "text", end_id
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices_of_bytes(texts):
-                ids = [tokenizer.encode(t or "") + end for t in texts[a:b]]
+                ids = [i + end for i in tokenizer.encode([t or "" for t in texts[a:b]])]
                 means = np.stack([directions[np.frombuffer(i, tokenizer.dtype) & 0xFFFF].mean(axis=0) for i in ids])
                 cells = np.clip((np.tanh(means * 2) + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.int64)
                 sizes = [len(i) // tokenizer.dtype.itemsize for i in ids]

@@ -48,6 +48,22 @@ def test_pack_round_trip(spark):
         assert at == 2048 or at & (at - 1) == 0
 
 
+def test_word_tokenizer_is_exact():
+    import random
+
+    from quarry.llm.packing import WordTokenizer
+
+    rng = random.Random(5)
+    alphabet = "abcXYZ'tsrevmld09 \n\t\r.,!*-_<|>ßéÉñÑİŒſ²½ªº×÷\u017f"
+    wild = alphabet + "\x1c\x85\xa0Σς中文e\u0301\u0130𝒳١\u2003"
+    texts = ["".join(rng.choice(alphabet if i % 2 else wild) for _ in range(rng.randrange(60))) for i in range(4000)]
+    texts += ["<|endoftext|>", "a<|startoftext|>b", "", " ", "don't DON'T we'll'd"]
+    ours, model = WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    got = ours.encode(texts)
+    for t, g in zip(texts, got, strict=True):
+        assert g == np.array(model.encode(t, add_special_tokens=False).ids, "<u2").tobytes(), repr(t)
+
+
 def test_pack_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pack(docs, PATH).count() == 0
