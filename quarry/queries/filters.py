@@ -96,10 +96,10 @@ def filter_point_range(spark, d):
     return table(spark, d, "part").where(P.in_range(F.col("p_retailprice"), F.lit(950.0), F.lit(1500.0))).select("p_partkey")
 
 
-@query("filter_unit_substring", "SELECT p_partkey, p_type FROM part WHERE (contains(p_type, 'BRASS') OR contains(p_type, 'PLATED')) AND NOT contains(p_type, 'PROMO')")
+@query("filter_unit_substring", "SELECT p_partkey, p_name FROM part WHERE (contains(p_name, 'blue') OR contains(p_name, 'an')) AND NOT contains(p_name, 'anvil')")
 def filter_unit_substring(spark, d):
-    unit = F.col("p_type")
-    return table(spark, d, "part").where(P.contains_any(unit, strings("BRASS", "PLATED")) & ~P.contains_any(unit, strings("PROMO"))).select("p_partkey", "p_type")
+    unit = F.col("p_name")
+    return table(spark, d, "part").where(P.contains_any(unit, strings("blue", "an")) & ~P.contains_any(unit, strings("anvil"))).select("p_partkey", "p_name")
 
 
 @query("compile_lang_any", "SELECT doc_id FROM documents WHERE lang IN ('de', 'es')")
@@ -118,9 +118,9 @@ def compile_kind_map(spark, d):
     return table(spark, d, "labels").where(F.array_contains(wanted, F.col("quality") + 1)).select("doc_id")
 
 
-@query("compile_like_any", "SELECT p_partkey FROM part WHERE p_type LIKE '%STEEL%' OR p_type LIKE '%S_AL%COPPER%'")
+@query("compile_like_any", "SELECT p_partkey FROM part WHERE p_type LIKE '%ECON%' OR p_type LIKE '%S_A%L%'")
 def compile_like_any(spark, d):
-    return table(spark, d, "part").where(P.unit_clause(F.col("p_type"), strings("STEEL", "S_AL%COPPER"))).select("p_partkey")
+    return table(spark, d, "part").where(P.unit_clause(F.col("p_type"), strings("ECON", "S_A%L"))).select("p_partkey")
 
 
 # ---- documents under conditions --------------------------------------------------------------------------------
@@ -201,7 +201,7 @@ def prefilter_ranking(spark, d):
     return rounded(plan.run(items(spark, d), table(spark, d, "documents")), "score")
 
 
-@query("prefilter_variants", _PRE.replace("l1", "l2") + _leg("l1", "q1", 10) + ", v AS (SELECT 'no_filter' AS variant, * FROM l1 UNION ALL SELECT 'oracle', * FROM l2), s AS (SELECT 'no_filter' AS variant, (SELECT count(*) FROM documents) * 1.0 AS avg_pool UNION ALL SELECT 'oracle', (SELECT count(*) FROM pool) / (SELECT count(*) FROM q1)) SELECT variant, round(avg_pool, 4) AS avg_pool, round((SELECT count(DISTINCT qid) FROM v SEMI JOIN gold USING (qid, doc_id) WHERE v.variant = s.variant) / (SELECT count(*) FROM q1), 6) AS hit_rate FROM s")
+@query("prefilter_variants", _PRE.replace("l1", "l2") + _leg("l1", "q1", 10) + ", v AS (SELECT 'no_filter' AS variant, * FROM l1 UNION ALL SELECT 'oracle', * FROM l2), s AS (SELECT 'no_filter' AS variant, CAST((SELECT count(*) FROM documents) AS DOUBLE) AS avg_pool UNION ALL SELECT 'oracle', (SELECT count(*) FROM pool) / (SELECT count(*) FROM q1)) SELECT variant, round(avg_pool, 4) AS avg_pool, round((SELECT count(DISTINCT qid) FROM v SEMI JOIN gold USING (qid, doc_id) WHERE v.variant = s.variant) / (SELECT count(*) FROM q1), 6) AS hit_rate FROM s")
 def prefilter_variants(spark, d):
     """Hit rate at 10 and average pool, without and with the conditions."""
     queries, docs, allowed, qrels = items(spark, d), table(spark, d, "documents"), pool(spark, d), gold(spark, d)
