@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A token starts with, and consists of, letters, digits and underscores of any script.
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -23,7 +24,7 @@ def character_bigrams(text: Column) -> Column:
     return F.when(F.length(bare) < 2, F.array(bare)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(2))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC, for which no expression exists."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
@@ -123,7 +124,8 @@ def row_key(model: Column, text: Column) -> Column:
 def first_json_object(text: Column) -> Column:
     """The text from the first opening to the last closing brace if that parses as JSON, else null."""
     found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when((found != "") & F.try_parse_json(found).isNotNull(), found)
+    alone = F.try_parse_json(F.concat(F.lit("["), found, F.lit("]")))  # in brackets, for the parser stops after one value
+    return F.when((found != "") & alone.isNotNull(), found)
 
 
 def mentions_any(text: Column, words: list[str]) -> Column:

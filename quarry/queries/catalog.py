@@ -1 +1,343 @@
-"""Queries."""
+"""Catalog records, documents built from them, text functions, sources and sinks."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import catalog as C
+from ..sources import tables as S
+from . import query, table
+from .parsers import frame, values
+
+
+def scratch(spark, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}/{name}"
+
+
+# ---- scans and keys --------------------------------------------------------------------------------------------
+
+
+@query("scan_filter", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def scan_filter(spark, d):
+    return table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select("o_orderkey", "o_totalprice")
+
+
+@query("count_rows", "SELECT count(*) AS n FROM lineitem")
+def count_rows(spark, d):
+    return table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("distinct_projection", "SELECT DISTINCT user_id, event_type FROM events WHERE event_type IS NOT NULL AND event_type <> ''")
+def distinct_projection(spark, d):
+    return table(spark, d, "events").where("event_type is not null and event_type <> ''").select("user_id", "event_type").distinct()
+
+
+@query("json_decode", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_decode(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("json_text_lists", values([(1, "a,b"), (2, ""), (3, ""), (4, "x")], "id, items"))
+def json_text_lists(spark, d):
+    rows = frame(spark, [(1, '["a", "b"]'), (2, None), (3, "broken ["), (4, '["x", 5, null]')], "id int, j string")
+    return rows.select("id", F.array_join(S.json_strings(F.col("j")), ",").alias("items"))
+
+
+@query("existing_ids", "SELECT doc_id FROM labels")
+def existing_ids(spark, d):
+    return table(spark, d, "labels").select("doc_id")
+
+
+@query("todo_anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def todo_anti_join(spark, d):
+    return S.not_done(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@query("gold_lookup_join", "SELECT l_orderkey, l_linenumber, o_orderpriority, o_orderkey IS NOT NULL AS found FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'O') o ON l_orderkey = o_orderkey")
+def gold_lookup_join(spark, d):
+    orders = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", F.lit(True).alias("found"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").join(orders, "l_orderkey", "left").fillna({"found": False}).select("l_orderkey", "l_linenumber", "o_orderpriority", "found")
+
+
+@query("id_map_join", "SELECT user_id, coalesce(c_name, 'unknown') AS name, count(*) AS n FROM events LEFT JOIN customer ON c_custkey = user_id GROUP BY ALL")
+def id_map_join(spark, d):
+    per_user = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    return per_user.join(names, "user_id", "left").fillna({"name": "unknown"}).select("user_id", "name", "n")
+
+
+@query("gold_normalise", "SELECT * FROM (VALUES (1, 'a'), (1, 'b'), (2, 'c'), (3, NULL)) t(id, gold)")
+def gold_normalise(spark, d):
+    rows = frame(spark, [(1, ["a", "b", "a"], "z"), (2, [], "c"), (3, None, None)], "id int, gold array<string>, single string")
+    return rows.select("id", F.explode(S.gold_of(F.col("gold"), F.col("single"))).alias("gold"))
+
+
+@query("upsert_latest", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -o_orderkey - 1, 'new' FROM orders WHERE o_orderkey % 3 = 0")
+def upsert_latest(spark, d):
+    old = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    changed = old.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("new").alias("status"))
+    return S.latest_by_key(old, changed.unionByName(changed.select((-F.col("o_orderkey") - 1).alias("o_orderkey"), "status")), "o_orderkey")
+
+
+@query("insert_if_absent", "SELECT p_partkey, 'old' AS origin FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'new' FROM part WHERE p_partkey % 2 <> 0")
+def insert_if_absent(spark, d):
+    part = table(spark, d, "part").select("p_partkey")
+    return S.insert_absent(part.where("p_partkey % 2 = 0").withColumn("origin", F.lit("old")), part.withColumn("origin", F.lit("new")), "p_partkey")
+
+
+@query("merge_summaries", "SELECT * FROM (VALUES ('p0', 2.0), ('p1', 1.5), ('p2', 3.0)) t(parser, score)")
+def merge_summaries(spark, d):
+    old, new = frame(spark, [("p0", 1.0), ("p1", 1.5)], "parser string, score double"), frame(spark, [("p0", 2.0), ("p2", 3.0)], "parser string, score double")
+    return S.latest_by_key(old, new, "parser")
+
+
+@query("sink_roundtrip_parquet", "SELECT doc_id, lang, source, n_chars FROM documents")
+def sink_roundtrip_parquet(spark, d):
+    path = scratch(spark, "documents")
+    S.write_parquet(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), path)
+    return spark.read.parquet(path)
+
+
+@query("sink_roundtrip_jsonl", "SELECT doc_id, text FROM documents")
+def sink_roundtrip_jsonl(spark, d):
+    path = scratch(spark, "documents")
+    S.write_json_lines(table(spark, d, "documents").select("doc_id", "text"), path)
+    return S.read_json_lines(spark, path, "doc_id long, text string")
+
+
+@query("jsonl_dropmalformed", "SELECT item_id AS id, text FROM benchmark WHERE item_id % 2 = 0")
+def jsonl_dropmalformed(spark, d):
+    """Every second line is broken, and blank lines stand between."""
+    path = scratch(spark, "lines")
+    whole = F.to_json(F.struct(F.col("item_id").alias("id"), "text"))
+    lines = table(spark, d, "benchmark").select(F.explode(F.array(F.when(F.col("item_id") % 2 == 0, whole).otherwise(F.concat(F.lit("{"), whole)), F.lit(""))))
+    lines.write.text(path)
+    return S.read_json_lines(spark, path, "id long, text string", drop_malformed=True)
+
+
+# ---- records and documents -------------------------------------------------------------------------------------
+
+
+@query("dedupe_crosslist", "SELECT l_orderkey AS order_id, arg_min(l_partkey, (l_linenumber, l_partkey, l_suppkey, l_quantity)) AS partkey, arg_min(l_quantity, (l_linenumber, l_partkey, l_suppkey, l_quantity)) AS quantity, string_agg(l_suppkey || '/' || l_returnflag || '/' || l_linestatus, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS cross_listed FROM lineitem GROUP BY l_orderkey")
+def dedupe_crosslist(spark, d):
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus").alias("ord")
+    lines = table(spark, d, "lineitem").select("l_orderkey", order, "l_partkey", "l_quantity", "l_suppkey", "l_returnflag", "l_linestatus")
+    out = C.dedupe_crosslisted(lines, "l_orderkey", "ord", ["l_suppkey", "l_returnflag", "l_linestatus"])
+    text = F.array_join(F.transform("cross_listed", lambda x: F.concat_ws("/", x["l_suppkey"], x["l_returnflag"], x["l_linestatus"])), ",")
+    return out.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("partkey"), F.col("l_quantity").alias("quantity"), text.alias("cross_listed"))
+
+
+@query("flatten_records", r"SELECT doc_id, length(text) AS text_len, length(coalesce(lang, '')) AS lang_len, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n_words FROM documents")
+def flatten_records(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "text", "lang", T.tokens(F.col("text")).alias("words"))
+    return C.flatten_records(rows, ["text", "lang"], ["words"]).select("doc_id", "text_len", "lang_len", "n_words")
+
+
+_COURSES = """
+WITH k AS (SELECT DISTINCT user_id, isodow(ts) AS w, hour(ts) AS a, hour(ts) + 1 AS b FROM events WHERE event_type = 'click'),
+s AS (SELECT user_id, string_agg('星期' || substr('一二三四五六日', CAST(w AS INTEGER), 1) || ' ' || a || ':00-' || b || ':00', '、' ORDER BY w, a) AS t FROM k GROUP BY user_id),
+c AS (SELECT d.doc_id, 'name ' || d.doc_id AS name, d.source AS teacher, d.source AS unit, d.lang, coalesce(l.quality, 0) + 1 AS kind, l.toxic, l.doc_id IS NOT NULL AS known, coalesce(t, '未定') AS st, trim(d.text, ' ' || chr(9) || chr(10) || chr(13)) AS objective
+  FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN s ON s.user_id = d.doc_id)
+"""
+
+
+def courses(spark, d) -> DataFrame:
+    """Documents in the role of courses: sessions from the clicks of the user with their id, kind from labels."""
+    hour = F.hour("ts")
+    session = F.struct((F.weekday("ts") + 1).alias("weekday"), hour.alias("start_hour"), (hour + 1).alias("end_hour"))
+    sessions = table(spark, d, "events").where("event_type = 'click'").groupBy(F.col("user_id").alias("doc_id")).agg(F.array_sort(F.collect_set(session)).alias("sessions"))
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source").join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left").join(sessions, "doc_id", "left")
+    return docs.select(
+        F.col("doc_id").cast("string").alias("course_id"), F.concat(F.lit("name "), "doc_id").alias("name"), F.col("source").alias("teacher"), F.col("source").alias("unit"), "lang",
+        (F.coalesce("quality", F.lit(0)) + 1).alias("kind"), F.when(F.col("toxic") == 1, "限").otherwise("").alias("lmt_kind"), F.coalesce("toxic", F.lit(0)).alias("core"),
+        F.lit(3.0).alias("point"), F.lit("").alias("time_raw"), "sessions", F.col("text").alias("objective"), F.array().cast("array<string>").alias("weekly_topics"),
+    )
+
+
+@query("doc_base", _COURSES + "SELECT CAST(doc_id AS VARCHAR) AS course_id, '課程名稱是' || name || ', 上課時間是' || st || ', 這堂課的老師是' || teacher AS text FROM c")
+def doc_base(spark, d):
+    return C.BUILDERS["d-base"](courses(spark, d)).select("course_id", "text")
+
+
+_OBJ = "'課名: ' || name || chr(10) || '教師: ' || teacher || chr(10) || "
+
+
+@query("doc_obj", _COURSES + "SELECT CAST(doc_id AS VARCHAR) AS course_id, " + _OBJ + "'開課單位: ' || unit || chr(10) || '語言: ' || lang || '　學分: 3.0' || chr(10) || '上課時間: ' || st || chr(10) || '課程目標: ' || substr(objective, 1, 600) AS text FROM c")
+def doc_obj(spark, d):
+    return C.BUILDERS["d-obj"](courses(spark, d)).select("course_id", "text")
+
+
+@query(
+    "doc_v2",
+    _COURSES + "SELECT CAST(doc_id AS VARCHAR) AS course_id, " + _OBJ + """'開課單位: ' || unit || '　語言: ' || lang || '　學分: 3.0' || chr(10) || '課程類別: ' || CASE kind WHEN 1 THEN '必修課' ELSE '選修課' END || CASE WHEN toxic = 1 THEN '（限）' ELSE '' END || chr(10)
+  || CASE WHEN coalesce(toxic, 0) <> 0 THEN '核心通識: 是' || chr(10) ELSE '' END || '上課時間: ' || st
+  || CASE WHEN known THEN chr(10) || '主題標籤: ' || lang || '、' || unit || chr(10) || '摘要: ' || 's' || doc_id ELSE '' END
+  || CASE WHEN objective <> '' THEN chr(10) || '課程目標: ' || substr(objective, 1, 400) ELSE '' END AS text, known AS meta_v1_present FROM c""",
+)
+def doc_v2(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id")
+    known = docs.select(F.col("doc_id").cast("string").alias("course_id"), F.concat(F.lit("s"), "doc_id").alias("summary"), F.array().cast("array<string>").alias("keywords"), F.array("lang", "source").alias("topic_tags"))
+    return C.BUILDERS["d-v2"](courses(spark, d), known).select("course_id", "text", "meta_v1_present")
+
+
+@query("doc_metadata", _COURSES + "SELECT CAST(doc_id AS VARCHAR) AS course_id, unit, lang, kind FROM c")
+def doc_metadata(spark, d):
+    return C.BUILDERS["d-base"](courses(spark, d)).select("course_id", "metadata.unit", "metadata.lang", "metadata.kind")
+
+
+@query("prompt_render", "SELECT doc_id, '課名：' || source || chr(10) || '標籤：' || CASE WHEN doc_id % 2 = 0 THEN lang ELSE '（無）' END || chr(10) || '內容：' || substr(text, 1, 500) AS prompt FROM documents")
+def prompt_render(spark, d):
+    tags = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("")
+    return table(spark, d, "documents").select("doc_id", C.prompt(F.col("source"), tags, F.col("text")).alias("prompt"))
+
+
+@query("request_envelope", "SELECT item_id, 'q-' || item_id AS custom_id, 'm1' AS model, text AS content FROM benchmark")
+def request_envelope(spark, d):
+    """Requests as JSON, read back by their paths."""
+    rows = table(spark, d, "benchmark").select("item_id", C.request_envelope(F.concat(F.lit("q-"), "item_id"), "m1", F.col("text")).alias("j"))
+    path = lambda p: F.get_json_object("j", p)
+    return rows.select("item_id", path("$.custom_id").alias("custom_id"), path("$.body.model").alias("model"), path("$.body.messages[0].content").alias("content"))
+
+
+# ---- text ------------------------------------------------------------------------------------------------------
+
+
+@query("strip_entities", r"SELECT page_id, regexp_replace(html, '&[a-zA-Z]+;|&#\d+;', '', 'g') AS html FROM pages")
+def strip_entities(spark, d):
+    return table(spark, d, "pages").select("page_id", T.strip_entities(F.col("html")).alias("html"))
+
+
+@query("clean_text", r"SELECT page_id, regexp_replace(regexp_replace(html, '&[a-zA-Z]+;|&#\d+;', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages")
+def clean_text(spark, d):
+    return table(spark, d, "pages").select("page_id", T.clean(F.col("html"), normalise=False).alias("text"))
+
+
+@query("strip_info_prefix", values([("@備註: 課", "課"), ("＠Note：x", "x"), ("a @Note: b", "a @Note: b")], "raw, cleaned"))
+def strip_info_prefix(spark, d):
+    rows = frame(spark, [("@備註: 課",), ("＠Note：x",), ("a @Note: b",)], "raw string")
+    return rows.select("raw", T.strip_info_prefix(F.col("raw")).alias("cleaned"))
+
+
+@query("nfkc_clean")
+def nfkc_clean(spark, d):
+    return table(spark, d, "pages").select("page_id", T.clean(F.col("html")).alias("text"))
+
+
+@query("tokenise", r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+'), ' ') AS words FROM documents")
+def tokenise(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("words"))
+
+
+@query("first_sentence", r"SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[。！？!?\n]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) BETWEEN 8 AND 80)[1] AS sentence FROM documents")
+def first_sentence(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.first_sentence(F.col("text")).alias("sentence"))
+
+
+@query("query_key", r"SELECT item_id, lower(regexp_replace(text, '\s+', '', 'g')) AS key FROM benchmark")
+def query_key(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.query_key(F.col("text")).alias("key"))
+
+
+@query("query_id", "SELECT item_id, 'syn-' || substr(md5('bench|topic|' || text), 1, 8) AS qid FROM benchmark")
+def query_id(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.query_id("syn-", F.lit("bench"), F.lit("topic"), F.col("text")).alias("qid"))
+
+
+@query("cache_key", "SELECT item_id, substr(sha256('hyde|m1|' || text), 1, 16) AS key FROM benchmark")
+def cache_key(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.cache_key(F.lit("hyde"), F.lit("m1"), F.col("text")).alias("key"))
+
+
+@query("keyword_flags", "SELECT doc_id, contains(text, ' not ') OR contains(text, ' no ') OR contains(text, ' nicht ') AS has_negation, contains(text, 'with') OR contains(text, 'mit') AS has_constraint FROM documents")
+def keyword_flags(spark, d):
+    body = F.col("text")
+    return table(spark, d, "documents").select("doc_id", T.mentions_any(body, [" not ", " no ", " nicht "]).alias("has_negation"), T.mentions_any(body, ["with", "mit"]).alias("has_constraint"))
+
+
+@query("pattern_extract", r"SELECT doc_id, (WITH z AS (SELECT list_filter(list_transform(list_concat(regexp_extract_all(text, 'with [^.\n]*'), regexp_extract_all(text, 'mit [^.\n]*')), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) BETWEEN 8 AND 50) AS a) SELECT array_to_string(list_filter(a, lambda v, i: list_position(a, v) = i), '|') FROM z) AS found FROM documents")
+def pattern_extract(spark, d):
+    found = T.extract_patterns(F.col("text"), [r"with [^.\n]*", r"mit [^.\n]*"])
+    return table(spark, d, "documents").select("doc_id", F.array_join(found, "|").alias("found"))
+
+
+@query("first_seen_dedupe", r"SELECT min(conv_id * 1000000 + turn) AS first_at, key FROM (SELECT *, lower(regexp_replace(text, '\s+', '', 'g')) AS key FROM conversations WHERE role = 'user') GROUP BY key")
+def first_seen_dedupe(spark, d):
+    from ..operators.evalsets import first_seen
+
+    rows = table(spark, d, "conversations").where("role = 'user'").withColumn("key", T.query_key(F.col("text"))).withColumn("first_at", F.col("conv_id") * 1000000 + F.col("turn"))
+    return first_seen(rows, F.col("key"), "first_at").select("first_at", "key")
+
+
+SLOTS = {
+    "一23": "1:9-11:一23", "一23四56": "1:9-11:一23,4:14-16:四56", "五D56": "5:13-16:五D56", "未定或彈性": "", "": "", "一234二AB日H": "1:9-12:一234,2:6-8:二AB,7:21-22:日H", "三13": "3:8-9:三1,3:10-11:三3",
+    "2一5": "1:9-10:一2,1:14-15:一5", "x一2y3z": "1:9-11:一23",
+}
+
+
+@query("time_slots", values(list(SLOTS.items()), "raw, sessions"))
+def time_slots(spark, d):
+    one = F.transform(T.time_slots(F.col("raw")), lambda s: F.concat(s["weekday"], F.lit(":"), s["start_hour"], F.lit("-"), s["end_hour"], F.lit(":"), s["raw"]))
+    return frame(spark, [(s,) for s in SLOTS], "raw string").select("raw", F.array_join(one, ",").alias("sessions"))
+
+
+TOPICS = (
+    (1, "Week|Date|Topic|1|2/27|Intro|2|3/6| |Overview|3|3/13|Intro", "", "Intro;Overview"),
+    (2, "", "1|9/1|Only syllabus|x", "Only syllabus"),
+    (3, "9/1|" + "y" * 81 + "|9/8", "", ""),
+    (4, None, None, ""),
+)
+
+
+@query("weekly_topics", values([(i, t) for i, _, _, t in TOPICS], "id, topics"))
+def weekly_topics(spark, d):
+    rows = frame(spark, [r[:3] for r in TOPICS], "id int, schedule string, syllabus string")
+    return rows.select("id", F.array_join(T.weekly_topics(F.col("schedule"), F.col("syllabus")), ";").alias("topics"))
+
+
+JSON_TEXTS = ((1, 'say {"a": {"b": 1}} ok', '{"a": {"b": 1}}'), (2, "none", None), (3, '{"a": 1} and {"b": 2}', None), (4, 'x\n{"a":\n2}', '{"a":\n2}'))
+
+
+@query("first_json_object", values([(i, o) for i, _, o in JSON_TEXTS], "id, found"))
+def first_json_object(spark, d):
+    return frame(spark, [r[:2] for r in JSON_TEXTS], "id int, text string").select("id", T.first_json_object(F.col("text")).alias("found"))
+
+
+@query("list_cleanup", values([(1, "a|b|c|d"), (2, "")], "id, variants"))
+def list_cleanup(spark, d):
+    rows = frame(spark, [(1, "q", [" a ", "", "q", "b", "c", "d", "e"]), (2, "q", [])], "id int, q string, variants array<string>")
+    return rows.select("id", F.array_join(T.clean_variants(F.col("variants"), F.col("q")), "|").alias("variants"))
+
+
+@query("strip_quotes", values([("「x」", "x"), ("\"a'b\"", "a'b"), ("plain", "plain")], "raw, bare"))
+def strip_quotes(spark, d):
+    return frame(spark, [("「x」",), ("\"a'b\"",), ("plain",)], "raw string").select("raw", T.strip_quotes(F.col("raw")).alias("bare"))
+
+
+@query("query_guard", "SELECT item_id, CASE WHEN contains(reverse(text), text) THEN reverse(text) ELSE text || chr(10) || reverse(text) END AS passage FROM benchmark")
+def query_guard(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.with_query(F.reverse("text"), F.col("text")).alias("passage"))
+
+
+@query("ordered_dedupe", "SELECT conv_id, array_to_string(list_transform(list_sort(list({'t': t, 'r': role})), lambda x: x.r), ',') AS roles FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def ordered_dedupe(spark, d):
+    turns = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("turn"))
+    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"))
+
+
+@query("set_overlap", "SELECT 'both' AS part, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT vec_id FROM embeddings) UNION ALL SELECT 'documents', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT vec_id FROM embeddings) UNION ALL SELECT 'vectors', count(*) FROM (SELECT vec_id FROM embeddings EXCEPT SELECT doc_id FROM documents)")
+def set_overlap(spark, d):
+    a, b = table(spark, d, "documents").select("doc_id"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    count = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+    return count("both", a.intersect(b)).unionByName(count("documents", a.subtract(b))).unionByName(count("vectors", b.subtract(a)))
+
+
+@query("find_texts", "SELECT doc_id, substr(text, 1, 600) AS head FROM documents WHERE contains(text, 'the') AND contains(text, 'ing') ORDER BY doc_id LIMIT 3")
+def find_texts(spark, d):
+    """A report: the first three documents with two substrings."""
+    return table(spark, d, "documents").where(F.contains("text", F.lit("the")) & F.contains("text", F.lit("ing"))).orderBy("doc_id").limit(3).select("doc_id", F.substring("text", 1, 600).alias("head"))
