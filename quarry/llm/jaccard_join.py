@@ -33,6 +33,7 @@ like others, under the id -1.  Other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ from .words import mix64, shingle_sets, slices_of_bytes
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 #: Buckets of the count-min row, and the parts in which tasks hand it on.
-SKETCH_BITS, SKETCH_PARTS = 20, 64
+SKETCH_BITS, SKETCH_PARTS = 22, 64
 #: A shingle whose counted rows exceed this is dealt over several tasks.
 ROWS_A_SHARE = 20_000
 #: Shingles of the members that one task may hold at once, and members too.
@@ -74,25 +75,26 @@ def shingle_counts(docs: DataFrame, text: str, n: int) -> np.ndarray:
                 every = np.concatenate([*shingle_sets(texts[a:b], n), np.zeros(0, np.uint64)])
                 total += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=width)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([total[i * part : (i + 1) * part].astype("<u4").tobytes() for i in range(SKETCH_PARTS)])], names=["part", "counts"])
+            parts = [zlib.compress(total[i * part : (i + 1) * part].astype("<u4").tobytes(), 1) for i in range(SKETCH_PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(part, dtype=np.int64)
         for batch in batches:
             for counts in batch.column(1):
-                total += np.frombuffer(counts.as_buffer(), dtype="<u4")
+                total += np.frombuffer(zlib.decompress(counts.as_buffer()), dtype="<u4")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()])], names=["part", "counts"])
 
     rows = docs.select(text).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()  # SKETCH_PARTS rows
-    out = np.zeros(width, dtype=np.int64)
+    out = np.zeros(width, dtype=np.uint32)
     for r in rows:
-        out[r.part * part : (r.part + 1) * part] = np.frombuffer(r.counts, dtype="<i8")
+        out[r.part * part : (r.part + 1) * part] = np.minimum(np.frombuffer(r.counts, dtype="<i8"), (1 << 32) - 1)
     return out
 
 
 def shingle_table(docs: DataFrame, text: str, n: int, percent: int) -> tuple[DataFrame, object]:
     """doc_id, n_shingles, the set's 128-bit name (s1, s2) and its window: the shingles whose regions it enters."""
-    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text, n))  # 8 MB whatever the input
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text, n))  # 16 MB whatever the input
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +170,7 @@ def shared_regions(table: DataFrame, counts, percent: int) -> DataFrame:
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bound = counts.value[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            share = 1 + np.maximum(0, bound - 2 * typical).astype(np.int64) // ROWS_A_SHARE
+            share = 1 + np.maximum(0, bound.astype(np.int64) - 2 * typical) // ROWS_A_SHARE
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share.astype(np.int32))], names=["shingle", "doc_id", "code", "shares"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
