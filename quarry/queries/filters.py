@@ -123,6 +123,17 @@ def compile_like_any(spark, d):
     return table(spark, d, "part").where(P.unit_clause(F.col("p_type"), strings("ECON", "S_A%L"))).select("p_partkey")
 
 
+@query("compile_must_not", "SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE lang IN ('en', 'de', 'fr') AND NOT lang IN ('fr') AND NOT (quality + 1 IN (1)) AND NOT (source LIKE '%src1%' OR source LIKE '%%2%')")
+def compile_must_not(spark, d):
+    """Negated clauses drop rows whose attribute is null, here documents without a label."""
+    none = "array()"
+    side = f"named_struct('course_lang', {{}}, 'weekday', {none}, 'hour_range', {none}, 'point', null, 'kind', {{}}, 'lmt_kind', {none}, 'unit', {{}})"
+    must = F.expr(side.format("array('en', 'de', 'fr')", none, none)).cast(CONDITIONS)
+    must_not = F.expr(side.format("array('fr')", "array('必修', '未知')", "array('src1', '%2')")).cast(CONDITIONS)
+    doc = {c: F.col(c) for c in ("lang", "unit", "kind", "sessions", "weekdays", "point", "lmt_kind")}
+    return catalog(spark, d).where(P.matches(doc, must, must_not)).select("doc_id")
+
+
 # ---- documents under conditions --------------------------------------------------------------------------------
 
 
