@@ -75,14 +75,16 @@ def shingle_counts(docs: DataFrame, text: str, n: int) -> np.ndarray:
                 every = np.concatenate([*shingle_sets(texts[a:b], n), np.zeros(0, np.uint64)])
                 total += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=width)
         if total.any():
-            parts = [zlib.compress(total[i * part : (i + 1) * part].astype("<u4").tobytes(), 1) for i in range(SKETCH_PARTS)]
+            narrow = "<u1" if total.max() < 256 else "<u4"
+            parts = [zlib.compress(total[i * part : (i + 1) * part].astype(narrow).tobytes(), 1) for i in range(SKETCH_PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(part, dtype=np.int64)
         for batch in batches:
             for counts in batch.column(1):
-                total += np.frombuffer(zlib.decompress(counts.as_buffer()), dtype="<u4")
+                raw = zlib.decompress(counts.as_buffer())
+                total += np.frombuffer(raw, dtype="<u1" if len(raw) == part else "<u4")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()])], names=["part", "counts"])
 
     rows = docs.select(text).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()  # SKETCH_PARTS rows
@@ -344,9 +346,11 @@ def cell_links(cell_rows: DataFrame, docs: DataFrame, text: str, n: int, percent
         sets: list[np.ndarray] = []
         for batch in rows:
             members += batch.column("member").to_pylist()
-            texts = batch.column("body").to_pylist()
-            for a, b in slices_of_bytes(texts):
-                sets += list(shingle_sets(texts[a:b], n))
+            packed = batch.column("body").to_pylist()
+            for begin in range(0, len(packed), 64):
+                texts = [zlib.decompress(t).decode("utf-8", "surrogatepass") for t in packed[begin : begin + 64]]
+                for a, b in slices_of_bytes(texts):
+                    sets += list(shingle_sets(texts[a:b], n))
         order = np.argsort(members)
         members_ = np.array(members)[order]
         roots = join_cell([sets[i] for i in order], percent)
@@ -361,7 +365,7 @@ def cell_links(cell_rows: DataFrame, docs: DataFrame, text: str, n: int, percent
 
 
 def text_of(docs: DataFrame, text: str, wanted: DataFrame, n: int) -> DataFrame:
-    """doc_id and body of the documents in ``wanted``; a Bloom filter of fixed size keeps most other texts out of the shuffle."""
+    """doc_id and body (compressed) of the documents in ``wanted``; a Bloom filter of fixed size keeps most other texts out of the shuffle."""
     bits = 1 << 24
     hashed = [F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(bits)) for s in (11, 12, 13)]
     places = wanted.select(F.explode(F.array(*hashed)).alias("bit")).distinct()
@@ -377,11 +381,13 @@ def text_of(docs: DataFrame, text: str, wanted: DataFrame, n: int) -> DataFrame:
             for c in range(2, 5):
                 bit = batch.column(c).to_numpy()
                 keep &= (bloom.value[bit // 64].view(np.uint64) >> (bit % 64).astype(np.uint64) & np.uint64(1)) == 1
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            kept = batch.select([0, 1]).filter(pa.array(keep))
+            packed = [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in kept.column(1).to_pylist()]  # it travels twice
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(packed, pa.binary())], names=["doc_id", "body"])
 
     rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col(text).alias("body"))
     rows = rows.select("doc_id", "body", *(h.alias(f"h{i}") for i, h in enumerate(hashed)))
-    rows = rows.mapInArrow(may_hold, "doc_id long, body string")
+    rows = rows.mapInArrow(may_hold, "doc_id long, body binary")
     return rows.join(wanted, "doc_id", "left_semi")
 
 

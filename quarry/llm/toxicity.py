@@ -78,7 +78,7 @@ def run_counts(docs: DataFrame, text: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, toxic = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=np.int64)
-            for a, b in slices_of_bytes(texts, 1 << 23):
+            for a, b in slices_of_bytes(texts, 1 << 22):
                 runs, table, lengths = letter_runs(texts[a:b])
                 owner = np.repeat(np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(table.bounds)), lengths)
                 once = np.unique(runs << np.uint64(16) | owner)  # a slice has fewer than 2**16 texts: a batch has 10,000

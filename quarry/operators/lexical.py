@@ -14,19 +14,17 @@ SCORE_PLACES = 8
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, term, tf; tasks add up their own rows before the shuffle."""
-    terms = docs.select(F.col(doc).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """doc_id, term, tf, dl (the document's tokens); tasks add up their own rows before the shuffle."""
+    words = docs.select(F.col(doc).alias("doc_id"), tokens(F.col(text)).alias("words"))
+    terms = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    return terms.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "term", "tf", "dl")
 
 
-def document_lengths(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, dl: documents without tokens count with length 0."""
-    return docs.select(F.col(doc).alias("doc_id"), F.size(tokens(F.col(text))).cast("long").alias("dl"))
-
-
-def corpus_stats(lengths: DataFrame) -> DataFrame:
-    """One row: n_docs, avgdl."""
-    return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+def corpus_stats(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: n_docs, avgdl; documents without tokens count with length 0."""
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    total = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all_tokens"))
+    return n.crossJoin(F.broadcast(total)).select("n_docs", F.try_divide(F.col("all_tokens"), F.col("n_docs")).alias("avgdl"))
 
 
 def term_weights(index: DataFrame, stats: DataFrame) -> DataFrame:
@@ -43,24 +41,29 @@ def top_hits(scored: DataFrame, k: int, by: str = "qid") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def score_bm25(queries: DataFrame, index: DataFrame, lengths: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def score_bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """qid, doc_id, score of every document that shares a term with the query (qid, text); repeated query terms count again."""
-    stats = corpus_stats(lengths)
     wanted = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weights = term_weights(index, stats).join(wanted.select("term").distinct(), "term", "left_semi")
-    terms = small(wanted.join(weights, "term"))
+    weights = term_weights(index, stats).join(small(wanted.select("term").distinct()), "term", "left_semi")
     norm = F.lit(k1) * (1 - b + F.lit(b) * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    matched = index.join(terms, "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
+    matched = index.join(small(wanted.join(weights, "term")), "term").crossJoin(F.broadcast(stats))
     return matched.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def bm25_search(queries: DataFrame, docs: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+def build_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings and statistics, kept for the searches that follow; at scale, write the postings as a table and pass that."""
+    index = postings(docs).persist()
+    return index, corpus_stats(docs, index)
+
+
+def bm25_search(queries: DataFrame, docs: DataFrame, k: int = 10, allowed: DataFrame | None = None, built: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """qid, doc_id, score, rank.  The k best are cut first, then scores that aren't positive are dropped.
 
     ``allowed`` (qid, doc_id) restricts the ranking; the statistics stay those of all documents.
+    ``built`` is an index of ``docs`` to search again.
     """
-    scored = score_bm25(queries, postings(docs), document_lengths(docs))
+    scored = score_bm25(queries, *(built or build_index(docs)))
     if allowed is not None:
         scored = scored.join(allowed, ["qid", "doc_id"], "left_semi")
     return top_hits(scored, k).where("score > 0").select("qid", "doc_id", "score", "rank")

@@ -28,7 +28,8 @@ class SearchPlan:
     allowed: DataFrame | None = None
 
     def run(self, queries: DataFrame, docs: DataFrame) -> DataFrame:
-        legs = {name: lexical.bm25_search(form(queries) if form else queries, docs, self.retrieve_k, self.allowed) for name, form in self.forms.items()}
+        built = lexical.build_index(docs)
+        legs = {name: lexical.bm25_search(form(queries) if form else queries, docs, self.retrieve_k, self.allowed, built) for name, form in self.forms.items()}
         hits = rank.rrf(rank.union_runs(legs), self.retrieve_k) if len(legs) > 1 else next(iter(legs.values()))
         if self.scorer is not None:
             hits = rank.rerank(hits, queries, docs, self.top_k, self.scorer)

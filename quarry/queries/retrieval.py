@@ -28,13 +28,14 @@ def gold(spark, d) -> DataFrame:
     return docs.join(small(items(spark, d)), F.contains("body", "text")).select("qid", "doc_id")
 
 
-def leg(spark, d, form=None, k: int = K) -> DataFrame:
+def leg(spark, d, form=None, k: int = K, built=None) -> DataFrame:
     queries = items(spark, d)
-    return lexical.bm25_search(form(queries) if form else queries, table(spark, d, "documents"), k)
+    return lexical.bm25_search(form(queries) if form else queries, table(spark, d, "documents"), k, built=built)
 
 
-def both_legs(spark, d) -> dict[str, DataFrame]:
-    return {"full": leg(spark, d), "long": leg(spark, d, long_words)}
+def both_legs(spark, d, k: int = K) -> dict[str, DataFrame]:
+    built = lexical.build_index(table(spark, d, "documents"))
+    return {"full": leg(spark, d, None, k, built), "long": leg(spark, d, long_words, k, built)}
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 5) -> DataFrame:
@@ -85,21 +86,19 @@ g AS (SELECT qid, count(*) AS n_gold FROM (SELECT DISTINCT qid, doc_id FROM gold
 
 @query("bm25_postings", _BASE + "SELECT * FROM post")
 def bm25_postings(spark, d):
-    return lexical.postings(table(spark, d, "documents"))
+    return lexical.postings(table(spark, d, "documents")).drop("dl")
 
 
 @query("bm25_corpus_stats", _BASE + "SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM idf) AS n_terms, round((SELECT avg(idf) FROM idf), 6) AS mean_idf FROM st")
 def bm25_corpus_stats(spark, d):
-    docs = table(spark, d, "documents")
-    stats = lexical.corpus_stats(lexical.document_lengths(docs))
-    weights = lexical.term_weights(lexical.postings(docs), stats).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.avg("idf"), 6).alias("mean_idf"))
+    index, stats = lexical.build_index(table(spark, d, "documents"))
+    weights = lexical.term_weights(index, stats).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.avg("idf"), 6).alias("mean_idf"))
     return stats.select("n_docs", F.round("avgdl", 6).alias("avgdl")).crossJoin(F.broadcast(weights))
 
 
 @query("bm25_term_weights", _BASE + "SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_term_weights(spark, d):
-    docs = table(spark, d, "documents")
-    return rounded(lexical.term_weights(lexical.postings(docs), lexical.corpus_stats(lexical.document_lengths(docs))), "idf", places=6)
+    return rounded(lexical.term_weights(*lexical.build_index(table(spark, d, "documents"))), "idf", places=6)
 
 
 @query("bm25_topk", _BASE + _leg("l1", "q1", 10) + "SELECT qid, doc_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM l1")
@@ -173,7 +172,7 @@ def rrf_weight_sweep(spark, d):
     pairs = [(a, 1.0) for a in (0.5, 1.0, 1.5, 2.0, 3.0, 5.0)] + [(1.0, b) for b in (1.5, 2.0, 3.0)]
     settings = spark.createDataFrame(pairs, "w_full double, w_long double")
     weights = settings.select("w_full", "w_long", F.explode(F.create_map(F.lit("full"), "w_full", F.lit("long"), "w_long")).alias("run", "weight"))
-    runs = rank.union_runs({"full": leg(spark, d, k=50), "long": leg(spark, d, long_words, k=50)}).persist()
+    runs = rank.union_runs(both_legs(spark, d, 50)).persist()
     fused = rank.rrf(runs, 50, weights=weights, by=("w_full", "w_long", "qid"))
     best = fused.join(gold(spark, d), ["qid", "doc_id"]).groupBy("w_full", "w_long", "qid").agg(F.min("rank").alias("best"))
     n = items(spark, d).agg(F.count(F.lit(1)).alias("n"))
