@@ -9,9 +9,12 @@ an expression that a class has seen rarely is smoothed by what the whole corpus
 Counting runs in Spark over every training document: tasks add up the runs of their
 rows, and the sums, the continuation counts of all lower orders and the
 probabilities are groupings and joins of count tables, which grow with the corpus.
-For scoring, log-likelihood ratios are laid into a hash table of fixed size (24 MB
-whatever the corpus; of several runs in a place, the most frequent stays, and a check
-value tells the others).  Runs that neither class has seen are left out of the comparison.
+Runs that neither class has seen are left out of the comparison.
+
+Scoring looks up the log-likelihood ratio of every run of every document.  A table of up to
+``broadcast_runs`` runs (16 bytes each) is broadcast whole.  A larger one stays distributed: each
+different word is spelled once and joined with the runs, and the words of each document are joined
+with the words' sums; hot words are salted.  Both ways use all runs and give the same measures.
 
 A document is compared by its length-normalised log-likelihoods as a whole, and by those of its
 most suspicious words.  A logistic curve turns these into a score; it is fitted on a bounded
@@ -32,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import stored
+from .common import lookup, stored
 from .labelled import by_hash, fit_logistic, fold
 from .words import WordTable, mix64, slices_of_bytes
 
@@ -41,7 +45,8 @@ ORDER = 6
 #: Discounts of counts of one, two, and three or more in a class; and of continuation counts.
 DISCOUNTS = (1.0, 1.25, 1.5)
 DISCOUNT = 0.75
-RUN_BITS, PARTS = 22, 32
+#: A table of more runs is joined instead of broadcast.
+BROADCAST_RUNS = 4_000_000
 CALIBRATION_ROWS = 6000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -117,7 +122,7 @@ def shared_backoff(counts: DataFrame) -> DataFrame:
 
 
 def ratios(counts: DataFrame) -> DataFrame:
-    """(key, n, ratio) of the runs seen: log toxic - log ordinary probability of the last byte after those before it."""
+    """(key, ratio) of the runs seen: log toxic - log ordinary probability of the last byte after those before it."""
     context = F.shiftright("run", 8)
 
     def off(n: str):
@@ -132,50 +137,56 @@ def ratios(counts: DataFrame) -> DataFrame:
 
     joined = counts.join(contexts, context == F.col("context")).join(shared_backoff(counts), "run")
     ratio = F.log(probability("t", "toxic") / probability("o", "ordinary"))
-    return joined.select(F.col("run").alias("key"), (F.col("toxic") + F.col("ordinary")).alias("n"), ratio.cast("float").alias("ratio"))
-
-
-def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix64(keys)
-    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64(0xFFFF)).astype(np.uint16)
+    return joined.select(F.col("run").alias("key"), ratio.cast("float").alias("ratio"))
+
+
+class RunTable:
+    """Ratios by run: the runs' mixed keys (mix64 is one to one) in order, and where each range of their first bits begins."""
+
+    def __init__(self, keys: np.ndarray, ratio: np.ndarray):
+        mixed = mix64(keys)
+        order = np.argsort(mixed)
+        self.keys, self.ratio = mixed[order], ratio[order].astype(np.float32)
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        edges = np.arange((1 << (64 - int(self.shift))) + 1)
+        bucket = (self.keys >> self.shift).astype(np.int64)
+        self.starts = np.searchsorted(bucket, edges).astype(np.int32)
+
+    def get(self, runs: np.ndarray) -> np.ndarray:
+        """The ratio of each run, 0 for runs that are not in the table."""
+        wanted = mix64(runs)
+        bucket = (wanted >> self.shift).astype(np.int64)
+        at, stop = self.starts[bucket], self.starts[bucket + 1]
+        out = np.zeros(len(runs), dtype=np.float32)
+        open_ = np.flatnonzero(at < stop)
+        while len(open_):
+            found = self.keys[at[open_]] == wanted[open_]
+            out[open_[found]] = self.ratio[at[open_[found]]]
+            open_ = open_[~found]
+            at[open_] += 1
+            open_ = open_[at[open_] < stop[open_]]
+        return out
 
 
-def hash_table(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Check values and ratios in 2**bits places; the fullest key of a place stays."""
-    size = 1 << bits
-    part = size // PARTS
+def collected(table: DataFrame) -> RunTable:
+    """The table of runs on the driver; only for tables whose count is checked."""
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, check = _places(batch.column(0).to_numpy().view(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array((at // part).astype(np.int32)), pa.array((at % part).astype(np.int32)), pa.array(check.astype(np.int32)), batch.column(1), batch.column(2)], names=["part", "at", "check", "n", "ratio"])
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in batch.columns], names=["key", "ratio"])
 
-    def lay(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        checks, values = np.zeros(part, "<u2"), np.zeros(part, "<f4")
-        for batch in batches:  # a row a place: the aggregate before has chosen
-            at = batch.column("at").to_numpy()
-            checks[at], values[at] = batch.column("check").to_numpy(), batch.column("ratio").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([checks.tobytes()]), pa.array([values.tobytes()])], names=["part", "checks", "ratios"])
-
-    placed = rows.mapInArrow(place, "part int, at int, check int, n long, ratio float")
-    best = placed.groupBy("part", "at").agg(F.max(F.struct("n", "check", "ratio")).alias("best")).select("part", "at", "best.check", "best.ratio")
-    checks, values = np.zeros(size, np.uint16), np.zeros(size, np.float32)
-    for r in best.groupBy("part").applyInArrow(lay, "part int, checks binary, ratios binary").collect():  # PARTS rows, 6 bytes a place
-        checks[r.part * part : (r.part + 1) * part] = np.frombuffer(r.checks, "<u2")
-        values[r.part * part : (r.part + 1) * part] = np.frombuffer(r.ratios, "<f4")
-    return checks, values
+    rows = table.select("key", "ratio").mapInArrow(pack, "key binary, ratio binary").collect()
+    return RunTable(np.frombuffer(b"".join(r.key for r in rows), np.uint64), np.frombuffer(b"".join(r.ratio for r in rows), np.float32))
 
 
 EVIDENCE = 8
 
 
-def evidence(texts: list[str | None], tables) -> np.ndarray:
+def evidence(texts: list[str | None], ratio_of: RunTable) -> np.ndarray:
     """EVIDENCE measures of each text: length-normalised log-likelihood ratios of the whole, of its three most
     suspicious words and of the most suspicious one a letter, how many words are suspicious, and its length."""
-    checks, values = tables
     runs, table, lengths = letter_runs(texts)
-    at, check = _places(runs, RUN_BITS)
-    value = np.where(checks[at] == check, values[at], np.float32(0))
+    value = ratio_of.get(runs)
     out = np.zeros((len(texts), EVIDENCE))
     if not len(lengths):
         return out
@@ -194,39 +205,112 @@ def evidence(texts: list[str | None], tables) -> np.ndarray:
     return np.clip(out, -20, 20)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD, calibration: int = CALIBRATION_ROWS) -> DataFrame:
-    """One row per document: doc_id, held_out, score (likelihood of being toxic), predicted."""
-    spark = docs.sparkSession
-    known = labels.select("doc_id", "toxic").where("toxic is not null").where(fold(FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("is_toxic"))
-    known = stored(known.withColumn("counted", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) != 0), "known")
-    share = known.agg(F.avg(F.col("is_toxic").cast("double"))).first()[0]
-    training = docs.select("doc_id", text).join(known.where("counted"), "doc_id")
-    counts = stored(run_counts(training, text), "runs")
-    tables = spark.sparkContext.broadcast(hash_table(ratios(counts), RUN_BITS))
+_COLUMNS = [f"e{i}" for i in range(EVIDENCE)]
+
 
-    columns = [f"e{i}" for i in range(EVIDENCE)]
+def evidence_by_broadcast(docs: DataFrame, text: str, table) -> DataFrame:
+    """doc_id and measures of each row of ``docs``, by a broadcast RunTable."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices_of_bytes(texts):
-                found = evidence(texts[a:b], tables.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(found[:, i]) for i in range(found.shape[1]))], names=["doc_id", *columns])
+                found = evidence(texts[a:b], table.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(found[:, i]) for i in range(EVIDENCE))], names=["doc_id", *_COLUMNS])
+
+    return docs.select("doc_id", text).mapInArrow(measure, "doc_id long, " + ", ".join(f"{c} double" for c in _COLUMNS))
 
-    schema = "doc_id long, " + ", ".join(f"{c} double" for c in columns)
+
+def evidence_by_join(docs: DataFrame, text: str, table: DataFrame) -> DataFrame:
+    """The same by joins: runs meet the different words' spellings, and words' sums the words of each row."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in slices_of_bytes(texts):
+                row, doc = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
+                _, found, lengths = letter_runs(texts[a:b])
+                owner = np.repeat(np.arange(b - a), np.diff(found.bounds))
+                order = np.lexsort((found.hashes, owner))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (np.diff(owner[order]) != 0) | (found.hashes[order][1:] != found.hashes[order][:-1])
+                at = np.flatnonzero(new)
+                n = np.diff(np.append(at, len(order)))
+                first = order[at]
+                # each row of docs has one entry of no word, so that none is lost
+                places = pa.array(np.concatenate((owner[first], np.arange(b - a))))
+                none = np.zeros(b - a, dtype=np.int64)
+                columns = [np.concatenate((x, none)) for x in (found.hashes[first].view(np.int64), lengths[first], n)]
+                yield pa.RecordBatch.from_arrays([row.take(places), doc.take(places), *map(pa.array, columns)], names=["row", "doc_id", "word", "size", "n"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in slices_of_bytes(texts):
+                runs, found, lengths = letter_runs(texts[a:b])
+                word, first = np.unique(found.hashes, return_index=True)
+                begins, size = (np.cumsum(lengths) - lengths)[first], lengths[first]
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                run = runs[np.repeat(begins, size) + at]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(word, size).view(np.int64)), pa.array(at), pa.array(run.view(np.int64))], names=["word", "at", "run"])
+
+    body = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text)
+    entries = stored(body.mapInArrow(words, "row long, doc_id long, word long, size long, n long"), "words")
+    spelled = docs.select(text).mapInArrow(spell, "word long, at long, run long").groupBy("word", "at").agg(F.min("run").alias("key"))
+    spelled = stored(spelled, "spelled")
+    frequent = spelled.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).join(table.select("key", "ratio"), "key")
+    sums = lookup(spelled.select("word", "key"), frequent, ["key"], ["ratio"], "rows", F.col("word"))
+    sums = sums.groupBy("word").agg(F.sum(F.coalesce(F.col("ratio"), F.lit(0.0)).cast("double")).alias("value"))
+    used = entries.where("n > 0").groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
+    found = lookup(entries, sums.join(used, "word"), ["word"], ["value"], "rows", F.col("row"))
+    down = Window.partitionBy("row").orderBy(F.when(F.col("n") > 0, F.col("value")).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("upto", F.sum("n").over(down))
+    word = lambda value: F.when(F.col("n") > 0, value)
+    least = F.min(word(F.col("value")))
+
+    def top(k: int):  # the k-th largest of the row's words, repetitions counted; the least where there are fewer
+        return F.coalesce(F.max(F.when((F.col("n") > 0) & (F.col("upto") >= k), F.col("value"))), least)
+
+    def many(condition):
+        return F.log1p(F.sum(F.when(condition, F.col("n")).otherwise(0)).cast("double"))
+
+    size = F.sum(F.col("n") * F.col("size"))
+    measures = [
+        F.when(size > 0, F.sum(word(F.col("n") * F.col("value"))) / size), top(1), top(2), top(3), F.max(word(F.col("value") / F.col("size"))),
+        many(F.col("value") > 3), many(F.col("value") > 6), many(F.col("n") > 0),
+    ]
+    rows = found.groupBy("row", "doc_id").agg(*(m.alias(c) for c, m in zip(_COLUMNS, measures, strict=True)))
+    clipped = [F.greatest(F.least(F.coalesce(c, F.lit(0.0)), F.lit(20.0)), F.lit(-20.0)).alias(c) for c in _COLUMNS]
+    return rows.select("doc_id", *clipped)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD, calibration: int = CALIBRATION_ROWS, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
+    """One row per document: doc_id, held_out, score (likelihood of being toxic), predicted."""
+    spark = docs.sparkSession
+    known = labels.select("doc_id", "toxic").where("toxic is not null").where(fold(FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("is_toxic"))
+    known = stored(known.withColumn("counted", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) != 0), "known")
+    share = known.agg(F.avg(F.col("is_toxic").cast("double"))).first()[0]
+    training = docs.select("doc_id", text).join(known.where("counted"), "doc_id")
+    counts = stored(run_counts(training, text), "runs")
+    table = stored(ratios(counts), "ratios")
+    if table.count() <= broadcast_runs:
+        shared = spark.sparkContext.broadcast(collected(table))
+        measured = lambda rows: evidence_by_broadcast(rows, text, shared)
+    else:
+        measured = lambda rows: evidence_by_join(rows, text, table)
     sample = known.where("not counted")
     # toxic rows are few: each class gives up to half of the sample, weighted back below by their shares
     chosen = by_hash(sample.where("is_toxic"), calibration // 2, 1).unionByName(by_hash(sample.where("not is_toxic"), calibration // 2, 1))
     sampled = docs.select("doc_id", text).join(F.broadcast(chosen.select("doc_id", "is_toxic")), "doc_id")
-    rows = sampled.select("doc_id", text).mapInArrow(measure, schema).join(F.broadcast(chosen), "doc_id").collect()  # bounded by calibration
+    rows = measured(sampled).join(F.broadcast(chosen), "doc_id").collect()  # bounded by calibration
     y = np.array([float(r.is_toxic) for r in rows])
     weights, mean, scale = None, np.zeros(EVIDENCE), np.ones(EVIDENCE)
     if len(rows) and 0 < y.sum() < len(y):
-        x = np.array([[r[c] for c in columns] for r in rows])
+        x = np.array([[r[c] for c in _COLUMNS] for r in rows])
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         weights = fit_logistic((x - mean) / scale, y)
         weights[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
-    found = docs.select("doc_id", text).mapInArrow(measure, schema)
+    found = measured(docs)
     if weights is None:
         score = F.lit(0.5 if share is None else float(share))
     else:

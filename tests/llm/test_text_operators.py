@@ -7,7 +7,7 @@ import pytest
 from quarry.llm.html_text import extract_text, visible_text
 from quarry.llm.quality import fit_pu, quality_scores, without_rejected
 from quarry.llm.quotations import chat_records, link_quotes
-from quarry.llm.toxicity import toxicity_scores
+from quarry.llm.toxicity import RunTable, evidence_by_broadcast, evidence_by_join, letter_runs, toxicity_scores
 from quarry.llm.url_filter import judge_captures, match_keys
 
 SF = "/root/testdata/sf0.01"
@@ -112,6 +112,45 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.toxic == 1 for r in wrong)  # some toxic rows say nothing toxic; clean rows are left alone
 
 
+def test_run_table_finds_all_runs_and_no_others():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5000):
+        keys = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        ratio = rng.normal(size=len(keys)).astype(np.float32)
+        table = RunTable(keys, ratio)
+        assert (table.get(keys) == ratio).all()
+        assert not table.get(np.setdiff1d(rng.integers(0, 1 << 48, 1000, dtype=np.uint64), keys)).any()
+
+
+def test_evidence_is_the_same_by_broadcast_and_by_join(spark):
+    import numpy as np
+
+    texts = ["You bloody FOOL, fool!", None, "", "...", "a", "fool fool fool fool nice", "über Übel\nüber 12 aaaaaaaaaaaaaaa", "one two", "You bloody FOOL, fool!"] + ["fool " * 3000]
+    docs = spark.createDataFrame([(i % 7, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, row int, word string").repartition(3)
+    runs = np.unique(letter_runs(texts)[0])
+    ratio = np.random.default_rng(2).normal(0, 3, len(runs)).astype(np.float32)
+    runs, ratio = runs[::2], ratio[::2]
+    table = spark.createDataFrame(list(zip(runs.astype(np.int64).tolist(), ratio.tolist(), strict=True)), "key long, ratio float")
+    shared = spark.sparkContext.broadcast(RunTable(runs, ratio))
+    ways = [sorted(tuple(r) for r in way.collect()) for way in (evidence_by_broadcast(docs, "text", shared), evidence_by_join(docs, "text", table))]
+    assert len(ways[0]) == len(ways[1]) == len(texts)
+    assert np.allclose(ways[0], ways[1], atol=1e-4)
+
+
+def test_toxicity_is_the_same_beyond_the_broadcast(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    near, far = (sorted((r.doc_id, r.score) for r in toxicity_scores(docs, labels, broadcast_runs=n).collect()) for n in (10**9, 0))
+    assert [a for a, _ in near] == [a for a, _ in far] and max(abs(a[1] - b[1]) for a, b in zip(near, far, strict=True)) < 1e-3
+
+
+def test_rejection_judges_each_row_by_its_own_text(spark):
+    docs = spark.createDataFrame([(None, ""), (None, "words of a text"), (1, ""), (1, "more words of a text")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert sorted(r.text for r in without_rejected(docs, none, threshold=0.2).collect()) == ["more words of a text", "words of a text"]
+
+
 def test_classifiers_on_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, " \n", 1.0), (4, "word " * 5, 1.0), (None, "x", 1.0), (4, "word " * 5, 1.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
