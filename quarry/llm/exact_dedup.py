@@ -90,9 +90,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def keep_one_of_equal(docs: DataFrame) -> DataFrame:
+def keep_one_of_equal(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that exact dedup keeps, with all their columns (repeated rows once)."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_doc_id"))
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_doc_id")), "left_semi")
-    return out.withColumn("quarry_nth", F.row_number().over(order)).where("quarry_nth = 1").drop("quarry_nth")
+    key = F.concat_ws(":", "doc_id", "text_sha256")  # tells rows with one doc_id and different texts apart
+    kept = exact_dedup(docs, text).where("kept").select(key.alias("quarry_key"))
+    keyed = docs.withColumn("quarry_key", F.concat_ws(":", "doc_id", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+    order = Window.partitionBy("quarry_key").orderBy(F.xxhash64(*docs.columns))
+    out = keyed.join(kept, "quarry_key", "left_semi").withColumn("quarry_nth", F.row_number().over(order))
+    return out.where("quarry_nth = 1").select(*docs.columns)

@@ -123,23 +123,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", positive
     return mean, scale, fit_pu(np.clip((p - mean) / scale, -6, 6), np.clip((u - mean) / scale, -6, 6), prior)
 
 
+def scores_of(texts: list[str | None], model) -> np.ndarray:
+    values = np.full(len(texts), 0.5)
+    if model is not None:
+        mean, scale, w = model
+        x = np.clip((measures(texts) - mean) / scale, -6, 6)
+        values = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    values[[not (t or "").strip() for t in texts]] = 0.0
+    return values
+
+
 def score_quality(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """doc_id and score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices_of_bytes(texts):
-                part = texts[a:b]
-                values = np.full(len(part), 0.5)
-                if shared.value is not None:
-                    mean, scale, w = shared.value
-                    x = np.clip((measures(part) - mean) / scale, -6, 6)
-                    values = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-                values[[not (t or "").strip() for t in part]] = 0.0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(values)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores_of(texts[a:b], shared.value))], names=["doc_id", "score"])
 
     return docs.select("doc_id", text).mapInArrow(score, "doc_id long, score double")
 
@@ -150,8 +152,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", thres
     return scored.select("doc_id", F.coalesce(fold(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier doesn't reject, with all their columns."""
-    model = fit_quality(docs, labels)
-    rejected = score_quality(docs, model).where(F.col("score") < threshold).select(F.coalesce("doc_id", F.lit(-1)).alias("rejected_id")).distinct()
-    return docs.join(rejected, F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("rejected_id"), "left_anti")
+def without_rejected(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that the classifier doesn't reject, with all their columns; each is judged by its own text, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, text))
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for a, b in slices_of_bytes(texts):
+                yield batch.slice(a, b - a).filter(pa.array(scores_of(texts[a:b], shared.value) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -51,10 +51,10 @@ def test_hot_blocks_get_the_same_names(spark):
 
 
 def test_exact_dedup_keeps_columns(spark):
-    docs = table(spark, [(1, "a"), (2, "a"), (2, "a"), (3, None), (4, "")])
+    docs = table(spark, [(1, "a"), (2, "a"), (2, "a"), (3, None), (4, ""), (2, "b"), (None, "a"), (None, "c"), (None, "d"), (None, "d")])
     out = keep_one_of_equal(docs)
     assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.collect()) == [2, 4]
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == [("2", "a"), ("2", "b"), ("4", ""), ("None", "c"), ("None", "d")]
 
 
 def lines_plain(rows, least=10, documents=2):
