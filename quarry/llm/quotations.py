@@ -56,7 +56,7 @@ def _passages(lines: DataFrame) -> DataFrame:
 def link_quotes(conversations: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, parent_turn, thread_turn, depth, n_quotes, n_linked, body; (thread_turn, turn) is the reply order."""
     messages = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    messages = stored(messages.withColumn("message", F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text")), 256)), "messages")
+    messages = stored(messages.withColumn("message", F.monotonically_increasing_id()), "messages")  # the file fixes the numbers
     lines = stored(_parts(messages), "lines")
     passages = stored(_passages(lines).where(F.length("norm") >= MIN_LINE).withColumn("hash", F.xxhash64("norm")).withColumn("size", F.length("norm")), "passages")
     own = passages.where("level = 0").select("conv_id", "hash", "size", "turn").distinct().withColumn("source", F.col("turn"))
