@@ -186,10 +186,11 @@ def shared_regions(table: DataFrame, counts, percent: int) -> DataFrame:
                 continue
             split = batch.column(3).to_numpy() > 1
             shingle, doc, chain, keep, last = _partners(*(batch.column(k).to_numpy() for k in range(3)), percent, state)
+            if state is not None:  # the row that waited is in front
+                split = np.concatenate((state["split"], split))
             if split.any():  # a dealt shingle's partners may lie in other tasks: all of its rows stay, in one chain
-                split = np.concatenate((np.zeros(len(keep) - len(split), dtype=bool), split))
                 keep, chain = keep | split, np.where(split, 0, chain)
-            state = last
+            state = last | {"split": split[-1:]}
             yield rows(shingle[:-1], chain[:-1], doc[:-1], keep[:-1])
             final = rows(shingle[-1:], chain[-1:], doc[-1:], keep[-1:])
         if state is not None:

@@ -1,0 +1,21 @@
+"""Shingles dealt over several tasks, in Arrow batches that end within them."""
+
+import numpy as np
+
+from quarry.llm import jaccard_join
+
+
+def test_all_rows_of_a_dealt_shingle_stay_in_one_region(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ROWS_A_SHARE", 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        shingle, docs = 12345 << 42, 60
+        counts = np.zeros(1 << jaccard_join.SKETCH_BITS, dtype=np.uint32)
+        counts[12345] = docs
+        sizes = [1 + 40 * (i % 7) for i in range(docs)]  # several chains of sizes, which dealing joins to one
+        table = spark.createDataFrame([(i, i, n, [shingle]) for i, n in enumerate(sizes)], "doc_id long, row long, n_shingles long, window array<long>")
+        found = jaccard_join.shared_regions(table, spark.sparkContext.broadcast(counts), 80).collect()
+        assert len({r.region for r in found}) == 1 and sorted(r[1] for r in found) == list(range(docs))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
