@@ -18,7 +18,8 @@ with the words' sums; hot words are salted.  Both ways use all runs and give the
 
 A document is compared by its length-normalised log-likelihoods as a whole, and by those of its
 most suspicious words.  A logistic curve turns these into a score; it is fitted on a bounded
-sample of training rows whose texts were not counted.
+sample of training rows, measured by the counts of all others.  Then the sample is counted
+too, so scores rest on every training document.
 
 Defined cases: null and empty texts get the score of a document without evidence.  Without
 labels of both classes every score is the share of toxic rows, or 0.5 without labels.
@@ -288,21 +289,26 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", thre
     """One row per document: doc_id, held_out, score (likelihood of being toxic), predicted."""
     spark = docs.sparkSession
     known = labels.select("doc_id", "toxic").where("toxic is not null").where(fold(FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("is_toxic"))
-    known = stored(known.withColumn("counted", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) != 0), "known")
+    known = stored(known, "known")
     share = known.agg(F.avg(F.col("is_toxic").cast("double"))).first()[0]
-    training = docs.select("doc_id", text).join(known.where("counted"), "doc_id")
-    counts = stored(run_counts(training, text), "runs")
-    table = stored(ratios(counts), "ratios")
-    if table.count() <= broadcast_runs:
-        shared = spark.sparkContext.broadcast(collected(table))
-        measured = lambda rows: evidence_by_broadcast(rows, text, shared)
-    else:
-        measured = lambda rows: evidence_by_join(rows, text, table)
-    sample = known.where("not counted")
-    # toxic rows are few: each class gives up to half of the sample, weighted back below by their shares
+    # at most a quarter; toxic rows are few: each class gives up to half of the sample, weighted back below by their shares
+    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0)
     chosen = by_hash(sample.where("is_toxic"), calibration // 2, 1).unionByName(by_hash(sample.where("not is_toxic"), calibration // 2, 1))
-    sampled = docs.select("doc_id", text).join(F.broadcast(chosen.select("doc_id", "is_toxic")), "doc_id")
+    chosen = stored(chosen, "chosen")
+    sampled = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")
+    others = known.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    counts = stored(run_counts(docs.select("doc_id", text).join(others, "doc_id"), text), "runs")
+
+    def measure_by(counts: DataFrame):
+        table = stored(ratios(counts), "ratios")
+        if table.count() > broadcast_runs:
+            return lambda rows: evidence_by_join(rows, text, table), lambda: None
+        shared = spark.sparkContext.broadcast(collected(table))
+        return lambda rows: evidence_by_broadcast(rows, text, shared), shared.unpersist
+
+    measured, done = measure_by(counts)
     rows = measured(sampled).join(F.broadcast(chosen), "doc_id").collect()  # bounded by calibration
+    done()
     y = np.array([float(r.is_toxic) for r in rows])
     weights, mean, scale = None, np.zeros(EVIDENCE), np.ones(EVIDENCE)
     if len(rows) and 0 < y.sum() < len(y):
@@ -310,7 +316,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", thre
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         weights = fit_logistic((x - mean) / scale, y)
         weights[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
-    found = measured(docs)
+    every = counts.unionByName(run_counts(sampled, text)).groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    found = measure_by(stored(every, "runs"))[0](docs)
     if weights is None:
         score = F.lit(0.5 if share is None else float(share))
     else:
