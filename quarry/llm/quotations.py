@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-#: Shorter lines prove no origin.
+#: Shorter passages and lines decide on a parent only where longer ones don't.
 MIN_LINE = 8
 
 
@@ -58,16 +58,19 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     messages = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
     messages = stored(messages.withColumn("message", F.monotonically_increasing_id()), "messages")  # the file fixes the numbers
     lines = stored(_parts(messages), "lines")
-    passages = stored(_passages(lines).where(F.length("norm") >= MIN_LINE).withColumn("hash", F.xxhash64("norm")).withColumn("size", F.length("norm")), "passages")
+    passages = stored(_passages(lines).where("norm != ''").withColumn("hash", F.xxhash64("norm")).withColumn("size", F.length("norm")), "passages")
     own = passages.where("level = 0").select("conv_id", "hash", "size", "turn").distinct().withColumn("source", F.col("turn"))
     quoted = passages.where("level > 0")
     asked = quoted.select("conv_id", "hash", "size", "turn", "message", "level", "run", "whole")
     both = own.unionByName(asked, allowMissingColumns=True)
     earlier = Window.partitionBy("conv_id", "hash", "size").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     linked = both.withColumn("origin", F.max("source").over(earlier)).where("message is not null")
-    # a passage found whole stands before single lines, then the longest total, then the latest
-    votes = linked.where("origin is not null and level = 1").groupBy("message", "origin").agg(F.max("whole").alias("whole"), F.sum("size").alias("size"))
-    parents = votes.groupBy("message").agg(F.max(F.struct("whole", "size", "origin")).alias("best")).select("message", F.col("best.origin").alias("parent_turn"))
+    # a passage found whole stands before single lines, then the longest total, then the same of short ones, then the latest
+    long = F.col("size") >= MIN_LINE
+    votes = linked.where("origin is not null and level = 1").groupBy("message", "origin").agg(
+        F.max(F.when(long, F.col("whole")).otherwise(0)).alias("long_whole"), F.sum(F.when(long, F.col("size")).otherwise(0)).alias("long_size"), F.max("whole").alias("whole"), F.sum("size").alias("size")
+    )
+    parents = votes.groupBy("message").agg(F.max(F.struct("long_whole", "long_size", "whole", "size", "origin")).alias("best")).select("message", F.col("best.origin").alias("parent_turn"))
     counts = linked.groupBy("message").agg(F.count_distinct("run").alias("n_quotes"), F.count_distinct(F.when(F.col("origin").isNotNull(), F.col("run"))).alias("n_linked"))
     bodies = lines.where("level = 0 and not attribution").groupBy("message").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("body"))
     out = messages.drop("text").join(parents, "message", "left").join(counts, "message", "left").join(bodies, "message", "left")
