@@ -5,7 +5,9 @@ tree becomes lines: blocks are set apart, list items have bullets or numbers and
 indented by depth, the cells of a table are padded to common column widths,
 preformatted text keeps its blanks, and everything else is collapsed as a browser
 would.  Invisible parts are left out: scripts, styles, heads, templates, comments,
-elements with ``hidden``, or with a style of display:none or visibility:hidden.
+elements with ``hidden`` or a style of display:none, and the metadata and definitions of
+inline SVG and MathML, whose text shows otherwise.  Visibility is inherited: what an element with
+visibility:hidden holds is left out, but for descendants with visibility:visible.
 
 Each page is rendered by itself in its task; nothing is shuffled.  Tree and text take
 memory in proportion to one page, and no step recurses.
@@ -29,8 +31,12 @@ from .words import slices_of_bytes
 # Element names and rules of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "noembed", "noframes", "xmp"}
-UNSEEN = {"head", "script", "style", "title", "noscript", "template", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas", "svg", "math"}
+UNSEEN = {"head", "script", "style", "title", "noscript", "template", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas"}
+#: Not shown inside svg and math.
+FOREIGN_UNSEEN = {"annotation", "annotation-xml", "desc", "defs", "metadata", "symbol", "clippath", "mask", "marker", "pattern"}
 TIGHT = {"div", "li", "dt", "dd", "tr", "option", "legend", "summary", "figcaption", "caption", "address", "center", "optgroup"}
+#: Blocks inside svg and math.
+FOREIGN_TIGHT = {"text", "foreignobject", "mtr"}
 LOOSE = {
     "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "pre", "blockquote", "section", "article", "header", "footer",
     "nav", "aside", "main", "form", "fieldset", "figure", "details", "hr", "body", "html", "menu", "dir", "xmp",
@@ -50,7 +56,8 @@ SCOPE = {"table", "td", "th", "caption", "html", "object", "button", "template"}
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
+_HIDING = re.compile(r"display\s*:\s*none")
+_VISIBILITY = re.compile(r"(?<![-\w])visibility\s*:\s*(hidden|collapse|visible|initial)")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -67,13 +74,34 @@ class Node:
         return None
 
     def hidden(self) -> bool:
-        if self.tag in UNSEEN:
+        if self.tag in UNSEEN or (self.tag in FOREIGN_UNSEEN and self.foreign()):
             return True
         a = self.attributes.lower()
-        if "hidden" in a or "none" in a or "collapse" in a:
-            return self.attribute("hidden") is not None or bool(_HIDING.search((self.attribute("style") or "").lower())) or (self.tag == "input" and self.attribute("type") == "hidden")
+        if "hidden" in a or "none" in a:
+            if self.attribute("hidden") is not None or bool(_HIDING.search((self.attribute("style") or "").lower())) or (self.tag == "input" and self.attribute("type") == "hidden"):
+                return True
+            return self.attribute("display") == "none" and self.foreign()
         return False
 
+    def foreign(self) -> bool:
+        """Whether the element is svg or math or lies in one."""
+        node = self
+        while node is not None and node.tag != "foreignobject":
+            if node.tag in ("svg", "math"):
+                return True
+            node = node.parent
+        return False
+
+    def visible(self, inherited: bool) -> bool:
+        if self.tag == "mphantom":
+            return False
+        if "visibility" in self.attributes.lower():
+            found = _VISIBILITY.findall((self.attribute("style") or "").lower())
+            if not found and self.attribute("visibility") and self.foreign():
+                found = [v for v in [self.attribute("visibility").lower()] if v in ("hidden", "collapse", "visible")]
+            return found[-1] in ("visible", "initial") if found else inherited
+        return inherited
+
 
 def parse(page: str) -> Node:
     """The page's tree; text is kept in the children as strings."""
@@ -109,15 +137,15 @@ def parse(page: str) -> Node:
             close({"p"}, SCOPE)
         node = Node(tag, m[3] or "", open_)
         open_.children.append(node)
-        if tag in RAW:
+        if tag in RAW and not ((m[3] or "").endswith("/") and node.foreign()):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             body, at = page[at : end.start() if end else len(page)], end.end() if end else len(page)
             if tag not in UNSEEN:
                 node.children.append(html.unescape(body) if tag == "textarea" else body)
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             open_ = node
-        elif (m[3] or "").endswith("/") and tag not in VOID:
-            open_ = node  # HTML has no self-closing elements
+        elif (m[3] or "").endswith("/") and tag not in VOID and not node.foreign():
+            open_ = node  # HTML has no self-closing elements, SVG and MathML have
     if at < len(page):
         open_.children.append(html.unescape(page[at:]))
     return root
@@ -196,17 +224,18 @@ def aligned(rows: list[list[str]]) -> str:
 def render(root: Node) -> str:
     """The tree's visible text, by an explicit walk: frames hold the lines of the page, of cells and of tables."""
     lines, frames, rows_of = Lines(), [], []
-    stack: list[tuple] = [("in", root, 0, False)]
+    stack: list[tuple] = [("in", root, 0, False, True)]
     counters: list[int | None] = []
     while stack:
-        what, node, indent, pre = stack.pop()
+        what, node, indent, pre, seen = stack.pop()
         if what == "in":
             if isinstance(node, str):
-                lines.text(node, pre, indent)
+                if seen:
+                    lines.text(node, pre, indent)
                 continue
             if node.hidden():
                 continue
-            tag = node.tag
+            tag, seen = node.tag, node.visible(seen)
             if tag == "br":
                 if lines.line.strip():
                     lines.need(1)
@@ -214,13 +243,15 @@ def render(root: Node) -> str:
                     lines.need(2)
                 continue
             if tag == "img":
-                if alt := node.attribute("alt"):
+                if seen and (alt := node.attribute("alt")):
                     lines.text(alt, False, indent)
                 continue
             in_list = indent
+            if tag == "mtd" and seen and node.foreign():
+                lines.text(" ", False, indent)
             if tag in LOOSE:
                 lines.need(1 if tag in ("ul", "ol", "menu", "dir") and counters else 2)
-            elif tag in TIGHT:
+            elif tag in TIGHT or (tag in FOREIGN_TIGHT and node.foreign()):
                 lines.need(1)
             if tag in ("ul", "ol", "menu", "dir"):
                 start = node.attribute("start") if tag == "ol" else None
@@ -228,8 +259,9 @@ def render(root: Node) -> str:
             elif tag == "li":
                 if counters and counters[-1] is not None:
                     counters[-1] += 1
-                lines.mark = f"{counters[-1]}. " if counters and counters[-1] is not None else "- "
-                in_list = indent + len(lines.mark)
+                mark = f"{counters[-1]}. " if counters and counters[-1] is not None else "- "
+                lines.mark = mark if seen else ""
+                in_list = indent + len(mark)
             elif tag in ("blockquote", "dd"):
                 in_list = indent + 2
             elif tag == "table":
@@ -242,9 +274,9 @@ def render(root: Node) -> str:
                 frames.append(lines)
                 lines = Lines()
                 in_list = 0
-            stack.append(("out", node, indent, pre))
+            stack.append(("out", node, indent, pre, seen))
             inner = pre or tag in ("pre", "xmp", "textarea")
-            stack.extend(("in", child, in_list, inner) for child in reversed(node.children))
+            stack.extend(("in", child, in_list, inner, seen) for child in reversed(node.children))
             continue
         tag = node.tag
         if tag in ("ul", "ol", "menu", "dir") and counters:
@@ -265,7 +297,9 @@ def render(root: Node) -> str:
             lines.need(2)
         elif tag in LOOSE:
             lines.need(2)
-        elif tag in TIGHT:
+        elif tag == "tr" and rows_of and not seen and rows_of[-1] and not any(rows_of[-1][-1]):
+            rows_of[-1].pop()  # nothing in it shows
+        elif tag in TIGHT or (tag in FOREIGN_TIGHT and node.foreign()):
             lines.need(1)
             lines.mark = "" if tag == "li" else lines.mark
     return lines.finish()
