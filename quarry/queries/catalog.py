@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog as C
+from ..session import scratch_path
 from ..sources import tables as S
 from . import query, table
 from .parsers import frame, values
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}/{name}"
-
-
 # ---- scans and keys --------------------------------------------------------------------------------------------
 
 
@@ -99,14 +92,14 @@ def merge_summaries(spark, d):
 
 @query("sink_roundtrip_parquet", "SELECT doc_id, lang, source, n_chars FROM documents")
 def sink_roundtrip_parquet(spark, d):
-    path = scratch(spark, "documents")
+    path = scratch_path(spark, "documents")
     S.write_parquet(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), path)
     return spark.read.parquet(path)
 
 
 @query("sink_roundtrip_jsonl", "SELECT doc_id, text FROM documents")
 def sink_roundtrip_jsonl(spark, d):
-    path = scratch(spark, "documents")
+    path = scratch_path(spark, "documents")
     S.write_json_lines(table(spark, d, "documents").select("doc_id", "text"), path)
     return S.read_json_lines(spark, path, "doc_id long, text string")
 
@@ -114,7 +107,7 @@ def sink_roundtrip_jsonl(spark, d):
 @query("jsonl_dropmalformed", "SELECT item_id AS id, text FROM benchmark WHERE item_id % 2 = 0")
 def jsonl_dropmalformed(spark, d):
     """Every second line is broken, and blank lines stand between."""
-    path = scratch(spark, "lines")
+    path = scratch_path(spark, "lines")
     whole = F.to_json(F.struct(F.col("item_id").alias("id"), "text"))
     lines = table(spark, d, "benchmark").select(F.explode(F.array(F.when(F.col("item_id") % 2 == 0, whole).otherwise(F.concat(F.lit("{"), whole)), F.lit(""))))
     lines.write.text(path)
