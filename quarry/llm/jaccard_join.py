@@ -4,215 +4,262 @@ Documents are sets of word shingles under the Jaccard distance, a metric, and tw
 documents are linked at a distance of at most ``1 - similarity`` (here: r).
 
 First pivots.  Almost all documents lie at distance 1 from any given document, where
-no window of the triangle inequality excludes anything.  So the first pivots
-are one-shingle sets, of which each document has several at less than 1.  In one order
-of all shingles, rarer ones first, documents at a distance of at most r share one
-of the first floor(n (1 - similarity)) + 1 shingles of either, and the smaller one
-has it in a still shorter part; a document's region is that of its first shingle,
-and the other ones are the window over which it is replicated.  Sizes differ by a
-factor of at most 1 / similarity, so a region falls apart into chains of sizes.  The order comes from a count-min row of fixed size that counts every
-shingle of every document; the order decides on cost alone, never on results.
-
-Cells.  Regions overlap heavily.  A region's pivot document is its member with the least
-hash, and all regions with one pivot form its cell, in which a document counts once.
-Cells too large for a task are dealt out as pairs of blocks.
+no window of the triangle inequality excludes anything.  So the first pivots are one-shingle
+sets.  In one order of all shingles, rarer ones first, documents at a distance of at most r
+share one of the first floor(n (1 - similarity)) + 1 shingles of either; a document's region is that of its
+first shingle, and the other ones are the window over which it is replicated.  The order comes from the
+exact number of documents that hold each shingle.  Shingles of one document only come first and have empty
+regions: a document with enough of them is linked with nothing and is done.
+
+Frequencies are counted by request and answer.  A slice of documents sends its distinct shingles, 8 bytes
+each, to the groups of the hash space; a group sends back those that a second document holds,
+with their frequencies; and the slice, put together again, cuts its documents' windows.  What a slice
+holds several times is sent once, with its number, so no common shingle makes a group large.
+
+Cells.  A region's pivot document is its member with the least hash, and all regions with one pivot
+form its cell, in which a document counts once.  Regions also fall apart by size: linked
+documents' sizes differ by a factor of at most 1 / similarity.
 
 Inside a cell the join is recursive: two pivots are chosen far apart, each member goes to the
 nearer one's region and, within a window of 2 r, to the other's too, until a region is
 small or the windows no longer shrink it; then overlaps are counted by a matrix
-product.  Members known to be connected are not compared again.  A cell returns a
-spanning forest of its links, so copies are never expanded into pairs, and
+product.  Members known to be connected are not compared again.  A cell too large for a task
+goes through the same recursion as a round of Spark jobs: blocks of its members are measured against
+common pivots, members within r of a pivot are linked to it, and what is not yet connected falls into
+the pivots' regions with windows of 2 r, which are cells of the next round.  Regions that the windows no
+longer shrink are joined block by block, without the blocks that are connected already.  Cells return a
+spanning forest of their links, so copies are never expanded into pairs, and
 the forests' connected components are the classes.
 
-Documents with equal sets are one member.  Defined cases: a null text or one without words
-has an empty set and no links.  With fewer words than n the whole sequence is the one
-shingle.  A repeated row counts once; rows with one doc_id and different texts are
-told apart, and share the class ids that the doc_id gives.  Rows without doc_id are linked
-like others, under the id -1.  Other columns are not read.
+Exactness rests on hashes: a shingle is its 64-bit hash, of which the sets that cells compare keep 48 bits and the
+group, 53 or more in all; two different shingles of a compared pair agree by chance in one of some 10**10 pairs of documents.
+Documents with equal sets (by size and 128 bits of hash) are one member.
+
+Defined cases: a null text or one without words has an empty set and no links.  With fewer words than n the
+whole sequence is the one shingle.  Rows are told apart by their own number, never by doc_id: rows with one doc_id
+and different texts are one document, whose links are those of all its texts, and rows without doc_id are each a
+document of their own, whose component_id is null where it reaches no doc_id.  A repeated row changes nothing.
+Other columns are not read.  The input should be a table: it is read in the same order if a task is repeated.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import lookup, stored
+from .common import discard, lookup, stored
 from .components import connected_components
-from .words import mix64, shingle_sets, slices_of_bytes
+from .words import distinct_shingles, mix64, slices_of_bytes
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
-#: Buckets of the count-min row, and the parts in which tasks hand it on.
-SKETCH_BITS, SKETCH_PARTS = 22, 64
-#: A shingle whose counted rows exceed this is dealt over several tasks.
-ROWS_A_SHARE = 20_000
-#: Shingles of the members that one task may hold at once, and members too.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 1_500_000, 3000
+#: Characters of text for which there is one group of the hash space, and the most groups.
+GROUP_CHARACTERS, MOST_GROUPS = 1 << 24, 1 << 15
+#: A slice has about so many characters and at most so many documents (numbered by two bytes).
+SLICE_CHARACTERS, SLICE_DOCUMENTS = 1 << 21, 1 << 16
+#: Members and their shingles that one task of a cell may hold; larger cells go through rounds.
+CELL_MEMBERS, CELL_SHINGLES = 512, 1_500_000
+#: Pivots of a large cell, on average, and rounds after which its regions are joined block by block.
+PIVOTS, ROUNDS = 16, 8
 #: Regions of up to this many members are joined by one matrix product.
-LEAF_MEMBERS = 256
+LEAF_MEMBERS = 12
 _FIRST = np.uint64(0x5851F42D4C957F2D)
+_LOW = np.uint64((1 << 48) - 1)
 
 
-# ---- the order of shingles -------------------------------------------------------------------------------------
+# ---- shingle frequencies and windows ---------------------------------------------------------------------------
 
 
-def shingle_counts(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """How many documents hold shingles of each of 2**SKETCH_BITS buckets: an upper bound of each shingle's count."""
-    width = 1 << SKETCH_BITS
-    part = width // SKETCH_PARTS
+def _packed(hashes: np.ndarray) -> bytes:
+    """The low 48 bits of each."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, dtype=np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices_of_bytes(texts):
-                every = np.concatenate([*shingle_sets(texts[a:b], n), np.zeros(0, np.uint64)])
-                total += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=width)
-        if total.any():
-            narrow = "<u1" if total.max() < 256 else "<u4"
-            parts = [zlib.compress(total[i * part : (i + 1) * part].astype(narrow).tobytes(), 1) for i in range(SKETCH_PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(part, dtype=np.int64)
-        for batch in batches:
-            for counts in batch.column(1):
-                raw = zlib.decompress(counts.as_buffer())
-                total += np.frombuffer(raw, dtype="<u1" if len(raw) == part else "<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()])], names=["part", "counts"])
-
-    rows = docs.select(text).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()  # SKETCH_PARTS rows
-    out = np.zeros(width, dtype=np.uint32)
-    for r in rows:
-        out[r.part * part : (r.part + 1) * part] = np.minimum(np.frombuffer(r.counts, dtype="<i8"), (1 << 32) - 1)
-    return out
 
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
 
-def shingle_table(docs: DataFrame, text: str, n: int, percent: int) -> tuple[DataFrame, object]:
-    """doc_id, n_shingles, the set's 128-bit name (s1, s2) and its window: the shingles whose regions it enters."""
-    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text, n))  # 16 MB whatever the input
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices_of_bytes(texts):
-                sizes, s1, s2, windows, seen = [], [], [], [], set()
-                for shingles in shingle_sets(texts[a:b], n):
-                    sizes.append(len(shingles))
-                    name = (int(mix64(shingles).sum(dtype=np.uint64).view(np.int64)), int(mix64(shingles ^ _FIRST).sum(dtype=np.uint64).view(np.int64)))
-                    s1.append(name[0])
-                    s2.append(name[1])
-                    if not len(shingles) or name in seen:  # an equal set in this batch enters the regions for it
-                        windows.append([])
-                        continue
-                    seen.add(name)
-                    reach = len(shingles) * (100 - percent) // 100 + 1
-                    rank = counts.value[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    windows.append(shingles[np.lexsort((shingles, rank))[:reach]].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(windows, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "s1", "s2", "window"],
-                )
-
-    table = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), text).mapInArrow(describe, "doc_id long, n_shingles long, s1 long, s2 long, window array<long>")
-    return stored(table, "shingles"), counts
+_MESSAGE = "part int, slice long, own boolean, a binary, b binary, c binary, d binary"
+_NAMES = ["part", "slice", "own", "a", "b", "c", "d"]
 
 
-# ---- regions and cells -----------------------------------------------------------------------------------------
+def _message(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=_NAMES)
 
 
-def _partners(shingle, doc, code, percent, state):
-    """Which rows, sorted by (shingle, size), have a partner of a fitting size and place; and their chains of sizes.
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
-    Of two linked sets the smaller one holds a shared shingle in the first part of its window
-    (flag 1 in ``code``, size * 2 + flag), and the larger has at most 100 / percent times its size.  The last row
-    waits in ``state`` for the next batch.
-    """
-    if state is not None:
-        shingle, doc, code = (np.concatenate((state[k], x)) for k, x in zip(("shingle", "doc", "code"), (shingle, doc, code), strict=True))
-    size, early = code >> 1, (code & 1) == 1
-    n = len(size)
-    new = np.ones(n, dtype=bool)
-    new[1:] = shingle[1:] != shingle[:-1]
-    far = np.ones(n, dtype=bool)
-    far[1:] = 100 * size[:-1] < percent * size[1:]
-    carried = state is not None
-    begins = new | far
-    places = np.arange(n)
-    chain_at = np.maximum.accumulate(np.where(begins, places, 0))
-    chain = size[chain_at]
-    early_at = np.maximum.accumulate(np.where(early, places, -1))
-    before = np.concatenate(([-1], early_at[:-1]))  # the last early row ahead of each row
-    first = np.maximum.accumulate(np.where(new, places, 0))
-    known = before >= first
-    smaller = np.where(known, size[np.maximum(before, 0)], 0)
-    if carried:  # rows of the first shingle also see what the batches before held
-        head = first == 0
-        smaller = np.where(head & ~known, state["smaller"] if not early[0] else size[0], smaller)
-        smaller[0] = state["smaller"]
-        chain = np.where(chain_at == 0, state["chain"], chain)
-    has_smaller = (smaller > 0) & (100 * smaller >= percent * size)
-    has_larger = np.zeros(n, dtype=bool)
-    has_larger[:-1] = early[:-1] & ~new[1:] & ~far[1:]
-    keep = has_smaller | has_larger
-    last = {"shingle": shingle[-1:], "doc": doc[-1:], "code": code[-1:], "smaller": int(smaller[-1]), "chain": int(chain[-1])}
-    return shingle, doc, chain, keep, last
-
-
-def shared_regions(table: DataFrame, counts, percent: int) -> DataFrame:
-    """(region, doc_id) for each shingle and chain of sizes that rows of different documents may meet in."""
-    typical = int(np.median(counts.value))
-
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bound = counts.value[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            share = 1 + np.maximum(0, bound.astype(np.int64) - 2 * typical) // ROWS_A_SHARE
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share.astype(np.int32))], names=["shingle", "doc_id", "code", "shares"])
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(shingle, chain, doc, keep):
-            region = mix64(shingle.view(np.uint64) + chain.astype(np.uint64)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(region[keep]), pa.array(doc[keep])], names=["region", "doc_id"])
+def requests(docs: DataFrame, text: str, n: int, groups: int) -> DataFrame:
+    """Messages of the slices: to each group, shingles of one document (a) with its number (b), and shingles of several (c)
+    with how many (d).  A slice's own message has its rows (a), set sizes (b), and for its shingles of several documents how many (c) and which (d)."""
 
-        state = None
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            rows = batch.select([0, 1, 2])
+            for begin, end in slices_of_bytes(texts, SLICE_CHARACTERS):
+                for a in range(begin, end, SLICE_DOCUMENTS):
+                    b = min(end, a + SLICE_DOCUMENTS)
+                    h, owner = distinct_shingles(texts[a:b], n)
+                    sizes = np.bincount(owner, minlength=b - a)
+                    first = _runs(h)
+                    several = np.diff(np.append(first, len(h)))
+                    alone = first[several == 1]
+                    shared, many = h[first[several > 1]], several[several > 1]
+                    part = (h[alone] >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+                    part2 = (shared >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+                    edges, edges2 = (np.searchsorted(p, np.arange(groups + 1, dtype=np.uint64)) for p in (part, part2))
+                    h1, who, how_many = _packed(h[alone]), owner[alone].astype("<u2"), many.astype("<u4")
+                    h2 = _packed(shared)
+                    out = []
+                    for p in range(groups):
+                        i, j, k, m = edges[p], edges[p + 1], edges2[p], edges2[p + 1]
+                        if i < j or k < m:
+                            out.append((p, number, False, h1[6 * i : 6 * j], who[i:j].tobytes(), h2[6 * k : 6 * m], how_many[k:m].tobytes()))
+                    those = np.ones(len(h), dtype=bool)
+                    those[alone] = False
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, rows.schema) as writer:
+                        writer.write_batch(rows.slice(a, b - a))
+                    home = int(mix64(np.array([number], np.uint64))[0] % np.uint64(groups))
+                    out.append((home, number, True, sink.getvalue().to_pybytes(), sizes.astype("<u4").tobytes(), how_many.tobytes(), owner[those].astype("<u2").tobytes()))
+                    yield _message(out)
+                    number += 1
+
+    keys = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text, F.length(text)).alias("t2")]
+    return docs.select("doc_id", *keys, text).mapInArrow(send, _MESSAGE)
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """Messages to the slices: their shingles that a second document holds (a), with its number (b) and the class of their
+    frequency (c); the shingles of several documents (a without b) come as a message of their own."""
+
+    def answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices, who, hashes, weights, kinds = [], [], [], [], []
         for batch in batches:
-            if not len(batch):
+            for part, number, own, a, b, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if own:
+                    yield _message([(part, number, own, a, b, c, d)])
+                    continue
+                for raw, extra in ((a, b), (c, None)):
+                    if raw:
+                        found = _unpacked(raw)
+                        slices.append(number)
+                        who.append(extra)
+                        hashes.append(found)
+                        weights.append(np.ones(len(found), np.int64) if extra is not None else np.frombuffer(d, "<u4").astype(np.int64))
+        if not hashes:
+            return
+        every, weight = np.concatenate(hashes), np.concatenate(weights)
+        order = np.argsort(every)
+        first = _runs(every[order])
+        total = np.add.reduceat(weight[order], first)
+        frequency = np.empty(len(every), dtype=np.int64)
+        frequency[order] = np.repeat(total, np.diff(np.append(first, len(every))))
+        level = np.minimum(255, np.round(8 * np.log2(frequency))).astype(np.uint8)
+        part, at, out = key[0].as_py(), 0, []
+        for number, numbers, found in zip(slices, who, hashes, strict=True):
+            here = slice(at, at + len(found))
+            at += len(found)
+            keep = frequency[here] > 1
+            if keep.any():
+                out.append((part, number, False, _packed(found[keep]), None if numbers is None else np.frombuffer(numbers, "<u2")[keep].tobytes(), level[here][keep].tobytes(), None))
+            if len(out) >= 1000:
+                yield _message(out)
+                out = []
+        if out:
+            yield _message(out)
+
+    return asked.groupBy("part").applyInArrow(answer, _MESSAGE)
+
+
+_SETS = "row long, doc_id long, t1 long, t2 long, n_shingles int, s1 long, s2 long, early int, window array<long>, held int, shared binary"
+
+
+def shingle_sets(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+    """One row per row of ``docs``: row (a number), doc_id, t1 and t2 (the text's hash), n_shingles; and where links are possible
+    the set's name (s1, s2), its window of shingles, how many of these are early, and the ``held`` shingles that other documents hold too."""
+    characters = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = min(MOST_GROUPS, max(4 * partitions, characters // GROUP_CHARACTERS))
+
+    def cut(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, own, found = key[0].as_py(), None, []
+        for batch in batches:
+            for part, _, is_own, a, b, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if is_own:
+                    own = (a, b, c, d)
+                else:
+                    found.append((part, b is None, _unpacked(a) | np.uint64(part << 48), b, c))
+        rows = pa.ipc.open_stream(own[0]).read_all()
+        sizes = np.frombuffer(own[1], "<u4").astype(np.int64)
+        found.sort(key=lambda x: x[:2])
+        none = np.zeros(0, np.uint64)
+        alone = [x for x in found if not x[1]]
+        several = [x for x in found if x[1]]
+        how_many = np.frombuffer(own[2], "<u4").astype(np.int64)
+        keys = np.concatenate([none, *(x[2] for x in alone), np.repeat(np.concatenate([none, *(x[2] for x in several)]), how_many)])
+        owner = np.concatenate([np.frombuffer(x[3], "<u2") for x in alone] + [np.frombuffer(own[3], "<u2")]).astype(np.int64)
+        level = np.frombuffer(b"".join(x[4] for x in alone), np.uint8), np.repeat(np.frombuffer(b"".join(x[4] for x in several), np.uint8), how_many)
+        order = np.lexsort((keys, np.concatenate(level), owner))
+        keys = keys[order]
+        shared = np.bincount(owner, minlength=len(sizes))
+        stops = np.cumsum(shared)
+        unique = sizes - shared
+        reach = np.where(sizes > 0, sizes * (100 - percent) // 100 + 1, 0)
+        within = np.maximum(reach - unique, 0)
+        early = np.clip(sizes * (100 - percent) // (100 + percent) + 1 - unique, 0, within)
+        s1, s2, windows, sets = [], [], [], []
+        for d in range(len(sizes)):
+            if not within[d]:
+                s1.append(None), s2.append(None), windows.append(None), sets.append(None)
                 continue
-            split = batch.column(3).to_numpy() > 1
-            shingle, doc, chain, keep, last = _partners(*(batch.column(k).to_numpy() for k in range(3)), percent, state)
-            if state is not None:  # the row that waited is in front
-                split = np.concatenate((state["split"], split))
-            if split.any():  # a dealt shingle's partners may lie in other tasks: all of its rows stay, in one chain
-                keep, chain = keep | split, np.where(split, 0, chain)
-            state = last | {"split": split[-1:]}
-            yield rows(shingle[:-1], chain[:-1], doc[:-1], keep[:-1])
-            final = rows(shingle[-1:], chain[-1:], doc[-1:], keep[-1:])
-        if state is not None:
-            yield final
-
-    place = F.floor(F.col("n_shingles") * (100 - percent) / (100 + percent))
-    early = (F.col("pos") <= place).cast("int")
-    rows = table.select("doc_id", "n_shingles", F.posexplode("window").alias("pos", "shingle"))
-    rows = rows.select("shingle", "doc_id", (F.col("n_shingles").cast("int") * 2 + early).alias("code"))
-    rows = rows.mapInArrow(shares, "shingle long, doc_id long, code int, shares int")
-    rows = rows.repartition("shingle", F.pmod(F.xxhash64("doc_id"), F.col("shares"))).sortWithinPartitions("shingle", "code")
-    return stored(rows.mapInArrow(runs, "region long, doc_id long"), "regions")
-
-
-def cells(regions: DataFrame, members: DataFrame) -> DataFrame:
-    """(pivot, member) for the pivots' cells; members: doc_id, member (the smallest doc_id with its set)."""
-    inside = lookup(regions, members, ["doc_id"], ["member"], "rows", F.col("region")).select("region", "member")
-    inside = stored(inside.distinct(), "inside")
+            mine = keys[stops[d] - shared[d] : stops[d]]
+            windows.append(mine[: within[d]].view(np.int64))
+            mine = np.sort(mine)
+            sets.append(mine.tobytes())
+            # sets with shingles of their own are like no other, and are named by their row
+            name = (mix64(mine).sum(dtype=np.uint64), mix64(mine ^ _FIRST).sum(dtype=np.uint64)) if not unique[d] else (np.uint64(number), np.uint64(d))
+            s1.append(int(name[0].view(np.int64))), s2.append(int(name[1].view(np.int64)))
+        row = (np.int64(number) << 16) + np.arange(len(sizes))
+        columns = [row, *rows.columns, sizes, s1, s2, early, windows, shared, sets]
+        kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _SETS.split(", ")])
+
+    asked = requests(docs, text, n, groups)
+    return stored(answers(asked).groupBy("slice").applyInArrow(cut, _SETS), "sets")
+
+
+# ---- regions and cells -----------------------------------------------------------------------------------------
+
+
+def cells(members: DataFrame, percent: int) -> DataFrame:
+    """(cell, member): for each pivot document the members of its regions; members: member, n_shingles, early, window."""
+    # sizes fall into bands of a factor of two; those near enough to the next band's least also go there
+    band = F.floor(F.log2("n_shingles")).cast("int")
+    next_ = F.floor(F.log2(F.col("n_shingles") * 100 / F.lit(percent) + 1)).cast("int")
+    rows = members.select("member", "early", F.sequence(band, next_).alias("bands"), F.posexplode("window").alias("at", "shingle"))
+    rows = rows.select("member", (F.col("at") < F.col("early")).alias("is_early"), "shingle", F.explode("bands").alias("band"))
+    rows = rows.select("member", "is_early", F.xxhash64("shingle", "band").alias("region"))
     by_hash = F.struct(F.xxhash64("member").alias("hash"), "member")
-    heads = inside.groupBy("region").agg(F.min(by_hash).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("region", "head.member", "rows").withColumnRenamed("member", "pivot")
-    celled = lookup(inside, heads, ["region"], ["pivot"], "rows", F.col("member")).where("pivot is not null")
-    return stored(celled.select("pivot", "member").distinct(), "cells")
+    heads = rows.groupBy("region").agg(F.min(by_hash).alias("head"), F.count(F.lit(1)).alias("rows"), F.max("is_early").alias("has_early"))
+    # of two linked sets the smaller one holds a shared shingle early
+    heads = heads.where("rows > 1 and has_early").select("region", F.col("head.member").alias("cell"), "rows")
+    found = lookup(rows.select("region", "member"), heads, ["region"], ["cell"], "rows", F.col("member")).where("cell is not null")
+    return stored(found.select("cell", "member").distinct(), "cells")
 
 
 # ---- the join inside a cell ------------------------------------------------------------------------------------
@@ -248,10 +295,15 @@ class _Forest:
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets ``left`` (rows) and ``right`` (columns), by matrix products over the shingles they share."""
     a, b = np.concatenate([sets[i] for i in left]), np.concatenate([sets[i] for i in right])
+    sizes = np.array([len(sets[i]) for i in right])
+    if len(left) == 1:  # the pivot's set is sorted
+        at = np.minimum(np.searchsorted(a, b), max(len(a) - 1, 0))
+        inside = a[at] == b if len(a) else np.zeros(len(b), dtype=bool)
+        return np.bincount(np.repeat(np.arange(len(right)), sizes), inside, len(right))[None, :].astype(np.float32)
     vocabulary = np.intersect1d(a, b)
     out = np.zeros((len(left), len(right)), dtype=np.float32)
     row_a = np.repeat(np.arange(len(left)), [len(sets[i]) for i in left])
-    row_b = np.repeat(np.arange(len(right)), [len(sets[i]) for i in right])
+    row_b = np.repeat(np.arange(len(right)), sizes)
     if not len(vocabulary):
         return out
     at_a, at_b = np.searchsorted(vocabulary, a), np.searchsorted(vocabulary, b)
@@ -269,20 +321,25 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return out
 
 
-def join_cell(sets: list[np.ndarray], percent: int, leaf: int = LEAF_MEMBERS) -> np.ndarray:
-    """For each set the least index of its class, where sets with a Jaccard similarity of percent / 100 or more are linked."""
+def join_cell(sets: list[np.ndarray], sizes: np.ndarray, percent: int, leaf: int = LEAF_MEMBERS, known: np.ndarray | None = None) -> np.ndarray:
+    """For each set the least index of its class, where sets with a Jaccard similarity of percent / 100 or more are linked.
+
+    ``sets`` may leave out shingles that no other set has; ``sizes`` counts them.  Sets with one ``known`` class are connected already.
+    """
     n = len(sets)
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     forest = _Forest(n)
     radius = (100 - percent) / 100
+    if known is not None:
+        _, first, at = np.unique(known, return_index=True, return_inverse=True)
+        forest.join(first[at], np.arange(n))
 
     def linked(left: np.ndarray, right: np.ndarray, overlap: np.ndarray) -> np.ndarray:
         inter = overlap.astype(np.int64)
         return 100 * inter >= percent * (sizes[left][:, None] + sizes[right][None, :] - inter)
 
-    def distances(pivot: int, members: np.ndarray) -> np.ndarray:
-        inter = _overlaps(sets, np.array([pivot]), members)[0]
-        return 1 - inter / np.maximum(sizes[pivot] + sizes[members] - inter, 1)
+    def distances(pivot: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inter = _overlaps(sets, np.array([pivot]), members)
+        return 1 - inter[0] / np.maximum(sizes[pivot] + sizes[members] - inter[0], 1), linked(np.array([pivot]), members, inter)[0]
 
     def compare(left: np.ndarray, right: np.ndarray) -> None:
         found = linked(left, right, _overlaps(sets, left, right))
@@ -292,7 +349,8 @@ def join_cell(sets: list[np.ndarray], percent: int, leaf: int = LEAF_MEMBERS) ->
         forest.join(left[i][open_], right[j][open_])
 
     def dense(members: np.ndarray) -> None:
-        blocks = [members[i : i + leaf] for i in range(0, len(members), leaf)]
+        width = max(leaf, 256)
+        blocks = [members[i : i + width] for i in range(0, len(members), width)]
         for i, left in enumerate(blocks):
             for right in blocks[i:]:
                 roots = forest.roots()
@@ -305,15 +363,12 @@ def join_cell(sets: list[np.ndarray], percent: int, leaf: int = LEAF_MEMBERS) ->
             return
         if len(members) <= leaf or depth > 20:
             return dense(members)
-        first = distances(members[0], members)
-        near = members[first <= radius + 1e-9]  # candidates for links to the pivot; compare() decides exactly
-        if len(near) > 1:
-            compare(members[:1], near)
+        near = members[0]
+        first, hit = distances(near, members)
+        forest.join(np.full(hit.sum(), near), members[hit])
         far = members[int(first.argmax())]
-        second = distances(far, members)
-        near = members[second <= radius + 1e-9]
-        if len(near) > 1:
-            compare(np.array([far]), near)
+        second, hit = distances(far, members)
+        forest.join(np.full(hit.sum(), far), members[hit])
         window = 2 * radius + 1e-6
         parts = [members[first <= second + window], members[second <= first + window]]
         if max(map(len, parts)) > 0.8 * len(members):
@@ -325,95 +380,205 @@ def join_cell(sets: list[np.ndarray], percent: int, leaf: int = LEAF_MEMBERS) ->
     return forest.roots()
 
 
-def cell_links(cell_rows: DataFrame, docs: DataFrame, text: str, n: int, percent: int, weights: DataFrame) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the links within each cell."""
-    sized = lookup(cell_rows, weights, ["member"], ["n_shingles"], "rows", F.col("pivot"))
-    cell_size = sized.groupBy("pivot").agg(F.sum("n_shingles").alias("held"), F.count(F.lit(1)).alias("members"))
-    blocks = F.ceil(F.greatest(F.col("held") / F.lit(BLOCK_SHINGLES), F.col("members") / F.lit(BLOCK_MEMBERS))).cast("int")
-    cell_size = cell_size.select("pivot", blocks.alias("blocks"), F.col("members").alias("rows"))
-    dealt = lookup(sized, cell_size, ["pivot"], ["blocks"], "rows", F.col("member"))
-    block = F.pmod(F.xxhash64("member", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("block", block)
-    # every two blocks of a cell meet: block b is sent to the tasks (b, j) and (i, b); one block, to (0, 0) alone
-    meets = F.expr("transform(sequence(0, blocks - 1), j -> struct(least(block, j) as i, greatest(block, j) as j))")
-    dealt = dealt.select("pivot", "member", F.explode(meets).alias("meet")).select("pivot", "member", "meet.i", "meet.j")
-    dealt = stored(dealt, "dealt")
-    wanted = dealt.select(F.col("member").alias("doc_id")).distinct()
-    bodies = text_of(docs, text, wanted, n)
-    with_text = dealt.join(bodies, dealt["member"] == bodies["doc_id"]).select("pivot", "i", "j", "member", "body")
-
-    def join(rows):
-        members: list[int] = []
-        sets: list[np.ndarray] = []
-        for batch in rows:
-            members += batch.column("member").to_pylist()
-            packed = batch.column("body").to_pylist()
-            for begin in range(0, len(packed), 64):
-                texts = [zlib.decompress(t).decode("utf-8", "surrogatepass") for t in packed[begin : begin + 64]]
-                for a, b in slices_of_bytes(texts):
-                    sets += list(shingle_sets(texts[a:b], n))
-        order = np.argsort(members)
-        members_ = np.array(members)[order]
-        roots = join_cell([sets[i] for i in order], percent)
-        linked = roots != np.arange(len(roots))
-        return members_[linked], members_[roots[linked]]
+def _members_of(rows: Iterator[pa.RecordBatch]) -> tuple[pa.Table | None, list[np.ndarray], np.ndarray]:
+    """The rows of a group, their sets and sizes."""
+    batches = list(rows)
+    if not batches:
+        return None, [], np.zeros(0, np.int64)
+    table = pa.Table.from_batches(batches)
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shared").to_pylist()]
+    return table, sets, table.column("n_shingles").to_numpy().astype(np.int64)
+
+
+def _joined(percent: int):
+    """The function of a group of members that gives the links (a, b) of a spanning forest."""
 
     def cell(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = join(batches)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        table, sets, sizes = _members_of(batches)
+        members = table.column("member").to_numpy()
+        known = table.column("class").to_numpy() if "class" in table.column_names else None
+        roots = join_cell(sets, sizes, percent, known=known)
+        linked = roots != np.arange(len(members))
+        if known is not None:  # one link for each class that was connected before
+            first = np.zeros(len(members), dtype=bool)
+            first[np.unique(known, return_index=True)[1]] = True
+            linked &= first
+        yield pa.RecordBatch.from_arrays([pa.array(members[linked], pa.int64()), pa.array(members[roots[linked]], pa.int64())], names=["a", "b"])
 
-    return stored(with_text.groupBy("pivot", "i", "j").applyInArrow(cell, "a long, b long"), "links")
+    return cell
 
 
-def text_of(docs: DataFrame, text: str, wanted: DataFrame, n: int) -> DataFrame:
-    """doc_id and body (compressed) of the documents in ``wanted``; a Bloom filter of fixed size keeps most other texts out of the shuffle."""
-    bits = 1 << 24
-    hashed = [F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(bits)) for s in (11, 12, 13)]
-    places = wanted.select(F.explode(F.array(*hashed)).alias("bit")).distinct()
-    words = places.groupBy((F.col("bit") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
-    table = np.zeros(bits // 64, dtype=np.int64)
-    for r in words.toLocalIterator():  # 2 MB at most
-        table[r.word] = r.bits
-    bloom = docs.sparkSession.sparkContext.broadcast(table)
+_LINKS = "a long, b long"
 
-    def may_hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(len(batch), dtype=bool)
-            for c in range(2, 5):
-                bit = batch.column(c).to_numpy()
-                keep &= (bloom.value[bit // 64].view(np.uint64) >> (bit % 64).astype(np.uint64) & np.uint64(1)) == 1
-            kept = batch.select([0, 1]).filter(pa.array(keep))
-            packed = [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in kept.column(1).to_pylist()]  # it travels twice
-            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(packed, pa.binary())], names=["doc_id", "body"])
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col(text).alias("body"))
-    rows = rows.select("doc_id", "body", *(h.alias(f"h{i}") for i, h in enumerate(hashed)))
-    rows = rows.mapInArrow(may_hold, "doc_id long, body binary")
-    return rows.join(wanted, "doc_id", "left_semi")
+def small_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within cells that a task can hold."""
+    return rows.select("cell", "member").join(sets, "member").select("cell", "member", "n_shingles", "shared").groupBy("cell").applyInArrow(_joined(percent), _LINKS)
+
+
+def round_of_pivots(rows: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """One step of the recursion over large cells (cell, member, class): links to pivots, and the regions that are left as new cells (cell, member, class, was)."""
+    radius = (100 - percent) / 100
+    sized = stored(rows.join(sizes.select("cell", "members", "blocks"), "cell"), "large")  # cells that are joined are few: each has over CELL_MEMBERS rows
+    pivots = sized.where(F.pmod(F.xxhash64("member", F.lit(5)), F.col("members")) < PIVOTS).select("cell", F.col("member").alias("pivot"), "blocks")
+    least = sized.groupBy("cell", "blocks").agg(F.min_by("member", F.xxhash64("member", F.lit(6))).alias("pivot")).select("cell", "pivot", "blocks")
+    pivots = stored(pivots.union(least).distinct(), "pivots")
+    sent = pivots.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("member"), F.lit(True).alias("is_pivot"), F.lit(0).cast("long").alias("class"))
+    block = F.pmod(F.xxhash64("member", F.lit(3)), F.col("blocks")).cast("int")
+    every = sized.select("cell", block.alias("block"), "member", F.lit(False).alias("is_pivot"), "class").unionByName(sent)
+    every = every.join(sets, "member").select("cell", "block", "member", "is_pivot", "class", "n_shingles", "shared")
+
+    def measure(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, sets_, sizes_ = _members_of(batches)
+        flags = np.array(table.column("is_pivot").to_pylist(), dtype=bool)
+        ids, classes = table.column("member").to_numpy(), table.column("class").to_numpy()
+        of = np.flatnonzero(flags)
+        of = of[np.argsort(ids[of])]
+        rest = np.flatnonzero(~flags)
+        inter = _overlaps(sets_, of, rest).astype(np.int64)
+        both = sizes_[of][:, None] + sizes_[rest][None, :] - inter
+        hit = 100 * inter >= percent * both
+        distance = 1 - inter / np.maximum(both, 1)
+        window = distance <= distance.min(axis=0)[None, :] + 2 * radius + 1e-6
+        lists = lambda flags_: pa.array([ids[of][flags_[:, i]] for i in range(len(rest))], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(rest), pa.int64()), pa.array(ids[rest]), pa.array(classes[rest]), lists(hit), lists(window)], names=["cell", "member", "class", "hits", "near"])
+
+    measured = stored(every.groupBy("cell", "block").applyInArrow(measure, "cell long, member long, class long, hits array<long>, near array<long>"), "measured")
+    links = measured.select(F.col("member").alias("a"), F.explode("hits").alias("b")).where("a <> b")
+    # classes of a cell: what the members' known classes and the pivots connect
+    ties = measured.select("cell", F.col("class").alias("node"), F.explode("hits").alias("pivot")).distinct()
+    own = measured.join(pivots.select("cell", F.col("pivot").alias("member")), ["cell", "member"], "left_semi").select("cell", F.col("class").alias("node"), F.col("member").alias("pivot"))
+    nodes = ties.union(own).distinct()
+    # (cell, class) and (cell, pivot) are nodes of a graph of their own; only classes of two or more pivots matter, but all are named
+    named = nodes.select(F.xxhash64("cell", "node", F.lit(1)).alias("a"), F.xxhash64("cell", "pivot", F.lit(2)).alias("b"))
+    found = connected_components(named)
+    merged = measured.select("cell", "member", "class", "near", F.xxhash64("cell", "class", F.lit(1)).alias("node")).join(found, "node", "left")
+    merged = stored(merged.select("cell", "member", F.coalesce("component", "node").alias("class"), "near"), "merged")
+    regions = merged.select("cell", "member", "class", F.explode("near").alias("pivot"))
+    regions = regions.select(F.xxhash64("cell", "pivot").alias("cell"), "member", "class", F.col("cell").alias("was"))
+    several = regions.groupBy("cell").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other")
+    return stored(links, "pivot_links"), stored(regions.join(several.select("cell"), "cell", "left_semi"), "regions")
+
+
+def block_links(rows: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within cells that recursion doesn't shrink: blocks of members outside the largest class meet all blocks."""
+    counted = rows.groupBy("cell", "class").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("cell").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.max("n").alias("n_largest"))
+    dealt = rows.join(largest, "cell").join(sizes.select("cell", "members", "blocks"), "cell")
+    main = F.col("class") == F.col("largest")
+    parts = lambda n: F.ceil(F.col("blocks") * n / F.col("members")).cast("int")
+    others = F.greatest(parts(F.col("members") - F.col("n_largest")), F.lit(1))
+    inner = F.greatest(parts(F.col("n_largest")), F.lit(1))
+    hashed = F.xxhash64("member", F.lit(4))
+    dealt = dealt.select("cell", "member", "class", main.alias("main"), others.alias("others"), inner.alias("inner"), hashed.alias("hash"))
+    block = F.when(F.col("main"), F.col("others") + F.pmod("hash", F.col("inner"))).otherwise(F.pmod("hash", F.col("others"))).cast("int")
+    dealt = dealt.withColumn("block", block)
+    meets = F.expr("transform(sequence(0, if(main, others, others + inner) - 1), j -> struct(least(block, j) as i, greatest(block, j) as j))")
+    dealt = dealt.select("cell", "member", "class", F.explode(meets).alias("meet")).select("cell", "member", "class", "meet.i", "meet.j")
+    return dealt.join(sets, "member").select("cell", "i", "j", "member", "class", "n_shingles", "shared").groupBy("cell", "i", "j").applyInArrow(_joined(percent), _LINKS)
+
+
+def cell_links(cell_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of a spanning forest of the links within all cells; sets: member, n_shingles, held, shared."""
+    links = None
+    rows, depth = cell_rows.withColumn("class", F.col("member")).withColumn("was", F.lit(None).cast("long")), 0
+    before = None  # members of the cells of the last round
+    while True:
+        sizes = rows.join(sets.select("member", "held"), "member").groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.sum("held").alias("shingles"), F.max("was").alias("was"))
+        blocks = F.ceil(F.greatest(F.col("shingles") / F.lit(CELL_SHINGLES), F.col("members") / F.lit(CELL_MEMBERS))).cast("int")
+        sizes = stored(sizes.select("cell", "members", blocks.alias("blocks"), "was"), "sizes")
+        large = sizes.where("blocks > 1")
+        found = small_links(rows.join(sizes.where("blocks = 1 and members > 1"), "cell", "left_semi"), sets, percent)
+        if large.isEmpty():
+            found = stored(found, "links")
+            return found if links is None else links.unionByName(found)
+        if before is not None:
+            stuck = large.join(before, "was").where((F.col("members") > 0.8 * F.col("members_before")) | F.lit(depth >= ROUNDS)).select("cell", "members", "blocks")
+            stuck = stored(stuck, "stuck")
+            found = found.unionByName(block_links(rows.join(stuck, "cell", "left_semi"), stuck, sets, percent))
+            large = large.join(stuck, "cell", "left_anti")
+        found = stored(found, "links")
+        links = found if links is None else links.unionByName(found)
+        large = stored(large, "large_cells")
+        of_pivots, rest = round_of_pivots(rows.join(large, "cell", "left_semi").select("cell", "member", "class"), large, sets, percent)
+        links = links.unionByName(of_pivots)
+        before = large.select(F.col("cell").alias("was"), F.col("members").alias("members_before"))
+        rows, depth = rest, depth + 1
 
 
 # ---- the operator ----------------------------------------------------------------------------------------------
 
 
+def _linked(docs: DataFrame, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (row, doc_id, t1, t2, n_shingles, open), for open ones row and member, and links between members."""
+    table = shingle_sets(docs, text, n, percent)
+    with_window = F.col("shared").isNotNull()
+    rows = table.select("row", "doc_id", "t1", "t2", "n_shingles", with_window.alias("open"))
+    open_ = table.where(with_window)
+    key = ["n_shingles", "s1", "s2"]
+    names = open_.groupBy(*key).agg(F.min("row").alias("member"), F.count(F.lit(1)).alias("rows"))
+    member_of = stored(lookup(open_.select("row", *key), names, key, ["member"], "rows", F.col("row")).select("row", "member"), "members")
+    chosen = member_of.where("row = member").select("member")
+    members = stored(open_.join(chosen, open_["row"] == chosen["member"]).select("member", "n_shingles", "early", "window", "held", "shared"), "members")
+    cell_rows = cells(members, percent)
+    return rows, member_of, cell_links(cell_rows, members.select("member", "n_shingles", "held", "shared"), percent)
+
+
+def _grouped(member_of: DataFrame, edges: DataFrame) -> DataFrame:
+    """(row, component) of the open rows."""
+    found = connected_components(edges).select(F.col("node").alias("member"), "component")
+    sizes = member_of.groupBy("member").agg(F.count(F.lit(1)).alias("rows"))
+    named = lookup(member_of, found.join(sizes, "member"), ["member"], ["component"], "rows", F.col("row"))
+    return named.select("row", F.coalesce("component", "member").alias("component"))
+
+
 def jaccard_classes(docs: DataFrame, text: str = "text", n: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, member (the smallest doc_id with its set), component_id."""
-    table, counts = shingle_table(docs, text, n, percent)
-    sets = table.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("member"), F.count(F.lit(1)).alias("rows"))
-    named = lookup(table.select("doc_id", "n_shingles", "s1", "s2"), sets, ["n_shingles", "s1", "s2"], ["member"], "rows", F.col("doc_id"))
-    named = stored(named.select("doc_id", "n_shingles", F.coalesce("member", "doc_id").alias("member")), "named")
-    once = named.groupBy("doc_id").agg(F.min("member").alias("member"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("rows"))
-    regions = shared_regions(table, counts, percent)
-    cell_rows = cells(regions, once.select("doc_id", "member", "rows"))
-    links = cell_links(cell_rows, docs, text, n, percent, once.select(F.col("doc_id").alias("member"), "n_shingles", "rows"))
-    found = connected_components(links)
-    classes = found.select(F.col("node").alias("member"), "component")
-    sizes = named.groupBy("member").agg(F.count(F.lit(1)).alias("rows"))
-    classes = classes.join(sizes, "member")
-    out = lookup(named, classes, ["member"], ["component"], "rows", F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", "member", F.coalesce("component", "member").alias("component_id"))
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    rows, member_of, links = _linked(docs, text, n, percent)
+    known = rows.where("doc_id is not null")
+    repeated = stored(known.groupBy("doc_id").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "repeated")
+    if not repeated.isEmpty():  # rows of one doc_id are one document
+        tied = lookup(known.select("row", "doc_id"), repeated, ["doc_id"], ["least"], "rows", F.col("row")).where("least is not null")
+        alone = rows.where("not open").select("row", F.col("row").alias("member"))
+        member_of = member_of.unionByName(alone.join(tied.select("row"), "row", "left_semi"))
+        ties = tied.join(member_of, "row").select("least", "member")
+        ties = ties.join(member_of.select(F.col("row").alias("least"), F.col("member").alias("first")), "least").select(F.col("member").alias("a"), F.col("first").alias("b"))
+        links = links.unionByName(ties.distinct())
+        member_of = stored(member_of, "members")
+    grouped = stored(_grouped(member_of, links), "grouped")
+    joined = rows.join(grouped, "row", "left")
+    least = joined.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("component_id is not null")
+    found = lookup(joined.where("component is not null"), least, ["component"], ["component_id"], "rows", F.col("row"))
+    single = joined.where("component is null").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return single.unionByName(found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id"))
+
+
+def text_key(doc_id: str, text: str) -> list[Column]:
+    """What tells documents apart by their contents."""
+    return [F.col(doc_id), F.xxhash64(text), F.xxhash64(F.lit(7), text, F.length(text))]
 
 
 def keep_one_of_near(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their class, with all their columns; texts without words all stay."""
-    kept = jaccard_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("kept_doc_id"), "left_semi")
+    """One row of each class of near copies, that of the smallest doc_id, with all its columns; texts without words all stay.
+
+    Classes are those of links alone, so of two texts with one doc_id each goes by its own.  Rows without doc_id rank last.
+    Repeated rows (doc_id and text) are copies too.
+    """
+    rows, member_of, links = _linked(docs, "text", SHINGLE_WORDS, SIMILARITY_PERCENT)
+    grouped = rows.join(_grouped(member_of, links), "row")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "row")
+    best = grouped.groupBy("component").agg(F.min(rank).alias("best"))
+    kept = best.select("best.doc_id", "best.t1", "best.t2")
+    lost = grouped.select("doc_id", "t1", "t2").distinct().exceptAll(kept)
+    lost = stored(lost, "lost")
+    again = stored(grouped.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "t1", "t2"), "again")
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), *(k.alias(n) for k, n in zip(text_key("doc_id", "text"), ("k0", "k1", "k2"), strict=True)))
+
+    def same(table: DataFrame) -> Column:
+        return F.col("k0").eqNullSafe(table["doc_id"]) & (F.col("k1") == table["t1"]) & (F.col("k2") == table["t2"])
+
+    left = carried.join(lost, same(lost), "left_anti")
+    if not again.isEmpty():
+        once = left.join(again, same(again), "left_semi").groupBy("k0", "k1", "k2").agg(F.any_value("whole").alias("whole"))
+        left = left.join(again, same(again), "left_anti").select("whole").unionByName(once.select("whole"))
+    return left.select("whole.*")

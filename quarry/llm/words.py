@@ -5,6 +5,7 @@ at a time; memory is a small multiple of the batch's bytes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,9 @@ SEPARATORS = {
 }
 SEPARATORS["alnum"][65:91] = False  # A-Z are words too before lower-casing
 
+#: Longer texts are hashed in pieces of about so many characters, and longer power tables are not kept.
+PIECE = 1 << 20
+_KEPT = 1 << 23
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -32,7 +36,9 @@ def _power_table(kind: str, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         base = np.full(max(n, 1 << 20), _BASE if kind == "up" else _BASE_INVERSE, dtype=np.uint64)
         base[0] = 1
-        have = _powers[kind] = np.multiply.accumulate(base)
+        have = np.multiply.accumulate(base)
+        if n <= _KEPT:
+            _powers[kind] = have
     return have[:n]
 
 
@@ -73,11 +79,30 @@ class WordTable:
         self.hashes = mix64(hashes + (self.end - self.start).astype(np.uint64))
 
 
+_GAP = {"space": re.compile(r"[\x20\t-\r]"), "alnum": re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")}
+
+
+def _pieces(text: str, kind: str) -> Iterator[str]:
+    """The text in pieces of about PIECE characters that end between words; a word stays whole."""
+    begin = 0
+    while begin < len(text):
+        gap = _GAP[kind].search(text, begin + PIECE)
+        stop = gap.end() if gap else len(text)
+        yield text[begin:stop]
+        begin = stop
+
+
+def word_hashes(texts: list[str | None], kind: str = "space") -> tuple[np.ndarray, np.ndarray]:
+    """``hashes`` and ``bounds`` of a WordTable; of a very long text 8 bytes a word and one piece's table are held at once."""
+    if sum(len(t or "") for t in texts) <= 4 * PIECE:
+        table = WordTable(texts, kind)
+        return table.hashes, table.bounds
+    found = [np.concatenate([np.zeros(0, np.uint64), *(WordTable([p], kind).hashes for p in _pieces(t or "", kind))]) for t in texts]
+    return np.concatenate(found), np.concatenate(([0], np.cumsum([len(f) for f in found])))
+
+
 def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all n-word windows of one word sequence; the whole sequence as one when shorter; none of none."""
-    if len(hashes) == 0:
-        return hashes
-    n = min(n, len(hashes))
+    """Hashes of all n-word windows of a sequence of at least n words."""
     total = np.full(len(hashes) - n + 1, n, dtype=np.uint64)
     for k in range(n):
         factor = np.uint64((0xD1342543DE82EF95 * (2 * k + 1)) & _MASK | 1)
@@ -85,19 +110,40 @@ def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(total)
 
 
-def shingle_sets(texts: list[str | None], n: int = 5, kind: str = "space") -> Iterator[np.ndarray]:
-    """The sorted distinct n-word shingle hashes of each text."""
-    table = WordTable(texts, kind)
-    words = len(table.hashes)
-    if words >= n:
-        every = shingle_hashes(table.hashes, n)  # windows over text borders are skipped below
-    for d in range(len(texts)):
-        a, b = table.bounds[d], table.bounds[d + 1]
-        yield np.unique(every[a : b - n + 1] if b - a >= n else shingle_hashes(table.hashes[a:b], n))
+def distinct_shingles(texts: list[str | None], n: int = 5, kind: str = "space") -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (shingle hash, number of its text) of all texts, in the order of the hashes.
+
+    A shingle is a window of n words, or all words of a text that has fewer.
+    """
+    hashes, bounds = word_hashes(texts, kind)
+    words = np.diff(bounds)
+    shingles, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for width in range(1, n + 1):
+        which = np.flatnonzero(words >= n if width == n else words == width)
+        if len(which):
+            windows = words[which] - width + 1
+            starts = np.repeat(bounds[which] - np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + np.arange(windows.sum())
+            shingles.append(shingle_hashes(hashes, width)[starts])
+            owners.append(np.repeat(which, windows))
+    h, owner = np.concatenate(shingles), np.concatenate(owners)
+    order = np.argsort(h)
+    h, owner = h[order], owner[order]
+    again = np.zeros(len(h), dtype=bool)
+    again[1:] = h[1:] == h[:-1]
+    group = again.copy()
+    group[:-1] |= again[1:]
+    several = np.flatnonzero(group)  # rows whose hash occurs again: put their texts in order and drop repetitions
+    if not len(several):
+        return h, owner
+    inner = several[np.lexsort((owner[several], h[several]))]
+    owner[several] = owner[inner]
+    keep = np.ones(len(h), dtype=bool)
+    keep[1:] = ~again[1:] | (owner[1:] != owner[:-1])
+    return h[keep], owner[keep]
 
 
 def slices_of_bytes(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters each, so that a batch of long texts needs no more memory."""
+    """Ranges of texts of about ``most`` characters each, so that a batch of many texts needs no more memory than a few; one text is never cut."""
     begin = held = 0
     for i, t in enumerate(texts):
         held += len(t or "") + 1

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quarry.llm import jaccard_join
+from quarry.llm import jaccard_join, words
 from quarry.llm.jaccard_join import jaccard_classes, join_cell, keep_one_of_near
 
 
@@ -20,22 +20,32 @@ def words_of(text):
 
 
 def brute(rows, n=5):
+    """(doc_id, set size, class) of each row; rows with one doc_id are one document, those without one are each their own."""
     sets = []
     for _, text in rows:
         w = words_of(text)
         sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
-    ids = [i for i, _ in rows]
-    best = dict(zip(ids, ids))
-    changed = True
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
-    while changed:
-        changed = False
-        for i, j in links:
-            m = min(best[ids[i]], best[ids[j]])
-            if best[ids[i]] != m or best[ids[j]] != m:
-                best[ids[i]] = best[ids[j]] = m
-                changed = True
-    return {(i, len(s), best[i]) for i, s in zip(ids, sets)}
+    top = list(range(len(rows)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = rows[i][0] is not None and rows[i][0] == rows[j][0]
+            if same or sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                top[root(i)] = root(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[root(i)] = min(least.get(root(i), doc), doc)
+    return sorted(str((doc, len(s), least.get(root(i)))) for i, ((doc, _), s) in enumerate(zip(rows, sets)))
+
+
+def found(docs):
+    return sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard_classes(docs).collect())
 
 
 def corpus(seed, n):
@@ -57,12 +67,31 @@ def corpus(seed, n):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_classes_match_brute_force(spark, monkeypatch, small):
-    if small:  # many blocks a cell
-        monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 7)
+    if small:  # slices of a few documents, and rounds of pivots, regions and blocks over cells of over seven members
+        monkeypatch.setattr(jaccard_join, "CELL_MEMBERS", 7)
+        monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+        monkeypatch.setattr(jaccard_join, "SLICE_CHARACTERS", 3000)
+        monkeypatch.setattr(jaccard_join, "SLICE_DOCUMENTS", 6)
+        monkeypatch.setattr(words, "PIECE", 100)
     rows = corpus(4, 250)
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, member string, n_shingles int").repartition(5)
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(docs).collect()}
-    assert got == brute(rows)
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in rows], "doc_id long, text string, member string, n_shingles int, row int, cell int").repartition(5)
+    assert found(docs) == brute(rows)
+
+
+def test_a_family_that_is_not_one_class(spark, monkeypatch):
+    """Many documents near the threshold: regions that windows shrink and some that they don't."""
+    monkeypatch.setattr(jaccard_join, "CELL_MEMBERS", 8)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 2)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for k in rng.sample(range(12), rng.randrange(1, 4)):
+            w[5 * k] = f"x{rng.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
 
 
 def test_recursion_is_exact():
@@ -74,15 +103,43 @@ def test_recursion_is_exact():
         k = rng.integers(0, 14)
         s[rng.integers(0, 80, k)] = rng.integers(0, 1 << 60, k).astype(np.uint64)
         sets.append(np.unique(s))
-    want = join_cell(sets, 80, leaf=1000)
-    assert (join_cell(sets, 80, leaf=8) == want).all()
+    sizes = np.array([len(s) for s in sets])
+    want = join_cell(sets, sizes, 80, leaf=1000)
+    assert (join_cell(sets, sizes, 80, leaf=8) == want).all()
+    known = np.where(np.arange(300) % 7 == 0, want + 1000, np.arange(300))
+    assert (join_cell(sets, sizes, 80, leaf=8, known=known) == want).all()
+
+
+def test_rows_are_told_apart_by_text_not_by_id(spark):
+    v = [f"v{i}" for i in range(60)]
+    a, b, c = " ".join(v), " ".join(f"u{i}" for i in range(60)), " ".join(f"t{i}" for i in range(60))
+    near = b + " more"
+    rows = [(3, a), (5, a), (5, b), (7, near), (-1, c), (None, c + " x"), (None, near + " yet"), (None, "alone here"), (None, "alone here"), (None, None), (9, "other words"), (9, "other words"), (10, None), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(docs) == brute(rows)
+    kept = sorted((str(r.doc_id), r.text or "") for r in keep_one_of_near(docs).collect())
+    assert kept == sorted([("3", a), ("5", b), ("-1", c), ("None", "alone here"), ("None", ""), ("9", "other words"), ("10", ""), ("10", "")])
 
 
 def test_empty_and_repeated(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert jaccard_classes(none).count() == 0
+    assert jaccard_classes(none).count() == 0 and keep_one_of_near(none).count() == 0
     text = " ".join(f"v{i}" for i in range(40))
     docs = spark.createDataFrame([(3, text), (3, text), (None, text), (9, "other words"), (10, None)], "doc_id long, text string")
-    got = sorted((r.doc_id, r.component_id) for r in jaccard_classes(docs).collect())
-    assert got == [(-1, -1), (3, -1), (3, -1), (9, 9), (10, 10)]
-    assert sorted(r.doc_id or 0 for r in keep_one_of_near(docs).collect()) == [0, 9, 10]
+    assert sorted((r.doc_id or 0, r.component_id) for r in jaccard_classes(docs).collect()) == [(0, 3), (3, 3), (3, 3), (9, 9), (10, 10)]
+    assert sorted(r.doc_id for r in keep_one_of_near(docs).collect()) == [3, 9, 10]
+
+
+def test_columns_of_any_name_and_type_stay(spark):
+    names = "doc_id long, text string, kept_doc_id int, k0 int, whole map<string,int>, row int, `a.b` int"
+    docs = spark.createDataFrame([(i, "one text of several words here", 1, 2, {"x": 1}, 3, 4) for i in range(4)], names)
+    out = keep_one_of_near(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(0, "one text of several words here", 1, 2, {"x": 1}, 3, 4)]
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["a", "bcd", "É", "longer-word"]) for _ in range(k)) for k in (0, 1, 4, 5, 300)] + [None, "x" * 500 + " y"]
+    whole = [x.tolist() for x in words.distinct_shingles(texts)]
+    monkeypatch.setattr(words, "PIECE", 16)
+    assert [x.tolist() for x in words.distinct_shingles(texts)] == whole
