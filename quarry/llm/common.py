@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,24 +31,21 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def only_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcasts a table after counting its rows; a larger one is left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], values: list[str], rows: str, spread: Column) -> DataFrame:
     """Left join of ``df`` with ``table`` (one row a key; values not null) that no hot key of ``df`` can skew.
 
     Column ``rows`` of the table says how many rows of ``df`` have the key.  Keys
     with HOT_SHARE of them or more, hence at most 1000, are broadcast.  The
     other rows meet the table in a shuffle; there, rows of hot keys carry a
-    salt made from ``spread``, which matches nothing, and so lie evenly.
+    salt made from ``spread``, which matches nothing, and so lie evenly.  Without hot keys it is a plain join.
     """
     table = stored(table.select(*keys, *values, rows), "lookup")  # as a file it has no partitioning, so the salt takes part in the next one
-    total = table.agg(F.sum(rows).alias("all_rows"))
-    is_hot = F.col(rows) >= F.greatest(F.col("all_rows") * F.lit(HOT_SHARE), F.lit(100.0))
-    of_hot = table.join(F.broadcast(total), is_hot).select(*keys, *(F.col(v).alias(f"hot_{v}") for v in values))
-    rest = table.select(*(F.col(k).alias(f"rest_{k}") for k in keys), F.lit(0).alias("rest_salt"), *values)
+    total, most = table.agg(F.sum(rows), F.max(rows)).first()
+    least = max((total or 0) * HOT_SHARE, 100)
+    if (most or 0) < least:
+        return df.join(table.select(*keys, *values), keys, "left").select(*df.columns, *values)
+    of_hot = table.where(F.col(rows) >= least).select(*keys, *(F.col(v).alias(f"hot_{v}") for v in values))
+    rest = table.where(F.col(rows) < least).select(*(F.col(k).alias(f"rest_{k}") for k in keys), F.lit(0).alias("rest_salt"), *values)
     found = df.join(F.broadcast(of_hot), keys, "left")
     salt = F.when(F.col(f"hot_{values[0]}").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 30)).cast("int") + 1).otherwise(0)
     found = found.withColumn("use_salt", salt)
@@ -55,3 +54,20 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], values: list[str],
         on = on & (F.col(k) == F.col(f"rest_{k}"))
     joined = found.join(rest, on, "left")
     return joined.select(*df.columns, *(F.coalesce(f"hot_{v}", v).alias(v) for v in values))
+
+
+def carried(docs: DataFrame, keys: list[Column]) -> DataFrame:
+    """whole (a row's columns, of any names and types) and its keys k0, k1, ..."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(whole.alias("whole"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+
+
+def on_keys(table: DataFrame) -> Column:
+    """Rows of carried() whose keys equal the columns of ``table``, in order; nulls are equal."""
+    equal = [F.col(f"k{i}").eqNullSafe(table[c]) for i, c in enumerate(table.columns)]
+    return reduce(Column.__and__, equal)
+
+
+def rows_of(docs: DataFrame, keys: list[Column], table: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose keys are (left_semi) or are not (left_anti) in ``table``."""
+    return carried(docs, keys).join(table, on_keys(table), how).select("whole.*")

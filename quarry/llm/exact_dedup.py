@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HOT_SHARE, lookup, stored
+from .common import HOT_SHARE, carried, lookup, stored
 
 BLOCK_BYTES = 4096
 SPREADS = 1 << 20
@@ -91,10 +91,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
 
 
 def keep_one_of_equal(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that exact dedup keeps, with all their columns (repeated rows once)."""
-    key = F.concat_ws(":", "doc_id", "text_sha256")  # tells rows with one doc_id and different texts apart
-    kept = exact_dedup(docs, text).where("kept").select(key.alias("quarry_key"))
-    keyed = docs.withColumn("quarry_key", F.concat_ws(":", "doc_id", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
-    order = Window.partitionBy("quarry_key").orderBy(F.xxhash64(*docs.columns))
-    out = keyed.join(kept, "quarry_key", "left_semi").withColumn("quarry_nth", F.row_number().over(order))
-    return out.where("quarry_nth = 1").select(*docs.columns)
+    """The documents that exact dedup keeps, with all their columns; of repeated rows (doc_id and text) any one."""
+    named = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))  # tells rows with one doc_id and different texts apart
+    kept = exact_dedup(docs, text).where("kept").select(F.concat_ws(":", F.col("doc_id").cast("string"), "text_sha256").alias("key"))
+    once = carried(docs, [named]).groupBy("k0").agg(F.any_value("whole").alias("whole"))  # repeated rows meet in their own tasks first
+    return once.join(kept, F.col("k0") == F.col("key"), "left_semi").select("whole.*")

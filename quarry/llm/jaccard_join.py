@@ -52,8 +52,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lookup, stored
-from .components import connected_components
+from .common import carried, lookup, on_keys, stored
+from .components import connected_components, forest
 from .words import distinct_shingles, mix64, slices_of_bytes
 
 SHINGLE_WORDS = 5
@@ -100,6 +100,10 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
 
+def _text_hash(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text, F.length(text)).alias("t2")]
+
+
 def requests(docs: DataFrame, text: str, n: int, groups: int) -> DataFrame:
     """Messages of the slices: to each group, shingles of one document (a) with its number (b), and shingles of several (c)
     with how many (d).  A slice's own message has its rows (a), set sizes (b), and for its shingles of several documents how many (c) and which (d)."""
@@ -138,8 +142,7 @@ def requests(docs: DataFrame, text: str, n: int, groups: int) -> DataFrame:
                     yield _message(out)
                     number += 1
 
-    keys = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text, F.length(text)).alias("t2")]
-    return docs.select("doc_id", *keys, text).mapInArrow(send, _MESSAGE)
+    return docs.select("doc_id", *_text_hash(text), text).mapInArrow(send, _MESSAGE)
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -437,23 +440,29 @@ def round_of_pivots(rows: DataFrame, sizes: DataFrame, sets: DataFrame, percent:
         rest = np.flatnonzero(~flags)
         inter = _overlaps(sets_, of, rest).astype(np.int64)
         both = sizes_[of][:, None] + sizes_[rest][None, :] - inter
-        hit = 100 * inter >= percent * both
-        distance = 1 - inter / np.maximum(both, 1)
+        own = ids[of][:, None] == ids[rest][None, :]
+        hit = (100 * inter >= percent * both) | own
+        distance = np.where(own, 0, 1 - inter / np.maximum(both, 1))
         window = distance <= distance.min(axis=0)[None, :] + 2 * radius + 1e-6
         lists = lambda flags_: pa.array([ids[of][flags_[:, i]] for i in range(len(rest))], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(rest), pa.int64()), pa.array(ids[rest]), pa.array(classes[rest]), lists(hit), lists(window)], names=["cell", "member", "class", "hits", "near"])
 
     measured = stored(every.groupBy("cell", "block").applyInArrow(measure, "cell long, member long, class long, hits array<long>, near array<long>"), "measured")
     links = measured.select(F.col("member").alias("a"), F.explode("hits").alias("b")).where("a <> b")
-    # classes of a cell: what the members' known classes and the pivots connect
-    ties = measured.select("cell", F.col("class").alias("node"), F.explode("hits").alias("pivot")).distinct()
-    own = measured.join(pivots.select("cell", F.col("pivot").alias("member")), ["cell", "member"], "left_semi").select("cell", F.col("class").alias("node"), F.col("member").alias("pivot"))
-    nodes = ties.union(own).distinct()
-    # (cell, class) and (cell, pivot) are nodes of a graph of their own; only classes of two or more pivots matter, but all are named
-    named = nodes.select(F.xxhash64("cell", "node", F.lit(1)).alias("a"), F.xxhash64("cell", "pivot", F.lit(2)).alias("b"))
-    found = connected_components(named)
-    merged = measured.select("cell", "member", "class", "near", F.xxhash64("cell", "class", F.lit(1)).alias("node")).join(found, "node", "left")
-    merged = stored(merged.select("cell", "member", F.coalesce("component", "node").alias("class"), "near"), "merged")
+    # what connects pivots: the members of one class that are linked with several
+    hit = measured.select("cell", "class", F.explode("hits").alias("hit")).groupBy("cell", "class").agg(F.collect_set("hit").alias("hits"))
+    hit = stored(hit, "hit")
+    ties = hit.select("cell", F.array_min("hits").alias("a"), F.explode("hits").alias("b")).distinct()  # at most a cell's pivots squared
+
+    def tie(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        nodes, tops = forest(table.column("a").to_numpy(), table.column("b").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(nodes), pa.int64()), pa.array(nodes), pa.array(tops)], names=["cell", "pivot", "top"])
+
+    tops = ties.groupBy("cell").applyInArrow(tie, "cell long, pivot long, top long")
+    classes = hit.select("cell", "class", F.array_min("hits").alias("pivot")).join(tops, ["cell", "pivot"]).select("cell", "class", "top")
+    merged = measured.join(stored(classes, "classes"), ["cell", "class"], "left").select("cell", "member", F.coalesce("top", "class").alias("class"), "near")
+    merged = stored(merged, "merged")
     regions = merged.select("cell", "member", "class", F.explode("near").alias("pivot"))
     regions = regions.select(F.xxhash64("cell", "pivot").alias("cell"), "member", "class", F.col("cell").alias("was"))
     several = regions.groupBy("cell").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other")
@@ -510,7 +519,7 @@ def cell_links(cell_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _linked(docs: DataFrame, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows (row, doc_id, t1, t2, n_shingles, open), for open ones row and member, and links between members."""
+    """The rows (row, doc_id, t1, t2, n_shingles, open), row and member of the open ones, and links between members."""
     table = shingle_sets(docs, text, n, percent)
     with_window = F.col("shared").isNotNull()
     rows = table.select("row", "doc_id", "t1", "t2", "n_shingles", with_window.alias("open"))
@@ -524,12 +533,14 @@ def _linked(docs: DataFrame, text: str, n: int, percent: int) -> tuple[DataFrame
     return rows, member_of, cell_links(cell_rows, members.select("member", "n_shingles", "held", "shared"), percent)
 
 
-def _grouped(member_of: DataFrame, edges: DataFrame) -> DataFrame:
-    """(row, component) of the open rows."""
+def _ranked(open_rows: DataFrame, edges: DataFrame, rank: Column) -> DataFrame:
+    """``open_rows`` (with row and member) and best: the least ``rank`` in the row's component."""
+    of_member = stored(open_rows.groupBy("member").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("rows")), "of_member")
     found = connected_components(edges).select(F.col("node").alias("member"), "component")
-    sizes = member_of.groupBy("member").agg(F.count(F.lit(1)).alias("rows"))
-    named = lookup(member_of, found.join(sizes, "member"), ["member"], ["component"], "rows", F.col("row"))
-    return named.select("row", F.coalesce("component", "member").alias("component"))
+    of_member = stored(of_member.join(found, "member", "left").withColumn("component", F.coalesce("component", "member")), "of_member")
+    least = stored(of_member.groupBy("component").agg(F.min("best").alias("best")), "least")
+    best = of_member.select("component", "member", "rows").join(least, "component").select("member", "best", "rows")
+    return lookup(open_rows, best, ["member"], ["best"], "rows", F.col("row"))
 
 
 def jaccard_classes(docs: DataFrame, text: str = "text", n: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -540,45 +551,31 @@ def jaccard_classes(docs: DataFrame, text: str = "text", n: int = SHINGLE_WORDS,
     if not repeated.isEmpty():  # rows of one doc_id are one document
         tied = lookup(known.select("row", "doc_id"), repeated, ["doc_id"], ["least"], "rows", F.col("row")).where("least is not null")
         alone = rows.where("not open").select("row", F.col("row").alias("member"))
-        member_of = member_of.unionByName(alone.join(tied.select("row"), "row", "left_semi"))
+        member_of = stored(member_of.unionByName(alone.join(tied.select("row"), "row", "left_semi")), "members")
         ties = tied.join(member_of, "row").select("least", "member")
         ties = ties.join(member_of.select(F.col("row").alias("least"), F.col("member").alias("first")), "least").select(F.col("member").alias("a"), F.col("first").alias("b"))
         links = links.unionByName(ties.distinct())
-        member_of = stored(member_of, "members")
-    grouped = stored(_grouped(member_of, links), "grouped")
-    joined = rows.join(grouped, "row", "left")
-    least = joined.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("component_id is not null")
-    found = lookup(joined.where("component is not null"), least, ["component"], ["component_id"], "rows", F.col("row"))
-    single = joined.where("component is null").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return single.unionByName(found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id"))
-
-
-def text_key(doc_id: str, text: str) -> list[Column]:
-    """What tells documents apart by their contents."""
-    return [F.col(doc_id), F.xxhash64(text), F.xxhash64(F.lit(7), text, F.length(text))]
+    joined = stored(rows.join(member_of, "row", "left").select("row", "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "member"), "joined")
+    ranked = _ranked(joined.where("member is not null"), links, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    alone = joined.where("member is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return alone.unionByName(ranked.select("doc_id", "n_shingles", F.col("best.doc_id").alias("component_id")))
 
 
-def keep_one_of_near(docs: DataFrame) -> DataFrame:
+def keep_one_of_near(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of each class of near copies, that of the smallest doc_id, with all its columns; texts without words all stay.
 
     Classes are those of links alone, so of two texts with one doc_id each goes by its own.  Rows without doc_id rank last.
-    Repeated rows (doc_id and text) are copies too.
+    Repeated rows (doc_id and text) are copies too, of which any one stays.
     """
-    rows, member_of, links = _linked(docs, "text", SHINGLE_WORDS, SIMILARITY_PERCENT)
-    grouped = rows.join(_grouped(member_of, links), "row")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "row")
-    best = grouped.groupBy("component").agg(F.min(rank).alias("best"))
-    kept = best.select("best.doc_id", "best.t1", "best.t2")
-    lost = grouped.select("doc_id", "t1", "t2").distinct().exceptAll(kept)
-    lost = stored(lost, "lost")
-    again = stored(grouped.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "t1", "t2"), "again")
-    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), *(k.alias(n) for k, n in zip(text_key("doc_id", "text"), ("k0", "k1", "k2"), strict=True)))
-
-    def same(table: DataFrame) -> Column:
-        return F.col("k0").eqNullSafe(table["doc_id"]) & (F.col("k1") == table["t1"]) & (F.col("k2") == table["t2"])
-
-    left = carried.join(lost, same(lost), "left_anti")
+    rows, member_of, links = _linked(docs, text, SHINGLE_WORDS, SIMILARITY_PERCENT)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    ranked = stored(_ranked(rows.join(member_of, "row"), links, rank).withColumn("rank", rank), "ranked")
+    lost = stored(ranked.where("rank <> best").select("doc_id", "t1", "t2").distinct(), "lost")
+    counted = ranked.where("rank = best").groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
+    again = stored(counted.where("n > 1").select("doc_id", "t1", "t2"), "again")
+    left = carried(docs, [F.col("doc_id"), *_text_hash(text)])
+    left = left.join(lost, on_keys(lost), "left_anti")
     if not again.isEmpty():
-        once = left.join(again, same(again), "left_semi").groupBy("k0", "k1", "k2").agg(F.any_value("whole").alias("whole"))
-        left = left.join(again, same(again), "left_anti").select("whole").unionByName(once.select("whole"))
+        once = left.join(again, on_keys(again), "left_semi").groupBy("k0", "k1", "k2").agg(F.any_value("whole").alias("whole"))
+        left = left.join(again, on_keys(again), "left_anti").select("whole").unionByName(once.select("whole"))
     return left.select("whole.*")

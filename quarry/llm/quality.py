@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried
 from .labelled import by_hash, fold
 from .words import WordTable, slices_of_bytes
 
@@ -102,7 +103,8 @@ def _matrix(docs: DataFrame, text: str) -> np.ndarray:
             for a, b in slices_of_bytes(texts):
                 yield pa.RecordBatch.from_arrays([pa.array([row.astype("<f4").tobytes() for row in measures(texts[a:b])], pa.binary())], names=["row"])
 
-    rows = docs.where(F.trim(F.col(text)) != "").select(text).mapInArrow(measure, "row binary").collect()  # bounded by the samples
+    one_each = docs.where(F.trim(F.col(text)) != "").groupBy("doc_id").agg(F.min(text).alias(text)).select(text)  # as many rows as ids, however often they are repeated
+    rows = one_each.mapInArrow(measure, "row binary").collect()  # bounded by the samples
     return np.array([np.frombuffer(r.row, "<f4") for r in sorted(rows)], dtype=np.float64).reshape(len(rows), 128 + _SHAPES)
 
 
@@ -155,12 +157,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", thres
 def without_rejected(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that the classifier doesn't reject, with all their columns; each is judged by its own text, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, text))
-    place = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(place).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in slices_of_bytes(texts):
-                yield batch.slice(a, b - a).filter(pa.array(scores_of(texts[a:b], shared.value) >= threshold))
+                good = pa.array(scores_of(texts[a:b], shared.value) >= threshold)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(good)], names=["whole"])
 
-    return docs.mapInArrow(keep, docs.schema)
+    rows = carried(docs, [F.col(text)])
+    return rows.mapInArrow(keep, rows.select("whole").schema).select("whole.*")
