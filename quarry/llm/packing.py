@@ -192,5 +192,5 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", length: int =
         if rows:
             yield batch_of()
 
-    along = tokens.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "n_tokens")
+    along = tokens.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "n_tokens", F.xxhash64("ids"), "ids")  # a repeated task cuts the same pieces
     return along.select("doc_id", "n_tokens", "ids").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -6,8 +6,8 @@ same list and pattern), and an as-of join evaluates each capture against the int
 hold at its fetch time.  Captures are joined by equality on the keys they can
 match: every suffix of the host, and the host with every leading part of the path.
 
-A key's intervals travel as one sorted array, so a capture meets each key once, and the join
-deals hot keys (a host with a third of all captures) evenly.
+A key's intervals travel as one sorted array (so the history of one key should fit a row), a capture meets each key once, and the join
+deals hot keys (a host with a third of all captures) evenly.  Keys longer than the longest listed ones are not made.
 
 Defined cases: a null or unparsable URL matches nothing; a capture without fetch time meets
 no interval.  Of entries of one list, pattern and date, a removal comes last.  Removing
@@ -30,12 +30,15 @@ def host_of(url: str) -> str:
     return f"nullif(lower(regexp_extract({url}, '{_URL}', 1)), '')"
 
 
-def match_keys(url: str) -> str:
-    """SQL for the keys a URL can match: 'host:' and each suffix of its host, 'path:' and the host with each leading part of its path."""
+def match_keys(url: str, labels: int = 127, folders: int = 2048) -> str:
+    """SQL for the keys a URL can match: 'host:' and each suffix of its host, 'path:' and the host with each leading part of its path.
+
+    Suffixes of more than ``labels`` labels and parts of more than ``folders`` folders are left out.
+    """
     host = f"split(coalesce({host_of(url)}, ''), '[.]')"
-    hosts = f"transform(sequence(1, size({host})), i -> concat('host:', array_join(slice({host}, i, size({host})), '.')))"
+    hosts = f"transform(sequence(greatest(1, size({host}) - {labels - 1}), size({host})), i -> concat('host:', array_join(slice({host}, i, size({host})), '.')))"
     path = f"split(regexp_replace(regexp_extract({url}, '{_URL}', 2), '^/|/$', ''), '/')"
-    paths = f"transform(sequence(1, size({path})), i -> concat('path:', {host_of(url)}, '/', array_join(slice({path}, 1, i), '/')))"
+    paths = f"transform(slice(sequence(1, size({path})), 1, {folders}), i -> concat('path:', {host_of(url)}, '/', array_join(slice({path}, 1, i), '/')))"
     return f"if({host_of(url)} is null, array(), array_distinct(concat({hosts}, {paths})))"
 
 
@@ -53,9 +56,13 @@ def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per capture (capture_id, url, fetched): capture_id, fetched, host, n_matches, lists (sorted), blocked."""
     span = F.struct("valid_from", "valid_to", "list")
     per_key = stored(intervals(entries).groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("spans")), "spans")
+    # no key is made that is longer than those listed: a long path costs what the lists can match
+    parts = F.when(F.col("key").startswith("path:"), F.size(F.split("key", "/")) - 1)
+    most = per_key.agg(F.max(F.size(F.split("key", "[.]"))), F.max(parts)).first()
+    keys = match_keys("url", max(most[0] or 1, 1), max(most[1] or 1, 1))
     asked = captures.select(F.monotonically_increasing_id().alias("row"), "capture_id", "url", "fetched")
     asked = stored(asked, "captures")
-    keyed = asked.select("row", "fetched", F.expr(f"explode({match_keys('url')})").alias("key"))
+    keyed = asked.select("row", "fetched", F.expr(f"explode({keys})").alias("key"))
     rows = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     found = lookup(keyed, per_key.join(rows, "key"), ["key"], ["spans"], "rows", F.col("row"))
     holding = F.expr("filter(spans, s -> s.valid_from <= fetched and (s.valid_to is null or fetched < s.valid_to))")
