@@ -68,8 +68,23 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("capture_id", "fetched", "host", "n_matches", F.array_join("lists", ",").alias("lists"), "blocked")
 
 
+def quoting_messages(conversations: DataFrame) -> DataFrame:
+    """The conversations as mail: half of the messages, by hash, begin with the first line of one of the three messages before them, quoted, and some of these with a line quoted twice.
+
+    No table has quotes, so they are made here: conv_id, turn, role, text.
+    """
+    messages = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    first = messages.groupBy("conv_id", "turn").agg(F.element_at(F.split(F.min("text"), "\n"), 1).alias("line"))
+    number = _number("concat('q', conv_id, ':', turn)")
+    asked = messages.withColumn("n", F.expr(number)).withColumn("t1", F.expr("turn - 1 - n % 3")).withColumn("t2", F.expr("if(n % 5 = 0, t1 - 1, null)"))
+    asked = asked.join(first.select("conv_id", F.col("turn").alias("t1"), F.col("line").alias("line1")), ["conv_id", "t1"], "left")
+    asked = asked.join(first.select("conv_id", F.col("turn").alias("t2"), F.col("line").alias("line2")), ["conv_id", "t2"], "left")
+    quote = "concat('On that day someone wrote:\n', if(line2 is null, '', concat('> > ', line2, '\n')), '> ', line1, '\n\n')"
+    return asked.select("conv_id", "turn", "role", F.expr(f"concat(if(n % 2 = 0 and line1 is not null, {quote}, ''), text)").alias("text"))
+
+
 def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = link_quotes(_table(spark, sf_dir, "conversations"))
+    out = link_quotes(quoting_messages(_table(spark, sf_dir, "conversations")))
     return out.select("conv_id", "turn", "role", "parent_turn", "thread_turn", "depth", "n_quotes", "n_linked", F.sha2("body", 256).alias("body_sha256"))
 
 
@@ -185,6 +200,31 @@ SELECT c.capture_id, fetched, host, coalesce(n, 0) AS n_matches, coalesce(lists,
 FROM c LEFT JOIN (SELECT capture_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM m GROUP BY capture_id) x ON c.capture_id = x.capture_id
 """
 
+_NORM = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))".format
+_OP8_SQL = f"""
+WITH RECURSIVE m AS (
+  SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text, {_N("'q' || conv_id || ':' || turn")} AS n FROM conversations),
+f AS (SELECT conv_id, turn, string_split(min(text), chr(10))[1] AS line FROM m GROUP BY conv_id, turn),
+q AS (
+  SELECT DISTINCT m.conv_id, m.turn, a.line AS line1, b.line AS line2 FROM m
+  JOIN f a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1 - n % 3
+  LEFT JOIN f b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2 - n % 3 AND n % 5 = 0 WHERE n % 2 = 0),
+asked AS (
+  SELECT * FROM (SELECT conv_id, turn, 1 AS level, {_NORM("line1")} AS norm FROM q UNION ALL SELECT conv_id, turn, 2, {_NORM("line2")} FROM q WHERE line2 IS NOT NULL) WHERE norm <> ''),
+own AS (SELECT DISTINCT conv_id, turn, {_NORM("line")} AS norm FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM m)),
+found AS (
+  SELECT a.conv_id, a.turn, a.level, max(o.turn) AS origin FROM asked a LEFT JOIN own o ON o.conv_id = a.conv_id AND o.norm = a.norm AND o.turn < a.turn GROUP BY ALL),
+p AS (SELECT conv_id, turn, max(origin) FILTER (WHERE level = 1) AS parent_turn, count(*) AS n_quotes, count(origin) AS n_linked FROM found GROUP BY conv_id, turn),
+up AS (
+  SELECT conv_id, turn, parent_turn AS above, 1 AS depth FROM p WHERE parent_turn IS NOT NULL
+  UNION ALL SELECT up.conv_id, up.turn, p.parent_turn, depth + 1 FROM up JOIN p ON p.conv_id = up.conv_id AND p.turn = up.above WHERE p.parent_turn IS NOT NULL),
+top AS (SELECT conv_id, turn, min(above) AS thread_turn, max(depth) AS depth FROM up GROUP BY conv_id, turn)
+SELECT m.conv_id, m.turn, m.role, parent_turn, coalesce(thread_turn, m.turn) AS thread_turn, CAST(coalesce(depth, 0) AS BIGINT) AS depth,
+  coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked,
+  sha256(regexp_replace(trim(regexp_replace(if(q.conv_id IS NULL, '', chr(10)) || text, '\n{{3,}}', chr(10) || chr(10), 'g')), '^\n+|\n+$', '', 'g')) AS body_sha256
+FROM m LEFT JOIN p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN top ON top.conv_id = m.conv_id AND top.turn = m.turn LEFT JOIN q ON q.conv_id = m.conv_id AND q.turn = m.turn
+"""
+
 _OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
@@ -195,5 +235,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": _OP2_SQL,
     "op4_line_dedup": _OP4_SQL,
     "op6_url_filter": _OP6_SQL,
+    "op8_quotations": _OP8_SQL,
     "op9_exact_dedup": _OP9_SQL,
 }

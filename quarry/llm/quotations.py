@@ -8,7 +8,8 @@ then put in reply order (thread, then turn), without quotes and attribution line
 
 The join is an as-of window over (conversation, hash): each quote takes the latest earlier
 message with that hash, so a line that a conversation repeats thousands of times
-makes no pairs.  Threads are found by pointer doubling in log(depth) rounds.
+makes no pairs.  Windows end with a span of SPAN turns, and what came before a span is one row in it, so no
+conversation and no line gathers in one task.  Threads are found by pointer doubling in log(depth) rounds.
 
 Defined cases: null or empty texts are messages without lines.  Repeated rows count once.  Messages
 with equal conv_id and turn are told apart by role and text but share links.  Rows without
@@ -26,6 +27,7 @@ from .common import stored
 
 #: Shorter passages and lines decide on a parent only where longer ones don't.
 MIN_LINE = 8
+SPAN = 1024
 
 
 def _parts(messages: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def _parts(messages: DataFrame) -> DataFrame:
     order = Window.partitionBy("message").orderBy("at")  # the lines of one message
     following = F.lead("level").over(order)
     attribution = F.col("line").rlike(r"(?i)^\s*(on\b.*\bwrote|.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$") & (following > F.col("level"))
-    return lines.where(F.lit(True)).withColumn("attribution", F.coalesce(attribution, F.lit(False)))
+    return lines.withColumn("attribution", F.coalesce(attribution, F.lit(False)))
 
 
 def _passages(lines: DataFrame) -> DataFrame:
@@ -59,11 +61,15 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     messages = stored(messages.withColumn("message", F.monotonically_increasing_id()), "messages")  # the file fixes the numbers
     lines = stored(_parts(messages), "lines")
     passages = stored(_passages(lines).where("norm != ''").withColumn("hash", F.xxhash64("norm")).withColumn("size", F.length("norm")), "passages")
-    own = passages.where("level = 0").select("conv_id", "hash", "size", "turn").distinct().withColumn("source", F.col("turn"))
-    quoted = passages.where("level > 0")
-    asked = quoted.select("conv_id", "hash", "size", "turn", "message", "level", "run", "whole")
-    both = own.unionByName(asked, allowMissingColumns=True)
-    earlier = Window.partitionBy("conv_id", "hash", "size").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    placed = passages.where("conv_id is not null and turn is not null").withColumn("span", F.floor(F.col("turn") / SPAN))
+    key = ["conv_id", "hash", "size", "span"]
+    own = placed.where("level = 0").select(*key, "turn").distinct().withColumn("source", F.col("turn"))
+    asked = placed.where("level > 0").select(*key, "turn", "message", "level", "run", "whole")
+    spans = own.groupBy(*key).agg(F.max("source").alias("last")).unionByName(asked.select(*key).distinct(), allowMissingColumns=True).groupBy(*key).agg(F.max("last").alias("last"))
+    ahead = F.max("last").over(Window.partitionBy("conv_id", "hash", "size").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    before = spans.withColumn("source", ahead).where("source is not null").select(*key, F.col("source").alias("turn"), "source")
+    both = own.unionByName(before).unionByName(asked, allowMissingColumns=True)
+    earlier = Window.partitionBy(*key).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     linked = both.withColumn("origin", F.max("source").over(earlier)).where("message is not null")
     # a passage found whole stands before single lines, then the longest total, then the same of short ones, then the latest
     long = F.col("size") >= MIN_LINE
@@ -71,7 +77,8 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
         F.max(F.when(long, F.col("whole")).otherwise(0)).alias("long_whole"), F.sum(F.when(long, F.col("size")).otherwise(0)).alias("long_size"), F.max("whole").alias("whole"), F.sum("size").alias("size")
     )
     parents = votes.groupBy("message").agg(F.max(F.struct("long_whole", "long_size", "whole", "size", "origin")).alias("best")).select("message", F.col("best.origin").alias("parent_turn"))
-    counts = linked.groupBy("message").agg(F.count_distinct("run").alias("n_quotes"), F.count_distinct(F.when(F.col("origin").isNotNull(), F.col("run"))).alias("n_linked"))
+    origins = linked.select("message", "run", "origin").unionByName(passages.where("level > 0 and (conv_id is null or turn is null)").select("message", "run"), allowMissingColumns=True)
+    counts = origins.groupBy("message").agg(F.count_distinct("run").alias("n_quotes"), F.count_distinct(F.when(F.col("origin").isNotNull(), F.col("run"))).alias("n_linked"))
     bodies = lines.where("level = 0 and not attribution").groupBy("message").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("body"))
     out = messages.drop("text").join(parents, "message", "left").join(counts, "message", "left").join(bodies, "message", "left")
     body = F.trim(F.regexp_replace(F.coalesce("body", F.lit("")), r"\n{3,}", "\n\n"))
