@@ -9,7 +9,8 @@ an expression that a class has seen rarely is smoothed by what the whole corpus
 Counting runs in Spark over every training document: tasks add up the runs of their
 rows, and the sums, the continuation counts of all lower orders and the
 probabilities are groupings and joins of count tables, which grow with the corpus.
-Runs that neither class has seen are left out of the comparison.
+A run that neither class has seen gets what each class's discounts free after its context, so the ratio of these;
+a context that a class hasn't seen frees everything.  So the table has an entry for each run and one for each context.
 
 Scoring looks up the log-likelihood ratio of every run of every document.  A table of up to
 ``broadcast_runs`` runs (16 bytes each) is broadcast whole.  A larger one stays distributed: each
@@ -49,6 +50,8 @@ DISCOUNT = 0.75
 #: A table of more runs is joined instead of broadcast.
 BROADCAST_RUNS = 4_000_000
 CALIBRATION_ROWS = 6000
+#: Texts of a slice when runs are counted: their numbers have 16 bits.
+MOST_TEXTS = 1 << 16
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 
@@ -84,10 +87,10 @@ def run_counts(docs: DataFrame, text: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, toxic = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=np.int64)
-            for a, b in slices_of_bytes(texts, 1 << 22):
+            for a, b in ((a, min(b, a + MOST_TEXTS)) for begin, b in slices_of_bytes(texts, 1 << 22) for a in range(begin, b, MOST_TEXTS)):
                 runs, table, lengths = letter_runs(texts[a:b])
                 owner = np.repeat(np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(table.bounds)), lengths)
-                once = np.unique(runs << np.uint64(16) | owner)  # a slice has fewer than 2**16 texts: a batch has 10,000
+                once = np.unique(runs << np.uint64(16) | owner)
                 owner = toxic[a:b][(once & np.uint64(0xFFFF)).astype(np.int64)]
                 keys, counts = np.unique(once >> np.uint64(16) << np.uint64(1) | owner.astype(np.uint64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(1)).astype(np.int64)), pa.array((keys & np.uint64(1)).astype(np.int64)), pa.array(counts.astype(np.int64))], names=["run", "is_toxic", "n"])
@@ -123,7 +126,10 @@ def shared_backoff(counts: DataFrame) -> DataFrame:
 
 
 def ratios(counts: DataFrame) -> DataFrame:
-    """(key, ratio) of the runs seen: log toxic - log ordinary probability of the last byte after those before it."""
+    """(key, ratio): log toxic - log ordinary probability of a run's last byte after those before it.
+
+    The key is a run that was seen, or a context with a last byte of 0: its ratio is that of the runs that were not seen after it.
+    """
     context = F.shiftright("run", 8)
 
     def off(n: str):
@@ -138,7 +144,9 @@ def ratios(counts: DataFrame) -> DataFrame:
 
     joined = counts.join(contexts, context == F.col("context")).join(shared_backoff(counts), "run")
     ratio = F.log(probability("t", "toxic") / probability("o", "ordinary"))
-    return joined.select(F.col("run").alias("key"), ratio.cast("float").alias("ratio"))
+    free = lambda c: F.when(F.col(f"{c}_all") > 0, F.col(f"{c}_off") / F.col(f"{c}_all")).otherwise(1.0)
+    unseen = contexts.select(F.shiftleft("context", 8).alias("key"), F.log(free("t") / free("o")).cast("float").alias("ratio"))
+    return joined.select(F.col("run").alias("key"), ratio.cast("float").alias("ratio")).unionByName(unseen)
 
 
 class RunTable:
@@ -154,19 +162,26 @@ class RunTable:
         self.starts = np.searchsorted(bucket, edges).astype(np.int32)
 
     def get(self, runs: np.ndarray) -> np.ndarray:
-        """The ratio of each run, 0 for runs that are not in the table."""
+        """The ratio of each run; for one that was not seen that of its context, and 0 where that was not seen either."""
+        out, found = self._find(runs)
+        rest = np.flatnonzero(~found)
+        out[rest] = self._find(runs[rest] >> np.uint64(8) << np.uint64(8))[0]
+        return out
+
+    def _find(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wanted = mix64(runs)
         bucket = (wanted >> self.shift).astype(np.int64)
         at, stop = self.starts[bucket], self.starts[bucket + 1]
-        out = np.zeros(len(runs), dtype=np.float32)
+        out, known = np.zeros(len(runs), dtype=np.float32), np.zeros(len(runs), dtype=bool)
         open_ = np.flatnonzero(at < stop)
         while len(open_):
             found = self.keys[at[open_]] == wanted[open_]
             out[open_[found]] = self.ratio[at[open_[found]]]
+            known[open_[found]] = True
             open_ = open_[~found]
             at[open_] += 1
             open_ = open_[at[open_] < stop[open_]]
-        return out
+        return out, known
 
 
 def collected(table: DataFrame) -> RunTable:
@@ -259,9 +274,11 @@ def evidence_by_join(docs: DataFrame, text: str, table: DataFrame) -> DataFrame:
     entries = stored(body.mapInArrow(words, "row long, doc_id long, word long, size long, n long"), "words")
     spelled = docs.select(text).mapInArrow(spell, "word long, at long, run long").groupBy("word", "at").agg(F.min("run").alias("key"))
     spelled = stored(spelled, "spelled")
-    frequent = spelled.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).join(table.select("key", "ratio"), "key")
-    sums = lookup(spelled.select("word", "key"), frequent, ["key"], ["ratio"], "rows", F.col("word"))
-    sums = sums.groupBy("word").agg(F.sum(F.coalesce(F.col("ratio"), F.lit(0.0)).cast("double")).alias("value"))
+    context = F.shiftleft(F.shiftright("key", 8), 8)
+    sought = spelled.select("word", "at", F.explode(F.array(F.struct(F.lit(True).alias("exact"), "key"), F.struct(F.lit(False).alias("exact"), context.alias("key")))).alias("x")).select("word", "at", "x.exact", "x.key")
+    frequent = sought.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).join(table.select("key", "ratio"), "key")
+    each = lookup(sought, frequent, ["key"], ["ratio"], "rows", F.struct("word", "at")).groupBy("word", "at").agg(F.max(F.when(F.col("exact"), F.col("ratio"))).alias("seen"), F.max(F.when(~F.col("exact"), F.col("ratio"))).alias("unseen"))
+    sums = each.groupBy("word").agg(F.sum(F.coalesce("seen", "unseen", F.lit(0.0)).cast("double")).alias("value"))
     used = entries.where("n > 0").groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
     found = lookup(entries, sums.join(used, "word"), ["word"], ["value"], "rows", F.col("row"))
     down = Window.partitionBy("row").orderBy(F.when(F.col("n") > 0, F.col("value")).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
@@ -296,6 +313,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", thre
     chosen = by_hash(sample.where("is_toxic"), calibration // 2, 1).unionByName(by_hash(sample.where("not is_toxic"), calibration // 2, 1))
     chosen = stored(chosen, "chosen")
     sampled = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")
+    one_each = stored(sampled.groupBy("doc_id").agg(F.min(text).alias(text)), "one_each")  # as many rows as ids, however often they are repeated
     others = known.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
     counts = stored(run_counts(docs.select("doc_id", text).join(others, "doc_id"), text), "runs")
 
@@ -307,7 +325,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", thre
         return lambda rows: evidence_by_broadcast(rows, text, shared), shared.unpersist
 
     measured, done = measure_by(counts)
-    rows = measured(sampled).join(F.broadcast(chosen), "doc_id").collect()  # bounded by calibration
+    rows = measured(one_each).join(F.broadcast(chosen), "doc_id").collect()  # bounded by calibration
     done()
     y = np.array([float(r.is_toxic) for r in rows])
     weights, mean, scale = None, np.zeros(EVIDENCE), np.ones(EVIDENCE)
