@@ -132,6 +132,8 @@ def test_evidence_is_the_same_by_broadcast_and_by_join(spark):
     runs = np.unique(letter_runs(texts)[0])
     ratio = np.random.default_rng(2).normal(0, 3, len(runs)).astype(np.float32)
     runs, ratio = runs[::2], ratio[::2]
+    contexts = np.unique(runs[::3] >> np.uint64(8) << np.uint64(8))  # runs that were not seen go by their contexts
+    runs, ratio = np.concatenate((runs, contexts)), np.concatenate((ratio, np.linspace(-2, 2, len(contexts), dtype=np.float32)))
     table = spark.createDataFrame(list(zip(runs.astype(np.int64).tolist(), ratio.tolist(), strict=True)), "key long, ratio float")
     shared = spark.sparkContext.broadcast(RunTable(runs, ratio))
     ways = [sorted(tuple(r) for r in way.collect()) for way in (evidence_by_broadcast(docs, "text", shared), evidence_by_join(docs, "text", table))]
