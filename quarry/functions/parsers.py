@@ -295,3 +295,30 @@ def condition_prose(must: Column, must_not: Column) -> Column:
         return F.concat_ws("；", *listed, F.when(c["point"].isNotNull(), F.concat(F.lit(f"{lead}學分="), c["point"].cast("string"))))
 
     return F.concat_ws("；", F.nullif(side(must, ""), F.lit("")), F.nullif(side(must_not, "不要"), F.lit("")))
+
+
+#: The parts of a day by their hours, in the order in which a range is looked up.
+CONDITION_PARTS = (("morning", 8, 12), ("noon", 12, 13), ("afternoon", 13, 18), ("evening", 18, 24))
+
+
+def condition_lines(name: Column, unit: Column, must: Column, must_not: Column) -> Column:
+    """A gold record and its conditions as lines of a prompt: the record, what a query must ask for, and what it must rule out."""
+    quoted = lambda a: F.concat(F.lit("['"), F.array_join(a, "', '"), F.lit("']"))
+
+    def side(c: Column, no: str, units: bool) -> Column:
+        def labelled(label: str, text: Column) -> Column:
+            return F.concat(F.lit(f"{no}{label}="), text)
+
+        days = F.array_join(F.transform(c["weekday"], lambda d: F.concat(F.lit("星期"), F.substring(F.lit(DAYS), d, F.lit(1)))), "、")
+        low, high = F.get(c["hour_range"], F.lit(0)), F.get(c["hour_range"], F.lit(1))
+        part = F.concat(low, F.lit("-"), high, F.lit("點"))
+        for slot, a, b in reversed(CONDITION_PARTS):
+            part = F.when((low == a) & (high == b), F.lit(slot)).otherwise(part)
+        parts = [
+            labelled("授課語言", quoted(c["course_lang"])), F.concat(F.lit("不要=" if no else "星期="), days), labelled("時段", F.concat(part, F.lit("（"), low, F.lit(":00-"), high, F.lit(":00）"))),
+            labelled("學分", c["point"].cast("string")), labelled("課程類型", quoted(c["kind"])), labelled("通識類型", quoted(c["lmt_kind"])), *([labelled("系所", quoted(c["unit"]))] if units else []),
+        ]
+        return F.nullif(F.concat_ws("，", *parts), F.lit(""))
+
+    lines = [F.concat(F.lit("gold課程："), name, F.lit("（"), unit, F.lit("）")), F.concat(F.lit("must（必須）："), side(must, "", True)), F.concat(F.lit("must_not（排除）："), side(must_not, "不要", False))]
+    return F.concat_ws("\n", *lines)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -20,8 +20,14 @@ def tokens(text: Column) -> Column:
 
 def character_bigrams(text: Column) -> Column:
     """Overlapping pairs of letters: a segmentation of unspaced scripts that needs no dictionary."""
-    bare = F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")
-    return F.when(F.length(bare) < 2, F.array(bare)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(2))))
+    letters = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", ""), ""), lambda c: c != "")
+    return F.when(F.size(letters) < 2, letters).otherwise(F.zip_with(F.slice(letters, 1, F.greatest(F.size(letters) - 1, F.lit(0))), F.slice(letters, 2, F.greatest(F.size(letters) - 1, F.lit(0))), lambda a, b: F.concat(a, b)))
+
+
+def mixed_tokens(text: Column) -> Column:
+    """Word tokens, of which those in Han script, which has no spaces, are cut into overlapping pairs: a tokenizer for Chinese catalogs."""
+    pairs = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
+    return F.flatten(F.transform(tokens(text), lambda t: F.when(t.rlike(r"\p{IsHan}"), pairs(t)).otherwise(F.array(t))))
 
 
 @F.pandas_udf(StringType())
@@ -121,6 +127,13 @@ def row_key(model: Column, text: Column) -> Column:
     return F.substring(F.sha2(F.concat(model, F.lit("\u0001"), text), 256), 1, 16)
 
 
+def corpus_key(rows: DataFrame, model: str, text: str) -> DataFrame:
+    """One row, key: the content key of a whole table of texts for one model, whatever the order of its rows."""
+    number = F.conv(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    summed = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(number), F.lit(0).cast("decimal(38,0)")).alias("total"))
+    return summed.select(F.substring(F.sha2(F.concat_ws("|", F.lit(model), "n", F.col("total").cast("decimal(38,0)").cast("string")), 256), 1, 16).alias("key"))
+
+
 def first_json_object(text: Column) -> Column:
     """The text from the first opening to the last closing brace if that parses as JSON, else null."""
     found = F.regexp_extract(text, r"(?s)\{.*\}", 0)

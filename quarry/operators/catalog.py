@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -110,3 +111,29 @@ def request_envelope(custom_id: Column, model: str, prompt_text: Column, max_tok
     message = F.array(F.struct(F.lit("user").alias("role"), prompt_text.alias("content")))
     body = F.struct(F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"), message.alias("messages"))
     return F.to_json(F.struct(custom_id.alias("custom_id"), F.lit("POST").alias("method"), body.alias("body")))
+
+
+def given(value: Column, placeholder: str, cut: int | None = None) -> Column:
+    """A field of a prompt: cut to some characters, or a placeholder where it is empty."""
+    text = F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.lit(placeholder))
+    return text if cut is None else F.substring(text, 1, cut)
+
+
+def render(template: str, fields: dict[str, Column]) -> Column:
+    """A template with its {names} filled in."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(fields[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(pieces) if i % 2 or p))
+
+
+def query_prompt_fields(c: dict[str, Column]) -> dict[str, Column]:
+    """Fields of the prompt that asks for queries: the objective is cut to 500 characters and the schedule to 300."""
+    schedule = F.coalesce(F.nullif(c["schedule"], F.lit("")), c["syllabus"])
+    plain = {n: c[n] for n in ("name", "teacher", "unit", "point")}
+    return plain | {"lang": given(c["lang"], "—"), "objective": given(c["objective"], "（無）", 500), "schedule": given(schedule, "（無）", 300)}
+
+
+def metadata_prompt_fields(c: dict[str, Column], tags: list[str]) -> dict[str, Column]:
+    """Fields of the prompt that asks for metadata: objective and schedule are cut to 600 characters each, and the allowed tags are listed."""
+    schedule = F.coalesce(F.nullif(c["schedule"], F.lit("")), c["syllabus"])
+    plain = {n: c[n] for n in ("name", "name_en", "teacher", "point", "lang", "kind", "unit")}
+    return plain | {"lmt_kind": given(c["lmt_kind"], "—"), "objective": given(c["objective"], "（無）", 600), "schedule": given(schedule, "（無）", 600), "tags": F.lit("、".join(tags))}

@@ -11,44 +11,76 @@ from pyspark.sql import functions as F
 
 from .lexical import top_hits
 
-QUERY_BLOCK, BATCH_ROWS = 2048, 10_000
+#: Rows of a block of queries and of documents; with a pool, a pair of blocks must hold all its (query, document) pairs too.
+QUERY_BLOCK, DOC_BLOCK = 8192, 20_000
+POOL_QUERY_BLOCK, POOL_DOC_BLOCK = 1024, 4096
+#: Queries of one matrix product.
+STEP = 256
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, exclude_self: bool = False, allowed: DataFrame | None = None) -> DataFrame:
     """qid, doc_id, score, rank: the k largest dot products of ``queries`` (qid, vector) with ``vectors`` (doc_id, vector).
 
-    Queries are gathered in blocks of a fixed number.  Each block meets every partition of the documents in
-    one matrix product, whose k best a query leave the task; with ``allowed`` (qid, doc_id),
-    all products do, and the pool is cut before ranking.  Nothing has a floor or a cap but k.
+    Both sides are dealt into blocks by hash, and each pair of blocks is one group: a few matrix products, of
+    which the k best a query leave the task.  ``allowed`` (qid, doc_id) is dealt likewise, and masks the
+    products before the cut.  Nothing has a floor or a cap but k, and nothing passes through the driver but two counts.
     """
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.ceil(F.lit(queries.count() / QUERY_BLOCK) + 1e-9))).groupBy("block")
-    blocks = blocks.agg(F.collect_list("qid").alias("qids"), F.collect_list("vector").alias("qvectors"))  # about QUERY_BLOCK rows each
-    keep = k if allowed is None else None
-
-    def multiply(block: int, qids: list, matrix: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            if not len(ids):
-                continue
-            docs = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(len(ids), -1)
-            scores = matrix @ docs.T
+    per_query, per_doc = (QUERY_BLOCK, DOC_BLOCK) if allowed is None else (POOL_QUERY_BLOCK, POOL_DOC_BLOCK)
+    n_queries, n_docs = (max(1, -(-df.count() // size)) for df, size in ((queries, per_query), (vectors, per_doc)))
+    of_query = F.pmod(F.xxhash64("qid"), F.lit(n_queries)).cast("int")
+    of_doc = F.pmod(F.xxhash64("doc_id"), F.lit(n_docs)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = F.lit(None).cast("long")
+    asked = queries.select(of_query.alias("qb"), every(n_docs).alias("db"), F.col("qid").cast("long").alias("qid"), none.alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"))
+    stored = vectors.select(every(n_queries).alias("qb"), of_doc.alias("db"), none.alias("qid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = asked.unionByName(stored)
+    if allowed is not None:
+        rows = rows.unionByName(allowed.select(of_query.alias("qb"), of_doc.alias("db"), F.col("qid").cast("long").alias("qid"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("array<double>").alias("vector")))
+
+    masked = allowed is not None
+
+    def multiply(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        has_q, has_d = (table.column(c).is_valid().to_numpy() for c in ("qid", "doc_id"))
+
+        def side(mask: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+            rows = table.filter(pa.array(mask))
+            ids = rows.column(name).to_numpy()
+            return ids, rows.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+
+        if not (has_q & ~has_d).any() or not (has_d & ~has_q).any():
+            return
+        qids, left = side(has_q & ~has_d, "qid")
+        ids, right = side(has_d & ~has_q, "doc_id")
+        pairs = table.filter(pa.array(has_q & has_d))
+        order_q, order_d = np.argsort(qids, kind="stable"), np.argsort(ids, kind="stable")
+        qids, left, ids, right = qids[order_q], left[order_q], ids[order_d], right[order_d]
+        for begin in range(0, len(qids), STEP):
+            some = qids[begin : begin + STEP]
+            scores = left[begin : begin + STEP] @ right.T
+            if masked:
+                mask = np.zeros(scores.shape, dtype=bool)
+                pq, pd = pairs.column("qid").to_numpy(), pairs.column("doc_id").to_numpy()
+                inside = (pq >= some[0]) & (pq <= some[-1])
+                pq, pd = pq[inside], pd[inside]
+                known = np.isin(pq, some) & np.isin(pd, ids)
+                pq, pd = pq[known], pd[known]
+                for i in range(int(np.bincount(np.unique(qids, return_inverse=True)[1]).max())):  # an id may stand on several rows
+                    for j in range(int(np.bincount(np.unique(ids, return_inverse=True)[1]).max())):
+                        q, d = np.searchsorted(some, pq) + i, np.searchsorted(ids, pd) + j
+                        q, d = np.minimum(q, len(some) - 1), np.minimum(d, len(ids) - 1)
+                        same = (some[q] == pq) & (ids[d] == pd)
+                        mask[q[same], d[same]] = True
+                scores[~mask] = -np.inf
             if exclude_self:
-                scores[np.asarray(qids)[:, None] == ids[None, :]] = -np.inf
-            if keep is not None and scores.shape[1] > keep + 1:
+                scores[some[:, None] == ids[None, :]] = -np.inf
+            if scores.shape[1] > k + 1:
                 rounded = np.round(scores, 8)
-                floor = np.partition(rounded, -keep, axis=1)[:, -keep][:, None]
-                q, d = np.nonzero(rounded >= floor)  # ties at the border stay for the final ranking
+                floor = np.partition(rounded, -k, axis=1)[:, -k][:, None]
+                q, d = np.nonzero((rounded >= floor) & (scores > -np.inf))  # ties at the border stay for the final ranking
             else:
                 q, d = np.nonzero(scores > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(qids)[q]), pa.array(ids[d]), pa.array(scores[q, d])], names=["qid", "doc_id", "score"])
-
-    out = None
-    for row in blocks.toLocalIterator():  # one block of queries at a time on the driver
-        matrix = np.array(row.qvectors, dtype=np.float64)
-        part = vectors.select("doc_id", "vector").mapInArrow(lambda batches, b=row.block, q=row.qids, m=matrix: multiply(b, q, m, batches), "qid long, doc_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], "qid long, doc_id long, score double")
-    if allowed is not None:
-        out = out.join(allowed, ["qid", "doc_id"], "left_semi")
-    return top_hits(out, k).select("qid", "doc_id", "score", "rank")
+            yield pa.RecordBatch.from_arrays([pa.array(some[q]), pa.array(ids[d]), pa.array(scores[q, d])], names=["qid", "doc_id", "score"])
+
+    found = rows.groupBy("qb", "db").applyInArrow(multiply, "qid long, doc_id long, score double")
+    return top_hits(found, k).select("qid", "doc_id", "score", "rank")

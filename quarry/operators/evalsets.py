@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import query_key
+from ..session import scratch_path
 
 
 def merge_sources(sources: dict[str, DataFrame]) -> DataFrame:
@@ -25,6 +26,17 @@ def first_seen(rows: DataFrame, key: Column, *order: str) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
+def numbered(rows: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """Numbers rows from 0 by an order that tells all rows apart: ranges are sorted by themselves, and each starts where those before it end."""
+    path = scratch_path(rows.sparkSession, "numbered")
+    rows.repartitionByRange(*order).withColumn("range_id", F.spark_partition_id()).write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path)
+    sizes = placed.groupBy("range_id").agg(F.count(F.lit(1)).alias("rows_here"))
+    starts = sizes.withColumn("begin", F.sum("rows_here").over(Window.orderBy("range_id")) - F.col("rows_here")).drop("rows_here")  # a row a range
+    nth = F.row_number().over(Window.partitionBy("range_id").orderBy(*order))
+    return placed.withColumn("nth", nth).join(F.broadcast(starts), "range_id").withColumn(name, F.col("begin") + F.col("nth") - 1).drop("range_id", "nth", "begin")
+
+
 def hash_order(seed: str, column: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), column.cast("string")))
 
@@ -59,17 +71,38 @@ def inconsistencies(reasons: dict[str, Column]) -> Column:
 
 
 def pool_statistics(queries: DataFrame, pool: DataFrame, qrels: DataFrame) -> DataFrame:
-    """One row: n_queries, avg_pool, median_pool (the upper one), min_pool, max_pool, gold_in_pool.
-
-    The median comes from a count by size, so no list of all queries is gathered.
-    """
+    """One row: n_queries, avg_pool, median_pool (the upper one), min_pool, max_pool, gold_in_pool."""
     sizes = queries.select("qid").join(pool.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").fillna({"n": 0})
-    by_size = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("queries"))
-    running = by_size.select("n", F.sum("queries").over(Window.orderBy("n")).alias("up_to"))
-    total = sizes.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("n"), 6).alias("avg_pool"), F.min("n").alias("min_pool"), F.max("n").alias("max_pool"))
-    median = running.crossJoin(total.select("n_queries")).where(F.expr("up_to > n_queries div 2")).agg(F.min("n").alias("median_pool"))
+    upper = F.expr("percentile_disc(0.5) within group (order by n desc)").cast("long")
+    total = sizes.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("n"), 6).alias("avg_pool"), upper.alias("median_pool"), F.min("n").alias("min_pool"), F.max("n").alias("max_pool"))
     inside = qrels.join(pool.withColumn("inside", F.lit(1)), ["qid", "doc_id"], "left").agg(F.round(F.avg(F.coalesce("inside", F.lit(0))), 6).alias("gold_in_pool"))
-    return total.crossJoin(median).crossJoin(inside)
+    return total.crossJoin(F.broadcast(inside))
+
+
+def consistency(c: Column, known: Column, sessions: Column, lang: Column, unit: Column, point: Column, kind: Column) -> dict[str, Column]:
+    """Which of a query's parsed constraints ``c`` its gold record fails, by name; a check without a value on either side passes.
+
+    ``known`` tells whether the record exists; the others are its fields.
+    """
+    hours = F.flatten(F.transform(sessions, lambda s: F.when(s["end_hour"] > s["start_hour"], F.sequence(s["start_hour"], s["end_hour"] - 1)).otherwise(F.array().cast("array<int>"))))
+    bounded = c["hour_min"].isNotNull() | c["hour_max"].isNotNull()
+    inside = F.exists(hours, lambda h: (c["hour_min"].isNull() | (h >= c["hour_min"])) & (c["hour_max"].isNull() | (h <= c["hour_max"])))
+    named = lambda field, words: F.exists(words, lambda w: F.contains(F.coalesce(field, F.lit("")), w))
+    worth = F.coalesce(point, F.lit(0.0))
+    both = c["point_min"].isNotNull() & c["point_max"].isNotNull()
+    bad = {
+        "lang": (F.size(c["lang_include"]) > 0) & ~named(lang, c["lang_include"]),
+        "weekday": (F.size(c["weekday_include"]) > 0) & (F.size(sessions) > 0) & ~F.exists(sessions, lambda s: F.array_contains(c["weekday_include"], s["weekday"])),
+        "hour": bounded & (F.size(hours) > 0) & ~inside,
+        "unit": (F.size(c["unit_include"]) > 0) & ~named(unit, c["unit_include"]),
+        "point": both & ~worth.between(c["point_min"], c["point_max"]),
+        "kind": (F.size(c["kind_include"]) > 0) & ~F.coalesce(F.array_contains(c["kind_include"], kind), F.lit(False)),
+    }
+    return {"not_in_db": ~known, **{name: known & F.coalesce(failed, F.lit(False)) for name, failed in bad.items()}}
+
+
+#: Checks of the first consistency report, which names the first failure, and of the second, which names all.
+FIRST_CHECKS, ALL_CHECKS = ("not_in_db", "weekday", "hour", "kind"), ("not_in_db", "lang", "weekday", "hour", "unit", "point")
 
 
 def describe_text(rows: DataFrame, text: str) -> DataFrame:

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from ..session import scratch_path
 from ..sizes import small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SCORE_PLACES = 8
+Tokenizer = Callable[[Column], Column]
 
 
-def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
     """doc_id, term, tf, dl (the document's tokens); tasks add up their own rows before the shuffle."""
-    words = docs.select(F.col(doc).alias("doc_id"), tokens(F.col(text)).alias("words"))
+    words = docs.select(F.col(doc).alias("doc_id"), tokenizer(F.col(text)).alias("words"))
     terms = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
     return terms.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "term", "tf", "dl")
 
@@ -35,35 +40,59 @@ def term_weights(index: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Tables of an index (postings, one row of stats, term weights) and the tokenizer that its queries need too."""
+
+    postings: DataFrame
+    stats: DataFrame
+    weights: DataFrame
+    tokenizer: Tokenizer = tokens
+
+
+def write_index(docs: DataFrame, path: str | None = None, doc: str = "doc_id", text: str = "text", tokenizer: Tokenizer = tokens) -> Index:
+    """Builds the index once, as tables below ``path`` (a new folder in the shared scratch space by default).
+
+    Postings lie in ranges of (term, doc_id), so that a frequent term is spread over files, and readers skip
+    row groups by their terms.
+    """
+    spark = docs.sparkSession
+    path = path or scratch_path(spark, "index")
+    along = postings(docs, doc, text, tokenizer).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    along.write.parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    corpus_stats(docs, stored).write.parquet(f"{path}/stats")
+    stats = spark.read.parquet(f"{path}/stats")
+    term_weights(stored, stats).write.parquet(f"{path}/weights")
+    return read_index(docs, path, tokenizer)
+
+
+def read_index(docs: DataFrame, path: str, tokenizer: Tokenizer = tokens) -> Index:
+    read = docs.sparkSession.read.parquet
+    return Index(read(f"{path}/postings"), read(f"{path}/stats"), read(f"{path}/weights"), tokenizer)
+
+
 def top_hits(scored: DataFrame, k: int, by: str = "qid") -> DataFrame:
     """The k best per query by rounded score, then doc_id; rank from 1."""
     order = Window.partitionBy(by).orderBy(F.round("score", SCORE_PLACES).desc(), F.col("doc_id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def score_bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def score_bm25(queries: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFrame:
     """qid, doc_id, score of every document that shares a term with the query (qid, text); repeated query terms count again."""
-    wanted = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weights = term_weights(index, stats).join(small(wanted.select("term").distinct()), "term", "left_semi")
+    wanted = queries.select("qid", F.explode(index.tokenizer(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     norm = F.lit(k1) * (1 - b + F.lit(b) * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    matched = index.join(small(wanted.join(weights, "term")), "term").crossJoin(F.broadcast(stats))
+    matched = index.postings.join(small(wanted.join(index.weights, "term")), "term").crossJoin(F.broadcast(index.stats))
     return matched.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def build_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings and statistics, kept for the searches that follow; at scale, write the postings as a table and pass that."""
-    index = postings(docs).persist()
-    return index, corpus_stats(docs, index)
-
-
-def bm25_search(queries: DataFrame, docs: DataFrame, k: int = 10, allowed: DataFrame | None = None, built: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def bm25_search(queries: DataFrame, index: Index, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
     """qid, doc_id, score, rank.  The k best are cut first, then scores that aren't positive are dropped.
 
     ``allowed`` (qid, doc_id) restricts the ranking; the statistics stay those of all documents.
-    ``built`` is an index of ``docs`` to search again.
     """
-    scored = score_bm25(queries, *(built or build_index(docs)))
+    scored = score_bm25(queries, index)
     if allowed is not None:
         scored = scored.join(allowed, ["qid", "doc_id"], "left_semi")
     return top_hits(scored, k).where("score > 0").select("qid", "doc_id", "score", "rank")

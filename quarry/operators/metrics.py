@@ -39,3 +39,21 @@ def compare_runs(a: DataFrame, b: DataFrame, slices: DataFrame, metric: str = "h
     sides = a.where(F.col("k") == k).select("qid", F.col(metric).alias("a")).join(b.where(F.col("k") == k).select("qid", F.col(metric).alias("b")), "qid").join(slices, "qid")
     sides = sides.groupingSets([[], ["slice"]], "slice")
     return sides.agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("a"), F.avg("b").alias("b"), ((F.avg("b") - F.avg("a")) * 100).alias("points"))
+
+
+def first_misses(hits: DataFrame, queries: DataFrame, qrels: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` of ``queries`` (qid, ...) of whose gold no document was found."""
+    found = hits.join(qrels, ["qid", "doc_id"], "left_semi").select("qid")
+    return queries.join(found, "qid", "left_anti").orderBy("qid").limit(n)
+
+
+def report_lines(configs: DataFrame, results: DataFrame) -> DataFrame:
+    """A report as Markdown, a row a line: configs (position, label, run) in order, with their results (run, n, recall, ndcg, mrr, ms) or dashes; the best recall is named last."""
+    both = configs.join(results, "run", "left")
+    dash = F.lit("—")
+    cell = lambda c, form: F.when(F.col("n").isNull(), dash).otherwise(F.format_string(form, c))
+    cells = ["label", F.when(F.col("n").isNull(), dash).otherwise(F.col("n").cast("string")), *(cell(F.col(c).cast("double"), "%.3f") for c in ("recall", "ndcg", "mrr")), cell(F.col("ms").cast("double"), "%.0fms")]
+    lines = both.select("position", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    best = both.where("n is not null").agg(F.max_by(F.struct("label", "recall"), F.struct("recall", -F.col("position"))).alias("best"))
+    last = best.select(F.lit(1 << 30).alias("position"), F.concat(F.lit("best: "), F.coalesce("best.label", dash), F.lit(", R@10="), F.format_string("%.3f", F.coalesce(F.col("best.recall").cast("double"), F.lit(0.0)))).alias("line"))
+    return lines.unionByName(last)

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import tokens
-from .lexical import top_hits
+from .lexical import Tokenizer, top_hits
 
 RRF_K = 60
 
@@ -32,21 +33,21 @@ def rrf(runs: DataFrame, top_k: int = 20, k: int = RRF_K, weights: DataFrame | N
     return top_hits(fused.withColumn("list", F.struct(*by)), top_k, "list").select(*by, "doc_id", "score", "rank")
 
 
-def overlap_score(query: Column, text: Column) -> Column:
+def overlap_score(query: Column, text: Column, tokenizer: Tokenizer = tokens) -> Column:
     """A deterministic stand-in for a cross-encoder: the share of the query's distinct tokens that the text holds."""
-    wanted = F.array_distinct(tokens(query))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(wanted, tokens(text))), F.size(wanted)), F.lit(0.0))
+    wanted = F.array_distinct(tokenizer(query))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(wanted, tokenizer(text))), F.size(wanted)), F.lit(0.0))
 
 
-def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
+def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = overlap_score, normalise: bool = False) -> DataFrame:
     """Scores every (query, document) pair of ``hits`` with ``scorer`` (a column of two columns, or an Arrow UDF) and ranks anew.
 
-    The pairs are one table, so batches are Arrow's and balancing is Spark's.  Ties keep the order of the first ranking.
+    ``normalise`` puts raw scores (logits) between 0 and 1 by a sigmoid.  The pairs are one table, so batches are Arrow's and
+    balancing is Spark's.  Ties keep the order of the first ranking.
     """
     pairs = hits.select("qid", "doc_id", F.col("rank").alias("before")).join(queries.select("qid", F.col("text").alias("query")), "qid")
-    pairs = pairs.join(docs.select("doc_id", "text"), "doc_id").withColumn("score", scorer(F.col("query"), F.col("text")).cast("double"))
-    from pyspark.sql.window import Window
-
+    score = scorer(F.col("query"), F.col("text")).cast("double")
+    pairs = pairs.join(docs.select("doc_id", "text"), "doc_id").withColumn("score", 1 / (1 + F.exp(-score)) if normalise else score)
     order = Window.partitionBy("qid").orderBy(F.round("score", 8).desc(), "before")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "doc_id", "score", "rank")
 

@@ -28,6 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import catalog, evalsets, filters, parsers, retrieval  # noqa: F401
+    from . import catalog, evalsets, filters, parsers, plans, retrieval, synthesis  # noqa: F401
 
     return QUERIES, ORACLE_SQL

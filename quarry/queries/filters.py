@@ -11,7 +11,7 @@ from ..plans.search import SearchPlan
 from ..schema import CONDITIONS, CONSTRAINTS
 from ..sizes import small
 from . import query, table
-from .retrieval import K, _BASE, _leg, _metrics_sql, gold, items, rounded
+from .retrieval import K, _BASE, _leg, _metrics_sql, gold, index_of, items, rounded
 
 _SES = """
 WITH e AS (SELECT DISTINCT concat(user_id, '/', event_type) AS slot, isodow(ts) AS w, hour(ts) AS a, hour(ts) + 1 AS b FROM events),
@@ -208,7 +208,7 @@ _PRE = _BASE.replace("gold AS (", _POOL.strip() + ",\ngold AS (") + _leg("l1", "
 @query("prefilter_ranking", _PRE + "SELECT qid, doc_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM l1")
 def prefilter_ranking(spark, d):
     """The pool cuts between scoring and ranking; the statistics stay those of the corpus."""
-    plan = SearchPlan(retrieve_k=10, top_k=10, allowed=pool(spark, d))
+    plan = SearchPlan(index_of(spark, d), retrieve_k=10, top_k=10, allowed=pool(spark, d))
     return rounded(plan.run(items(spark, d), table(spark, d, "documents")), "score")
 
 
@@ -220,7 +220,7 @@ def prefilter_variants(spark, d):
     sizes = {"no_filter": docs.agg(F.count(F.lit(1)).cast("double").alias("avg_pool")), "oracle": allowed.agg(F.count(F.lit(1)).alias("p")).crossJoin(n).select((F.col("p") / F.col("n")).alias("avg_pool"))}
     out = None
     for name, cut in {"no_filter": None, "oracle": allowed}.items():
-        hits = lexical.bm25_search(queries, docs, 10, cut).join(qrels, ["qid", "doc_id"], "left_semi").agg(F.count_distinct("qid").alias("found"))
+        hits = lexical.bm25_search(queries, index_of(spark, d), 10, cut).join(qrels, ["qid", "doc_id"], "left_semi").agg(F.count_distinct("qid").alias("found"))
         part = hits.crossJoin(n).crossJoin(sizes[name]).select(F.lit(name).alias("variant"), F.round("avg_pool", 4).alias("avg_pool"), F.round(F.col("found") / F.col("n"), 6).alias("hit_rate"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -253,7 +253,7 @@ def smart_filter(spark, d):
     _BASE + _leg("l1", "q1") + "SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM l1 JOIN documents USING (doc_id) WHERE CASE qid % 3 WHEN 1 THEN lang = 'en' AND NOT contains(source, 'src7') WHEN 2 THEN lang NOT IN ('fr', 'de') ELSE true END",
 )
 def smart_post_filter(spark, d):
-    return SearchPlan(retrieve_k=K, top_k=K, post_filter=smart_filter(spark, d)).run(items(spark, d), table(spark, d, "documents")).select("qid", "doc_id", "rank")
+    return SearchPlan(index_of(spark, d), retrieve_k=K, top_k=K, post_filter=smart_filter(spark, d)).run(items(spark, d), table(spark, d, "documents")).select("qid", "doc_id", "rank")
 
 
 @query(
@@ -267,7 +267,7 @@ pf AS (SELECT qid, doc_id, rank FROM rr JOIN documents USING (doc_id) WHERE CASE
 )
 def search_pipeline(spark, d):
     """Retrieval, re-ranking cut to 10, smart filter, metrics."""
-    plan = SearchPlan(retrieve_k=K, top_k=10, scorer=rank.overlap_score, post_filter=smart_filter(spark, d))
+    plan = SearchPlan(index_of(spark, d), retrieve_k=K, top_k=10, scorer=rank.overlap_score, post_filter=smart_filter(spark, d))
     hits = plan.run(items(spark, d), table(spark, d, "documents"))
     return rounded(metrics.macro(metrics.per_query(items(spark, d), hits, gold(spark, d), (5, 10))), "recall", "hit", "mrr", "ndcg", places=6)
 

@@ -22,20 +22,40 @@ def long_words(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.array_join(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 5), " ").alias("text"))
 
 
-def gold(spark, d) -> DataFrame:
-    """qid, doc_id: the documents whose text contains the item."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
-    return docs.join(small(items(spark, d)), F.contains("body", "text")).select("qid", "doc_id")
+_indexes: dict[tuple[str, str, str], lexical.Index] = {}
+
 
+def index_of(spark, d, tokenizer: lexical.Tokenizer = tokens) -> lexical.Index:
+    """The index of the documents; the first query of an application that asks for it writes it."""
+    key = (spark.sparkContext.applicationId, d, tokenizer.__name__)
+    if key not in _indexes:
+        _indexes[key] = lexical.write_index(table(spark, d, "documents"), tokenizer=tokenizer)
+    return _indexes[key]
 
-def leg(spark, d, form=None, k: int = K, built=None) -> DataFrame:
+
+def gold(spark, d) -> DataFrame:
+    """qid, doc_id: the documents whose text contains the item.
+
+    A document that contains an item holds its inner tokens, so its rarest inner token finds the candidates in the index,
+    and only their texts are compared.  Items without inner tokens are compared with all texts.
+    """
+    index, docs = index_of(spark, d), table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
+    words = items(spark, d).withColumn("words", tokens(F.col("text")))
+    inner = words.where("size(words) > 2").select("qid", "text", F.explode(F.expr("slice(words, 2, size(words) - 2)")).alias("term"))
+    rarest = inner.join(index.weights, "term", "left").groupBy("qid", "text").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "term"))["term"].alias("term"))
+    candidates = index.postings.join(small(rarest), "term").select("qid", "text", "doc_id")
+    found = docs.join(candidates, "doc_id").where(F.contains("body", "text")).select("qid", "doc_id")
+    short = small(words.where("size(words) <= 2").select("qid", "text"))
+    return found.unionByName(docs.join(short, F.contains("body", "text")).select("qid", "doc_id"))
+
+
+def leg(spark, d, form=None, k: int = K) -> DataFrame:
     queries = items(spark, d)
-    return lexical.bm25_search(form(queries) if form else queries, table(spark, d, "documents"), k, built=built)
+    return lexical.bm25_search(form(queries) if form else queries, index_of(spark, d), k)
 
 
 def both_legs(spark, d, k: int = K) -> dict[str, DataFrame]:
-    built = lexical.build_index(table(spark, d, "documents"))
-    return {"full": leg(spark, d, None, k, built), "long": leg(spark, d, long_words, k, built)}
+    return {"full": leg(spark, d, None, k), "long": leg(spark, d, long_words, k)}
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 5) -> DataFrame:
@@ -91,14 +111,14 @@ def bm25_postings(spark, d):
 
 @query("bm25_corpus_stats", _BASE + "SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM idf) AS n_terms, round((SELECT avg(idf) FROM idf), 6) AS mean_idf FROM st")
 def bm25_corpus_stats(spark, d):
-    index, stats = lexical.build_index(table(spark, d, "documents"))
-    weights = lexical.term_weights(index, stats).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.avg("idf"), 6).alias("mean_idf"))
-    return stats.select("n_docs", F.round("avgdl", 6).alias("avgdl")).crossJoin(F.broadcast(weights))
+    index = index_of(spark, d)
+    weights = index.weights.agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.avg("idf"), 6).alias("mean_idf"))
+    return index.stats.select("n_docs", F.round("avgdl", 6).alias("avgdl")).crossJoin(F.broadcast(weights))
 
 
 @query("bm25_term_weights", _BASE + "SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_term_weights(spark, d):
-    return rounded(lexical.term_weights(*lexical.build_index(table(spark, d, "documents"))), "idf", places=6)
+    return rounded(index_of(spark, d).weights, "idf", places=6)
 
 
 @query("bm25_topk", _BASE + _leg("l1", "q1", 10) + "SELECT qid, doc_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM l1")
@@ -172,7 +192,7 @@ def rrf_weight_sweep(spark, d):
     pairs = [(a, 1.0) for a in (0.5, 1.0, 1.5, 2.0, 3.0, 5.0)] + [(1.0, b) for b in (1.5, 2.0, 3.0)]
     settings = spark.createDataFrame(pairs, "w_full double, w_long double")
     weights = settings.select("w_full", "w_long", F.explode(F.create_map(F.lit("full"), "w_full", F.lit("long"), "w_long")).alias("run", "weight"))
-    runs = rank.union_runs(both_legs(spark, d, 50)).persist()
+    runs = rank.union_runs(both_legs(spark, d, 50))
     fused = rank.rrf(runs, 50, weights=weights, by=("w_full", "w_long", "qid"))
     best = fused.join(gold(spark, d), ["qid", "doc_id"]).groupBy("w_full", "w_long", "qid").agg(F.min("rank").alias("best"))
     n = items(spark, d).agg(F.count(F.lit(1)).alias("n"))
@@ -191,7 +211,7 @@ l2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rou
 )
 def hybrid_lexical_dense(spark, d):
     """Lexical hits fused with the neighbours of the smallest of the ten best hits that has a vector."""
-    hits = leg(spark, d).persist()
+    hits = leg(spark, d)
     _, vectors = _vectors(spark, d)
     anchors = hits.where("rank <= 10").join(vectors.select("doc_id"), "doc_id", "left_semi").groupBy("qid").agg(F.min("doc_id").alias("doc_id"))
     queries = anchors.join(vectors, "doc_id").select("qid", "vector")
@@ -219,9 +239,10 @@ def config_legs(spark, d):
     """Two configurations of the same pipeline, evaluated: one leg as it is, or both fused."""
     from ..plans.search import SearchPlan
 
-    docs, queries, qrels = table(spark, d, "documents"), items(spark, d), gold(spark, d).persist()
+    docs, queries, qrels = table(spark, d, "documents"), items(spark, d), gold(spark, d)
+    index = index_of(spark, d)
     out = None
-    for name, plan in {"lexical": SearchPlan(forms={"full": None}), "rrf": SearchPlan(forms={"full": None, "long": long_words})}.items():
+    for name, plan in {"lexical": SearchPlan(index), "rrf": SearchPlan(index, forms={"full": None, "long": long_words})}.items():
         per = metrics.per_query(queries, plan.run(queries, docs), qrels, (10,))
         part = metrics.macro(per).select(F.lit(name).alias("config"), "n", F.round("hit", 6).alias("hit"), F.round("mrr", 6).alias("mrr"))
         out = part if out is None else out.unionByName(part)
@@ -302,7 +323,7 @@ def rescued_broken(spark, d):
 
 @query("miss_inspection", _BASE + _leg("l1", "q1", 10) + "SELECT qid, text, (SELECT count(*) FROM gold g WHERE g.qid = q1.qid) AS n_gold FROM q1 WHERE qid NOT IN (SELECT qid FROM l1 SEMI JOIN gold USING (qid, doc_id))")
 def miss_inspection(spark, d):
-    qrels = gold(spark, d).persist()
+    qrels = gold(spark, d)
     found = leg(spark, d, k=10).join(qrels, ["qid", "doc_id"], "left_semi").select("qid")
     n = qrels.groupBy("qid").agg(F.count(F.lit(1)).alias("n_gold"))
     return items(spark, d).join(found, "qid", "left_anti").join(n, "qid", "left").fillna({"n_gold": 0})

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..schema import EVAL_ROWS
 
@@ -41,16 +40,26 @@ def gold_of(gold: Column, single: Column) -> Column:
     return F.array_distinct(F.when(F.coalesce(F.size(gold) > 0, F.lit(False)), gold).otherwise(F.array(single)))
 
 
-def latest_by_key(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """An upsert: the rows of both, where a new row takes the place of an old one with its key."""
-    both = old.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy(F.desc("is_new"))
-    return both.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth", "is_new")
+def _one_a_key(rows: DataFrame, keys: tuple[str, ...], order: Column | None) -> DataFrame:
+    """One row a key: the greatest by ``order``, or else by the other columns, so that a repeated task picks the same."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.struct(*([order.alias("order")] if order is not None else []), *rest)
+    picked = rows.groupBy(*keys).agg(F.max(best).alias("best"))
+    return picked.select(*keys, *(F.col("best")[c].alias(c) for c in rest)).select(*rows.columns)
 
 
-def insert_absent(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """An insert that leaves rows alone whose key is there."""
-    return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
+def latest_by_key(old: DataFrame, new: DataFrame, *keys: str, order: Column | None = None) -> DataFrame:
+    """An upsert: the rows of both, where a new row takes the place of an old one with its key.
+
+    Of several new rows with one key the last by ``order`` counts, or the greatest by its other columns.
+    """
+    chosen = _one_a_key(new, keys, order)
+    return old.join(chosen.select(*keys), list(keys), "left_anti").select(*old.columns).unionByName(chosen, allowMissingColumns=True)
+
+
+def insert_absent(old: DataFrame, new: DataFrame, *keys: str, order: Column | None = None) -> DataFrame:
+    """An insert that leaves rows alone whose key is there, and puts one row in for each key that isn't."""
+    return old.unionByName(_one_a_key(new.join(old.select(*keys), list(keys), "left_anti"), keys, order), allowMissingColumns=True)
 
 
 def not_done(todo: DataFrame, done: DataFrame, *keys: str) -> DataFrame:

@@ -26,5 +26,5 @@ def test_fusion_adds_repeated_documents(spark):
 def test_bm25_drops_scores_that_are_not_positive(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a"), (3, "a c"), (4, "")], "doc_id long, text string")
     queries = spark.createDataFrame([(1, "b b"), (2, ""), (3, "zzz")], "qid long, text string")
-    hits = lexical.bm25_search(queries, docs, 10).collect()
+    hits = lexical.bm25_search(queries, lexical.write_index(docs), 10).collect()
     assert [(h.qid, h.doc_id, h.rank) for h in hits] == [(1, 1, 1)]
