@@ -66,6 +66,8 @@ SLICE_CHARACTERS, SLICE_DOCUMENTS = 1 << 21, 1 << 16
 CELL_MEMBERS, CELL_SHINGLES = 512, 1_500_000
 #: Pivots of a large cell, on average, and rounds after which its regions are joined block by block.
 PIVOTS, ROUNDS = 16, 8
+#: A cell is left to blocks when a pivot's region holds more than this share of it.
+SHRINKS = 0.8
 #: Regions of up to this many members are joined by one matrix product.
 LEAF_MEMBERS = 12
 _FIRST = np.uint64(0x5851F42D4C957F2D)
@@ -419,8 +421,9 @@ def small_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("cell", "member").join(sets, "member").select("cell", "member", "n_shingles", "shared").groupBy("cell").applyInArrow(_joined(percent), _LINKS)
 
 
-def round_of_pivots(rows: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """One step of the recursion over large cells (cell, member, class): links to pivots, and the regions that are left as new cells (cell, member, class, was)."""
+def round_of_pivots(rows: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One step of the recursion over large cells (cell, member, class; sizes: cell, members, blocks): links to pivots; the cells
+    that windows don't shrink, with their sizes; and the regions that are left of the others as new cells."""
     radius = (100 - percent) / 100
     sized = stored(rows.join(sizes.select("cell", "members", "blocks"), "cell"), "large")  # cells that are joined are few: each has over CELL_MEMBERS rows
     pivots = sized.where(F.pmod(F.xxhash64("member", F.lit(5)), F.col("members")) < PIVOTS).select("cell", F.col("member").alias("pivot"), "blocks")
@@ -463,10 +466,15 @@ def round_of_pivots(rows: DataFrame, sizes: DataFrame, sets: DataFrame, percent:
     classes = hit.select("cell", "class", F.array_min("hits").alias("pivot")).join(tops, ["cell", "pivot"]).select("cell", "class", "top")
     merged = measured.join(stored(classes, "classes"), ["cell", "class"], "left").select("cell", "member", F.coalesce("top", "class").alias("class"), "near")
     merged = stored(merged, "merged")
-    regions = merged.select("cell", "member", "class", F.explode("near").alias("pivot"))
-    regions = regions.select(F.xxhash64("cell", "pivot").alias("cell"), "member", "class", F.col("cell").alias("was"))
+    reached = merged.select("cell", F.explode("near").alias("pivot")).groupBy("cell", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    state = merged.groupBy("cell").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other").select("cell")
+    state = state.join(reached.groupBy("cell").agg(F.max("n").alias("largest_region")), "cell").join(sizes.select("cell", "members", "blocks"), "cell")
+    state = stored(state.withColumn("stuck", (F.col("largest_region") > SHRINKS * F.col("members")) | F.lit(last)), "state")
+    stuck = merged.join(state.where("stuck").select("cell"), "cell", "left_semi").select("cell", "member", "class")
+    regions = merged.join(state.where("not stuck").select("cell"), "cell", "left_semi").select("cell", "member", "class", F.explode("near").alias("pivot"))
+    regions = regions.select(F.xxhash64("cell", "pivot").alias("cell"), "member", "class")
     several = regions.groupBy("cell").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other")
-    return stored(links, "pivot_links"), stored(regions.join(several.select("cell"), "cell", "left_semi"), "regions")
+    return stored(links, "pivot_links"), stuck, state.where("stuck").select("cell", "members", "blocks"), stored(regions.join(several.select("cell"), "cell", "left_semi"), "regions")
 
 
 def block_links(rows: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -489,29 +497,24 @@ def block_links(rows: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int
 
 def cell_links(cell_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) of a spanning forest of the links within all cells; sets: member, n_shingles, held, shared."""
-    links = None
-    rows, depth = cell_rows.withColumn("class", F.col("member")).withColumn("was", F.lit(None).cast("long")), 0
-    before = None  # members of the cells of the last round
+    links, depth = None, 0
+    rows = cell_rows.withColumn("class", F.col("member"))
     while True:
-        sizes = rows.join(sets.select("member", "held"), "member").groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.sum("held").alias("shingles"), F.max("was").alias("was"))
+        sizes = rows.join(sets.select("member", "held"), "member").groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.sum("held").alias("shingles"))
         blocks = F.ceil(F.greatest(F.col("shingles") / F.lit(CELL_SHINGLES), F.col("members") / F.lit(CELL_MEMBERS))).cast("int")
-        sizes = stored(sizes.select("cell", "members", blocks.alias("blocks"), "was"), "sizes")
-        large = sizes.where("blocks > 1")
+        sizes = stored(sizes.select("cell", "members", blocks.alias("blocks")), "sizes")
         found = small_links(rows.join(sizes.where("blocks = 1 and members > 1"), "cell", "left_semi"), sets, percent)
-        if large.isEmpty():
-            found = stored(found, "links")
-            return found if links is None else links.unionByName(found)
-        if before is not None:
-            stuck = large.join(before, "was").where((F.col("members") > 0.8 * F.col("members_before")) | F.lit(depth >= ROUNDS)).select("cell", "members", "blocks")
-            stuck = stored(stuck, "stuck")
-            found = found.unionByName(block_links(rows.join(stuck, "cell", "left_semi"), stuck, sets, percent))
-            large = large.join(stuck, "cell", "left_anti")
+        large = sizes.where("blocks > 1")
+        rest = None
+        if not large.isEmpty():
+            of_pivots, stuck, stuck_sizes, rest = round_of_pivots(rows.join(large, "cell", "left_semi"), large, sets, percent, depth >= ROUNDS)
+            found = found.unionByName(of_pivots)
+            if not stuck_sizes.isEmpty():
+                found = found.unionByName(block_links(stuck, stuck_sizes, sets, percent))
         found = stored(found, "links")
         links = found if links is None else links.unionByName(found)
-        large = stored(large, "large_cells")
-        of_pivots, rest = round_of_pivots(rows.join(large, "cell", "left_semi").select("cell", "member", "class"), large, sets, percent)
-        links = links.unionByName(of_pivots)
-        before = large.select(F.col("cell").alias("was"), F.col("members").alias("members_before"))
+        if rest is None or rest.isEmpty():
+            return links
         rows, depth = rest, depth + 1
 
 
