@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import slices_of_bytes
+from .words import text_slices
 
 # Element names and rules of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -380,8 +380,7 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices_of_bytes(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([visible_text(t) for t in texts[a:b]], pa.string())], names=["page_id", "text"])
+            for a, b, texts in text_slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([visible_text(t) for t in texts], pa.string())], names=["page_id", "text"])
 
     return pages.select("page_id", column).mapInArrow(extract, "page_id long, text string")

@@ -54,14 +54,14 @@ from pyspark.sql import functions as F
 
 from .common import carried, lookup, on_keys, stored
 from .components import connected_components, forest
-from .words import distinct_shingles, mix64, slices_of_bytes
+from .words import distinct_shingles, mix64, text_slices
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 #: Characters of text for which there is one group of the hash space, and the most groups.
-GROUP_CHARACTERS, MOST_GROUPS = 1 << 24, 1 << 15
-#: A slice has about so many characters and at most so many documents (numbered by two bytes).
-SLICE_CHARACTERS, SLICE_DOCUMENTS = 1 << 21, 1 << 16
+GROUP_CHARACTERS, MOST_GROUPS = 1 << 23, 1 << 15
+#: A slice has about so many bytes of text and at most so many documents (numbered by two bytes).
+SLICE_BYTES, SLICE_DOCUMENTS = 1 << 20, 1 << 16
 #: Members and their shingles that one task of a cell may hold; larger cells go through rounds.
 CELL_MEMBERS, CELL_SHINGLES = 512, 1_500_000
 #: Pivots of a large cell, on average, and rounds after which its regions are joined block by block.
@@ -113,36 +113,33 @@ def requests(docs: DataFrame, text: str, n: int, groups: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
-            texts = batch.column(3).to_pylist()
             rows = batch.select([0, 1, 2])
-            for begin, end in slices_of_bytes(texts, SLICE_CHARACTERS):
-                for a in range(begin, end, SLICE_DOCUMENTS):
-                    b = min(end, a + SLICE_DOCUMENTS)
-                    h, owner = distinct_shingles(texts[a:b], n)
-                    sizes = np.bincount(owner, minlength=b - a)
-                    first = _runs(h)
-                    several = np.diff(np.append(first, len(h)))
-                    alone = first[several == 1]
-                    shared, many = h[first[several > 1]], several[several > 1]
-                    part = (h[alone] >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
-                    part2 = (shared >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
-                    edges, edges2 = (np.searchsorted(p, np.arange(groups + 1, dtype=np.uint64)) for p in (part, part2))
-                    h1, who, how_many = _packed(h[alone]), owner[alone].astype("<u2"), many.astype("<u4")
-                    h2 = _packed(shared)
-                    out = []
-                    for p in range(groups):
-                        i, j, k, m = edges[p], edges[p + 1], edges2[p], edges2[p + 1]
-                        if i < j or k < m:
-                            out.append((p, number, False, h1[6 * i : 6 * j], who[i:j].tobytes(), h2[6 * k : 6 * m], how_many[k:m].tobytes()))
-                    those = np.ones(len(h), dtype=bool)
-                    those[alone] = False
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, rows.schema) as writer:
-                        writer.write_batch(rows.slice(a, b - a))
-                    home = int(mix64(np.array([number], np.uint64))[0] % np.uint64(groups))
-                    out.append((home, number, True, sink.getvalue().to_pybytes(), sizes.astype("<u4").tobytes(), how_many.tobytes(), owner[those].astype("<u2").tobytes()))
-                    yield _message(out)
-                    number += 1
+            for a, b, texts in text_slices(batch.column(3), SLICE_BYTES, SLICE_DOCUMENTS):
+                h, owner = distinct_shingles(texts, n)
+                sizes = np.bincount(owner, minlength=b - a)
+                first = _runs(h)
+                several = np.diff(np.append(first, len(h)))
+                alone = first[several == 1]
+                shared, many = h[first[several > 1]], several[several > 1]
+                part = (h[alone] >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+                part2 = (shared >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+                edges, edges2 = (np.searchsorted(p, np.arange(groups + 1, dtype=np.uint64)) for p in (part, part2))
+                h1, who, how_many = _packed(h[alone]), owner[alone].astype("<u2"), many.astype("<u4")
+                h2 = _packed(shared)
+                out = []
+                for p in range(groups):
+                    i, j, k, m = edges[p], edges[p + 1], edges2[p], edges2[p + 1]
+                    if i < j or k < m:
+                        out.append((p, number, False, h1[6 * i : 6 * j], who[i:j].tobytes(), h2[6 * k : 6 * m], how_many[k:m].tobytes()))
+                those = np.ones(len(h), dtype=bool)
+                those[alone] = False
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as writer:
+                    writer.write_batch(rows.slice(a, b - a))
+                home = int(mix64(np.array([number], np.uint64))[0] % np.uint64(groups))
+                out.append((home, number, True, sink.getvalue().to_pybytes(), sizes.astype("<u4").tobytes(), how_many.tobytes(), owner[those].astype("<u2").tobytes()))
+                yield _message(out)
+                number += 1
 
     return docs.select("doc_id", *_text_hash(text), text).mapInArrow(send, _MESSAGE)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .words import slices_of_bytes
+from .words import text_slices
 
 SEQUENCE_TOKENS = 2048
 DIMENSIONS, BITS = 4, 8
@@ -126,9 +126,8 @@ def token_table(docs: DataFrame, tokenizer_path: str, text: str = "text", end_id
         directions = np.random.Generator(np.random.PCG64(7)).standard_normal((1 << 16, DIMENSIONS)).astype(np.float32)
         end = np.array([end_id], dtype=tokenizer.dtype).tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices_of_bytes(texts):
-                ids = [i + end for i in tokenizer.encode([t or "" for t in texts[a:b]])]
+            for a, b, texts in text_slices(batch.column(1)):
+                ids = [i + end for i in tokenizer.encode([t or "" for t in texts])]
                 means = np.stack([directions[np.frombuffer(i, tokenizer.dtype) & 0xFFFF].mean(axis=0) for i in ids])
                 cells = np.clip((np.tanh(means * 2) + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.int64)
                 sizes = [len(i) // tokenizer.dtype.itemsize for i in ids]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import carried
 from .labelled import by_hash, fold
-from .words import WordTable, slices_of_bytes
+from .words import WordTable, text_slices
 
 POSITIVES, UNLABELLED = 4000, 8000
 THRESHOLD = 0.7
@@ -99,9 +99,8 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
 def _matrix(docs: DataFrame, text: str) -> np.ndarray:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices_of_bytes(texts):
-                yield pa.RecordBatch.from_arrays([pa.array([row.astype("<f4").tobytes() for row in measures(texts[a:b])], pa.binary())], names=["row"])
+            for _, _, texts in text_slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array([row.astype("<f4").tobytes() for row in measures(texts)], pa.binary())], names=["row"])
 
     one_each = docs.where(F.trim(F.col(text)) != "").groupBy("doc_id").agg(F.min(text).alias(text)).select(text)  # as many rows as ids, however often they are repeated
     rows = one_each.mapInArrow(measure, "row binary").collect()  # bounded by the samples
@@ -141,9 +140,8 @@ def score_quality(docs: DataFrame, model, text: str = "text") -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices_of_bytes(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores_of(texts[a:b], shared.value))], names=["doc_id", "score"])
+            for a, b, texts in text_slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores_of(texts, shared.value))], names=["doc_id", "score"])
 
     return docs.select("doc_id", text).mapInArrow(score, "doc_id long, score double")
 
@@ -160,9 +158,8 @@ def without_rejected(docs: DataFrame, labels: DataFrame, text: str = "text", thr
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices_of_bytes(texts):
-                good = pa.array(scores_of(texts[a:b], shared.value) >= threshold)
+            for a, b, texts in text_slices(batch.column(1)):
+                good = pa.array(scores_of(texts, shared.value) >= threshold)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(good)], names=["whole"])
 
     rows = carried(docs, [F.col(text)])

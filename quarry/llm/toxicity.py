@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 from .common import lookup, stored
 from .labelled import by_hash, fit_logistic, fold
-from .words import WordTable, mix64, slices_of_bytes
+from .words import WordTable, mix64, text_slices
 
 ORDER = 6
 #: Discounts of counts of one, two, and three or more in a class; and of continuation counts.
@@ -86,9 +86,9 @@ def run_counts(docs: DataFrame, text: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, toxic = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=np.int64)
-            for a, b in ((a, min(b, a + MOST_TEXTS)) for begin, b in slices_of_bytes(texts, 1 << 22) for a in range(begin, b, MOST_TEXTS)):
-                runs, table, lengths = letter_runs(texts[a:b])
+            toxic = np.array(batch.column(1).to_pylist(), dtype=np.int64)
+            for a, b, texts in text_slices(batch.column(0), 1 << 21, MOST_TEXTS):
+                runs, table, lengths = letter_runs(texts)
                 owner = np.repeat(np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(table.bounds)), lengths)
                 once = np.unique(runs << np.uint64(16) | owner)
                 owner = toxic[a:b][(once & np.uint64(0xFFFF)).astype(np.int64)]
@@ -229,9 +229,8 @@ def evidence_by_broadcast(docs: DataFrame, text: str, table) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices_of_bytes(texts):
-                found = evidence(texts[a:b], table.value)
+            for a, b, texts in text_slices(batch.column(1)):
+                found = evidence(texts, table.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(found[:, i]) for i in range(EVIDENCE))], names=["doc_id", *_COLUMNS])
 
     return docs.select("doc_id", text).mapInArrow(measure, "doc_id long, " + ", ".join(f"{c} double" for c in _COLUMNS))
@@ -242,10 +241,9 @@ def evidence_by_join(docs: DataFrame, text: str, table: DataFrame) -> DataFrame:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices_of_bytes(texts):
+            for a, b, texts in text_slices(batch.column(2)):
                 row, doc = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
-                _, found, lengths = letter_runs(texts[a:b])
+                _, found, lengths = letter_runs(texts)
                 owner = np.repeat(np.arange(b - a), np.diff(found.bounds))
                 order = np.lexsort((found.hashes, owner))
                 new = np.ones(len(order), dtype=bool)
@@ -261,9 +259,8 @@ def evidence_by_join(docs: DataFrame, text: str, table: DataFrame) -> DataFrame:
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices_of_bytes(texts):
-                runs, found, lengths = letter_runs(texts[a:b])
+            for _, _, texts in text_slices(batch.column(0)):
+                runs, found, lengths = letter_runs(texts)
                 word, first = np.unique(found.hashes, return_index=True)
                 begins, size = (np.cumsum(lengths) - lengths)[first], lengths[first]
                 at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)

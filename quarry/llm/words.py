@@ -9,6 +9,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C17 | 3  # odd and 3 modulo 4, so that BASE - 1 holds one factor of two only
@@ -142,13 +144,15 @@ def distinct_shingles(texts: list[str | None], n: int = 5, kind: str = "space")
     return h[keep], owner[keep]
 
 
-def slices_of_bytes(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters each, so that a batch of many texts needs no more memory than a few; one text is never cut."""
-    begin = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "") + 1
-        if held >= most:
-            yield begin, i + 1
-            begin, held = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def text_slices(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of a column of texts of about ``most`` bytes and at most ``rows`` rows each, with their texts: only one range's strings exist at a time."""
+    if not len(column):
+        return
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    upto = np.cumsum(sizes)
+    begin = 0
+    while begin < len(column):
+        held = upto[begin] - sizes[begin]
+        end = min(int(np.searchsorted(upto, held + most)) + 1, begin + rows, len(column))
+        yield begin, end, column.slice(begin, end - begin).to_pylist()
+        begin = end
