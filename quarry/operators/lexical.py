@@ -15,14 +15,19 @@ from ..sizes import small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SCORE_PLACES = 8
+SPREADS = 64
 Tokenizer = Callable[[Column], Column]
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
-    """doc_id, term, tf, dl (the document's tokens); tasks add up their own rows before the shuffle."""
-    words = docs.select(F.col(doc).alias("doc_id"), tokenizer(F.col(text)).alias("words"))
-    terms = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return terms.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "term", "tf", "dl")
+    """doc_id, term, tf, dl (the document's tokens), a row for each different term of each row of ``docs``.
+
+    A document's terms are sorted and counted where the document is, so nothing is shuffled.
+    """
+    words = docs.select(F.col(doc).alias("doc_id"), F.sort_array(tokenizer(F.col(text))).alias("words")).where(F.size("words") > 0)
+    words = words.withColumn("starts", F.expr("filter(sequence(0, size(words) - 1), i -> i = 0 or words[i] <> words[i - 1])"))
+    runs = F.expr("zip_with(starts, concat(slice(starts, 2, size(starts)), array(size(words))), (a, b) -> struct(words[a] as term, cast(b - a as bigint) as tf))")
+    return words.select("doc_id", F.size("words").alias("dl"), F.inline(runs)).select("doc_id", "term", "tf", "dl")
 
 
 def corpus_stats(docs: DataFrame, index: DataFrame) -> DataFrame:
@@ -53,12 +58,12 @@ class Index:
 def write_index(docs: DataFrame, path: str | None = None, doc: str = "doc_id", text: str = "text", tokenizer: Tokenizer = tokens) -> Index:
     """Builds the index once, as tables below ``path`` (a new folder in the shared scratch space by default).
 
-    Postings lie in ranges of (term, doc_id), so that a frequent term is spread over files, and readers skip
-    row groups by their terms.
+    Postings are dealt by term and one of SPREADS classes of documents, so that a frequent term is spread over files, and
+    sorted by term in each, so that readers skip row groups by their terms.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "index")
-    along = postings(docs, doc, text, tokenizer).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    along = postings(docs, doc, text, tokenizer).repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(SPREADS))).sortWithinPartitions("term", "doc_id")
     along.write.parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     corpus_stats(docs, stored).write.parquet(f"{path}/stats")
