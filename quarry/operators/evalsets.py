@@ -6,10 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import query_key
+from ..functions.text import query_key, strip
 from ..session import scratch_path
 
 
+PERSONAS = ("topic", "constraint", "colloquial")
+
+
+def chat_answers(lines: DataFrame) -> DataFrame:
+    """id, content of batch answers in the chat format (id, line): the first choice's message."""
+    return lines.select("id", F.get_json_object("line", "$.response.body.choices[0].message.content").alias("content"))
+
+
+def block_answers(lines: DataFrame) -> DataFrame:
+    """id, content of batch answers in the block format: the text blocks of those that succeeded, joined."""
+    parsed = lines.select("id", F.from_json("line", "result struct<type:string,message:struct<content:array<struct<type:string,text:string>>>>").alias("r")).where("r.result.type = 'succeeded'")
+    return parsed.select("id", F.array_join(F.transform(F.filter("r.result.message.content", lambda b: b["type"] == "text"), lambda b: b["text"]), "").alias("content"))
+
+
+def personas(answers: DataFrame, kinds: tuple[str, ...] = PERSONAS) -> DataFrame:
+    """id, kind, query: a row for each kind of query that an answer (a JSON object) holds, blanks dropped."""
+    parsed = answers.select("id", F.from_json("content", ", ".join(f"{k} string" for k in kinds)).alias("c"))
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), strip(F.col("c")[k]).alias("query")) for k in kinds))
+    return parsed.select("id", F.inline(each)).where("query <> ''")
+
+
+def listed_texts(answers: DataFrame, field: str, least: int = 5) -> DataFrame:
+    """id and texts (in a column named ``field``) of an answer that is a list, an object or a wrapped list of texts or objects; shorter ones are dropped."""
+    rows = answers.withColumn("v", F.try_parse_json("answer"))
+    many = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.queries", "array<variant>"), F.array(F.col("v")))
+    each = rows.where("v is not null").select("id", F.explode(many).alias("x"))
+    text = F.coalesce(F.try_variant_get("x", f"$.{field}", "string"), F.when(F.schema_of_variant("x") == "STRING", F.try_variant_get("x", "$", "string")))
+    return each.select("id", text.alias(field)).where(F.length(field) >= least)
+
+
 def merge_sources(sources: dict[str, DataFrame]) -> DataFrame:
     """Rows (gold, query, ...) of all sources; of rows with one gold and one normalised query the first source's first stays."""
     out = None

@@ -21,6 +21,15 @@ def scan_filter(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select("o_orderkey", "o_totalprice")
 
 
+@query("catalog_scan", "SELECT doc_id, lang, '114' AS y, CAST(doc_id % 2 + 1 AS VARCHAR) AS s FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 1")
+def catalog_scan(spark, d):
+    """One semester of a catalog table of several."""
+    path = scratch_path(spark, "catalog")
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "114").otherwise("113").alias("y"), (F.col("doc_id") % 2 + 1).cast("string").alias("s"))
+    S.write_parquet(rows, path)
+    return S.read_catalog(spark, path, "114", "2")
+
+
 @query("count_rows", "SELECT count(*) AS n FROM lineitem")
 def count_rows(spark, d):
     return table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"))

@@ -22,23 +22,14 @@ BLOCKS = (
 )
 
 
-def _unpivot(rows: DataFrame) -> DataFrame:
-    """id, kind, query: the three kinds of a JSON object, blanks dropped."""
-    parsed = rows.select("id", F.from_json("content", "topic string, constraint string, colloquial string").alias("c"))
-    long = parsed.selectExpr("id", "stack(3, 'topic', c.topic, 'constraint', c.constraint, 'colloquial', c.colloquial) as (kind, query)")
-    return long.withColumn("query", T.strip(F.col("query"))).where("query <> ''")
-
-
 @query("batch_flatten_chat", values([("a", "topic", "one"), ("a", "colloquial", "three")], "id, kind, query"))
 def batch_flatten_chat(spark, d):
-    return _unpivot(frame(spark, CHAT, "id string, line string").select("id", F.get_json_object("line", "$.response.body.choices[0].message.content").alias("content")))
+    return E.personas(E.chat_answers(frame(spark, CHAT, "id string, line string")))
 
 
 @query("batch_flatten_blocks", values([("a", "topic", "one")], "id, kind, query"))
 def batch_flatten_blocks(spark, d):
-    rows = frame(spark, BLOCKS, "id string, line string")
-    parsed = rows.select("id", F.from_json("line", "result struct<type:string,message:struct<content:array<struct<type:string,text:string>>>>").alias("r")).where("r.result.type = 'succeeded'")
-    return _unpivot(parsed.select("id", F.array_join(F.transform(F.filter("r.result.message.content", lambda b: b["type"] == "text"), lambda b: b["text"]), "").alias("content")))
+    return E.personas(E.block_answers(frame(spark, BLOCKS, "id string, line string")))
 
 
 SHAPES = ((1, '["first query", "abc", "second one"]'), (2, '{"queries": ["wrapped query"]}'), (3, '{"query": "single query"}'), (4, '[{"query": "object query"}]'), (5, "oops"))
@@ -47,11 +38,7 @@ SHAPES = ((1, '["first query", "abc", "second one"]'), (2, '{"queries": ["wrappe
 @query("decode_polymorphic", values([(1, "first query"), (1, "second one"), (2, "wrapped query"), (3, "single query"), (4, "object query")], "id, query"))
 def decode_polymorphic(spark, d):
     """A list, an object, or a wrapped list, of texts or objects: texts of five characters or more."""
-    rows = frame(spark, SHAPES, "id int, answer string").withColumn("v", F.try_parse_json("answer"))
-    many = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.queries", "array<variant>"), F.array(F.col("v")))
-    each = rows.where("v is not null").select("id", F.explode(many).alias("x"))
-    text = F.coalesce(F.try_variant_get("x", "$.query", "string"), F.when(F.schema_of_variant("x") == "STRING", F.try_variant_get("x", "$", "string")))
-    return each.select("id", text.alias("query")).where(F.length("query") >= 5)
+    return E.listed_texts(frame(spark, SHAPES, "id int, answer string"), "query")
 
 
 _MERGED = r"""

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import parsers
 from ..operators import lexical, metrics, rank
 from ..operators import predicates as P
 from ..plans.search import SearchPlan
 from ..schema import CONDITIONS, CONSTRAINTS
+from ..session import scratch_path
 from ..sizes import small
 from . import query, table
 from .retrieval import K, _BASE, _leg, _metrics_sql, gold, index_of, items, rounded
@@ -226,6 +228,31 @@ def prefilter_variants(spark, d):
     return out
 
 
+_NAMES = {"en": "英文", "fr": "法文", "de": "德文", "es": "西班牙文"}
+
+
+@query(
+    "prefilter_parsed",
+    _BASE.replace("gold AS (", "pool AS (SELECT item_id AS qid, doc_id FROM benchmark, documents WHERE CASE item_id % 3 WHEN 1 THEN lang = 'en' WHEN 2 THEN lang <> 'fr' ELSE true END),\ngold AS (") + _leg("l1", "q1", 10, "WHERE (qid, p.doc_id) IN (SELECT (qid, doc_id) FROM pool)")
+    + "SELECT 'parser' AS variant, round((SELECT count(*) FROM pool) / (SELECT count(*) FROM q1), 4) AS avg_pool, round((SELECT count(DISTINCT qid) FROM l1 SEMI JOIN gold USING (qid, doc_id)) / (SELECT count(*) FROM q1), 6) AS hit_rate",
+)
+def prefilter_parsed(spark, d):
+    """The variant whose conditions are parsed from what a query says: two thirds of the items ask for a language or rule one out."""
+    queries = items(spark, d)
+    said = F.expr("case qid % 3 when 1 then '英文授課' when 2 then '不要法文' else '' end")
+    must, must_not = parsers.parse_patterns(F.col("said"))
+    path = scratch_path(spark, "parsed")
+    queries.select("qid", said.alias("said")).select("qid", must.alias("must"), must_not.alias("must_not")).write.parquet(path)  # parsed once
+    wanted = small(spark.read.parquet(path))
+    named = catalog(spark, d).withColumn("lang", F.try_element_at(F.create_map(*(F.lit(x) for pair in _NAMES.items() for x in pair)), F.col("lang")))
+    doc = {c: F.col(c) for c in ("lang", "unit", "kind", "sessions", "weekdays", "point", "lmt_kind")}
+    allowed = named.join(wanted, P.matches(doc, F.col("must"), F.col("must_not"))).select("qid", "doc_id")
+    n = queries.agg(F.count(F.lit(1)).alias("n"))
+    found = lexical.bm25_search(queries, index_of(spark, d), 10, allowed).join(gold(spark, d), ["qid", "doc_id"], "left_semi").agg(F.count_distinct("qid").alias("found"))
+    sizes = allowed.agg(F.count(F.lit(1)).alias("p"))
+    return found.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(sizes)).select(F.lit("parser").alias("variant"), F.round(F.col("p") / F.col("n"), 4).alias("avg_pool"), F.round(F.col("found") / F.col("n"), 6).alias("hit_rate"))
+
+
 def constraints(spark, d) -> DataFrame:
     """qid, c: search constraints that vary with the item's id; every third item has none."""
     c = (
