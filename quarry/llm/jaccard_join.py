@@ -54,14 +54,16 @@ from pyspark.sql import functions as F
 
 from .common import carried, lookup, on_keys, stored
 from .components import connected_components, forest
-from .words import distinct_shingles, mix64, text_slices
+from .words import distinct_shingles, mix64, slice_bounds, text_slices
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
-#: Characters of text for which there is one group of the hash space, and the most groups.
-GROUP_CHARACTERS, MOST_GROUPS = 1 << 23, 1 << 15
-#: A slice has about so many bytes of text and at most so many documents (numbered by two bytes).
+#: Characters of text for which there is one group of the hash space, and the most groups: 100 TB take the most, of some 100 million shingles each.
+GROUP_CHARACTERS, MOST_GROUPS = 1 << 23, 1 << 18
+#: A slice has about so many bytes of text and at most so many documents (numbered by two bytes).  With many groups it is
+#: larger, so that messages hold so many shingles of some 6 bytes each, up to the most bytes.
 SLICE_BYTES, SLICE_DOCUMENTS = 1 << 20, 1 << 16
+MESSAGE_SHINGLES, MOST_SLICE_BYTES = 32, 1 << 24
 #: Members and their shingles that one task of a cell may hold; larger cells go through rounds.
 CELL_MEMBERS, CELL_SHINGLES = 512, 1_500_000
 #: Pivots of a large cell, on average, and rounds after which its regions are joined block by block.
@@ -110,12 +112,23 @@ def requests(docs: DataFrame, text: str, n: int, groups: int) -> DataFrame:
     """Messages of the slices: to each group, shingles of one document (a) with its number (b), and shingles of several (c)
     with how many (d).  A slice's own message has its rows (a), set sizes (b), and for its shingles of several documents how many (c) and which (d)."""
 
+    slice_bytes = max(SLICE_BYTES, min(MOST_SLICE_BYTES, groups * MESSAGE_SHINGLES * 6))
+
+    def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Those of a slice, hashed by parts of SLICE_BYTES."""
+        found = [(x, *distinct_shingles(texts, n)) for x, _, texts in text_slices(column, SLICE_BYTES)]
+        if len(found) == 1:
+            return found[0][1:]
+        h, owner = np.concatenate([f[1] for f in found]), np.concatenate([f[2] + f[0] for f in found])
+        order = np.argsort(h, kind="stable")
+        return h[order], owner[order]
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
             rows = batch.select([0, 1, 2])
-            for a, b, texts in text_slices(batch.column(3), SLICE_BYTES, SLICE_DOCUMENTS):
-                h, owner = distinct_shingles(texts, n)
+            for a, b in slice_bounds(batch.column(3), slice_bytes, SLICE_DOCUMENTS):
+                h, owner = shingles(batch.column(3).slice(a, b - a))
                 sizes = np.bincount(owner, minlength=b - a)
                 first = _runs(h)
                 several = np.diff(np.append(first, len(h)))
@@ -195,7 +208,7 @@ def shingle_sets(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
     the set's name (s1, s2), its window of shingles, how many of these are early, and the ``held`` shingles that other documents hold too."""
     characters = docs.agg(F.sum(F.length(text))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = min(MOST_GROUPS, max(4 * partitions, characters // GROUP_CHARACTERS))
+    groups = min(MOST_GROUPS, max(4 * partitions, characters // GROUP_CHARACTERS))  # more than tasks, so that these are of like size
 
     def cut(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, own, found = key[0].as_py(), None, []
@@ -204,7 +217,7 @@ def shingle_sets(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
                 if is_own:
                     own = (a, b, c, d)
                 else:
-                    found.append((part, b is None, _unpacked(a) | np.uint64(part << 48), b, c))
+                    found.append((part, b is None, _unpacked(a) | np.uint64((part & 0x7FFF) << 48), b, c))
         rows = pa.ipc.open_stream(own[0]).read_all()
         sizes = np.frombuffer(own[1], "<u4").astype(np.int64)
         found.sort(key=lambda x: x[:2])

@@ -144,8 +144,8 @@ def distinct_shingles(texts: list[str | None], n: int = 5, kind: str = "space")
     return h[keep], owner[keep]
 
 
-def text_slices(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int, list[str | None]]]:
-    """Ranges of a column of texts of about ``most`` bytes and at most ``rows`` rows each, with their texts: only one range's strings exist at a time."""
+def slice_bounds(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of a column of texts of about ``most`` bytes and at most ``rows`` rows each; one text is never cut."""
     if not len(column):
         return
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
@@ -154,5 +154,11 @@ def text_slices(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> I
     while begin < len(column):
         held = upto[begin] - sizes[begin]
         end = min(int(np.searchsorted(upto, held + most)) + 1, begin + rows, len(column))
-        yield begin, end, column.slice(begin, end - begin).to_pylist()
+        yield begin, end
         begin = end
+
+
+def text_slices(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int, list[str | None]]]:
+    """The same with their texts: only one range's strings exist at a time."""
+    for begin, end in slice_bounds(column, most, rows):
+        yield begin, end, column.slice(begin, end - begin).to_pylist()

@@ -70,7 +70,8 @@ def test_classes_match_brute_force(spark, monkeypatch, small):
     if small:  # slices of a few documents, and rounds of pivots, regions and blocks over cells of over seven members
         monkeypatch.setattr(jaccard_join, "CELL_MEMBERS", 7)
         monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
-        monkeypatch.setattr(jaccard_join, "SLICE_BYTES", 3000)
+        monkeypatch.setattr(jaccard_join, "SLICE_BYTES", 900)
+        monkeypatch.setattr(jaccard_join, "MESSAGE_SHINGLES", 40)
         monkeypatch.setattr(jaccard_join, "SLICE_DOCUMENTS", 6)
         monkeypatch.setattr(words, "PIECE", 100)
     rows = corpus(4, 250)
