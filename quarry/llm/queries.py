@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate, is_contaminated
 from .exact_dedup import exact_dedup
+from .fill_in_middle import fill_in_middle, restored
 from .html_text import extract_text
 from .jaccard_join import jaccard_classes
 from .line_dedup import line_dedup
 from .packing import pack
 from .quality import quality_scores
 from .quotations import link_quotes
+from .sharding import SEED, SHARDS, round_keys, shard_rows
+from .token_alignment import align
 from .toxicity import toxicity_scores
 from .url_filter import host_of, judge_captures
 
@@ -93,10 +96,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def _public_tokenizer() -> str:
+def _public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -121,6 +124,25 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    out = shard_rows(rows, ["doc_id", "size", "text_crc32"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(_table(spark, sf_dir, "documents"))
+    again = restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align(_table(spark, sf_dir, "documents"), _public_tokenizer("byte_bpe_50k.json"), _public_tokenizer("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard_join": op2_jaccard_join,
@@ -132,6 +154,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quotations": op8_quotations,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_sharding": op11_sharding,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -230,6 +255,47 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+
+
+def _network_sql(number: str, source: str, half: str) -> str:
+    """One pass of the permutation's network over column ``number`` of ``source``; ``half`` is a column with half the bits."""
+    sql = f"SELECT *, {number} >> {half} AS l, {number} & ((1::BIGINT << {half}) - 1) AS r FROM {source}"
+    for a, b, c in round_keys(SEED):
+        sql = f"SELECT * EXCLUDE (l, r, t), r AS l, xor(l, xor(t, t >> 16) & ((1::BIGINT << {half}) - 1)) AS r FROM (SELECT * REPLACE (((xor(t, t >> 15)) * {c}) & 2147483647 AS t) FROM (SELECT *, (r * {a} + {b}) & 2147483647 AS t FROM ({sql})))"
+    return f"SELECT * EXCLUDE (l, r), l << {half} | r AS p FROM ({sql})"
+
+
+#: 256 remainders of the checksum's polynomial, by its rule.
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1), b))"
+_OP11_SQL = f"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+      lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM documents, tab),
+n AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row_number, count(*) OVER () AS total FROM d),
+h AS (SELECT *, greatest(1, (CAST(ceil(log2(greatest(total, 2))) AS BIGINT) + 1) // 2) AS half FROM n),
+w AS (
+  {_network_sql("row_number", "h", "half")}
+  UNION ALL
+  SELECT * EXCLUDE (q) FROM ({_network_sql("q", "(SELECT * RENAME (p AS q) FROM w WHERE p >= total)", "half")}))
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p % {SHARDS} AS INTEGER) AS shard, p // {SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM w WHERE p < total
+"""
+
+_DRAW = "CAST('0x' || substr(h, {}, 8) AS BIGINT)".format
+_OP12_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (
+  SELECT *, least({_DRAW(1)} % (n + 1), {_DRAW(9)} % (n + 1)) AS first, greatest({_DRAW(1)} % (n + 1), {_DRAW(9)} % (n + 1)) AS second,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {_DRAW(17)} % 100 >= 90 THEN 'plain' WHEN {_DRAW(25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(text, 1, first) AS prefix, substr(text, first + 1, second - first) AS middle, substr(text, second + 1) AS suffix FROM c)
+SELECT doc_id, n, form, if(form = 'plain', NULL, first) AS prefix_chars, if(form = 'plain', NULL, second - first) AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": _OP1_SQL,
     "op2_jaccard_join": _OP2_SQL,
@@ -237,4 +303,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_url_filter": _OP6_SQL,
     "op8_quotations": _OP8_SQL,
     "op9_exact_dedup": _OP9_SQL,
+    "op11_sharding": _OP11_SQL,
+    "op12_fill_in_middle": _OP12_SQL,
 }
