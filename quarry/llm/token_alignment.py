@@ -44,6 +44,9 @@ from .words import slice_bounds, text_slices
 
 #: Fixed value: how byte-level BPE parts a text before its merges.
 BYTE_LEVEL_PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space of Unicode, as the pattern sees it: all but space and line feed, and with them.
+OTHER_WHITE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = " \n" + OTHER_WHITE
 PIECE, CACHED_WORDS = 1 << 20, 400_000
 SLICE_BYTES = 1 << 20  # of stored ids
 STRETCH_TOKENS = 1 << 20
@@ -83,71 +86,109 @@ class ByteTokens:
 
 
 class PieceTokens:
-    """A sentence-piece model that adds a space in front.
+    """A sentence-piece model that adds a space in front."""
 
-    Where no piece goes on after a space within, words with the spaces before them are encoded alone, whatever stands around them, and a bounded cache keeps their ids.
-    """
-
-    SPACE, WORDS = "\u2581", re.compile(r" *[^ ]+(?: +\Z)?| +")
+    SPACE = "\u2581"
 
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(self.SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.by_words = not any(self.SPACE in p.lstrip(self.SPACE) for p in pieces)
-        self.known: dict[str, bytes] = {}
-
-    def encode_words(self, text: str, dtype: np.dtype) -> bytes:
-        """Ids of a text, as bytes; the space in front is added."""
-        if not self.by_words:
-            return np.array(self.model.encode(text), dtype=dtype).tobytes()
-        words = self.WORDS.findall(" " + text)
-        new = list(set(words).difference(self.known))
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = list(set(words))
-        for word, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1), strict=True):
-            self.known[word] = np.array(ids, dtype=dtype).tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [model.id_to_piece(i).replace(self.SPACE, " ") for i in range(model.get_piece_size())]
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.encode() for i, p in enumerate(pieces)]
+        self.parts_before_space = not any(re.search(f"[^{WHITE}][ \n]", p) for p in pieces)
+        self.encode = lambda text: model.encode(text[1:])
 
 
 class Pair:
-    """Both tokenizers, the lengths of their tokens and the type that holds their ids."""
+    """Both tokenizers, the lengths of their tokens and the type that holds their ids.
+
+    Byte-level parts end where white space begins after anything else; if no piece of the other
+    model goes on with a space or a line feed there, words with such white space before them are encoded alone, whatever stands around
+    them.  A bounded cache keeps the ids of words; new ones are encoded together and parted at their ends.
+    """
+
+    WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+(?:[{OTHER_WHITE}][{WHITE}]*[^{WHITE}]+)*(?:[{WHITE}]+\\Z)?|[{WHITE}]+")
+    ENDS_WHITE = re.compile(f"[{WHITE}]\\Z")
+    CUT = re.compile(r"(?<=\S) (?=[A-Za-z])")  # a space where a word begins
+    BEFORE = " x"  # stands before new words, so that the space in front is not theirs
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteTokens(a_path), PieceTokens(b_path)
         self.a_size, self.b_size = (np.array([len(x) for x in t.bytes_of], dtype=np.int64) for t in (self.a, self.b))
         self.dtype = np.dtype("<u2" if max(len(self.a_size), len(self.b_size)) <= 1 << 16 else "<u4")
-
-    #: A space after something else and before a letter begins a word for both tokenizers.
-    CUT = re.compile(r"(?<=\S) (?=[A-Za-z])")
+        self.known: dict[str, tuple[bytes, bytes] | tuple] = {}  # of words whose bytes a tokenizer does not keep, the empty tuple
+
+    def _both(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a text that begins with a space; None where its bytes are not kept."""
+        want, ids = text.encode(), (self.a.encode(text), self.b.encode(text))
+        if any(b"".join(map(t.bytes_of.__getitem__, i)) != want for t, i in zip((self.a, self.b), ids, strict=True)):
+            return None
+        return tuple(np.array(i, dtype=self.dtype) for i in ids)
+
+    def _learn(self, words: list[str]) -> None:
+        """Keeps the ids of words, of which only the last may end with white space."""
+        found = self._both(self.BEFORE + "".join(words))
+        if found is None:
+            if len(words) == 1:
+                self.known[words[0]] = ()
+            else:
+                half = len(words) // 2
+                self._learn(words[:half])
+                self._learn(words[half:])
+            return
+        ends = len(self.BEFORE) + np.cumsum([0] + [len(w.encode()) for w in words])
+        parts = []
+        for ids, size in zip(found, (self.a_size, self.b_size), strict=True):
+            stops = ((np.searchsorted(np.cumsum(size[ids]), ends) + 1) * self.dtype.itemsize).tolist()
+            letters = ids.tobytes()
+            parts.append([letters[x:y] for x, y in zip(stops, stops[1:], strict=False)])
+        self.known.update(zip(words, zip(*parts, strict=True), strict=True))
 
     def _pieces(self, text: str) -> Iterator[str]:
-        """The text without the spaces at which it is cut."""
-        begin = 0
+        """The text with a space in front, in pieces that begin with one each."""
+        text, begin = " " + text, 0
         while begin < len(text):
-            gap = self.CUT.search(text, begin + PIECE) if self.b.by_words and len(text) - begin > PIECE else None
+            gap = self.CUT.search(text, begin + PIECE) if len(text) - begin > PIECE else None
             yield text[begin : gap.start() if gap else len(text)]
-            begin = gap.end() if gap else len(text)
-
-    def encode(self, body: bytes) -> tuple[bytes, bytes]:
-        """Ids of both; none where the text is not kept."""
-        try:
-            text = body.decode("utf-8")
-        except UnicodeDecodeError:
-            return b"", b""
-        a, b = [], []
-        for piece in self._pieces(text):
-            want = b" " + piece.encode()
-            first = self.a.encode(" " + piece)
-            second = self.b.encode_words(piece, self.dtype)
-            if b"".join(map(self.a.bytes_of.__getitem__, first)) != want or b"".join(map(self.b.bytes_of.__getitem__, np.frombuffer(second, self.dtype).tolist())) != want:
-                return b"", b""
-            a.append(np.array(first, dtype=self.dtype).tobytes())
-            b.append(second)
-        return b"".join(a), b"".join(b)
+            begin = gap.start() if gap else len(text)
+
+    def encode(self, bodies: list[bytes | None]) -> list[tuple[bytes, bytes]]:
+        """Ids of both for each text; none where the text is not kept."""
+        out: list[tuple[bytes, bytes]] = []
+        for body in bodies:
+            try:
+                text = (body or b"").decode("utf-8")
+            except UnicodeDecodeError:
+                text = ""
+            if not text:
+                out.append((b"", b""))
+            elif self.b.parts_before_space:
+                pieces = [self._ids(p) for p in self._pieces(text)]
+                out.append((b"", b"") if None in pieces else tuple(map(b"".join, zip(*pieces, strict=True))))
+            else:
+                found = self._both(" " + text)
+                out.append(tuple(i.tobytes() for i in found) if found else (b"", b""))
+        return out
+
+    def _ids(self, piece: str) -> tuple[bytes, bytes] | None:
+        words = self.WORD.findall(piece)
+        found = list(map(self.known.get, words))
+        new = {w for w, f in zip(words, found, strict=True) if f is None}
+        if new:
+            if len(self.known) + len(new) > CACHED_WORDS:
+                self.known = {}
+                new = set(words)
+            if words[-1] in new and self.ENDS_WHITE.search(words[-1]):
+                new.discard(words[-1])
+                self._learn(words[-1:])
+            self.known.update((w, ()) for w in new if self.b.SPACE in w)
+            if new := [w for w in new if self.b.SPACE not in w]:
+                self._learn(new)
+            found = list(map(self.known.get, words))
+        if () in found:
+            return None
+        return b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
 
 @lru_cache(maxsize=4)
@@ -162,7 +203,7 @@ def token_ids(docs: DataFrame, a_path: str, b_path: str, text: str = "text") ->
         pair = pair_of(a_path, b_path)
         for batch in batches:
             for x, y, bodies in text_slices(batch.column(1)):
-                ids = [pair.encode(body or b"") for body in bodies]
+                ids = pair.encode(bodies)
                 arrays = [pa.array([i[k] for i in ids], pa.binary()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), *arrays], names=["doc_id", "a_ids", "b_ids"])
 
@@ -170,14 +211,12 @@ def token_ids(docs: DataFrame, a_path: str, b_path: str, text: str = "text") ->
 
 
 class Stretch(NamedTuple):
-    """Whole groups of some documents: their tokens and the ends of these in bytes, from the stretch's beginning."""
+    """Whole groups of some documents: their tokens, and a mark at the last byte of each (1 a token of the first tokenizer ends there, 2 one of the second, 3 both)."""
 
     a_ids: np.ndarray
     b_ids: np.ndarray
-    a_ends: np.ndarray
-    b_ends: np.ndarray
+    marks: np.ndarray
     a_from: int
-    b_from: int
 
 
 def stretches(a_ids: np.ndarray, b_ids: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, most: int = STRETCH_TOKENS) -> Iterator[Stretch]:
@@ -187,19 +226,22 @@ def stretches(a_ids: np.ndarray, b_ids: np.ndarray, a_size: np.ndarray, b_size:
     while i < len(a_ids):
         a, b = a_ids[i : i + wide].astype(np.int64), b_ids[j : j + wide].astype(np.int64)
         a_ends, b_ends = np.cumsum(a_size[a]), np.cumsum(b_size[b])
+        marks = np.zeros(max(a_ends[-1], b_ends[-1]), dtype=np.uint8)
+        marks[a_ends - 1] = 1
+        marks[b_ends - 1] += 2
         if i + wide < len(a_ids) or j + wide < len(b_ids):
-            both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+            both = np.flatnonzero(marks == 3)
             if not len(both):
                 wide *= 2
                 continue
-            n, m = int(np.searchsorted(a_ends, both[-1])) + 1, int(np.searchsorted(b_ends, both[-1])) + 1
-            a, b, a_ends, b_ends = a[:n], b[:m], a_ends[:n], b_ends[:m]
-        yield Stretch(a, b, a_ends, b_ends, i, j)
+            marks = marks[: both[-1] + 1]
+            a, b = a[: np.count_nonzero(marks & 1)], b[: np.count_nonzero(marks & 2)]
+        yield Stretch(a, b, marks[marks != 0], i)
         i, j, wide = i + len(a), j + len(b), most
 
 
 class Links(NamedTuple):
-    """Links of a stretch, in order: the pair's key and the number of the document among those of the slice."""
+    """Links of a stretch, in order: the pair's key and the document's number among those of the slice."""
 
     keys: np.ndarray
     docs: np.ndarray
@@ -207,10 +249,13 @@ class Links(NamedTuple):
 
 def links_of(s: Stretch, a_bounds: np.ndarray) -> Links:
     """``a_bounds[d]`` is how many tokens the documents up to the d-th have."""
-    ends = np.union1d(s.a_ends, s.b_ends)
-    a, b = np.searchsorted(s.a_ends, ends), np.searchsorted(s.b_ends, ends)
-    docs = np.searchsorted(a_bounds, a + s.a_from, side="right")
-    return Links(s.a_ids[a] << 32 | s.b_ids[b], docs)
+    a_ends, b_ends = s.marks & 1, s.marks >> 1
+    a, b = np.cumsum(a_ends, dtype=np.int64) - a_ends, np.cumsum(b_ends, dtype=np.int64) - b_ends  # the tokens that end here, or go on
+    first, last = np.searchsorted(a_bounds, s.a_from, side="right"), np.searchsorted(a_bounds, s.a_from + len(s.a_ids))
+    begins = np.searchsorted(a, a_bounds[first:last] - s.a_from)  # links of later documents
+    docs = np.zeros(len(a), dtype=np.int64)
+    np.add.at(docs, begins, 1)
+    return Links(s.a_ids[a] << 32 | s.b_ids[b], np.cumsum(docs) + first)
 
 
 def _slices(batch: pa.RecordBatch, dtype: np.dtype) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -355,15 +400,16 @@ class GroupText:
         self.letters = np.array(entries, dtype=f"S{self.sizes.max()}").view(np.uint8).reshape(len(entries), -1)
         self.b_at = 2 * n_a
 
-    def __call__(self, s: Stretch, both: np.ndarray, a_doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The text, and its length up to each group's end; ``both`` are the groups' ends and ``a_doc_ends`` those of documents, in bytes."""
-        a_upto, b_upto = np.searchsorted(s.a_ends, both) + 1, np.searchsorted(s.b_ends, both) + 1
+    def __call__(self, s: Stretch, ends_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The text, and its length up to each group's end; ``ends_doc`` tells of each group whether it is its document's last."""
+        both = np.flatnonzero(s.marks == 3)
+        a_upto, b_upto = np.cumsum(s.marks & 1, dtype=np.int64)[both], np.cumsum(s.marks >> 1, dtype=np.int64)[both]
         a_count, b_count = np.diff(a_upto, prepend=0), np.diff(b_upto, prepend=0)
         a_place = np.arange(len(s.a_ids)) + np.repeat(b_upto - b_count, a_count)
         b_place = np.arange(len(s.b_ids)) + np.repeat(a_upto, b_count)
         a_code, b_code = s.a_ids * 2, s.b_ids * 3 + self.b_at
         a_code[a_upto - 1] += 1
-        b_code[b_upto - 1] += np.where(np.isin(both, a_doc_ends, assume_unique=True), 2, 1)
+        b_code[b_upto - 1] += 1 + ends_doc
         codes = np.empty(len(s.a_ids) + len(s.b_ids), dtype=np.int64)
         codes[a_place], codes[b_place] = a_code, b_code
         text = self.letters[codes].ravel()
@@ -404,11 +450,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> Data
                     n_links[here] += np.diff(begin, append=len(links.docs))
                     n_best[here] += np.add.reduceat(is_best.astype(np.int64), begin)
                     count_sum[here] += np.add.reduceat(counts, begin)
-                    both = np.intersect1d(s.a_ends, s.b_ends, assume_unique=True)
-                    last = a_bounds[here] - s.a_from - 1  # each document's last token, within or after the stretch
-                    letters, upto = writer(s, both, s.a_ends[last[last < len(s.a_ids)]])
-                    until = np.searchsorted(both, s.a_ends[np.minimum(last, len(s.a_ids) - 1)], side="right")  # groups up to each document's end
+                    groups = np.flatnonzero(s.marks == 3)
+                    stops = np.append(begin[1:], len(links.docs)) - 1  # each document's last link here ends a group
+                    until = np.searchsorted(groups, stops) + 1
                     n_groups[here] += np.diff(until, prepend=0)
+                    ends_doc = np.zeros(len(groups), dtype=np.int64)
+                    ends_doc[until - 1] = 1
+                    ends_doc[-1] = a_bounds[here[-1]] == s.a_from + len(s.a_ids)  # or goes on in the next stretch
+                    letters, upto = writer(s, ends_doc)
                     place = 0
                     for d, stop in zip(here.tolist(), upto[until - 1].tolist(), strict=True):
                         texts[d].append(letters[place:stop].tobytes())
