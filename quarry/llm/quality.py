@@ -17,7 +17,8 @@ bounded samples (parameters ``positives`` and ``unlabelled``); scoring is one pa
 Defined cases: null, empty and blank texts score 0 (nothing to learn from).  Without positives,
 or without unlabelled rows, every other text scores 0.5.  Labels may repeat or be null; null
 labels are not used.  Rows without doc_id are scored like others and train nothing.
-Repeated rows are scored as often as they come.  Other columns are not read.
+Repeated rows, of documents or labels, train once and are scored as often as they come.  Texts of
+any length are measured a piece at a time.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import carried
 from .labelled import by_hash, fold
-from .words import WordTable, text_slices
+from .words import PIECE, WordTable, pieces, text_slices
 
 POSITIVES, UNLABELLED = 4000, 8000
 THRESHOLD = 0.7
@@ -39,40 +40,64 @@ FOLDS, HELD_OUT = 4, 2
 _SHAPES = 10
 
 
-def measures(texts: list[str | None]) -> np.ndarray:
-    """A row of measures for each text: shares of the ASCII characters, and shapes of words and lines."""
+def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of each text, what adds up over its pieces: characters by value and sums over words; its words' hashes without repeats; and those of its first and last word."""
     table = WordTable(texts, "space")
     n = len(texts)
-    raw, starts, sizes = table.raw, table.text_start, table.text_size
+    raw, sizes = table.raw, table.text_size
     owner = np.repeat(np.arange(n), sizes + 1)
     histogram = np.bincount(owner * 128 + np.minimum(raw, 127), minlength=n * 128).reshape(n, 128).astype(np.float64)
     histogram[:, 32] -= 1  # the blank after each text
-    size = np.maximum(sizes, 1)[:, None]
     words = np.diff(table.bounds)
-    per_word = np.maximum(words, 1)
     word_owner = np.repeat(np.arange(n), words)
-
-    def share(flags: np.ndarray) -> np.ndarray:
-        return np.bincount(word_owner[flags], minlength=n) / per_word
-
     hashes, lengths = table.hashes, table.end - table.start
     again = np.zeros(len(hashes), dtype=bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (word_owner[1:] == word_owner[:-1])
     first, last = raw[table.start] if len(hashes) else raw[:0], raw[table.end - 1] if len(hashes) else raw[:0]
     letters = (first >= 97) & (first <= 122) | (first >= 65) & (first <= 90) | (first > 127)
-    distinct = np.array([len(np.unique(hashes[a:b])) for a, b in zip(table.bounds[:-1], table.bounds[1:], strict=True)]) if n else np.zeros(0)
-    out = np.empty((n, 128 + _SHAPES))
-    out[:, :128] = np.sqrt(histogram / size)
+    flags = [again, ~letters, np.isin(last, np.frombuffer(b"!*%&$#|", np.uint8)), (first >= 65) & (first <= 90), lengths == 1]
+    sums = np.column_stack([words, np.bincount(word_owner, lengths, n), *(np.bincount(word_owner[f], minlength=n) for f in flags)]).astype(np.float64)
+    spans = list(zip(table.bounds[:-1].tolist(), table.bounds[1:].tolist(), strict=True))
+    ends = np.array([(hashes[a], hashes[b - 1]) if b > a else (0, 0) for a, b in spans], dtype=np.uint64).reshape(n, 2)
+    return histogram, sums, [np.unique(hashes[a:b]) for a, b in spans], ends
+
+
+def _long_counts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """The same of one text, piece by piece; only its distinct words are held together."""
+    histogram, sums, seen, before = np.zeros((1, 128)), np.zeros((1, 7)), np.zeros(0, np.uint64), None
+    for piece in pieces(text, "space"):
+        h, s, distinct, ends = _counts([piece])
+        histogram, sums, seen = histogram + h, sums + s, np.union1d(seen, distinct[0])
+        if s[0, 0]:
+            sums[0, 2] += before is not None and before == ends[0, 0]  # a repetition across the cut
+            before = ends[0, 1]
+    return histogram, sums, len(seen)
+
+
+def measures(texts: list[str | None]) -> np.ndarray:
+    """A row of measures for each text: shares of the ASCII characters, and shapes of words and lines.
+
+    A text of several pieces (``words.PIECE`` characters, cut between words) is measured piece by piece.
+    """
+    long = [i for i, t in enumerate(texts) if t is not None and len(t) > 4 * PIECE]
+    histogram, sums, hashes, _ = _counts([None if i in long else t for i, t in enumerate(texts)] if long else texts)
+    distinct = np.array([len(h) for h in hashes], dtype=np.float64)
+    for i in long:
+        histogram[i : i + 1], sums[i : i + 1], distinct[i] = _long_counts(texts[i])
+    words, lengths, again, strange, marks, capitals, singles = sums.T
+    per_word = np.maximum(words, 1)
+    out = np.empty((len(texts), 128 + _SHAPES))
+    out[:, :128] = np.sqrt(histogram / np.maximum(histogram.sum(axis=1), 1)[:, None])
     shapes = [
-        share(again),
+        again / per_word,
         distinct / per_word,
         np.log(distinct + 1) - 0.7 * np.log(words + 1),
         np.log1p(words),
-        np.log1p(np.bincount(word_owner, lengths, n) / per_word),
-        share(~letters),
-        share(np.isin(last, np.frombuffer(b"!*%&$#|", np.uint8))),
-        share((first >= 65) & (first <= 90)),
-        share(lengths == 1),
+        np.log1p(lengths / per_word),
+        strange / per_word,
+        marks / per_word,
+        capitals / per_word,
+        singles / per_word,
         np.log1p(histogram[:, 10] / per_word * 10),
     ]
     out[:, 128:] = np.column_stack(shapes)
@@ -109,10 +134,10 @@ def _matrix(docs: DataFrame, text: str) -> np.ndarray:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED):
     """The model: means, scales and weights, or None where there is nothing to learn from."""
-    known = labels.select("doc_id", "quality").where("quality is not null").where(fold(FOLDS) != HELD_OUT)
+    known = labels.select("doc_id", "quality").where("quality is not null").where(fold(FOLDS) != HELD_OUT).distinct()
     share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     good = by_hash(known.where("quality = 1").select("doc_id").distinct(), positives, 1)
-    web = by_hash(docs.select("doc_id").where(fold(FOLDS) != HELD_OUT), unlabelled, 2).distinct()
+    web = by_hash(docs.select("doc_id").where(fold(FOLDS) != HELD_OUT).distinct(), unlabelled, 2)
     marked = good.withColumn("is_good", F.lit(True)).join(web.withColumn("is_web", F.lit(True)), "doc_id", "full")
     sample = docs.select("doc_id", text).join(F.broadcast(marked), "doc_id")  # ids of the samples: bounded
     p, u = _matrix(sample.where("is_good"), text), _matrix(sample.where("is_web"), text)

@@ -84,7 +84,7 @@ class WordTable:
 _GAP = {"space": re.compile(r"[\x20\t-\r]"), "alnum": re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")}
 
 
-def _pieces(text: str, kind: str) -> Iterator[str]:
+def pieces(text: str, kind: str) -> Iterator[str]:
     """The text in pieces of about PIECE characters that end between words; a word stays whole."""
     begin = 0
     while begin < len(text):
@@ -99,7 +99,7 @@ def word_hashes(texts: list[str | None], kind: str = "space") -> tuple[np.ndarra
     if sum(len(t or "") for t in texts) <= 4 * PIECE:
         table = WordTable(texts, kind)
         return table.hashes, table.bounds
-    found = [np.concatenate([np.zeros(0, np.uint64), *(WordTable([p], kind).hashes for p in _pieces(t or "", kind))]) for t in texts]
+    found = [np.concatenate([np.zeros(0, np.uint64), *(WordTable([p], kind).hashes for p in pieces(t or "", kind))]) for t in texts]
     return np.concatenate(found), np.concatenate(([0], np.cumsum([len(f) for f in found])))
 
 
