@@ -41,16 +41,19 @@ def _words(values) -> Column:
 
 
 def matches(q: Column, pattern: str) -> Column:
-    """Non-overlapping matches from the left: array of (at, text), positions from 1."""
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(q), F.lit(1))), lambda i: F.struct(i.alias("at"), F.regexp_extract(F.substring(q, i, F.length(q)), f"^(?:{pattern})", 0).alias("text")))
-    found = F.filter(at, lambda m: m["text"] != "")
+    """Non-overlapping matches from the left: array of (at, text), positions from 1.
+
+    One pass finds the texts and one the stretches between them, whose lengths add up to the positions.
+    """
+    texts, between = F.regexp_extract_all(q, F.lit(pattern), F.lit(0)), F.split(q, pattern, -1)  # the stretch behind the last match has no text
+    pairs = F.filter(F.zip_with(texts, between, lambda t, b: F.struct(F.length(b).alias("gap"), t.alias("text"))), lambda m: m["text"].isNotNull())
     start = F.struct(F.array().cast("array<struct<at:int,text:string>>").alias("out"), F.lit(1).alias("free"))
 
     def step(s: Column, m: Column) -> Column:
-        taken = F.struct(F.concat(s["out"], F.array(m)).alias("out"), (m["at"] + F.length(m["text"])).alias("free"))
-        return F.when(m["at"] >= s["free"], taken).otherwise(s)
+        at = s["free"] + m["gap"]
+        return F.struct(F.concat(s["out"], F.array(F.struct(at.alias("at"), m["text"].alias("text")))).alias("out"), (at + F.length(m["text"])).alias("free"))
 
-    return F.aggregate(found, start, step, lambda s: s["out"])
+    return F.aggregate(pairs, start, step, lambda s: s["out"])
 
 
 def negated(q: Column, at: Column, words: tuple[str, ...] = RULE_NEGATIONS, window: int = 8) -> Column:

@@ -108,7 +108,7 @@ def kind_numbers(names: Column) -> Column:
 
 def unit_clause(unit: Column, words: Column) -> Column:
     """LIKE any of '%word%'; percent signs and underscores of a word keep their meaning."""
-    return F.exists(words, lambda w: unit.like(F.concat(F.lit("%"), w, F.lit("%"))) if isinstance(unit, str) else F.like(unit, F.concat(F.lit("%"), w, F.lit("%"))))
+    return F.exists(words, lambda w: F.like(unit, F.concat(F.lit("%"), w, F.lit("%"))))
 
 
 def _side(doc: dict[str, Column], c: Column, negated: bool) -> list[Column]:

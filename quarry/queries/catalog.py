@@ -10,7 +10,6 @@ from ..operators import catalog as C
 from ..session import scratch_path
 from ..sources import tables as S
 from . import query, table
-from .parsers import frame, values
 
 
 # ---- scans and keys --------------------------------------------------------------------------------------------
@@ -45,10 +44,14 @@ def json_decode(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("json_text_lists", values([(1, "a,b"), (2, ""), (3, ""), (4, "x")], "id, items"))
+@query(
+    "json_text_lists",
+    "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name || ',' || c_mktsegment WHEN 3 THEN c_mktsegment ELSE '' END AS items FROM customer",
+)
 def json_text_lists(spark, d):
-    rows = frame(spark, [(1, '["a", "b"]'), (2, None), (3, "broken ["), (4, '["x", 5, null]')], "id int, j string")
-    return rows.select("id", F.array_join(S.json_strings(F.col("j")), ",").alias("items"))
+    """Lists in JSON that customers make of their names: whole, absent, broken, and with items of other types."""
+    text = F.expr("""case c_custkey % 4 when 0 then concat('["', c_name, '", "', c_mktsegment, '"]') when 1 then null when 2 then concat('broken [', c_name) else concat('["', c_mktsegment, '", ', c_nationkey, ', null]') end""")
+    return table(spark, d, "customer").select("c_custkey", F.array_join(S.json_strings(text), ",").alias("items"))
 
 
 @query("existing_ids", "SELECT doc_id FROM labels")
@@ -74,10 +77,15 @@ def id_map_join(spark, d):
     return per_user.join(names, "user_id", "left").fillna({"name": "unknown"}).select("user_id", "name", "n")
 
 
-@query("gold_normalise", "SELECT * FROM (VALUES (1, 'a'), (1, 'b'), (2, 'c'), (3, NULL)) t(id, gold)")
+@query(
+    "gold_normalise",
+    "SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 3 = 0 THEN list_distinct([o_orderstatus, 'P']) WHEN o_orderkey % 5 = 0 THEN [NULL] ELSE [o_orderpriority] END) AS gold FROM orders",
+)
 def gold_normalise(spark, d):
-    rows = frame(spark, [(1, ["a", "b", "a"], "z"), (2, [], "c"), (3, None, None)], "id int, gold array<string>, single string")
-    return rows.select("id", F.explode(S.gold_of(F.col("gold"), F.col("single"))).alias("gold"))
+    """A list with repeats, an empty one or none, and a single value that may be null."""
+    gold = F.expr("case o_orderkey % 3 when 0 then array(o_orderstatus, 'P', o_orderstatus) when 1 then array() end").cast("array<string>")
+    single = F.expr("if(o_orderkey % 5 = 0, null, o_orderpriority)")
+    return table(spark, d, "orders").select("o_orderkey", F.explode(S.gold_of(gold, single)).alias("gold"))
 
 
 @query("upsert_latest", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -o_orderkey - 1, 'new' FROM orders WHERE o_orderkey % 3 = 0")
@@ -93,10 +101,16 @@ def insert_if_absent(spark, d):
     return S.insert_absent(part.where("p_partkey % 2 = 0").withColumn("origin", F.lit("old")), part.withColumn("origin", F.lit("new")), "p_partkey")
 
 
-@query("merge_summaries", "SELECT * FROM (VALUES ('p0', 2.0), ('p1', 1.5), ('p2', 3.0)) t(parser, score)")
+@query(
+    "merge_summaries",
+    "WITH n AS (SELECT c_nationkey, sum(c_acctbal) AS score FROM customer WHERE c_nationkey >= 10 GROUP BY ALL), o AS (SELECT s_nationkey, sum(s_acctbal) AS score FROM supplier WHERE s_nationkey < 15 GROUP BY ALL)"
+    " SELECT c_nationkey AS nation, round(score, 2) AS score FROM n UNION ALL SELECT s_nationkey, round(score, 2) FROM o WHERE s_nationkey NOT IN (SELECT c_nationkey FROM n)",
+)
 def merge_summaries(spark, d):
-    old, new = frame(spark, [("p0", 1.0), ("p1", 1.5)], "parser string, score double"), frame(spark, [("p0", 2.0), ("p2", 3.0)], "parser string, score double")
-    return S.latest_by_key(old, new, "parser")
+    """Summaries of suppliers' nations, some of which those of customers' nations replace."""
+    old = table(spark, d, "supplier").where("s_nationkey < 15").groupBy(F.col("s_nationkey").alias("nation")).agg(F.round(F.sum("s_acctbal"), 2).alias("score"))
+    new = table(spark, d, "customer").where("c_nationkey >= 10").groupBy(F.col("c_nationkey").alias("nation")).agg(F.round(F.sum("c_acctbal"), 2).alias("score"))
+    return S.latest_by_key(old, new, "nation")
 
 
 @query("sink_roundtrip_parquet", "SELECT doc_id, lang, source, n_chars FROM documents")
@@ -220,10 +234,14 @@ def clean_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.clean(F.col("html"), normalise=False).alias("text"))
 
 
-@query("strip_info_prefix", values([("@備註: 課", "課"), ("＠Note：x", "x"), ("a @Note: b", "a @Note: b")], "raw, cleaned"))
+@query(
+    "strip_info_prefix",
+    "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || chr(10) || p_type WHEN 1 THEN p_name ELSE p_name || ' @Note: ' || p_type END AS cleaned FROM part",
+)
 def strip_info_prefix(spark, d):
-    rows = frame(spark, [("@備註: 課",), ("＠Note：x",), ("a @Note: b",)], "raw string")
-    return rows.select("raw", T.strip_info_prefix(F.col("raw")).alias("cleaned"))
+    """Markers at the beginning of a line go, within one they stay."""
+    raw = F.expr("case p_partkey % 3 when 0 then concat('@備註: ', p_name, '\n＠Information：', p_type) when 1 then concat('＠Note：', p_name) else concat(p_name, ' @Note: ', p_type) end")
+    return table(spark, d, "part").select("p_partkey", T.strip_info_prefix(raw).alias("cleaned"))
 
 
 @query("nfkc_clean")
@@ -276,49 +294,50 @@ def first_seen_dedupe(spark, d):
     return first_seen(rows, F.col("key"), "first_at").select("first_at", "key")
 
 
-SLOTS = {
-    "一23": "1:9-11:一23", "一23四56": "1:9-11:一23,4:14-16:四56", "五D56": "5:13-16:五D56", "未定或彈性": "", "": "", "一234二AB日H": "1:9-12:一234,2:6-8:二AB,7:21-22:日H", "三13": "3:8-9:三1,3:10-11:三3",
-    "2一5": "1:9-10:一2,1:14-15:一5", "x一2y3z": "1:9-11:一23",
-}
+#: Two days of a part's week, with two periods of the first and one of the second, by its number.
+_WEEK, _HOURS = f"'{T.WEEKDAYS}'", f"'{T.PERIODS}'"
 
 
-@query("time_slots", values(list(SLOTS.items()), "raw, sessions"))
+@query(
+    "time_slots",
+    f"""WITH p AS (SELECT p_partkey, p_partkey % 7 + 1 AS a, p_size % 15 + 1 AS x, (p_partkey + 3) % 7 + 1 AS b, p_size % 5 + 1 AS y FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 10 = 9 THEN '' ELSE a || ':' || (x + 5) || '-' || (x + 7) || ':' || substr({_WEEK}, a, 1) || substr({_HOURS}, x, 2) || ',' || b || ':' || (y + 5) || '-' || (y + 6) || ':' || substr({_WEEK}, b, 1) || substr({_HOURS}, y, 1) END AS sessions FROM p""",
+)
 def time_slots(spark, d):
+    day = lambda n: f"substring({_WEEK}, cast({n} % 7 + 1 as int), 1)"
+    raw = F.expr(f"if(p_partkey % 10 = 9, '未定', concat({day('p_partkey')}, substring({_HOURS}, cast(p_size % 15 + 1 as int), 2), if(p_partkey % 2 = 0, '', 'x'), {day('(p_partkey + 3)')}, substring({_HOURS}, cast(p_size % 5 + 1 as int), 1)))")
     one = F.transform(T.time_slots(F.col("raw")), lambda s: F.concat(s["weekday"], F.lit(":"), s["start_hour"], F.lit("-"), s["end_hour"], F.lit(":"), s["raw"]))
-    return frame(spark, [(s,) for s in SLOTS], "raw string").select("raw", F.array_join(one, ",").alias("sessions"))
+    return table(spark, d, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", F.array_join(one, ",").alias("sessions"))
 
 
-TOPICS = (
-    (1, "Week|Date|Topic|1|2/27|Intro|2|3/6| |Overview|3|3/13|Intro", "", "Intro;Overview"),
-    (2, "", "1|9/1|Only syllabus|x", "Only syllabus"),
-    (3, "9/1|" + "y" * 81 + "|9/8", "", ""),
-    (4, None, None, ""),
+@query(
+    "weekly_topics",
+    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority || ';Overview ' || o_orderstatus WHEN 1 THEN 'Only ' || o_orderpriority ELSE '' END AS topics FROM orders",
 )
-
-
-@query("weekly_topics", values([(i, t) for i, _, _, t in TOPICS], "id, topics"))
 def weekly_topics(spark, d):
-    rows = frame(spark, [r[:3] for r in TOPICS], "id int, schedule string, syllabus string")
-    return rows.select("id", F.array_join(T.weekly_topics(F.col("schedule"), F.col("syllabus")), ";").alias("topics"))
-
-
-JSON_TEXTS = ((1, 'say {"a": {"b": 1}} ok', '{"a": {"b": 1}}'), (2, "none", None), (3, '{"a": 1} and {"b": 2}', None), (4, 'x\n{"a":\n2}', '{"a":\n2}'))
+    """Schedules with a blank cell and a repeated topic, without one, with a topic that is too long, and nulls."""
+    schedule = F.expr("case o_orderkey % 4 when 0 then concat('Week|Date|Topic|1|', month(o_orderdate), '/27|', o_orderpriority, '|2|3/6| |Overview ', o_orderstatus, '|3|3/13|', o_orderpriority) when 1 then '' when 2 then concat('9/1|', repeat('y', 81), '|9/8') end")
+    syllabus = F.expr("if(o_orderkey % 4 = 1, concat('1|9/1|Only ', o_orderpriority, '|x'), if(o_orderkey % 4 = 3, null, ''))")
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(T.weekly_topics(schedule, syllabus), ";").alias("topics"))
 
 
-@query("first_json_object", values([(i, o) for i, _, o in JSON_TEXTS], "id, found"))
+@query("first_json_object", "SELECT event_id, CASE WHEN event_id % 4 IN (0, 3) THEN props END AS found FROM events")
 def first_json_object(spark, d):
-    return frame(spark, [r[:2] for r in JSON_TEXTS], "id int, text string").select("id", T.first_json_object(F.col("text")).alias("found"))
+    text = F.expr("case event_id % 4 when 0 then concat('say ', props, ' ok') when 1 then event_type when 2 then concat(props, ' and ', props) else concat('x\n', props) end")
+    return table(spark, d, "events").select("event_id", T.first_json_object(text).alias("found"))
 
 
-@query("list_cleanup", values([(1, "a|b|c|d"), (2, "")], "id, variants"))
+@query("list_cleanup", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus || '|b|c|d' ELSE '' END AS variants FROM orders")
 def list_cleanup(spark, d):
-    rows = frame(spark, [(1, "q", [" a ", "", "q", "b", "c", "d", "e"]), (2, "q", [])], "id int, q string, variants array<string>")
-    return rows.select("id", F.array_join(T.clean_variants(F.col("variants"), F.col("q")), "|").alias("variants"))
+    """Blank variants, the query itself and all after the fourth go."""
+    variants = F.expr("if(o_orderkey % 2 = 0, array(concat(' ', o_orderstatus, ' '), '', o_orderpriority, 'b', 'c', 'd', 'e'), array())").cast("array<string>")
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(T.clean_variants(variants, F.col("o_orderpriority")), "|").alias("variants"))
 
 
-@query("strip_quotes", values([("「x」", "x"), ("\"a'b\"", "a'b"), ("plain", "plain")], "raw, bare"))
+@query("strip_quotes", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN p_brand || chr(39) || p_name ELSE p_name END AS bare FROM part")
 def strip_quotes(spark, d):
-    return frame(spark, [("「x」",), ("\"a'b\"",), ("plain",)], "raw string").select("raw", T.strip_quotes(F.col("raw")).alias("bare"))
+    raw = F.expr("case p_partkey % 3 when 0 then concat('「', p_name, '」') when 1 then concat('\"', p_brand, char(39), p_name, '\"') else p_name end")
+    return table(spark, d, "part").select("p_partkey", T.strip_quotes(raw).alias("bare"))
 
 
 @query("query_guard", "SELECT item_id, CASE WHEN contains(reverse(text), text) THEN reverse(text) ELSE text || chr(10) || reverse(text) END AS passage FROM benchmark")

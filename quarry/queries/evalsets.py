@@ -9,36 +9,44 @@ from ..functions import text as T
 from ..operators import evalsets as E
 from . import query, table
 from .filters import _SES, slots
-from .parsers import frame, values
 
-CHAT = (
-    ("a", '{"response": {"body": {"choices": [{"message": {"content": "{\\"topic\\": \\"one\\", \\"constraint\\": \\" \\", \\"colloquial\\": \\"three\\"}"}}]}}}'),
-    ("b", '{"response": {"body": {"choices": [{"message": {"content": "broken"}}]}}}'),
-    ("c", "not json"),
-)
-BLOCKS = (
-    ("a", '{"result": {"type": "succeeded", "message": {"content": [{"type": "text", "text": "{\\"topic\\": "}, {"type": "text", "text": "\\"one\\"}"}]}}}'),
-    ("b", '{"result": {"type": "errored"}}'),
-)
+def _joined(*parts):
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-@query("batch_flatten_chat", values([("a", "topic", "one"), ("a", "colloquial", "three")], "id, kind, query"))
-def batch_flatten_chat(spark, d):
-    return E.personas(E.chat_answers(frame(spark, CHAT, "id string, line string")))
+_NAME, _SEGMENT = F.col("c_name"), F.col("c_mktsegment")
 
 
-@query("batch_flatten_blocks", values([("a", "topic", "one")], "id, kind, query"))
-def batch_flatten_blocks(spark, d):
-    return E.personas(E.block_answers(frame(spark, BLOCKS, "id string, line string")))
+@query(
+    "batch_flatten_chat",
+    "SELECT c_custkey AS id, 'topic' AS kind, c_mktsegment AS query FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'colloquial', c_name FROM customer WHERE c_custkey % 3 = 0",
+)
+def batch_flatten_chat(spark, d):
+    """Answers about customers as lines of a batch: one that decodes, one whose content is broken, one that is no JSON."""
+    whole = _joined('{"response": {"body": {"choices": [{"message": {"content": "{\\"topic\\": \\"', _SEGMENT, '\\", \\"constraint\\": \\" \\", \\"colloquial\\": \\"', _NAME, '\\"}"}}]}}}')
+    broken = _joined('{"response": {"body": {"choices": [{"message": {"content": "', _NAME, '"}}]}}}')
+    line = F.when(F.col("c_custkey") % 3 == 0, whole).when(F.col("c_custkey") % 3 == 1, broken).otherwise(_NAME)
+    return E.personas(E.chat_answers(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), line.alias("line"))))
 
 
-SHAPES = ((1, '["first query", "abc", "second one"]'), (2, '{"queries": ["wrapped query"]}'), (3, '{"query": "single query"}'), (4, '[{"query": "object query"}]'), (5, "oops"))
+@query("batch_flatten_blocks", "SELECT c_custkey AS id, 'topic' AS kind, c_name AS query FROM customer WHERE c_custkey % 2 = 0")
+def batch_flatten_blocks(spark, d):
+    """The same in blocks of text that make one document together; every second answer failed."""
+    whole = _joined('{"result": {"type": "succeeded", "message": {"content": [{"type": "text", "text": "{\\"topic\\": "}, {"type": "text", "text": "\\"', _NAME, '\\"}"}]}}}')
+    line = F.when(F.col("c_custkey") % 2 == 0, whole).otherwise('{"result": {"type": "errored"}}')
+    return E.personas(E.block_answers(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), line.alias("line"))))
 
 
-@query("decode_polymorphic", values([(1, "first query"), (1, "second one"), (2, "wrapped query"), (3, "single query"), (4, "object query")], "id, query"))
+@query(
+    "decode_polymorphic",
+    "SELECT o_orderkey AS id, o_orderpriority AS query FROM orders WHERE o_orderkey % 5 < 4 UNION ALL SELECT o_orderkey, 'order ' || o_orderstatus FROM orders WHERE o_orderkey % 5 = 0",
+)
 def decode_polymorphic(spark, d):
     """A list, an object, or a wrapped list, of texts or objects: texts of five characters or more."""
-    return E.listed_texts(frame(spark, SHAPES, "id int, answer string"), "query")
+    said = F.col("o_orderpriority")
+    shapes = [_joined('["', said, '", "abc", "order ', F.col("o_orderstatus"), '"]'), _joined('{"queries": ["', said, '"]}'), _joined('{"query": "', said, '"}'), _joined('[{"query": "', said, '"}]'), said]
+    answer = F.element_at(F.array(*shapes), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return E.listed_texts(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), answer.alias("answer")), "query")
 
 
 _MERGED = r"""

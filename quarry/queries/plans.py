@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import evalsets, lexical, metrics, rank, rewrites
 from ..plans.search import SearchPlan
 from . import query, table
-from .parsers import frame, values
+from .parsers import dealt, dealt_values, frame
 from .retrieval import LEGS, _BASE, _FUSED, _RERANK, _leg, _metrics_sql, _per_query, gold, index_of, items, leg, long_words, rounded
 
 # ---- tokenizers ------------------------------------------------------------------------------------------------
@@ -27,9 +27,10 @@ def bm25_bigrams_topk(spark, d):
 MIXED = ((1, "機器學習 deep learning", "機器,器學,學習,deep,learning"), (2, "AI課", "AI,I課"), (3, "中 文", "中,文"), (4, "", ""), (5, None, ""), (6, "no_han 12", "no_han,12"))
 
 
-@query("mixed_tokens", values([(i, w) for i, _, w in MIXED], "id, words"))
+@query("mixed_tokens", dealt_values([(w,) for _, _, w in MIXED], "words", "c_custkey, CASE WHEN words = '' THEN c_mktsegment ELSE words || ',' || c_mktsegment END AS words"))
 def mixed_tokens(spark, d):
-    return frame(spark, [(i, t) for i, t, _ in MIXED], "id int, text string").select("id", F.array_join(T.mixed_tokens(F.col("text")), ",").alias("words"))
+    text = F.concat_ws(" ", "text", "c_mktsegment")
+    return dealt(spark, d, [(t,) for _, t, _ in MIXED], "text string").select("c_custkey", F.array_join(T.mixed_tokens(text), ",").alias("words"))
 
 
 # ---- rewrites --------------------------------------------------------------------------------------------------

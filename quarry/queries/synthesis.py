@@ -12,7 +12,7 @@ from ..operators import evalsets as E
 from ..operators import synthesis as Y
 from ..schema import CONDITIONS
 from . import query, table
-from .parsers import frame, values
+from .parsers import dealt, dealt_values
 
 
 def records(spark, d) -> DataFrame:
@@ -85,23 +85,24 @@ CHECKED = (
 )
 
 
-def checked(spark) -> DataFrame:
-    rows = frame(spark, [r[:8] for r in CHECKED], "qid int, query string, known boolean, slot string, lang string, unit string, point double, kind int")
+def checked(spark, d) -> DataFrame:
+    """The queries of customers, dealt by their numbers, with the gold record that each is checked against."""
+    rows = dealt(spark, d, [r[1:8] for r in CHECKED], "query string, known boolean, slot string, lang string, unit string, point double, kind int")
     rows = rows.withColumn("c", N.parse_rules(F.col("query"))).withColumn("sessions", T.time_slots(F.col("slot")))
     bad = E.consistency(*(F.col(n) for n in ("c", "known", "sessions", "lang", "unit", "point", "kind")))
-    return rows.select("qid", *(E.inconsistencies({n: bad[n] for n in names}).alias(report) for report, names in (("first", E.FIRST_CHECKS), ("every", E.ALL_CHECKS))))
+    return rows.select("c_custkey", *(E.inconsistencies({n: bad[n] for n in names}).alias(report) for report, names in (("first", E.FIRST_CHECKS), ("every", E.ALL_CHECKS))))
 
 
-@query("gold_consistency_parsed", values([(r[0], r[8], r[9]) for r in CHECKED], "qid, first_reason, reasons"))
+@query("gold_consistency_parsed", dealt_values([r[8:] for r in CHECKED], "first_reason, reasons"))
 def gold_consistency_parsed(spark, d):
     """Gold against the constraints parsed from the query: the first failing check of one report, all of the other."""
     first = F.coalesce(F.try_element_at("first", F.lit(1)), F.lit(""))
-    return checked(spark).select("qid", first.alias("first_reason"), F.array_join("every", ",").alias("reasons"))
+    return checked(spark, d).select("c_custkey", first.alias("first_reason"), F.array_join("every", ",").alias("reasons"))
 
 
-@query("clean_eval_set_parsed", values([(r[0],) for r in CHECKED if not r[9]], "qid"))
+@query("clean_eval_set_parsed", dealt_values([(r[9],) for r in CHECKED], "reasons", "c_custkey") + " WHERE reasons = ''")
 def clean_eval_set_parsed(spark, d):
-    return checked(spark).where(F.size("every") == 0).select("qid")
+    return checked(spark, d).where(F.size("every") == 0).select("c_custkey")
 
 
 LINES = (
@@ -112,17 +113,14 @@ LINES = (
 _C = "named_struct('course_lang', {}, 'weekday', {}, 'hour_range', {}, 'point', {}, 'kind', {}, 'lmt_kind', {}, 'unit', {})"
 
 
-@query("condition_lines", values(list(LINES), "id, text"))
+@query("condition_lines", "SELECT c_custkey, replace(text, '統計', c_name) AS text FROM customer JOIN (VALUES " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in LINES) + ") t(nth, text) ON nth = c_custkey % 3 + 1")
 def condition_lines(spark, d):
+    """One of three conditions for each customer, as a record of that name."""
     none = ["null"] * 7
     must = {1: ["array('英文', '日文')", "array(1, 3)", "array(8, 12)", "3.0D", "null", "null", "null"], 2: ["null", "null", "null", "null", "array('必修')", "array('社會通識')", "array('資管系')"], 3: none}
     must_not = {1: ["null", "array(5)", "array(9, 11)", "null", "null", "null", "null"], 2: none, 3: ["array('中文')", "null", "null", "2.0D", "array('選修')", "array('人文通識')", "null"]}
-    out = None
-    for i in must:
-        sides = (F.expr(_C.format(*c[i])).cast(CONDITIONS) for c in (must, must_not))
-        part = frame(spark, [(i,)], "id int").select("id", *(s.alias(n) for s, n in zip(sides, ("m", "n"), strict=True)))
-        out = part if out is None else out.unionByName(part)
-    return out.select("id", N.condition_lines(F.lit("統計"), F.lit("資管系"), F.col("m"), F.col("n")).alias("text"))
+    m, n = (F.element_at(F.array(*(F.expr(_C.format(*c[i])).cast(CONDITIONS) for i in c)), (F.col("c_custkey") % 3 + 1).cast("int")) for c in (must, must_not))
+    return table(spark, d, "customer").select("c_custkey", N.condition_lines(F.col("c_name"), F.lit("資管系"), m, n).alias("text"))
 
 
 _QUERIES = "Record: {name} ({unit})\nlanguage {lang}, points {point}, by {teacher}\n{objective}\n{schedule}\nWrite three queries."

@@ -35,6 +35,6 @@ def same(df, con, sql: str) -> None:
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     found = con.execute(sql)
     want = rows_of([c[0] for c in found.description], found.fetchall())
-    assert got[0] == want[0]
+    assert got[0] == want[0], (got[0], want[0])
     assert len(got[1]) == len(want[1])
-    assert got[1] == want[1]
+    assert got[1] == want[1], ([x for x in got[1] if x not in set(want[1])][:3], [x for x in want[1] if x not in set(got[1])][:3])
