@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,11 @@ from pyspark.sql.types import StringType
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once a row, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Word tokens in order, case kept; null and empty text give none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))

@@ -1,45 +1,68 @@
-"""BM25 as joins: an index of postings, and a batch of queries searched in one plan."""
+"""BM25 as joins: an index of postings in blocks of documents, searched by a batch of queries in one plan.
+
+Documents are lined up by their most frequent term and their length, which puts texts of one language and
+size together, and every 64 of them form a block.  The index has a row a term and block: the highest frequency and
+the least length in it, and the postings.  The first two bound what the term can add to any score in the block.
+
+A search sums up bounds first, scores the most promising blocks, and then only those whose bound reaches the k-th best score so far.
+The result is that of scoring everything.
+
+A set of documents is a 64-bit mask a block: pools of allowed documents, and deletion marks, are tested bit by bit.
+
+An index is a folder of segments.  A batch of new documents becomes a segment of its own; documents that it replaces, or that are
+removed, are marked, and no segment is written again.  Statistics count what is live, so that a search gives what a rebuilt index gives.
+Document ids are unique within a batch (repeated ones are ranked as documents of their own).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import tokens
-from ..session import scratch_path
+from ..functions.text import let, tokens
+from ..session import scratch_path, stored
 from ..sizes import small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SCORE_PLACES = 8
+#: Documents of one most frequent term are spread over so many classes.
 SPREADS = 64
+BLOCK_BITS = 6
+#: Blocks that a query scores before it has a k-th best score.
+PROBED = 8
+#: Segment numbers stand above the block numbers of a segment.
+SEGMENT_BITS = 40
 Tokenizer = Callable[[Column], Column]
 
 
-def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
-    """doc_id, term, tf, dl (the document's tokens), a row for each different term of each row of ``docs``.
+def _runs(docs: DataFrame, doc: str, text: str, tokenizer: Tokenizer) -> DataFrame:
+    """doc_id, dl and runs (term, tf): a document's terms are sorted and counted where the document is."""
 
-    A document's terms are sorted and counted where the document is, so nothing is shuffled.
-    """
-    words = docs.select(F.col(doc).alias("doc_id"), F.sort_array(tokenizer(F.col(text))).alias("words")).where(F.size("words") > 0)
-    words = words.withColumn("starts", F.expr("filter(sequence(0, size(words) - 1), i -> i = 0 or words[i] <> words[i - 1])"))
-    runs = F.expr("zip_with(starts, concat(slice(starts, 2, size(starts)), array(size(words))), (a, b) -> struct(words[a] as term, cast(b - a as bigint) as tf))")
-    return words.select("doc_id", F.size("words").alias("dl"), F.inline(runs)).select("doc_id", "term", "tf", "dl")
+    def counted(words: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
+        starts = F.filter(places, lambda i: (i < F.size(words)) & ((i == 0) | (F.get(words, i) != F.get(words, i - 1))))
+        return let(starts, lambda s: F.zip_with(s, F.slice(F.concat(s, F.array(F.size(words))), F.lit(2), F.size(s)), lambda a, b: F.struct(F.get(words, a).alias("term"), (b - a).cast("long").alias("tf"))))
 
+    made = docs.select(F.col(doc).alias("doc_id"), let(F.sort_array(tokenizer(F.col(text))), counted).alias("runs"))
+    return made.select("doc_id", F.aggregate("runs", F.lit(0), lambda n, r: n + r["tf"].cast("int")).alias("dl"), "runs")
 
-def corpus_stats(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """One row: n_docs, avgdl; documents without tokens count with length 0."""
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    total = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all_tokens"))
-    return n.crossJoin(F.broadcast(total)).select("n_docs", F.try_divide(F.col("all_tokens"), F.col("n_docs")).alias("avgdl"))
 
+def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
+    """doc_id, term, tf, dl (the document's tokens), a row for each different term of each row of ``docs``; nothing is shuffled."""
+    return _runs(docs, doc, text, tokenizer).select("doc_id", "dl", F.inline("runs")).select("doc_id", "term", "tf", "dl")
 
-def term_weights(index: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, df, idf; a negative idf becomes a share of the mean over all terms before replacement."""
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+def corpus_stats(docs: DataFrame) -> DataFrame:
+    """One row: n_docs, avgdl of documents (dl); those without tokens count with length 0."""
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.try_divide(F.sum("dl"), F.count(F.lit(1))).alias("avgdl"))
+
+
+def term_weights(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """term, df, idf from document frequencies; a negative idf becomes a share of the mean over all terms before replacement."""
     raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -47,34 +70,121 @@ def term_weights(index: DataFrame, stats: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of an index (postings, one row of stats, term weights) and the tokenizer that its queries need too."""
+    """Tables of an index.
 
-    postings: DataFrame
+    docs: doc_id, block, slot, dl, runs.  blocks: term, block, n, most_tf, least_dl, hits (slot, doc_id, tf, dl).  dead: block and the bits
+    of its deleted documents, or None.  stats: one row.  weights: term, df, idf.  The tokenizer is the one that queries need too.
+    """
+
+    path: str
+    docs: DataFrame
+    blocks: DataFrame
+    dead: DataFrame | None
     stats: DataFrame
     weights: DataFrame
-    tokenizer: Tokenizer = tokens
+    tokenizer: Tokenizer = field(default=tokens)
+
+    @property
+    def postings(self) -> DataFrame:
+        """doc_id, term, tf, dl of all live documents."""
+        return _live(self.blocks.select("term", "block", F.inline("hits")), self.dead).select("doc_id", "term", "tf", "dl")
+
+
+def bit(slot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), slot)
+
+
+def has_bit(bits: Column, slot: Column) -> Column:
+    return F.call_function("shiftrightunsigned", bits, slot).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def _live(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
+    """Rows (block, slot, ...) without those of deleted documents."""
+    if dead is None:
+        return rows
+    marked = rows.join(small(dead.withColumnRenamed("bits", "dead_bits")), "block", "left")
+    return marked.where(~F.coalesce(has_bit(F.col("dead_bits"), F.col("slot")), F.lit(False))).drop("dead_bits")
+
+
+def _write_segment(docs: DataFrame, path: str, number: int, doc: str, text: str, tokenizer: Tokenizer) -> None:
+    runs = _runs(docs, doc, text, tokenizer)
+    lead = F.coalesce(F.array_max(F.transform("runs", lambda r: F.struct(r["tf"], r["term"])))["term"], F.lit(""))
+    dealt = runs.withColumn("lead", lead).repartition("lead", F.pmod(F.xxhash64("doc_id"), F.lit(SPREADS))).sortWithinPartitions("lead", "dl", "doc_id")
+    place = F.monotonically_increasing_id()
+    lined = dealt.withColumn("place", place)
+    block = F.shiftright("place", BLOCK_BITS) + F.lit(number << SEGMENT_BITS)
+    slot = F.col("place").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
+    lined.select("doc_id", block.alias("block"), slot.alias("slot"), "dl", "runs").write.parquet(f"{path}/docs/segment={number}")
+    written = docs.sparkSession.read.parquet(f"{path}/docs/segment={number}")
+    hits = written.select("block", "slot", "doc_id", "dl", F.inline("runs"))
+    blocks = hits.groupBy("term", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("slot", "doc_id", "tf", "dl")).alias("hits")
+    )  # at most 64 hits
+    blocks.sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks/segment={number}")
 
 
 def write_index(docs: DataFrame, path: str | None = None, doc: str = "doc_id", text: str = "text", tokenizer: Tokenizer = tokens) -> Index:
-    """Builds the index once, as tables below ``path`` (a new folder in the shared scratch space by default).
+    """Builds an index of one segment below ``path`` (a new folder in the shared scratch space by default)."""
+    path = path or scratch_path(docs.sparkSession, "index")
+    _write_segment(docs, path, 0, doc, text, tokenizer)
+    return _refresh(docs.sparkSession, path, 0, tokenizer)
 
-    Postings are dealt by term and one of SPREADS classes of documents, so that a frequent term is spread over files, and
-    sorted by term in each, so that readers skip row groups by their terms.
-    """
-    spark = docs.sparkSession
-    path = path or scratch_path(spark, "index")
-    along = postings(docs, doc, text, tokenizer).repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(SPREADS))).sortWithinPartitions("term", "doc_id")
-    along.write.parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
-    corpus_stats(docs, stored).write.parquet(f"{path}/stats")
-    stats = spark.read.parquet(f"{path}/stats")
-    term_weights(stored, stats).write.parquet(f"{path}/weights")
-    return read_index(docs, path, tokenizer)
+
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``prefix``N below a path, which is a folder of few."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+
+
+def _open(spark: SparkSession, path: str, version: int, tokenizer: Tokenizer) -> Index:
+    read = spark.read.parquet
+    dead = read(f"{path}/dead-{version}") if version in _numbers(spark, path, "dead-") else None
+    segments = [n for n in _numbers(spark, f"{path}/docs", "segment=") if n <= version]
+    docs, blocks = (read(*(f"{path}/{kind}/segment={n}" for n in segments)) for kind in ("docs", "blocks"))
+    return Index(path, docs, blocks, dead, read(f"{path}/stats-{version}"), read(f"{path}/weights-{version}"), tokenizer)
 
 
-def read_index(docs: DataFrame, path: str, tokenizer: Tokenizer = tokens) -> Index:
-    read = docs.sparkSession.read.parquet
-    return Index(read(f"{path}/postings"), read(f"{path}/stats"), read(f"{path}/weights"), tokenizer)
+def read_index(spark: SparkSession, path: str, tokenizer: Tokenizer = tokens) -> Index:
+    """The last complete version of a stored index."""
+    return _open(spark, path, _numbers(spark, path, "weights-")[-1], tokenizer)
+
+
+def _refresh(spark: SparkSession, path: str, version: int, tokenizer: Tokenizer) -> Index:
+    """Writes the statistics of what is live; weights come last and make the version complete."""
+    read = spark.read.parquet
+    docs, blocks = read(f"{path}/docs"), read(f"{path}/blocks")
+    dead = read(f"{path}/dead-{version}") if version in _numbers(spark, path, "dead-") else None
+    corpus_stats(_live(docs, dead)).write.parquet(f"{path}/stats-{version}")
+    df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+    if dead is not None:
+        gone = docs.join(small(dead), "block").where(has_bit(F.col("bits"), F.col("slot"))).select(F.inline("runs")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+        df = df.unionByName(gone).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    term_weights(df, read(f"{path}/stats-{version}")).write.parquet(f"{path}/weights-{version}")
+    return _open(spark, path, version, tokenizer)
+
+
+def _next(index: Index, ids: DataFrame, batch: DataFrame | None, doc: str, text: str) -> Index:
+    spark = index.docs.sparkSession
+    version = _numbers(spark, index.path, "weights-")[-1] + 1
+    gone = index.docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("block", bit(F.col("slot")).alias("bits"))
+    if index.dead is not None:
+        gone = gone.unionByName(index.dead)
+    gone.groupBy("block").agg(F.bit_or("bits").alias("bits")).write.parquet(f"{index.path}/dead-{version}")
+    if batch is not None:
+        _write_segment(batch, index.path, version, doc, text, index.tokenizer)
+    return _refresh(spark, index.path, version, index.tokenizer)
+
+
+def add_documents(index: Index, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Index:
+    """The index with a batch of documents, which replace those of the same ids; one new segment is written."""
+    return _next(index, docs.select(F.col(doc).alias("doc_id")), docs, doc, text)
+
+
+def remove_documents(index: Index, ids: DataFrame) -> Index:
+    """The index without the documents ``ids`` (doc_id); only marks are written."""
+    return _next(index, ids, None, "doc_id", "text")
 
 
 def top_hits(scored: DataFrame, k: int, by: str = "qid") -> DataFrame:
@@ -83,21 +193,73 @@ def top_hits(scored: DataFrame, k: int, by: str = "qid") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def score_bm25(queries: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, doc_id, score of every document that shares a term with the query (qid, text); repeated query terms count again."""
+@dataclass(frozen=True)
+class Pool:
+    """Which documents of an index each query may find: ``masks`` (qid, block, bits) of the queries in ``restricted`` (qid); other queries may find all."""
+
+    masks: DataFrame
+    restricted: DataFrame
+
+
+def pool_of_pairs(index: Index, pairs: DataFrame, queries: DataFrame) -> Pool:
+    """A pool from (qid, doc_id) rows; a query without any finds nothing."""
+    places = pairs.join(index.docs.select("doc_id", "block", "slot"), "doc_id")
+    return Pool(places.groupBy("qid", "block").agg(F.bit_or(bit(F.col("slot"))).alias("bits")), queries.select("qid").distinct())
+
+
+def _part(tf: Column, dl: Column, k1: float, b: float) -> Column:
+    return tf * (k1 + 1) / (tf + F.lit(k1) * (1 - b + F.lit(b) * dl / F.col("avgdl")))
+
+
+def _bounds(terms: DataFrame, index: Index, pool: Pool | None, k1: float, b: float) -> DataFrame:
+    """qid, block, bound (no document of the block scores more), and bits where there is a pool."""
+    most = F.greatest(F.col("weight"), F.lit(0.0)) * _part(F.col("most_tf"), F.col("least_dl"), k1, b)
+    shared = index.blocks.select("term", "block", "most_tf", "least_dl").join(small(terms), "term").crossJoin(F.broadcast(index.stats))
+    bounds = shared.groupBy("qid", "block").agg(F.sum(most).alias("bound"))
+    if pool is None:
+        return bounds
+    marked = bounds.join(small(pool.restricted.withColumn("is_restricted", F.lit(True))), "qid", "left").join(pool.masks, ["qid", "block"], "left")
+    return marked.where("is_restricted is null or bits <> 0").select("qid", "block", "bound", F.when(F.col("is_restricted"), F.col("bits")).otherwise(F.lit(-1).cast("long")).alias("bits"))
+
+
+def _scored(pairs: DataFrame, terms: DataFrame, index: Index, pool: Pool | None, k1: float, b: float) -> DataFrame:
+    """qid, doc_id, score of the documents of pairs (qid, block) that share a term with the query."""
+    asked = small(pairs.drop("bound").join(small(terms), "qid"))
+    hits = index.blocks.select("term", "block", "hits").join(asked, ["term", "block"]).select("qid", "weight", "block", *(["bits"] if pool else []), F.inline("hits"))
+    if pool is not None:
+        hits = hits.where(has_bit(F.col("bits"), F.col("slot")))
+    parts = _live(hits, index.dead).crossJoin(F.broadcast(index.stats)).withColumn("part", F.col("weight") * _part(F.col("tf"), F.col("dl"), k1, b))
+    return parts.groupBy("qid", "block", "slot", "doc_id").agg(F.sum("part").alias("score")).select("qid", "doc_id", "score")
+
+
+@dataclass(frozen=True)
+class Search:
+    """Hits (qid, doc_id, score, rank) of a search and, as (qid, block), all blocks that share a term with the query and those that were scored."""
+
+    hits: DataFrame
+    blocks: DataFrame
+    read: DataFrame
+
+
+def pruned_search(queries: DataFrame, index: Index, k: int = 10, pool: Pool | None = None, probed: int = PROBED, k1: float = K1, b: float = B) -> Search:
+    """The k best of each query, exact: blocks are left out only where their bound is below the k-th best score so far."""
     wanted = queries.select("qid", F.explode(index.tokenizer(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    norm = F.lit(k1) * (1 - b + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    matched = index.postings.join(small(wanted.join(index.weights, "term")), "term").crossJoin(F.broadcast(index.stats))
-    return matched.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+    terms = stored(wanted.join(index.weights, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "terms")
+    bounds = stored(_bounds(terms, index, pool, k1, b), "bounds")
+    order = Window.partitionBy("qid").orderBy(F.desc("bound"), "block")
+    first = bounds.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= probed + (k >> BLOCK_BITS)).drop("nth")
+    best = stored(top_hits(_scored(first, terms, index, pool, k1, b), k), "best")
+    floor = best.where(F.col("rank") == k).select("qid", F.round("score", SCORE_PLACES).alias("floor"))
+    rest = bounds.join(small(first.select("qid", "block")), ["qid", "block"], "left_anti").join(small(floor), "qid", "left")
+    rest = stored(rest.where("floor is null or bound >= floor - 1e-6").drop("floor"), "rest")  # ties at the border stay in
+    both = best.drop("rank").unionByName(top_hits(_scored(rest, terms, index, pool, k1, b), k).drop("rank"))
+    return Search(top_hits(both, k).select("qid", "doc_id", "score", "rank"), bounds.select("qid", "block"), first.select("qid", "block").unionByName(rest.select("qid", "block")))
 
 
-def bm25_search(queries: DataFrame, index: Index, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
-    """qid, doc_id, score, rank.  The k best are cut first, then scores that aren't positive are dropped.
+def bm25_search(queries: DataFrame, index: Index, k: int = 10, allowed: Pool | DataFrame | None = None) -> DataFrame:
+    """qid, doc_id, score, rank for queries (qid, text); repeated query terms count again.  Scores that aren't positive are dropped after the cut.
 
-    ``allowed`` (qid, doc_id) restricts the ranking; the statistics stay those of all documents.
+    ``allowed`` restricts the ranking, as a Pool or as (qid, doc_id) rows; the statistics stay those of all documents.
     """
-    scored = score_bm25(queries, index)
-    if allowed is not None:
-        scored = scored.join(allowed, ["qid", "doc_id"], "left_semi")
-    return top_hits(scored, k).where("score > 0").select("qid", "doc_id", "score", "rank")
+    pool = pool_of_pairs(index, allowed, queries) if isinstance(allowed, DataFrame) else allowed
+    return pruned_search(queries, index, k, pool).hits.where("score > 0")

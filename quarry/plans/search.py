@@ -31,7 +31,7 @@ class SearchPlan:
     top_k: int = 20
     scorer: Callable[[Column, Column], Column] | None = None
     post_filter: Callable[[DataFrame], DataFrame] | None = None
-    allowed: DataFrame | None = None
+    allowed: lexical.Pool | DataFrame | None = None
 
     def legs(self, queries: DataFrame) -> dict[str, DataFrame]:
         """The hits of each form in each leg."""

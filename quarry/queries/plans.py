@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evalsets, lexical, metrics, rank, rewrites
 from ..plans.search import SearchPlan
+from ..session import stored
 from . import query, table
 from .parsers import dealt, dealt_values, frame
 from .retrieval import LEGS, _BASE, _FUSED, _RERANK, _leg, _metrics_sql, _per_query, gold, index_of, items, leg, long_words, rounded
@@ -89,8 +90,8 @@ def fan_out_search(spark, d):
 def hashed_bag(rows: DataFrame, key: str) -> DataFrame:
     """A stand-in for an encoder: how many tokens of a text fall into each of 16 buckets."""
     buckets = F.transform(T.tokens(F.col("text")), lambda t: (F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int") % 16))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.size(F.filter(F.col("buckets"), lambda b: b == i)).cast("double"))
-    return rows.select(key, buckets.alias("buckets")).select(key, counts.alias("vector"))
+    counts = T.let(buckets, lambda found: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.size(F.filter(found, lambda b: b == i)).cast("double")))
+    return stored(rows.select(key, counts.alias("vector")), "vectors")
 
 
 _BAG = r"list_transform(range(16), lambda i: CAST(len(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda t: CAST('0x' || substr(md5(t), 1, 2) AS INTEGER) % 16), lambda b: b = i)) AS DOUBLE))"
