@@ -100,13 +100,11 @@ def inconsistencies(reasons: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in reasons.items())))
 
 
-def pool_statistics(queries: DataFrame, pool: DataFrame, qrels: DataFrame) -> DataFrame:
-    """One row: n_queries, avg_pool, median_pool (the upper one), min_pool, max_pool, gold_in_pool."""
-    sizes = queries.select("qid").join(pool.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").fillna({"n": 0})
+def pool_statistics(sizes: DataFrame, qrels: DataFrame) -> DataFrame:
+    """One row: n_queries, avg_pool, median_pool (the upper one), min_pool, max_pool of sizes (qid, n), and gold_in_pool, the share of qrels that is ``inside``."""
     upper = F.expr("percentile_disc(0.5) within group (order by n desc)").cast("long")
     total = sizes.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("n"), 6).alias("avg_pool"), upper.alias("median_pool"), F.min("n").alias("min_pool"), F.max("n").alias("max_pool"))
-    inside = qrels.join(pool.withColumn("inside", F.lit(1)), ["qid", "doc_id"], "left").agg(F.round(F.avg(F.coalesce("inside", F.lit(0))), 6).alias("gold_in_pool"))
-    return total.crossJoin(F.broadcast(inside))
+    return total.crossJoin(F.broadcast(qrels.agg(F.round(F.avg(F.col("inside").cast("int")), 6).alias("gold_in_pool"))))
 
 
 def consistency(c: Column, known: Column, sessions: Column, lang: Column, unit: Column, point: Column, kind: Column) -> dict[str, Column]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 
-from ..operators import dense, lexical, rank
+from ..operators import bitmaps, dense, lexical, rank
 
 Form = Callable[[DataFrame], DataFrame] | None
 
@@ -41,7 +41,8 @@ class SearchPlan:
             if self.index is not None:
                 out[name] = lexical.bm25_search(self.expand(asked) if self.expand else asked, self.index, self.retrieve_k, self.allowed)
             if self.vectors is not None:
-                out[f"{name}_dense"] = dense.dense_search(self.encoder(asked), self.vectors, self.retrieve_k, allowed=self.allowed)
+                pairs = bitmaps.pool_members(asked, self.allowed, self.index) if isinstance(self.allowed, lexical.Pool) else self.allowed
+                out[f"{name}_dense"] = dense.dense_search(self.encoder(asked), self.vectors, self.retrieve_k, allowed=pairs)
         return out
 
     def run(self, queries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsers
+from ..operators import bitmaps as B
 from ..operators import lexical, metrics, rank
 from ..operators import predicates as P
 from ..plans.search import SearchPlan
 from ..schema import CONDITIONS, CONSTRAINTS
-from ..session import scratch_path
+from ..session import stored
 from ..sizes import small
 from . import query, table
 from .retrieval import K, _BASE, _leg, _metrics_sql, gold, index_of, items, rounded
@@ -154,11 +155,21 @@ def catalog(spark, d) -> DataFrame:
     return docs.selectExpr("*", "cast(array() as array<struct<weekday:int,start_hour:int,end_hour:int>>) as sessions", "cast(array() as array<int>) as weekdays", "cast(null as double) as point", "cast(null as string) as lmt_kind")
 
 
-def pool(spark, d) -> DataFrame:
-    """qid, doc_id: the documents that meet each query's conditions; queries without conditions meet all."""
-    wanted = small(conditions(spark, d))
-    doc = {c: F.col(c) for c in ("lang", "unit", "kind", "sessions", "weekdays", "point", "lmt_kind")}
-    return catalog(spark, d).join(wanted, P.matches(doc, F.col("must"), F.col("must_not"))).select("qid", "doc_id")
+_ATTRIBUTES = ("lang", "unit", "kind", "sessions", "weekdays", "point", "lmt_kind")
+_bits: dict[tuple[str, str], DataFrame] = {}
+
+
+def attribute_bits(spark, d) -> DataFrame:
+    """The bitmaps of the catalog's attributes; the first query of an application that asks for them writes them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _bits:
+        _bits[key] = stored(B.attribute_bits(catalog(spark, d), index_of(spark, d), {c: F.col(c) for c in _ATTRIBUTES}), "bits")
+    return _bits[key]
+
+
+def pool(spark, d):
+    """The documents that meet each query's conditions, as masks; queries without conditions are not restricted."""
+    return B.pools(conditions(spark, d), attribute_bits(spark, d))
 
 
 _POOL = """
@@ -171,7 +182,8 @@ pool AS (SELECT item_id AS qid, doc_id FROM benchmark, c WHERE
 
 @query("prefilter_pool", "WITH " + _POOL + "SELECT qid, doc_id FROM pool")
 def prefilter_pool(spark, d):
-    return pool(spark, d)
+    """The pools written out, which only a report needs."""
+    return B.pool_members(items(spark, d), pool(spark, d), index_of(spark, d))
 
 
 @query(
@@ -185,7 +197,8 @@ def pool_stats(spark, d):
     """Sizes of the pools, with the upper median, and the share of gold that they hold."""
     from ..operators.evalsets import pool_statistics
 
-    return pool_statistics(items(spark, d), pool(spark, d), gold(spark, d))
+    pools, index = pool(spark, d), index_of(spark, d)
+    return pool_statistics(B.pool_sizes(items(spark, d), pools, index), B.in_pool(gold(spark, d), pools, index))
 
 
 @query(
@@ -199,8 +212,8 @@ def pool_by_dims(spark, d):
     names = ("course_lang", "weekday", "hour_range", "kind", "lmt_kind", "unit")
     present = [F.when(F.size(f"{side}.{n}") > 0, F.lit(("not " if side == "must_not" else "") + n)) for side in ("must", "must_not") for n in names]
     dims = conditions(spark, d).select("qid", F.array_join(F.array_sort(F.array_compact(F.array(*present))), ",").alias("dims"))
-    sizes = pool(spark, d).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    out = dims.join(sizes, "qid", "left").fillna({"n": 0}).groupBy("dims").agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("n"), 6).alias("avg_pool"))
+    sizes = B.pool_sizes(items(spark, d), pool(spark, d), index_of(spark, d))
+    out = dims.join(sizes, "qid").groupBy("dims").agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("n"), 6).alias("avg_pool"))
     return out.orderBy(F.desc("n_queries"), "dims").limit(15)
 
 
@@ -219,7 +232,7 @@ def prefilter_variants(spark, d):
     """Hit rate at 10 and average pool, without and with the conditions."""
     queries, docs, allowed, qrels = items(spark, d), table(spark, d, "documents"), pool(spark, d), gold(spark, d)
     n = queries.agg(F.count(F.lit(1)).alias("n"))
-    sizes = {"no_filter": docs.agg(F.count(F.lit(1)).cast("double").alias("avg_pool")), "oracle": allowed.agg(F.count(F.lit(1)).alias("p")).crossJoin(n).select((F.col("p") / F.col("n")).alias("avg_pool"))}
+    sizes = {"no_filter": docs.agg(F.count(F.lit(1)).cast("double").alias("avg_pool")), "oracle": B.pool_sizes(queries, allowed, index_of(spark, d)).agg(F.avg("n").alias("avg_pool"))}
     out = None
     for name, cut in {"no_filter": None, "oracle": allowed}.items():
         hits = lexical.bm25_search(queries, index_of(spark, d), 10, cut).join(qrels, ["qid", "doc_id"], "left_semi").agg(F.count_distinct("qid").alias("found"))
@@ -241,16 +254,14 @@ def prefilter_parsed(spark, d):
     queries = items(spark, d)
     said = F.expr("case qid % 3 when 1 then '英文授課' when 2 then '不要法文' else '' end")
     must, must_not = parsers.parse_patterns(F.col("said"))
-    path = scratch_path(spark, "parsed")
-    queries.select("qid", said.alias("said")).select("qid", must.alias("must"), must_not.alias("must_not")).write.parquet(path)  # parsed once
-    wanted = small(spark.read.parquet(path))
-    named = catalog(spark, d).withColumn("lang", F.try_element_at(F.create_map(*(F.lit(x) for pair in _NAMES.items() for x in pair)), F.col("lang")))
-    doc = {c: F.col(c) for c in ("lang", "unit", "kind", "sessions", "weekdays", "point", "lmt_kind")}
-    allowed = named.join(wanted, P.matches(doc, F.col("must"), F.col("must_not"))).select("qid", "doc_id")
+    wanted = queries.select("qid", said.alias("said")).select("qid", must.alias("must"), must_not.alias("must_not"))
+    index = index_of(spark, d)
+    named = F.try_element_at(F.create_map(*(F.lit(x) for pair in _NAMES.items() for x in pair)), F.col("lang"))
+    allowed = B.pools(wanted, B.attribute_bits(catalog(spark, d), index, {c: F.col(c) for c in _ATTRIBUTES} | {"lang": named}))
     n = queries.agg(F.count(F.lit(1)).alias("n"))
-    found = lexical.bm25_search(queries, index_of(spark, d), 10, allowed).join(gold(spark, d), ["qid", "doc_id"], "left_semi").agg(F.count_distinct("qid").alias("found"))
-    sizes = allowed.agg(F.count(F.lit(1)).alias("p"))
-    return found.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(sizes)).select(F.lit("parser").alias("variant"), F.round(F.col("p") / F.col("n"), 4).alias("avg_pool"), F.round(F.col("found") / F.col("n"), 6).alias("hit_rate"))
+    found = lexical.bm25_search(queries, index, 10, allowed).join(gold(spark, d), ["qid", "doc_id"], "left_semi").agg(F.count_distinct("qid").alias("found"))
+    sizes = B.pool_sizes(queries, allowed, index).agg(F.avg("n").alias("avg_pool"))
+    return found.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(sizes)).select(F.lit("parser").alias("variant"), F.round("avg_pool", 4).alias("avg_pool"), F.round(F.col("found") / F.col("n"), 6).alias("hit_rate"))
 
 
 def constraints(spark, d) -> DataFrame:
