@@ -14,25 +14,24 @@ def _joined(*parts):
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-_NAME, _SEGMENT = F.col("c_name"), F.col("c_mktsegment")
-
-
 @query(
     "batch_flatten_chat",
     "SELECT c_custkey AS id, 'topic' AS kind, c_mktsegment AS query FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'colloquial', c_name FROM customer WHERE c_custkey % 3 = 0",
 )
 def batch_flatten_chat(spark, d):
     """Answers about customers as lines of a batch: one that decodes, one whose content is broken, one that is no JSON."""
-    whole = _joined('{"response": {"body": {"choices": [{"message": {"content": "{\\"topic\\": \\"', _SEGMENT, '\\", \\"constraint\\": \\" \\", \\"colloquial\\": \\"', _NAME, '\\"}"}}]}}}')
-    broken = _joined('{"response": {"body": {"choices": [{"message": {"content": "', _NAME, '"}}]}}}')
-    line = F.when(F.col("c_custkey") % 3 == 0, whole).when(F.col("c_custkey") % 3 == 1, broken).otherwise(_NAME)
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    whole = _joined('{"response": {"body": {"choices": [{"message": {"content": "{\\"topic\\": \\"', segment, '\\", \\"constraint\\": \\" \\", \\"colloquial\\": \\"', name, '\\"}"}}]}}}')
+    broken = _joined('{"response": {"body": {"choices": [{"message": {"content": "', name, '"}}]}}}')
+    line = F.when(F.col("c_custkey") % 3 == 0, whole).when(F.col("c_custkey") % 3 == 1, broken).otherwise(name)
     return E.personas(E.chat_answers(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), line.alias("line"))))
 
 
 @query("batch_flatten_blocks", "SELECT c_custkey AS id, 'topic' AS kind, c_name AS query FROM customer WHERE c_custkey % 2 = 0")
 def batch_flatten_blocks(spark, d):
     """The same in blocks of text that make one document together; every second answer failed."""
-    whole = _joined('{"result": {"type": "succeeded", "message": {"content": [{"type": "text", "text": "{\\"topic\\": "}, {"type": "text", "text": "\\"', _NAME, '\\"}"}]}}}')
+    name = F.col("c_name")
+    whole = _joined('{"result": {"type": "succeeded", "message": {"content": [{"type": "text", "text": "{\\"topic\\": "}, {"type": "text", "text": "\\"', name, '\\"}"}]}}}')
     line = F.when(F.col("c_custkey") % 2 == 0, whole).otherwise('{"result": {"type": "errored"}}')
     return E.personas(E.block_answers(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), line.alias("line"))))
 
