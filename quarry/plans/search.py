@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 
-from ..operators import bitmaps, dense, lexical, rank
+from ..operators import bitmaps, dense, lexical, rank, vector_blocks
 
 Form = Callable[[DataFrame], DataFrame] | None
 
@@ -16,14 +16,14 @@ Form = Callable[[DataFrame], DataFrame] | None
 class SearchPlan:
     """``forms`` name the rewrites of the queries (qid, text) that every leg searches.
 
-    The lexical leg needs an ``index``, the dense leg ``vectors`` (doc_id, vector) and an ``encoder`` of queries into
+    The lexical leg needs an ``index``, the dense leg ``vectors`` (doc_id, vector, or stored blocks of them) and an ``encoder`` of queries into
     (qid, vector); a plan may have either or both.  ``expand`` rewrites the queries of the lexical leg alone.  ``retrieve_k`` hits a leg
     are fused if there are several legs.  With a scorer they are re-ranked on the original text and cut to ``top_k``
     before the post-filter; without, the filter sees all of them.
     """
 
     index: lexical.Index | None = None
-    vectors: DataFrame | None = None
+    vectors: DataFrame | vector_blocks.VectorBlocks | None = None
     encoder: Callable[[DataFrame], DataFrame] | None = None
     forms: dict[str, Form] = field(default_factory=lambda: {"full": None})
     expand: Form = None
@@ -42,7 +42,10 @@ class SearchPlan:
                 out[name] = lexical.bm25_search(self.expand(asked) if self.expand else asked, self.index, self.retrieve_k, self.allowed)
             if self.vectors is not None:
                 pairs = bitmaps.pool_members(asked, self.allowed, self.index) if isinstance(self.allowed, lexical.Pool) else self.allowed
-                out[f"{name}_dense"] = dense.dense_search(self.encoder(asked), self.vectors, self.retrieve_k, allowed=pairs)
+                if isinstance(self.vectors, vector_blocks.VectorBlocks):
+                    out[f"{name}_dense"] = vector_blocks.search_blocks(self.encoder(asked), self.vectors, self.retrieve_k, allowed=pairs).hits
+                else:
+                    out[f"{name}_dense"] = dense.dense_search(self.encoder(asked), self.vectors, self.retrieve_k, allowed=pairs)
         return out
 
     def run(self, queries: DataFrame, docs: DataFrame) -> DataFrame:

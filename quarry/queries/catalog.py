@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog as C
 from ..session import scratch_path
+from ..sources import keyed as K
 from ..sources import tables as S
 from . import query, table
 
@@ -101,6 +102,28 @@ def insert_if_absent(spark, d):
     return S.insert_absent(part.where("p_partkey % 2 = 0").withColumn("origin", F.lit("old")), part.withColumn("origin", F.lit("new")), "p_partkey")
 
 
+@query(
+    "stored_upsert",
+    "SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 5 = 0"
+    " UNION ALL SELECT -o_orderkey - 1, o_totalprice, 'late' FROM orders WHERE o_orderkey % 5 = 0",
+)
+def stored_upsert(spark, d):
+    """Orders in a keyed table: some are removed, and then one batch brings some of these back, changes others and adds new ones."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    some = orders.where("o_orderkey % 5 = 0")
+    batch = some.withColumn("status", F.lit("new")).unionByName(some.select((-F.col("o_orderkey") - 1).alias("o_orderkey"), "price", F.lit("late").alias("status")))
+    stored_orders = K.create(orders, scratch_path(spark, "orders"), "o_orderkey", buckets=16)
+    return stored_orders.delete(orders.where("o_orderkey % 7 = 0")).upsert(batch).rows()
+
+
+@query("stored_insert", "SELECT p_partkey, p_size, CASE WHEN p_size <= 25 THEN 'old' ELSE 'new' END AS origin FROM part")
+def stored_insert(spark, d):
+    """Parts in a keyed table, of which a second batch brings all: only those that aren't there go in."""
+    part = table(spark, d, "part").select("p_partkey", "p_size")
+    first = K.create(part.where("p_size <= 25").withColumn("origin", F.lit("old")), scratch_path(spark, "part"), "p_partkey", buckets=16)
+    return first.insert_absent(part.withColumn("origin", F.lit("new"))).rows()
+
+
 @query(
     "merge_summaries",
     "WITH n AS (SELECT c_nationkey, sum(c_acctbal) AS score FROM customer WHERE c_nationkey >= 10 GROUP BY ALL), o AS (SELECT s_nationkey, sum(s_acctbal) AS score FROM supplier WHERE s_nationkey < 15 GROUP BY ALL)"

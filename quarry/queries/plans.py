@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evalsets, lexical, metrics, rank, rewrites
+from ..operators import evalsets, lexical, metrics, rank, rewrites, vector_blocks
 from ..plans.search import SearchPlan
 from ..session import stored
 from . import query, table
 from .parsers import dealt, dealt_values, frame
-from .retrieval import LEGS, _BASE, _FUSED, _RERANK, _leg, _metrics_sql, _per_query, gold, index_of, items, leg, long_words, rounded
+from .retrieval import LEGS, _BASE, _FUSED, _RERANK, _SWEEP, _leg, _metrics_sql, _per_query, gold, index_of, items, leg, long_words, rounded, sweep
 
 # ---- tokenizers ------------------------------------------------------------------------------------------------
 
@@ -97,12 +97,15 @@ def hashed_bag(rows: DataFrame, key: str) -> DataFrame:
 _BAG = r"list_transform(range(16), lambda i: CAST(len(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda t: CAST('0x' || substr(md5(t), 1, 2) AS INTEGER) % 16), lambda b: b = i)) AS DOUBLE))"
 
 
+_BAG_LEG = f""",
+dv AS (SELECT doc_id, {_BAG} AS v FROM documents), qv AS (SELECT qid, {_BAG} AS v FROM q1),
+l2 AS (SELECT * FROM (SELECT qid, doc_id, list_dot_product(qv.v, dv.v) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(qv.v, dv.v), 8) DESC, doc_id) AS rank FROM qv, dv) WHERE rank <= K_HITS)
+"""
+
+
 @query(
     "hybrid_plan",
-    _BASE + _leg("l1", "q1") + f""",
-dv AS (SELECT doc_id, {_BAG} AS v FROM documents), qv AS (SELECT qid, {_BAG} AS v FROM q1),
-l2 AS (SELECT * FROM (SELECT qid, doc_id, list_dot_product(qv.v, dv.v) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(qv.v, dv.v), 8) DESC, doc_id) AS rank FROM qv, dv) WHERE rank <= 20)
-""" + _FUSED.format("1.0", "1.0") + "SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM fused",
+    _BASE + _leg("l1", "q1") + _BAG_LEG.replace("K_HITS", "20") + _FUSED.format("1.0", "1.0") + "SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM fused",
 )
 def hybrid_plan(spark, d):
     """A lexical and a dense leg by configuration."""
@@ -111,6 +114,24 @@ def hybrid_plan(spark, d):
     return rounded(plan.run(items(spark, d), docs), "score", places=6)
 
 
+_blocks: dict[tuple[str, str], vector_blocks.VectorBlocks] = {}
+
+
+def bag_blocks(spark, d) -> vector_blocks.VectorBlocks:
+    """The documents' stand-in vectors in blocks; the first query of an application that asks for them writes them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _blocks:
+        _blocks[key] = vector_blocks.write_blocks(hashed_bag(table(spark, d, "documents"), "doc_id"))
+    return _blocks[key]
+
+
+@query("rrf_weight_sweep_dense", _BASE + _leg("l1", "q1", 50) + _BAG_LEG.replace("K_HITS", "50") + _SWEEP.replace("w_full", "w_lexical").replace("w_long", "w_dense"))
+def rrf_weight_sweep_dense(spark, d):
+    """A lexical leg against a dense one from stored blocks."""
+    legs = SearchPlan(index_of(spark, d), bag_blocks(spark, d), lambda q: hashed_bag(q, "qid"), retrieve_k=50).legs(items(spark, d))
+    return sweep(spark, d, {"lexical": legs["full"], "dense": legs["full_dense"]})
+
+
 @query("rerank_normalised", _BASE + _leg("l1", "q1") + _RERANK + "SELECT qid, doc_id, round(1 / (1 + exp(-score)), 6) AS score, CAST(rank AS INTEGER) AS rank FROM rr")
 def rerank_normalised(spark, d):
     return rounded(rank.rerank(leg(spark, d), items(spark, d), table(spark, d, "documents"), 10, normalise=True), "score", places=6)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import dense, lexical, metrics, rank
+from ..operators import dense, lexical, metrics, rank, vector_blocks
 from ..sizes import small
 from . import query, table
 
@@ -143,6 +143,13 @@ def dense_topk(spark, d):
     return rounded(dense.dense_search(*_vectors(spark, d)), "score")
 
 
+@query("dense_blocks_topk", _DENSE.format("WHERE qid <> vec_id") + "SELECT qid, doc_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM h")
+def dense_blocks_topk(spark, d):
+    """The neighbours of the same vectors from stored blocks, which a search reads only where their bounds are good enough."""
+    queries, vectors = _vectors(spark, d)
+    return rounded(vector_blocks.search_blocks(queries, vector_blocks.write_blocks(vectors), exclude_self=True).hits, "score")
+
+
 @query("dense_exclude_self", _DENSE.format("WHERE qid <> vec_id") + "SELECT qid, doc_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM h")
 def dense_exclude_self(spark, d):
     return rounded(dense.dense_search(*_vectors(spark, d), exclude_self=True), "score")
@@ -178,27 +185,33 @@ def rrf_weighted(spark, d):
     return rounded(rank.rrf(rank.union_runs(both_legs(spark, d)), weights=weights), "score", places=6)
 
 
-@query(
-    "rrf_weight_sweep",
-    _BASE + _leg("l1", "q1", 50) + _leg("l2", "q2", 50) + """,
+_SWEEP = """,
 w AS (SELECT * FROM (VALUES (0.5, 1.0), (1.0, 1.0), (1.5, 1.0), (2.0, 1.0), (3.0, 1.0), (5.0, 1.0), (1.0, 1.5), (1.0, 2.0), (1.0, 3.0)) t(w_full, w_long)),
 fs AS (SELECT w_full, w_long, qid, doc_id, sum(CASE WHEN leg = 1 THEN w_full ELSE w_long END / (60 + rank)) AS score FROM (SELECT 1 AS leg, * FROM l1 UNION ALL SELECT 2, * FROM l2), w GROUP BY ALL),
 fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w_full, w_long, qid ORDER BY round(score, 8) DESC, doc_id) AS rank FROM fs) WHERE rank <= 50),
 fg AS (SELECT w_full, w_long, qid, min(rank) AS best FROM fr SEMI JOIN gold USING (qid, doc_id) GROUP BY ALL)
 SELECT w_full, w_long, k, round(count(*) FILTER (WHERE best <= k) / (SELECT count(*) FROM q1), 6) AS recall
-FROM w CROSS JOIN (VALUES (10), (20), (50)) c(k) LEFT JOIN fg USING (w_full, w_long) GROUP BY ALL""",
-)
+FROM w CROSS JOIN (VALUES (10), (20), (50)) c(k) LEFT JOIN fg USING (w_full, w_long) GROUP BY ALL"""
+
+
+@query("rrf_weight_sweep", _BASE + _leg("l1", "q1", 50) + _leg("l2", "q2", 50) + _SWEEP)
 def rrf_weight_sweep(spark, d):
+    return sweep(spark, d, both_legs(spark, d, 50))
+
+
+def sweep(spark, d, runs: dict[str, DataFrame]) -> DataFrame:
+    """The recall of two runs fused with several weights, as one plan."""
+    one, other = (f"w_{name}" for name in runs)
     pairs = [(a, 1.0) for a in (0.5, 1.0, 1.5, 2.0, 3.0, 5.0)] + [(1.0, b) for b in (1.5, 2.0, 3.0)]
-    settings = spark.createDataFrame(pairs, "w_full double, w_long double")
-    weights = settings.select("w_full", "w_long", F.explode(F.create_map(F.lit("full"), "w_full", F.lit("long"), "w_long")).alias("run", "weight"))
-    runs = rank.union_runs(both_legs(spark, d, 50))
-    fused = rank.rrf(runs, 50, weights=weights, by=("w_full", "w_long", "qid"))
-    best = fused.join(gold(spark, d), ["qid", "doc_id"]).groupBy("w_full", "w_long", "qid").agg(F.min("rank").alias("best"))
+    settings = spark.createDataFrame(pairs, f"{one} double, {other} double")
+    names = [F.lit(name) for name in runs]
+    weights = settings.select(one, other, F.explode(F.create_map(names[0], one, names[1], other)).alias("run", "weight"))
+    fused = rank.rrf(rank.union_runs(runs), 50, weights=weights, by=(one, other, "qid"))
+    best = fused.join(gold(spark, d), ["qid", "doc_id"]).groupBy(one, other, "qid").agg(F.min("rank").alias("best"))
     n = items(spark, d).agg(F.count(F.lit(1)).alias("n"))
-    grid = settings.crossJoin(F.broadcast(spark.createDataFrame([(10,), (20,), (50,)], "k int"))).join(best, ["w_full", "w_long"], "left")
-    found = grid.groupBy("w_full", "w_long", "k").agg(F.count(F.when(F.col("best") <= F.col("k"), 1)).alias("found"))
-    return found.crossJoin(F.broadcast(n)).select("w_full", "w_long", "k", F.round(F.col("found") / F.col("n"), 6).alias("recall"))
+    grid = settings.crossJoin(F.broadcast(spark.createDataFrame([(10,), (20,), (50,)], "k int"))).join(best, [one, other], "left")
+    found = grid.groupBy(one, other, "k").agg(F.count(F.when(F.col("best") <= F.col("k"), 1)).alias("found"))
+    return found.crossJoin(F.broadcast(n)).select(one, other, "k", F.round(F.col("found") / F.col("n"), 6).alias("recall"))
 
 
 @query(
