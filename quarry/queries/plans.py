@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evalsets, lexical, metrics, rank, rewrites, vector_blocks
+from ..operators.segment import segmenter
 from ..plans.search import SearchPlan
 from ..session import stored
 from . import query, table
@@ -34,6 +35,30 @@ def mixed_tokens(spark, d):
     return dealt(spark, d, [(t,) for _, t, _ in MIXED], "text string").select("c_custkey", F.array_join(T.mixed_tokens(text), ",").alias("words"))
 
 
+@query(
+    "segmented_sentences",
+    r"""WITH RECURSIVE w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) GROUP BY word),
+a AS (SELECT CAST(round(1e6 * (ln(sum(n)) + ln(2))) AS BIGINT) AS alone, max(length(word)) AS longest FROM w),
+c AS (SELECT word, CAST(round(1e6 * (ln(sum(n) OVER ()) - ln(n))) AS BIGINT) AS cost FROM w),
+u AS (SELECT DISTINCT regexp_replace(x, '[^a-z]', '', 'g') AS text FROM (SELECT unnest(string_split(lower(text), '.')) AS x FROM benchmark)),
+p AS (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM u),
+h AS (SELECT text, i, l, cost FROM (SELECT text, i, unnest(range(1, least(longest, length(text) - i + 1) + 1)) AS l FROM p, a) JOIN c ON word = substr(text, i, l)
+  UNION ALL SELECT text, i, 1, alone FROM p, a WHERE substr(text, i, 1) NOT IN (SELECT word FROM w)),
+e AS (SELECT text, i, list({'l': l, 'cost': cost}) AS steps FROM h GROUP BY ALL),
+s AS (SELECT text, length(text) AS i, [{'cost': CAST(0 AS BIGINT), 'shorter': CAST(0 AS BIGINT), 'words': CAST([] AS VARCHAR[])}] AS best FROM u WHERE text <> ''
+  UNION ALL SELECT s.text, s.i - 1, list_prepend(list_sort(list_transform(steps, lambda z: {'cost': z.cost + best[z.l].cost, 'shorter': -z.l, 'words': list_prepend(substr(s.text, s.i, z.l), best[z.l].words)}))[1], best)[1:(SELECT longest FROM a)]
+  FROM s JOIN e ON e.text = s.text AND e.i = s.i)
+SELECT text, array_to_string(best[1].words, ' ') AS words, CAST(len(best[1].words) AS INTEGER) AS n FROM s WHERE i = 0""",
+)
+def segmented_sentences(spark, d):
+    """The items' sentences without their blanks, cut into words again by a dictionary that the items make."""
+    text = table(spark, d, "benchmark").select(F.lower("text").alias("text"))
+    words = text.select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    runs = text.select(F.explode(F.split("text", "[.]")).alias("text")).select(F.regexp_replace("text", "[^a-z]", "").alias("text")).where("text <> ''").distinct()
+    found = runs.select("text", segmenter(words, "[a-z]")(F.col("text")).alias("words"))
+    return found.select("text", F.array_join("words", " ").alias("words"), F.size("words").alias("n"))
+
+
 # ---- rewrites --------------------------------------------------------------------------------------------------
 
 
