@@ -9,7 +9,8 @@ match: every suffix of the host, and the host with every leading part of the pat
 A key's intervals travel as one sorted array (so the history of one key should fit a row), a capture meets each key once, and the join
 deals hot keys (a host with a third of all captures) evenly.  Keys longer than the longest listed ones are not made.
 
-Defined cases: a null or unparsable URL matches nothing; a capture without fetch time meets
+Defined cases: a null or unparsable URL matches nothing; a host with a dot at its end is the host without it, and an address in
+brackets is one name without suffixes; a capture without fetch time meets
 no interval.  Of entries of one list, pattern and date, a removal comes last.  Removing
 what is absent, or adding what is present, changes nothing.  Repeated captures are judged as often as
 they come.  Null entries are skipped.  Other columns are not read.
@@ -23,11 +24,12 @@ from pyspark.sql.window import Window
 
 from .common import lookup, stored
 
-_URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)"
+_URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\[\]]+|\[[^/?#\[\]]+\])(?::[0-9]*)?(?=[/?#]|$)([^?#]*)"
 
 
 def host_of(url: str) -> str:
-    return f"nullif(lower(regexp_extract({url}, '{_URL}', 1)), '')"
+    """SQL for the host in lower case, without the dot that may end it; an address in brackets keeps them."""
+    return f"nullif(regexp_replace(lower(regexp_extract({url}, r'{_URL}', 1)), '[.]$', ''), '')"
 
 
 def match_keys(url: str, labels: int = 127, folders: int = 2048) -> str:
@@ -35,9 +37,10 @@ def match_keys(url: str, labels: int = 127, folders: int = 2048) -> str:
 
     Suffixes of more than ``labels`` labels and parts of more than ``folders`` folders are left out.
     """
-    host = f"split(coalesce({host_of(url)}, ''), '[.]')"
+    name = f"coalesce({host_of(url)}, '')"
+    host = f"if(startswith({name}, '['), array({name}), split({name}, '[.]'))"
     hosts = f"transform(sequence(greatest(1, size({host}) - {labels - 1}), size({host})), i -> concat('host:', array_join(slice({host}, i, size({host})), '.')))"
-    path = f"split(regexp_replace(regexp_extract({url}, '{_URL}', 2), '^/|/$', ''), '/')"
+    path = f"split(regexp_replace(regexp_extract({url}, r'{_URL}', 2), '^/|/$', ''), '/')"
     paths = f"transform(slice(sequence(1, size({path})), 1, {folders}), i -> concat('path:', {host_of(url)}, '/', array_join(slice({path}, 1, i), '/')))"
     return f"if({host_of(url)} is null, array(), array_distinct(concat({hosts}, {paths})))"
 

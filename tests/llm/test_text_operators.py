@@ -64,6 +64,17 @@ def test_url_intervals(spark):
     assert judge_captures(rows, entries.where("false")).where("blocked").count() == 0
 
 
+def test_hosts_with_a_last_dot_or_brackets(spark):
+    entries = spark.createDataFrame([("l", "host:bad.com", "add"), ("l", "path:bad.org/ads", "add"), ("l", "host:[::1]", "add"), ("l", "host:com", "add")], "list string, key string, action string").selectExpr("*", "date '2024-01-01' as dated")
+    urls = {
+        "http://bad.com./x": (2, "bad.com"), "http://www.Bad.Com.:80": (2, "www.bad.com"), "http://bad.org./ads/1": (1, "bad.org"), "http://[::1]:80/x": (1, "[::1]"), "http://[::2]/": (0, "[::2]"),
+        "http://[::1/x": (0, None), "http://a]b/x": (0, None), "http://./x": (0, None), "http://[::ffff:1.2.3.com]": (0, "[::ffff:1.2.3.com]"), "http://a.com:x/": (0, None),
+    }
+    captures = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "capture_id long, url string").selectExpr("*", "date '2024-02-01' as fetched")
+    got = {r.capture_id: (r.n_matches, r.host) for r in judge_captures(captures, entries).collect()}
+    assert {u: got[i] for i, u in enumerate(urls)} == urls
+
+
 def test_match_keys(spark):
     row = spark.createDataFrame([("http://a.b.c/x/y/?q",)], "url string").selectExpr(match_keys("url") + " as k").first()
     assert row.k == ["host:a.b.c", "host:b.c", "host:c", "path:a.b.c/x", "path:a.b.c/x/y"]
