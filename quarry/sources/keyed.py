@@ -45,25 +45,25 @@ class KeyedTable:
 
     def find(self, wanted: DataFrame) -> DataFrame:
         """Rows of the keys of ``wanted``: only their buckets are read."""
-        return self.rows(self._touched(wanted)).join(small(wanted.select(*self.keys).distinct()), list(self.keys), "left_semi")
+        return self.rows(self.touched(wanted)).join(small(wanted.select(*self.keys).distinct()), list(self.keys), "left_semi")
 
     def upsert(self, new: DataFrame, order: Column | None = None) -> KeyedTable:
         """New rows take the place of old ones with their keys; of several with one key the last by ``order`` counts, or the greatest by its other columns."""
         chosen = _one_a_key(new, self.keys, order).select(*self._columns())
-        touched = self._touched(new)
+        touched = self.touched(new)
         kept = self._without(self.rows(touched), chosen)
         write = self._write(kept.unionByName(chosen))
         return self._publish({**self.parts, **{b: [write] for b in touched}})
 
     def insert_absent(self, new: DataFrame, order: Column | None = None) -> KeyedTable:
         """One row goes in for each key that isn't there; rows that are there stay as they are, and none is copied."""
-        absent = _one_a_key(self._without(new, self.rows(self._touched(new))), self.keys, order)
+        absent = _one_a_key(self._without(new, self.rows(self.touched(new))), self.keys, order)
         write = self._write(absent.select(*self._columns()))
         return self._publish({**self.parts, **{b: [*self.parts.get(b, []), write] for b in self._written(write)}})
 
     def delete(self, gone: DataFrame) -> KeyedTable:
         """The table without the keys of ``gone``."""
-        touched = [b for b in self._touched(gone) if b in self.parts]
+        touched = [b for b in self.touched(gone) if b in self.parts]
         write = self._write(self._without(self.rows(touched), gone))
         left = set(self._written(write))
         return self._publish({**{b: p for b, p in self.parts.items() if b not in touched}, **{b: [write] for b in touched if b in left}})
@@ -76,7 +76,7 @@ class KeyedTable:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def _touched(self, rows: DataFrame) -> list[int]:
+    def touched(self, rows: DataFrame) -> list[int]:
         return sorted(r[0] for r in rows.select(self._bucket()).distinct().collect())  # at most ``buckets``
 
     def _without(self, rows: DataFrame, others: DataFrame) -> DataFrame:

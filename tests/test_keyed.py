@@ -24,7 +24,7 @@ def test_upsert_copies_its_buckets_only(spark, table):
     want = [(i, "old", 0) for i in range(40) if i != 2] + [(2, "x", 5), (100, "q", 1), (None, "n", 1)]
     assert rows(after.rows()) == rows(keyed.open_table(spark, table.path).rows()) == sorted(want, key=str)
     changed = {b for b in range(16) if after.parts.get(b) != table.parts.get(b)}
-    assert changed == set(table._touched(new)) and len(changed) <= 3
+    assert changed == set(table.touched(new)) and len(changed) <= 3
     assert rows(after.upsert(spark.createDataFrame([(None, "m", 2)], SCHEMA)).rows()).count((None, "m", 2)) == 1  # null is one key
     assert rows(table.rows()) == rows(keyed.open_table(spark, table.path, 0).rows()) == sorted([(i, "old", 0) for i in range(40)], key=str)
 
