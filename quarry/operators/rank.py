@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import tokens
 from .lexical import Tokenizer, top_hits
+from .pairs import PairModel, score_pairs
 
 RRF_K = 60
 
@@ -39,15 +40,20 @@ def overlap_score(query: Column, text: Column, tokenizer: Tokenizer = tokens) ->
     return F.coalesce(F.try_divide(F.size(F.array_intersect(wanted, tokenizer(text))), F.size(wanted)), F.lit(0.0))
 
 
-def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = overlap_score, normalise: bool = False) -> DataFrame:
-    """Scores every (query, document) pair of ``hits`` with ``scorer`` (a column of two columns, or an Arrow UDF) and ranks anew.
+def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, scorer: Callable[[Column, Column], Column] | PairModel = overlap_score, normalise: bool = False) -> DataFrame:
+    """Scores every (query, document) pair of ``hits`` with ``scorer`` (a column of two columns, an Arrow UDF, or a model in Python) and ranks anew.
 
-    ``normalise`` puts raw scores (logits) between 0 and 1 by a sigmoid.  The pairs are one table, so batches are Arrow's and
+    ``normalise`` puts raw scores (logits) between 0 and 1 by a sigmoid.  The pairs are one table, so batches cross queries and
     balancing is Spark's.  Ties keep the order of the first ranking.
     """
     pairs = hits.select("qid", "doc_id", F.col("rank").alias("before")).join(queries.select("qid", F.col("text").alias("query")), "qid")
-    score = scorer(F.col("query"), F.col("text")).cast("double")
-    pairs = pairs.join(docs.select("doc_id", "text"), "doc_id").withColumn("score", 1 / (1 + F.exp(-score)) if normalise else score)
+    pairs = pairs.join(docs.select("doc_id", "text"), "doc_id")
+    if isinstance(scorer, PairModel):
+        pairs = score_pairs(pairs, scorer, "qid", "doc_id", "before")
+    else:
+        pairs = pairs.withColumn("score", scorer(F.col("query"), F.col("text")).cast("double"))
+    if normalise:
+        pairs = pairs.withColumn("score", 1 / (1 + F.exp(-F.col("score"))))
     order = Window.partitionBy("qid").orderBy(F.round("score", 8).desc(), "before")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "doc_id", "score", "rank")
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 
 from ..operators import bitmaps, dense, lexical, rank, vector_blocks
+from ..operators.pairs import PairModel
 
 Form = Callable[[DataFrame], DataFrame] | None
 
@@ -29,7 +30,7 @@ class SearchPlan:
     expand: Form = None
     retrieve_k: int = 20
     top_k: int = 20
-    scorer: Callable[[Column, Column], Column] | None = None
+    scorer: Callable[[Column, Column], Column] | PairModel | None = None
     post_filter: Callable[[DataFrame], DataFrame] | None = None
     allowed: lexical.Pool | DataFrame | None = None
 

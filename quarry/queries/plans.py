@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evalsets, lexical, metrics, rank, rewrites, vector_blocks
+from ..operators.pairs import PairModel
 from ..operators.segment import segmenter
 from ..plans.search import SearchPlan
 from ..session import scratch_path, stored
@@ -163,6 +164,29 @@ def rerank_normalised(spark, d):
     return rounded(rank.rerank(leg(spark, d), items(spark, d), table(spark, d, "documents"), 10, normalise=True), "score", places=6)
 
 
+def overlap_model() -> PairModel:
+    """The stand-in of ``overlap_score`` as a model in Python."""
+
+    def load():
+        import regex
+
+        word = regex.compile(T.TOKEN)
+
+        def score(pairs):
+            sides = [(set(word.findall(q)), set(word.findall(t))) for q, t in pairs]
+            return [len(q & t) / len(q) if q else 0.0 for q, t in sides]
+
+        return score
+
+    return PairModel("overlap", load)
+
+
+@query("rerank_in_batches", _BASE + _leg("l1", "q1") + _RERANK + "SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rr")
+def rerank_in_batches(spark, d):
+    """Re-ranking by a model that is loaded once a worker and sees batches of like lengths."""
+    return rounded(rank.rerank(leg(spark, d), items(spark, d), table(spark, d, "documents"), 10, overlap_model()), "score", places=6)
+
+
 # ---- caches ----------------------------------------------------------------------------------------------------
 
 
