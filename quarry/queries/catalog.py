@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog as C
+from ..operators.keywords import Keywords
 from ..session import scratch_path
 from ..sources import keyed as K
 from ..sources import tables as S
@@ -309,6 +310,68 @@ def pattern_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(found, "|").alias("found"))
 
 
+def benchmark_words(spark, d) -> DataFrame:
+    """word: the words of five letters or more in the benchmark's items."""
+    found = F.explode(F.array_distinct(T.tokens(F.col("text"))))
+    return table(spark, d, "benchmark").select(found.alias("word")).where("length(word) >= 5").distinct()
+
+
+_WORDS = r"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS word FROM benchmark), k AS (SELECT word FROM w WHERE length(word) >= 5)"
+
+
+@query(
+    "keyword_mentions",
+    _WORDS + ", h AS (SELECT doc_id, word FROM documents, k WHERE contains(text, word)) SELECT doc_id, count(word) AS n, coalesce(string_agg(word, ',' ORDER BY word), '') AS words FROM documents LEFT JOIN h USING (doc_id) GROUP BY doc_id",
+)
+def keyword_mentions(spark, d):
+    """Which of all benchmark words each document contains, in one pass over its text."""
+    found = Keywords(benchmark_words(spark, d)).mentions(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", found.alias("found")).select("doc_id", F.size("found").cast("long").alias("n"), F.array_join("found", ",").alias("words"))
+
+
+@query(
+    "keyword_phrases",
+    _WORDS + r""", h AS (SELECT doc_id, word, unnest(regexp_extract_all(text, word || '[^.\n]*')) AS phrase FROM documents, k WHERE contains(text, word)),
+p AS (SELECT DISTINCT doc_id, regexp_replace(phrase, '^\s+|\s+$', '', 'g') AS phrase FROM h)
+SELECT doc_id, count(phrase) AS n, coalesce(string_agg(phrase, '|' ORDER BY phrase), '') AS phrases FROM documents LEFT JOIN (SELECT * FROM p WHERE length(phrase) BETWEEN 8 AND 50) USING (doc_id) GROUP BY doc_id""",
+)
+def keyword_phrases(spark, d):
+    """Phrases that begin with any of the benchmark's words and end with the sentence or line, in one pass over each text."""
+    found = F.array_sort(Keywords(benchmark_words(spark, d)).phrases(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", found.alias("found")).select("doc_id", F.size("found").cast("long").alias("n"), F.array_join("found", "|").alias("phrases"))
+
+
+def benchmark_words(spark, d) -> DataFrame:
+    """word: the words of five letters or more in the benchmark's items."""
+    found = F.explode(F.array_distinct(T.tokens(F.col("text"))))
+    return table(spark, d, "benchmark").select(found.alias("word")).where("length(word) >= 5").distinct()
+
+
+_WORDS = r"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS word FROM benchmark), k AS (SELECT word FROM w WHERE length(word) >= 5)"
+
+
+@query(
+    "keyword_mentions",
+    _WORDS + ", h AS (SELECT doc_id, word FROM documents, k WHERE contains(text, word)) SELECT doc_id, count(word) AS n, coalesce(string_agg(word, ',' ORDER BY word), '') AS words FROM documents LEFT JOIN h USING (doc_id) GROUP BY doc_id",
+)
+def keyword_mentions(spark, d):
+    """Which of all benchmark words each document contains, in one pass over its text."""
+    found = Keywords(benchmark_words(spark, d)).mentions(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", found.alias("found")).select("doc_id", F.size("found").cast("long").alias("n"), F.array_join("found", ",").alias("words"))
+
+
+@query(
+    "keyword_phrases",
+    _WORDS + r""", h AS (SELECT doc_id, unnest(regexp_extract_all(text, word || '[^.\n]*')) AS phrase FROM documents, k WHERE contains(text, word)),
+p AS (SELECT DISTINCT doc_id, regexp_replace(phrase, '^\s+|\s+$', '', 'g') AS phrase FROM h)
+SELECT doc_id, count(phrase) AS n, coalesce(string_agg(phrase, '|' ORDER BY phrase), '') AS phrases FROM documents LEFT JOIN (SELECT * FROM p WHERE length(phrase) BETWEEN 8 AND 50) USING (doc_id) GROUP BY doc_id""",
+)
+def keyword_phrases(spark, d):
+    """Phrases that begin with any of the benchmark's words and end with the sentence or line, in one pass over each text."""
+    found = F.array_sort(Keywords(benchmark_words(spark, d)).phrases(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", found.alias("found")).select("doc_id", F.size("found").cast("long").alias("n"), F.array_join("found", "|").alias("phrases"))
+
+
 @query("first_seen_dedupe", r"SELECT min(conv_id * 1000000 + turn) AS first_at, key FROM (SELECT *, lower(regexp_replace(text, '\s+', '', 'g')) AS key FROM conversations WHERE role = 'user') GROUP BY key")
 def first_seen_dedupe(spark, d):
     from ..operators.evalsets import first_seen
