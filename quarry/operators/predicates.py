@@ -7,7 +7,9 @@ queries against a catalog is one join on a predicate.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -129,6 +131,32 @@ def matches(doc: dict[str, Column], must: Column, must_not: Column) -> Column:
     return reduce(Column.__and__, [*_side(doc, must, False), *_side(doc, must_not, True)])
 
 
+def _literal_side(doc: dict[str, Column], given: Mapping[str, Any], negated: bool) -> list[Column]:
+    values = lambda name: list(given.get(name) or ())
+    array = lambda name: F.array(*map(F.lit, values(name)))
+    kinds = [KINDS[name] for name in values("kind") if name in KINDS]
+    clauses = [doc[attribute].isin(wanted) for attribute, wanted in (("lang", values("course_lang")), ("kind", kinds), ("lmt_kind", values("lmt_kind"))) if wanted]
+    if values("weekday"):
+        clauses.append(weekday_clause(doc["weekdays"], array("weekday")))
+    if len(values("hour_range")) == 2:
+        clauses.append(hour_clause(doc["sessions"], array("hour_range")))
+    if given.get("point") is not None:
+        clauses.append(doc["point"] == given["point"])
+    if values("unit"):
+        clauses.append(reduce(Column.__or__, [F.like(doc["unit"], F.lit(f"%{word}%")) for word in values("unit")]))
+    return [~clause if negated else clause for clause in clauses]
+
+
+def literal_matches(doc: dict[str, Column], must: Mapping[str, Any], must_not: Mapping[str, Any] | None = None) -> Column:
+    """``matches`` for one pair of conditions that is known when the plan is made: mappings with the fields of ``schema.CONDITIONS``.
+
+    Lists, equalities and words become predicates that a source understands, so a scan of Parquet or a database gets them.
+    ``doc`` needs the attributes that the conditions name.
+    """
+    clauses = [*_literal_side(doc, must, False), *_literal_side(doc, must_not or {}, True)]
+    return reduce(Column.__and__, clauses) if clauses else F.lit(True)
+
+
 def has_conditions(*sides: Column) -> Column:
     arrays = ("course_lang", "weekday", "hour_range", "kind", "lmt_kind", "unit")
     return reduce(Column.__or__, [x for c in sides for x in (*(_given(c[a]) for a in arrays), c["point"].isNotNull())])

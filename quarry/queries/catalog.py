@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog as C
+from ..operators import predicates as P
 from ..operators.keywords import Keywords
 from ..session import scratch_path
 from ..sources import keyed as K
 from ..sources import tables as S
+from ..sources.layout import in_folders_of, write_catalog
 from . import query, table
 
 
@@ -245,6 +247,42 @@ def request_envelope(spark, d):
     return rows.select("item_id", path("$.custom_id").alias("custom_id"), path("$.body.model").alias("model"), path("$.body.messages[0].content").alias("content"))
 
 
+# ---- layout ----------------------------------------------------------------------------------------------------
+
+
+_terms: dict[tuple[str, str], DataFrame] = {}
+
+
+def orders_by_term(spark, d) -> DataFrame:
+    """The orders as a catalog by year and quarter, sorted by priority; the first query of an application that asks for it writes it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _terms:
+        rows = table(spark, d, "orders").withColumn("y", F.year("o_orderdate")).withColumn("s", F.quarter("o_orderdate"))
+        _terms[key] = write_catalog(rows, scratch_path(spark, "orders"), "o_orderkey", order=("o_orderpriority", "o_orderstatus"))
+    return _terms[key]
+
+
+@query(
+    "catalog_pushed",
+    "SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE year(o_orderdate) = 1996 AND quarter(o_orderdate) = 2 AND o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW') AND NOT (o_orderstatus IN ('F')) AND NOT (o_orderpriority LIKE '%LOW%')",
+)
+def catalog_pushed(spark, d):
+    """Known conditions as predicates of the scan: folders by term, lists and words inside."""
+    doc = {"lang": F.col("o_orderpriority"), "lmt_kind": F.col("o_orderstatus"), "unit": F.col("o_orderpriority")}
+    wanted = P.literal_matches(doc, {"course_lang": ["1-URGENT", "2-HIGH", "5-LOW"]}, {"lmt_kind": ["F"], "unit": ["LOW"]})
+    return orders_by_term(spark, d).where((F.col("y") == 1996) & (F.col("s") == 2) & wanted).select("o_orderkey", "o_orderpriority", "o_orderstatus")
+
+
+@query(
+    "catalog_by_terms",
+    "SELECT o_orderkey, year(o_orderdate) AS y, quarter(o_orderdate) AS s FROM orders WHERE (year(o_orderdate), quarter(o_orderdate)) IN (SELECT (year(l_shipdate), quarter(l_shipdate)) FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-02-01')",
+)
+def catalog_by_terms(spark, d):
+    """A table of wanted terms prunes the catalog's folders while the query runs."""
+    wanted = table(spark, d, "lineitem").where("l_shipdate < timestamp '1996-02-01'").select(F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("s"))
+    return in_folders_of(orders_by_term(spark, d), wanted, "y", "s").select("o_orderkey", F.col("y").cast("long").alias("y"), F.col("s").cast("long").alias("s"))
+
+
 # ---- text ------------------------------------------------------------------------------------------------------
 
 
