@@ -26,7 +26,9 @@ Defined cases: null and empty texts get the score of a document without evidence
 labels of both classes every score is the share of toxic rows, or 0.5 without labels.
 Labels may repeat or be null; null labels are not used.  Rows without doc_id
 are scored like others and train nothing.  Repeated rows are scored as often as they
-come.  Other columns are not read.
+come.  Texts of any length are read a piece at a time; only a stretch without blanks and most punctuation is
+never cut.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from pyspark.sql.window import Window
 
 from .common import lookup, stored
 from .labelled import by_hash, fit_logistic, fold
-from .words import WordTable, mix64, text_slices
+from .words import PIECE, WordTable, mix64, pieces, text_slices
 
 ORDER = 6
 #: Discounts of counts of one, two, and three or more in a class; and of continuation counts.
@@ -81,19 +83,53 @@ def letter_runs(texts: list[str | None]) -> tuple[np.ndarray, WordTable, np.ndar
     return runs, table, lengths
 
 
+def long_texts(texts: list[str | None]) -> dict[int, str]:
+    """The texts too long to be looked at whole, by their numbers: they are taken in ``pieces`` that end between words."""
+    return {i: t for i, t in enumerate(texts) if t is not None and len(t) > 4 * PIECE}
+
+
+def distinct_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of each text: its number, the word's hash, its letters and its end, and how often it occurs there."""
+    long, parts = long_texts(texts), []
+    whole = [None if i in long else t and t.lower() for i, t in enumerate(texts)]
+    for numbers, some in [(np.arange(len(texts)), whole), *((np.array([i]), [piece.lower()]) for i, t in long.items() for piece in pieces(t, "caseless"))]:
+        table = WordTable(some, "alnum")
+        owner = np.repeat(numbers, np.diff(table.bounds))
+        parts.append(_added(owner, table.hashes, table.end - table.start + 1, np.ones(len(owner), dtype=np.int64)))
+    return _added(*(np.concatenate(columns) for columns in zip(*parts, strict=True))) if long else parts[0]
+
+
+def _added(owner: np.ndarray, word: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((word, owner))
+    owner, word, size, n = owner[order], word[order], size[order], n[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(owner) != 0) | (word[1:] != word[:-1])
+    at = np.flatnonzero(new)
+    return owner[at], word[at], size[at], np.add.reduceat(n, at) if len(at) else n
+
+
 def run_counts(docs: DataFrame, text: str) -> DataFrame:
     """run, toxic, ordinary: counts over all rows of ``docs`` (text, is_toxic)."""
 
+    def counted(run: np.ndarray, is_toxic: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (run, is_toxic, n)], names=["run", "is_toxic", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = np.array(batch.column(1).to_pylist(), dtype=np.int64)
             for a, b, texts in text_slices(batch.column(0), 1 << 21, MOST_TEXTS):
-                runs, table, lengths = letter_runs(texts)
+                long = long_texts(texts)
+                for i, t in long.items():
+                    seen = np.zeros(0, dtype=np.uint64)
+                    for piece in pieces(t, "caseless"):
+                        seen = np.union1d(seen, letter_runs([piece])[0])
+                    yield counted(seen, np.full(len(seen), toxic[a + i]), np.ones(len(seen)))
+                runs, table, lengths = letter_runs([None if i in long else t for i, t in enumerate(texts)] if long else texts)
                 owner = np.repeat(np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(table.bounds)), lengths)
                 once = np.unique(runs << np.uint64(16) | owner)
                 owner = toxic[a:b][(once & np.uint64(0xFFFF)).astype(np.int64)]
                 keys, counts = np.unique(once >> np.uint64(16) << np.uint64(1) | owner.astype(np.uint64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(1)).astype(np.int64)), pa.array((keys & np.uint64(1)).astype(np.int64)), pa.array(counts.astype(np.int64))], names=["run", "is_toxic", "n"])
+                yield counted(keys >> np.uint64(1), keys & np.uint64(1), counts)
 
     rows = docs.select(text, F.col("is_toxic").cast("int").alias("is_toxic")).mapInArrow(count, "run long, is_toxic long, n long")
     return rows.groupBy("run").agg(F.sum(F.col("n") * F.col("is_toxic")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("is_toxic"))).alias("ordinary"))
@@ -198,12 +234,13 @@ def collected(table: DataFrame) -> RunTable:
 EVIDENCE = 8
 
 
-def evidence(texts: list[str | None], ratio_of: RunTable) -> np.ndarray:
-    """EVIDENCE measures of each text: length-normalised log-likelihood ratios of the whole, of its three most
-    suspicious words and of the most suspicious one a letter, how many words are suspicious, and its length."""
+def _parts(texts: list[str | None], ratio_of: RunTable) -> np.ndarray:
+    """Of each text, what its pieces give each: sums of ratios and of letters, the three most suspicious words, the most suspicious
+    one a letter, and how many words are above 3, above 6, and there at all."""
     runs, table, lengths = letter_runs(texts)
     value = ratio_of.get(runs)
-    out = np.zeros((len(texts), EVIDENCE))
+    out = np.zeros((len(texts), 9))
+    out[:, 2:6] = -np.inf
     if not len(lengths):
         return out
     begins = np.cumsum(lengths) - lengths
@@ -214,10 +251,28 @@ def evidence(texts: list[str | None], ratio_of: RunTable) -> np.ndarray:
             continue
         words, sizes = per_word[a:b], lengths[a:b]
         top = np.sort(np.partition(words, -3)[-3:] if len(words) > 3 else words)[::-1]
-        out[d] = (
-            words.sum() / sizes.sum(), top[0], top[min(1, len(top) - 1)], top[min(2, len(top) - 1)], (words / sizes).max(),
-            np.log1p((words > 3).sum()), np.log1p((words > 6).sum()), np.log1p(len(words)),
-        )
+        out[d, 2 : 2 + len(top)] = top
+        out[d, [0, 1, 5, 6, 7, 8]] = words.sum(), sizes.sum(), (words / sizes).max(), (words > 3).sum(), (words > 6).sum(), len(words)
+    return out
+
+
+def evidence(texts: list[str | None], ratio_of: RunTable) -> np.ndarray:
+    """EVIDENCE measures of each text: length-normalised log-likelihood ratios of the whole, of its three most
+    suspicious words and of the most suspicious one a letter, how many words are suspicious, and its length."""
+    long = long_texts(texts)
+    parts = _parts([None if i in long else t for i, t in enumerate(texts)] if long else texts, ratio_of)
+    for i, text in long.items():
+        for piece in pieces(text, "caseless"):
+            one, other = parts[i].copy(), _parts([piece], ratio_of)[0]
+            parts[i] = one + other
+            parts[i, 2:5] = np.sort(np.concatenate((one[2:5], other[2:5])))[:2:-1]
+            parts[i, 5] = max(one[5], other[5])
+    some = parts[:, 8] > 0
+    out = np.zeros((len(texts), EVIDENCE))
+    total, size, first, second, third, best, above3, above6, words = parts[some].T
+    second = np.where(second > -np.inf, second, first)
+    third = np.where(third > -np.inf, third, second)
+    out[some] = np.column_stack([total / size, first, second, third, best, np.log1p(above3), np.log1p(above6), np.log1p(words)])
     return np.clip(out, -20, 20)
 
 
@@ -243,29 +298,24 @@ def evidence_by_join(docs: DataFrame, text: str, table: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b, texts in text_slices(batch.column(2)):
                 row, doc = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
-                _, found, lengths = letter_runs(texts)
-                owner = np.repeat(np.arange(b - a), np.diff(found.bounds))
-                order = np.lexsort((found.hashes, owner))
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (np.diff(owner[order]) != 0) | (found.hashes[order][1:] != found.hashes[order][:-1])
-                at = np.flatnonzero(new)
-                n = np.diff(np.append(at, len(order)))
-                first = order[at]
+                owner, word, size, n = distinct_words(texts)
                 # each row of docs has one entry of no word, so that none is lost
-                places = pa.array(np.concatenate((owner[first], np.arange(b - a))))
+                places = pa.array(np.concatenate((owner, np.arange(b - a))))
                 none = np.zeros(b - a, dtype=np.int64)
-                columns = [np.concatenate((x, none)) for x in (found.hashes[first].view(np.int64), lengths[first], n)]
+                columns = [np.concatenate((x, none)) for x in (word.view(np.int64), size, n)]
                 yield pa.RecordBatch.from_arrays([row.take(places), doc.take(places), *map(pa.array, columns)], names=["row", "doc_id", "word", "size", "n"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in text_slices(batch.column(0)):
-                runs, found, lengths = letter_runs(texts)
-                word, first = np.unique(found.hashes, return_index=True)
-                begins, size = (np.cumsum(lengths) - lengths)[first], lengths[first]
-                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                run = runs[np.repeat(begins, size) + at]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(word, size).view(np.int64)), pa.array(at), pa.array(run.view(np.int64))], names=["word", "at", "run"])
+                long = long_texts(texts)
+                for some in [[None if i in long else t for i, t in enumerate(texts)], *([piece] for t in long.values() for piece in pieces(t, "caseless"))]:
+                    runs, found, lengths = letter_runs(some)
+                    word, first = np.unique(found.hashes, return_index=True)
+                    begins, size = (np.cumsum(lengths) - lengths)[first], lengths[first]
+                    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    run = runs[np.repeat(begins, size) + at]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(word, size).view(np.int64)), pa.array(at), pa.array(run.view(np.int64))], names=["word", "at", "run"])
 
     body = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text)
     entries = stored(body.mapInArrow(words, "row long, doc_id long, word long, size long, n long"), "words")

@@ -82,6 +82,8 @@ class WordTable:
 
 
 _GAP = {"space": re.compile(r"[\x20\t-\r]"), "alnum": re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")}
+#: Of "alnum" those at which Unicode's lower case doesn't look further (at ' . : ^ ` it does, for the final sigma): pieces can be lower-cased each.
+_GAP["caseless"] = re.compile(r"[\x00-\x26\x28-\x2D\x2F\x3B-\x40\x5B-\x5D\x5F\x7B-\x7F]")
 
 
 def pieces(text: str, kind: str) -> Iterator[str]:

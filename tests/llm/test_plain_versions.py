@@ -58,7 +58,7 @@ class PlainKneserNey:
         off = lambda n: (0, 1.0, 1.25, 1.5)[min(n, 3)]
         after = {r: n for r, n in self.n[toxic].items() if r[:-1] == run[:-1]}
         total = sum(after.values())
-        p = self.shared(run) if ORDER < 1 else self._lower(run)
+        p = self._lower(run)
         return (self.n[toxic][run] - off(self.n[toxic][run])) / total + sum(map(off, after.values())) / total * p if total else p
 
     def _lower(self, run):
