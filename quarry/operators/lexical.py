@@ -4,8 +4,11 @@ Documents are lined up by their most frequent term and their length, which puts
 size together, and every 64 of them form a block.  The index has a row a term and block: the highest frequency and
 the least length in it, and the postings.  The first two bound what the term can add to any score in the block.
 
+A block's postings are made where its documents are, so nothing but the documents' terms is shuffled for an index.
+
 A search sums up bounds first, scores the most promising blocks, and then only those whose bound reaches the k-th best score so far.
-The result is that of scoring everything.
+The result is that of scoring everything.  A block is scored for all queries at once, as a product of their weights and its postings, and
+only documents that may be among the k best leave its task.
 
 A set of documents is a 64-bit mask a block: pools of allowed documents, and deletion marks, are tested bit by bit.
 
@@ -16,9 +19,12 @@ Document ids are unique within a batch (repeated ones are ranked as documents of
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +40,10 @@ SPREADS = 64
 BLOCK_BITS = 6
 #: Blocks that a query scores before it has a k-th best score.
 PROBED = 8
+#: Blocks whose postings are sorted at a time; queries of one matrix product.
+SORTED, STEP = 16, 512
+#: What rounding may change in a score.
+SLACK = 1e-7
 #: Segment numbers stand above the block numbers of a segment.
 SEGMENT_BITS = 40
 Tokenizer = Callable[[Column], Column]
@@ -72,7 +82,7 @@ def term_weights(df: DataFrame, stats: DataFrame) -> DataFrame:
 class Index:
     """Tables of an index.
 
-    docs: doc_id, block, slot, dl, runs.  blocks: term, block, n, most_tf, least_dl, hits (slot, doc_id, tf, dl).  dead: block and the bits
+    docs: doc_id, block, slot, dl.  blocks: term, block, n, most_tf, least_dl, hits (slot, doc_id, tf, dl).  dead: block and the bits
     of its deleted documents, or None.  stats: one row.  weights: term, df, idf.  The tokenizer is the one that queries need too.
     """
 
@@ -87,7 +97,12 @@ class Index:
     @property
     def postings(self) -> DataFrame:
         """doc_id, term, tf, dl of all live documents."""
-        return _live(self.blocks.select("term", "block", F.inline("hits")), self.dead).select("doc_id", "term", "tf", "dl")
+        return self.postings_of()
+
+    def postings_of(self, terms: DataFrame | None = None) -> DataFrame:
+        """The postings of a table of terms (term); other rows are dropped before they are written out."""
+        blocks = self.blocks if terms is None else self.blocks.join(small(terms.select("term").distinct()), "term", "left_semi")
+        return _live(blocks.select("term", "block", F.inline("hits")), self.dead).select("doc_id", "term", "tf", "dl")
 
 
 def bit(slot: Column) -> Column:
@@ -106,21 +121,79 @@ def _live(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
     return marked.where(~F.coalesce(has_bit(F.col("dead_bits"), F.col("slot")), F.lit(False))).drop("dead_bits")
 
 
+def _block_rows(lined: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A row a term and block of whole blocks of documents (block, slot, doc_id, dl, terms, tfs); a block's first row has its documents too."""
+    numbers = lined.column("block").to_numpy()
+    begins = np.flatnonzero(np.diff(numbers, prepend=-1))
+    for first in range(0, len(begins), SORTED):
+        low, high = begins[first], begins[first + SORTED] if first + SORTED < len(begins) else len(numbers)
+        part = lined.slice(low, high - low).combine_chunks()
+        columns = {c: part.column(c).combine_chunks() for c in part.column_names}
+        terms = columns["terms"].flatten().dictionary_encode()
+        row = np.repeat(np.arange(high - low), columns["terms"].value_lengths().to_numpy())
+        block = np.searchsorted(begins[first : first + SORTED] - low, np.arange(high - low), side="right") - 1
+        n_terms = max(1, len(terms.dictionary))
+        key = block[row] * n_terms + terms.indices.to_numpy()
+        # blocks without terms have a row too
+        bare = np.setdiff1d(np.arange(block[-1] + 1), block[row])
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        tf, dl = columns["tfs"].flatten().to_numpy()[order].astype(np.int64), columns["dl"].to_numpy()
+        places = pa.array(row)
+        hits = pa.StructArray.from_arrays([columns["slot"].take(places), columns["doc_id"].take(places), pa.array(tf), pa.array(dl[row])], names=["slot", "doc_id", "tf", "dl"])
+        of_block = np.concatenate([key[starts] // n_terms, bare])
+        none = np.zeros(len(bare), np.int64)
+        most = np.concatenate([np.maximum.reduceat(tf, starts) if len(starts) else none[:0], none])
+        least = np.concatenate([np.minimum.reduceat(dl[row], starts) if len(starts) else none[:0], none]).astype(np.int32)
+        ends = np.concatenate([starts, np.full(len(bare) + 1, len(row))])
+        names = pa.concat_arrays([terms.dictionary.take(pa.array(key[starts] % n_terms)), pa.nulls(len(bare), terms.dictionary.type)])
+        # documents stand on the first row of their block
+        heads = np.flatnonzero(np.diff(of_block, prepend=-1))
+        heads = heads[np.argsort(of_block[heads])]
+        counts = np.zeros(len(of_block), np.int64)
+        counts[heads] = np.diff(np.append(begins[first : first + SORTED] - low, high - low))
+        docs = pa.StructArray.from_arrays([columns["slot"], columns["doc_id"], columns["dl"]], names=["slot", "doc_id", "dl"])
+        if len(bare):  # documents in the order of the rows that have them
+            at = np.flatnonzero(counts)
+            firsts = begins[first : first + SORTED] - low
+            docs = docs.take(pa.array(np.concatenate([np.arange(firsts[of_block[i]], firsts[of_block[i]] + counts[i]) for i in at])))
+        members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), docs)
+        yield pa.RecordBatch.from_arrays(
+            [names, columns["block"].take(pa.array(np.searchsorted(block, of_block))), pa.array(np.diff(ends)), pa.array(most), pa.array(least), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), hits), members],
+            names=["term", "block", "n", "most_tf", "least_dl", "hits", "members"],
+        )
+
+
 def _write_segment(docs: DataFrame, path: str, number: int, doc: str, text: str, tokenizer: Tokenizer) -> None:
     runs = _runs(docs, doc, text, tokenizer)
     lead = F.coalesce(F.array_max(F.transform("runs", lambda r: F.struct(r["tf"], r["term"])))["term"], F.lit(""))
-    dealt = runs.withColumn("lead", lead).repartition("lead", F.pmod(F.xxhash64("doc_id"), F.lit(SPREADS))).sortWithinPartitions("lead", "dl", "doc_id")
-    place = F.monotonically_increasing_id()
-    lined = dealt.withColumn("place", place)
+    lists = runs.select("doc_id", F.col("dl").cast("int").alias("dl"), lead.alias("lead"), F.col("runs.term").alias("terms"), F.col("runs.tf").cast("array<int>").alias("tfs"))
+    dealt = lists.repartition("lead", F.pmod(F.xxhash64("doc_id"), F.lit(SPREADS))).sortWithinPartitions("lead", "dl", "doc_id")
+    lined = dealt.withColumn("place", F.monotonically_increasing_id())
     block = F.shiftright("place", BLOCK_BITS) + F.lit(number << SEGMENT_BITS)
     slot = F.col("place").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
-    lined.select("doc_id", block.alias("block"), slot.alias("slot"), "dl", "runs").write.parquet(f"{path}/docs/segment={number}")
-    written = docs.sparkSession.read.parquet(f"{path}/docs/segment={number}")
-    hits = written.select("block", "slot", "doc_id", "dl", F.inline("runs"))
-    blocks = hits.groupBy("term", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("slot", "doc_id", "tf", "dl")).alias("hits")
-    )  # at most 64 hits
-    blocks.sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks/segment={number}")
+
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            numbers = rows.column("block").to_numpy()
+            whole = int(np.searchsorted(numbers, numbers[-1]))  # the next batch may go on with the last block
+            yield from _block_rows(rows.slice(0, whole))
+            kept = rows.slice(whole)
+        if kept is not None:
+            yield from _block_rows(kept)
+
+    kind = lists.schema["doc_id"].dataType.simpleString()
+    schema = f"term string, block long, n long, most_tf long, least_dl int, hits array<struct<slot:int,doc_id:{kind},tf:bigint,dl:int>>, members array<struct<slot:int,doc_id:{kind},dl:int>>"
+    rows = lined.select(block.alias("block"), slot.alias("slot"), "doc_id", "dl", "terms", "tfs")
+    rows.mapInArrow(blocks_of, schema).write.option("compression", "zstd").parquet(f"{path}/blocks/segment={number}")
+    written = docs.sparkSession.read.parquet(f"{path}/blocks/segment={number}")
+    written.select("block", F.inline("members")).select("doc_id", "block", "slot", "dl").write.option("compression", "zstd").parquet(f"{path}/docs/segment={number}")
 
 
 def write_index(docs: DataFrame, path: str | None = None, doc: str = "doc_id", text: str = "text", tokenizer: Tokenizer = tokens) -> Index:
@@ -143,7 +216,7 @@ def _open(spark: SparkSession, path: str, version: int, tokenizer: Tokenizer) ->
     dead = read(f"{path}/dead-{version}") if version in _numbers(spark, path, "dead-") else None
     segments = [n for n in _numbers(spark, f"{path}/docs", "segment=") if n <= version]
     docs, blocks = (read(*(f"{path}/{kind}/segment={n}" for n in segments)) for kind in ("docs", "blocks"))
-    return Index(path, docs, blocks, dead, read(f"{path}/stats-{version}"), read(f"{path}/weights-{version}"), tokenizer)
+    return Index(path, docs, blocks.drop("members"), dead, read(f"{path}/stats-{version}"), read(f"{path}/weights-{version}"), tokenizer)
 
 
 def read_index(spark: SparkSession, path: str, tokenizer: Tokenizer = tokens) -> Index:
@@ -157,9 +230,9 @@ def _refresh(spark: SparkSession, path: str, version: int, tokenizer: Tokenizer)
     docs, blocks = read(f"{path}/docs"), read(f"{path}/blocks")
     dead = read(f"{path}/dead-{version}") if version in _numbers(spark, path, "dead-") else None
     corpus_stats(_live(docs, dead)).write.parquet(f"{path}/stats-{version}")
-    df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+    df = blocks.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
     if dead is not None:
-        gone = docs.join(small(dead), "block").where(has_bit(F.col("bits"), F.col("slot"))).select(F.inline("runs")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+        gone = blocks.join(small(dead), "block").select("term", "bits", F.explode("hits.slot").alias("slot")).where(has_bit(F.col("bits"), F.col("slot"))).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
         df = df.unionByName(gone).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     term_weights(df, read(f"{path}/stats-{version}")).write.parquet(f"{path}/weights-{version}")
     return _open(spark, path, version, tokenizer)
@@ -222,14 +295,52 @@ def _bounds(terms: DataFrame, index: Index, pool: Pool | None, k1: float, b: flo
     return marked.where("is_restricted is null or bits <> 0").select("qid", "block", "bound", F.when(F.col("is_restricted"), F.col("bits")).otherwise(F.lit(-1).cast("long")).alias("bits"))
 
 
-def _scored(pairs: DataFrame, terms: DataFrame, index: Index, pool: Pool | None, k1: float, b: float) -> DataFrame:
-    """qid, doc_id, score of the documents of pairs (qid, block) that share a term with the query."""
-    asked = small(pairs.drop("bound").join(small(terms), "qid"))
-    hits = index.blocks.select("term", "block", "hits").join(asked, ["term", "block"]).select("qid", "weight", "block", *(["bits"] if pool else []), F.inline("hits"))
-    if pool is not None:
-        hits = hits.where(has_bit(F.col("bits"), F.col("slot")))
-    parts = _live(hits, index.dead).crossJoin(F.broadcast(index.stats)).withColumn("part", F.col("weight") * _part(F.col("tf"), F.col("dl"), k1, b))
-    return parts.groupBy("qid", "block", "slot", "doc_id").agg(F.sum("part").alias("score")).select("qid", "doc_id", "score")
+def _scored(pairs: DataFrame, terms: DataFrame, index: Index, k: int, k1: float, b: float) -> DataFrame:
+    """qid, doc_id, score: of each (qid, block, floor, and bits where there is a pool) of ``pairs`` the documents that share a term with the query and may be among the k best."""
+    # a row a term with all that ask for it, and a row a block: neither grows with queries times blocks
+    asked = small(terms.groupBy("term").agg(F.collect_list(F.struct("qid", "weight")).alias("asked")))
+    hits = index.blocks.select("term", "block", F.col("hits.slot").alias("slots"), F.col("hits.tf").alias("tfs"), F.col("hits.dl").alias("lengths")).join(asked, "term")
+    hits = hits.join(small(pairs.select("block").distinct()), "block", "left_semi").select("block", "slots", "tfs", "lengths", F.col("asked.qid").alias("qids"), F.col("asked.weight").alias("weights"))
+    if "bits" not in pairs.columns:
+        pairs = pairs.withColumn("bits", F.lit(-1).cast("long"))
+    if index.dead is not None:
+        pairs = pairs.join(small(index.dead.withColumnRenamed("bits", "dead_bits")), "block", "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("dead_bits", F.lit(0).cast("long")))))
+    pairs = pairs.crossJoin(F.broadcast(index.stats.select(F.coalesce("avgdl", F.lit(1.0)).cast("double").alias("avgdl"))))
+    pairs = pairs.select("block", "qid", "bits", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "avgdl")
+    width = 1 << BLOCK_BITS
+
+    def score(postings: pa.Table, queries: pa.Table) -> pa.Table:
+        found = []
+        column = lambda table, name: table.column(name).combine_chunks()
+        if postings.num_rows and queries.num_rows:
+            qid, bits, floor = column(queries, "qid"), queries.column("bits").to_numpy().view(np.uint64), queries.column("floor").to_numpy()
+            slots, wanted = column(postings, "slots"), column(postings, "qids")
+            tf, dl = (column(postings, c).flatten().to_numpy().astype(float) for c in ("tfs", "lengths"))
+            parts, holds = np.zeros((postings.num_rows, width)), np.zeros((postings.num_rows, width), np.float32)
+            at = np.repeat(np.arange(postings.num_rows), slots.value_lengths().to_numpy()), slots.flatten().to_numpy()
+            parts[at] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / queries.column("avgdl")[0].as_py()))
+            holds[at] = 1
+            term = np.repeat(np.arange(postings.num_rows), wanted.value_lengths().to_numpy())
+            query_ = pc.fill_null(pc.index_in(wanted.flatten(), value_set=qid), -1).to_numpy()
+            weight = column(postings, "weights").flatten().to_numpy()
+            for begin in range(0, len(qid), STEP):
+                n = min(STEP, len(qid) - begin)
+                some = (query_ >= begin) & (query_ < begin + n)
+                weights, asks = np.zeros((n, postings.num_rows)), np.zeros((n, postings.num_rows), np.float32)
+                weights[query_[some] - begin, term[some]] = weight[some]
+                asks[query_[some] - begin, term[some]] = 1
+                open_ = (bits[begin : begin + n, None] >> np.arange(width, dtype=np.uint64)[None, :]) & np.uint64(1) > 0
+                scores = np.where(open_ & (asks @ holds > 0), weights @ parts, -np.inf)
+                least = floor[begin : begin + n]
+                if width > k:
+                    least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+                q, s = np.nonzero((scores >= least[:, None] - SLACK) & (scores > -np.inf))  # ties at the border stay for the final ranking
+                found.append(pa.table({"qid": qid.take(pa.array(q + begin)), "block": pa.array(np.full(len(q), queries.column("block")[0].as_py())), "slot": pa.array(s.astype(np.int32)), "score": pa.array(scores[q, s])}))
+        return pa.concat_tables(found) if found else pa.table({"qid": pa.array([], queries.schema.field("qid").type), "block": pa.array([], pa.int64()), "slot": pa.array([], pa.int32()), "score": pa.array([], pa.float64())})
+
+    kind = pairs.schema["qid"].dataType.simpleString()
+    scored = hits.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(score, f"qid {kind}, block long, slot int, score double")
+    return scored.join(index.docs.select("block", "slot", "doc_id"), ["block", "slot"]).select("qid", "doc_id", "score")
 
 
 @dataclass(frozen=True)
@@ -244,16 +355,17 @@ class Search:
 def pruned_search(queries: DataFrame, index: Index, k: int = 10, pool: Pool | None = None, probed: int = PROBED, k1: float = K1, b: float = B) -> Search:
     """The k best of each query, exact: blocks are left out only where their bound is below the k-th best score so far."""
     wanted = queries.select("qid", F.explode(index.tokenizer(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = stored(wanted.join(index.weights, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "terms")
+    terms = stored(index.weights.join(small(wanted), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "terms")
     bounds = stored(_bounds(terms, index, pool, k1, b), "bounds")
     order = Window.partitionBy("qid").orderBy(F.desc("bound"), "block")
-    first = bounds.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= probed + (k >> BLOCK_BITS)).drop("nth")
-    best = stored(top_hits(_scored(first, terms, index, pool, k1, b), k), "best")
+    first = stored(bounds.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= probed + (k >> BLOCK_BITS)).drop("nth"), "first")
+    best = stored(top_hits(_scored(first.withColumn("floor", F.lit(float("-inf"))), terms, index, k, k1, b), k), "best")
     floor = best.where(F.col("rank") == k).select("qid", F.round("score", SCORE_PLACES).alias("floor"))
     rest = bounds.join(small(first.select("qid", "block")), ["qid", "block"], "left_anti").join(small(floor), "qid", "left")
-    rest = stored(rest.where("floor is null or bound >= floor - 1e-6").drop("floor"), "rest")  # ties at the border stay in
-    both = best.drop("rank").unionByName(top_hits(_scored(rest, terms, index, pool, k1, b), k).drop("rank"))
-    return Search(top_hits(both, k).select("qid", "doc_id", "score", "rank"), bounds.select("qid", "block"), first.select("qid", "block").unionByName(rest.select("qid", "block")))
+    rest = stored(rest.where("floor is null or bound >= floor - 1e-6"), "rest")  # ties at the border stay in
+    both = best.drop("rank").unionByName(top_hits(_scored(rest, terms, index, k, k1, b), k).drop("rank"))
+    hits = stored(top_hits(both, k).select("qid", "doc_id", "score", "rank"), "hits")  # what is made of them reads them more than once
+    return Search(hits, bounds.select("qid", "block"), first.select("qid", "block").unionByName(rest.select("qid", "block")))
 
 
 def bm25_search(queries: DataFrame, index: Index, k: int = 10, allowed: Pool | DataFrame | None = None) -> DataFrame:

@@ -97,3 +97,23 @@ def test_batches_give_a_rebuilt_index(spark, tmp_path):
     assert close(again) == close(rebuilt)
     assert {tuple(r) for r in again.postings.collect()} == {tuple(r) for r in rebuilt.postings.collect()}
     assert again.docs.where(F.col("doc_id") == 3).count() == 2  # the replaced row is marked, not rewritten
+
+
+def shuffled_records(spark) -> int:
+    """Records that all stages of the application have shuffled so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_an_index_shuffles_documents_and_not_postings(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_BITS", 2)
+    docs, _ = corpus(4, 2000)
+    d, _ = frames(spark, docs, [(1, "w1")])
+    before = shuffled_records(spark)
+    index = lexical.write_index(d)
+    shuffled = shuffled_records(spark) - before
+    assert index.blocks.count() > 2 * len(docs)
+    assert shuffled < 3 * len(docs)  # once by this test, once to its block, and each task's terms with their counts
+    assert {(r.doc_id, r.dl) for r in index.docs.collect()} == {(i, len(t.split())) for i, t in docs}
