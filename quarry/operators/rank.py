@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from ..sizes import small
 from .lexical import Tokenizer, top_hits
 from .pairs import PairModel, score_pairs
 
@@ -47,7 +48,7 @@ def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, scorer:
     balancing is Spark's.  Ties keep the order of the first ranking.
     """
     pairs = hits.select("qid", "doc_id", F.col("rank").alias("before")).join(queries.select("qid", F.col("text").alias("query")), "qid")
-    pairs = pairs.join(docs.select("doc_id", "text"), "doc_id")
+    pairs = docs.select("doc_id", "text").join(small(pairs), "doc_id")
     if isinstance(scorer, PairModel):
         pairs = score_pairs(pairs, scorer, "qid", "doc_id", "before")
     else:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import dense, lexical, metrics, rank, vector_blocks
+from ..session import stored
 from ..sizes import small
 from . import query, table
 
@@ -33,18 +34,31 @@ def index_of(spark, d, tokenizer: lexical.Tokenizer = tokens) -> lexical.Index:
     return _indexes[key]
 
 
+_golds: dict[tuple[str, str], DataFrame] = {}
+
+
 def gold(spark, d) -> DataFrame:
-    """qid, doc_id: the documents whose text contains the item.
+    """qid, doc_id: the documents whose text contains the item; the first query of an application that asks for them writes them.
 
     A document that contains an item holds its inner tokens, so its rarest inner token finds the candidates in the index,
     and only their texts are compared.  Items without inner tokens are compared with all texts.
     """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _golds:
+        _golds[key] = stored(_contained(spark, d), "gold")
+    return _golds[key]
+
+
+def _contained(spark, d) -> DataFrame:
     index, docs = index_of(spark, d), table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
     words = items(spark, d).withColumn("words", tokens(F.col("text")))
     inner = words.where("size(words) > 2").select("qid", "text", F.explode(F.expr("slice(words, 2, size(words) - 2)")).alias("term"))
-    rarest = inner.join(index.weights, "term", "left").groupBy("qid", "text").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "term"))["term"].alias("term"))
-    candidates = index.postings.join(small(rarest), "term").select("qid", "text", "doc_id")
-    found = docs.join(candidates, "doc_id").where(F.contains("body", "text")).select("qid", "doc_id")
+    known = index.weights.join(small(inner.select("term").distinct()), "term").select("term", "df")
+    rarest = inner.join(small(known), "term", "left").groupBy("qid", "text").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "term"))["term"].alias("term"))
+    rarest = stored(rarest, "rarest")
+    candidates = stored(index.postings_of(rarest).join(small(rarest.select("qid", "term")), "term").select("qid", "doc_id"), "candidates")
+    # ids go to the texts, so that texts stay where they are
+    found = docs.join(small(candidates), "doc_id").join(small(rarest.select("qid", "text")), "qid").where(F.contains("body", "text")).select("qid", "doc_id")
     short = small(words.where("size(words) <= 2").select("qid", "text"))
     return found.unionByName(docs.join(short, F.contains("body", "text")).select("qid", "doc_id"))
 

@@ -66,3 +66,22 @@ def test_tokenizers(spark):
 def test_unknown_mode(spark):
     with pytest.raises(ValueError, match="unknown mode"):
         rewrites.fan_out(spark.createDataFrame([(1, "x")], "qid long, text string"), spark.createDataFrame([], "key string, texts array<string>"), "other")
+
+
+def test_texts_stay_where_they_are(spark):
+    """Gold and re-ranking send ids to the documents; texts are not dealt out."""
+    from quarry.operators import rank
+    from quarry.queries import retrieval as R
+
+    d = "/root/testdata/sf0.001"
+    index = R.index_of(spark, d)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    hits = index.docs.selectExpr("doc_id % 40 as qid", "doc_id", "1.0 as score", "1 as rank")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # or the fixture's tables would be small by themselves
+    try:
+        for found in (R._contained(spark, d), rank.rerank(hits, R.items(spark, d), docs, 10).where("rank > 0")):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning(doc_id" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
