@@ -27,6 +27,8 @@ from .lexical import SCORE_PLACES, top_hits
 BLOCK, CHUNK, HEADERS = 128, 256, 4096
 #: Centres are fitted on at most this many vectors, those of the least hashes; every vector is assigned to one.
 FITTED, CENTRES = 20_000, 256
+#: Chunks of queries that are broadcast; more are met by a plain product.
+BROADCAST_CHUNKS = 500
 #: Blocks a query that are scored before there is a k-th best score.
 PROBED = 4
 _STORED = "block long, ids array<long>, vectors array<double>, centre array<double>, radius double"
@@ -154,7 +156,8 @@ def _promising(queries: DataFrame, n: int, blocks: VectorBlocks, most: int | Non
 def _score(pairs: DataFrame, queries: DataFrame, n: int, blocks: VectorBlocks, k: int, exclude_self: bool, pooled: bool) -> DataFrame:
     """qid, doc_id, score: of each (qid, block) of ``pairs`` what may be among the k best; blocks that nobody asks for aren't joined."""
     asked = _chunked(pairs.join(small(queries), "qid"), n, "block", extra=(F.col("slots"),) if pooled else ())
-    met = blocks.blocks.select("block", "ids", "vectors").join(small(asked), "block").select("ids", "vectors", "asked")
+    # never broadcast: rows are few, but hold the vectors of all queries that ask for a block
+    met = blocks.blocks.select("block", "ids", "vectors").join(asked, "block").select("ids", "vectors", "asked")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,6 +182,43 @@ def _score(pairs: DataFrame, queries: DataFrame, n: int, blocks: VectorBlocks, k
     return met.mapInArrow(multiply, "qid long, doc_id long, score double")
 
 
+def _swept(queries: DataFrame, n: int, blocks: VectorBlocks, k: int, exclude_self: bool) -> DataFrame:
+    """qid, doc_id, score: what may be among the k best of each query (with its floor), from all blocks whose bound reaches it.
+
+    The queries go to the blocks, so pairs of queries and blocks are rows nowhere; a task raises the floors as it goes.
+    """
+    chunks = _chunked(queries, n)
+    met = blocks.blocks.crossJoin(small(chunks, BROADCAST_CHUNKS)).select("ids", "vectors", "centre", "radius", "part", "asked")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk_of: dict[int, tuple[np.ndarray, ...]] = {}
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                part = batch.column("part")[i].as_py()
+                if part not in chunk_of:
+                    asked = _rows(batch.column("asked"), i)
+                    left, floor = _matrix(asked, "vector").copy(), _numbers(asked, "floor").copy()
+                    chunk_of[part] = left, np.sqrt((left**2).sum(axis=1)), _numbers(asked, "qid").copy(), floor, np.full((len(floor), k), -np.inf)
+                left, norm, qids, floor, tops = chunk_of[part]
+                centre = batch.column("centre").slice(i, 1).flatten().to_numpy()
+                live = np.flatnonzero(left @ centre + norm * batch.column("radius")[i].as_py() >= floor)
+                if not len(live):
+                    continue
+                ids = batch.column("ids").slice(i, 1).flatten().to_numpy()
+                scores = left[live] @ batch.column("vectors").slice(i, 1).flatten().to_numpy().reshape(len(ids), -1).T
+                if exclude_self:
+                    scores[qids[live][:, None] == ids[None, :]] = -np.inf
+                tops[live] = np.partition(np.concatenate([tops[live], scores], axis=1), -k, axis=1)[:, -k:]
+                floor[live] = np.maximum(floor[live], tops[live].min(axis=1) - 1e-6)
+                q, d = np.nonzero((scores >= floor[live][:, None]) & (scores > -np.inf))  # ties at the border stay for the final ranking
+                found.append((qids[live][q], ids[d], scores[q, d]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["qid", "doc_id", "score"])
+
+    return met.mapInArrow(multiply, "qid long, doc_id long, score double")
+
+
 @dataclass(frozen=True)
 class BlockSearch:
     """Hits (qid, doc_id, score, rank) of a search and the (qid, block) that were scored for them."""
@@ -213,7 +253,11 @@ def search_blocks(queries: DataFrame, blocks: VectorBlocks, k: int = 10, exclude
     best = stored(top_hits(_score(with_slots(first), start, n, blocks, k, exclude_self, slots is not None), k), "best")
     floor = best.where(F.col("rank") == k).select("qid", (F.round("score", SCORE_PLACES) - 1e-6).alias("floor"))
     later = stored(asked.join(small(floor), "qid", "left").select("qid", "vector", F.coalesce("floor", open_).alias("floor")), "later")
-    reach = _promising(later, n, blocks, None) if slots is None else bounds.join(small(later.select("qid", "floor")), "qid").where("bound >= floor")
-    rest = stored(reach.select("qid", "block").join(small(first), ["qid", "block"], "left_anti"), "rest")
-    both = best.drop("rank").unionByName(_score(with_slots(rest), later, n, blocks, k, exclude_self, slots is not None))
+    if slots is None:
+        rest = _promising(later, n, blocks, None).select("qid", "block").join(small(first), ["qid", "block"], "left_anti")  # made only where it is asked for
+        both = _swept(later, n, blocks, k, exclude_self)  # the first blocks again, since their bounds reach the floor too
+    else:
+        reach = bounds.join(small(later.select("qid", "floor")), "qid").where("bound >= floor")
+        rest = stored(reach.select("qid", "block").join(small(first), ["qid", "block"], "left_anti"), "rest")
+        both = best.drop("rank").unionByName(_score(with_slots(rest), later, n, blocks, k, exclude_self, True))
     return BlockSearch(top_hits(both, k).select("qid", "doc_id", "score", "rank"), first.unionByName(rest))

@@ -47,3 +47,15 @@ def test_nothing_stored_and_nothing_asked(spark):
     assert V.search_blocks(asked, V.write_blocks(none)).hits.count() == 0
     assert V.search_blocks(asked.where("false"), V.write_blocks(one)).hits.count() == 0
     assert [tuple(r) for r in V.search_blocks(asked, V.write_blocks(one)).hits.collect()] == [(1, 1, 5.0, 1)]
+
+
+def test_no_vectors_of_pairs_are_broadcast(spark):
+    """The queries' vectors reach the blocks once a chunk; before, once for each block that a query asks for."""
+    rng = np.random.default_rng(5)
+    vectors = np.round(rng.normal(size=(600, 3)), 1)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "doc_id long, vector array<double>")
+    queries = docs.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "qid")
+    search = V.search_blocks(queries, V.write_blocks(docs), 4, probed=1)
+    assert found(search) == plain(vectors, range(600), [(q, vectors[q]) for q in range(0, 600, 2)], 4, False, None)
+    plan = search.hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" in plan and "Join Inner" not in plan, plan  # no join of pairs (qid, block) with vectors
