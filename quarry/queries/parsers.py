@@ -71,11 +71,16 @@ def joined(c):
     return F.coalesce(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit(""))
 
 
+#: Tasks at least that customers are spread over: their rows are a few bytes in a file of few splits, but parsing one takes a fraction of a millisecond.
+TASKS = 64
+
+
 def dealt(spark, d, rows, schema: str) -> DataFrame:
-    """Each customer with the row that its number picks: c_custkey, c_mktsegment and the row's columns."""
+    """Each customer with the row that its number picks: c_custkey, c_mktsegment and the row's columns; spread over many tasks."""
     nth = (F.col("c_custkey") % len(rows)).cast("int").alias("nth")
     cases = frame(spark, [(i, *r) for i, r in enumerate(rows)], f"nth int, {schema}")
-    return table(spark, d, "customer").select("c_custkey", "c_mktsegment", nth).join(F.broadcast(cases), "nth").drop("nth")
+    customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment", nth).repartition(max(TASKS, 3 * spark.sparkContext.defaultParallelism), "c_custkey")
+    return customers.join(F.broadcast(cases), "nth").drop("nth")
 
 
 def dealt_values(rows, names: str, columns: str | None = None) -> str:
