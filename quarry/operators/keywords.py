@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The automaton goes to every worker; larger tables of words raise an error.
 MOST_WORDS = 1_000_000
+#: Texts whose strings and results a worker holds as Python objects at a time.
+SLICE_ROWS = 128
 #: The white space of the Unicode standard, which ``strip`` takes off.
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
 
 
+def _by_slices(texts: pa.Array, f: Callable[[str | None], list], kind: pa.DataType) -> pa.Array:
+    """f of each text; a batch has 10,000 of them, so all but a slice stay as Arrow holds them."""
+    parts = [pa.array([f(t) for t in texts.slice(begin, SLICE_ROWS).to_pylist()], kind) for begin in range(0, len(texts), SLICE_ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 class Keywords:
     """The words of a table ``words`` (word), found wherever a text contains them, inside other words too.
 
@@ -39,10 +48,10 @@ class Keywords:
         """The distinct words that the text contains, in the order of their code points."""
         shared = self._shared
 
-        @F.pandas_udf("array<string>")
-        def words_in(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<string>")
+        def words_in(texts: pa.Array) -> pa.Array:
             automaton, words = shared.value
-            return texts.map(lambda t: [words[n] for n in sorted({n for _, (n, _) in automaton.iter(t)})] if automaton and t else [])
+            return _by_slices(texts, lambda t: [words[n] for n in sorted({n for _, (n, _) in automaton.iter(t)})] if automaton and t else [], pa.list_(pa.string()))
 
         return words_in(text)
 
@@ -50,16 +59,16 @@ class Keywords:
         """(word, n) for each word that the text contains, with all its occurrences, overlapping ones too."""
         shared = self._shared
 
-        def counted(t: str | None) -> list[tuple[str, int]]:
+        def counted(t: str | None) -> list[dict]:
             automaton, words = shared.value
             n_of: dict[int, int] = {}
             for _, (n, _) in automaton.iter(t) if automaton and t else ():
                 n_of[n] = n_of.get(n, 0) + 1
-            return [(words[n], n_of[n]) for n in sorted(n_of)]
+            return [{"word": words[n], "n": n_of[n]} for n in sorted(n_of)]
 
-        @F.pandas_udf("array<struct<word:string,n:long>>")
-        def counts_in(texts: pd.Series) -> pd.Series:
-            return texts.map(counted)
+        @F.arrow_udf("array<struct<word:string,n:long>>")
+        def counts_in(texts: pa.Array) -> pa.Array:
+            return _by_slices(texts, counted, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
 
         return counts_in(text)
 
@@ -92,8 +101,8 @@ class Keywords:
                     found.setdefault(n, []).append(t[begin:end])
             return list(dict.fromkeys(phrase for n in sorted(found) for phrase in found[n]))
 
-        @F.pandas_udf("array<string>")
-        def phrases_in(texts: pd.Series) -> pd.Series:
-            return texts.map(phrases_of)
+        @F.arrow_udf("array<string>")
+        def phrases_in(texts: pa.Array) -> pa.Array:
+            return _by_slices(texts, phrases_of, pa.list_(pa.string()))
 
         return phrases_in(text)

@@ -71,3 +71,20 @@ def test_a_thousand_times_the_words_cost_little(spark):
     few, many = seconds(10), seconds(10_000)
     texts.unpersist()
     assert many < 3 * few + 1, (few, many)
+
+
+def test_a_batch_is_not_held_as_python_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quarry.operators.keywords import _by_slices
+
+    texts = pa.array([None, *("x" * 4_000 for _ in range(8_000))])
+    tracemalloc.start()
+    found = _by_slices(texts, lambda t: [t[:2_000], "漢"] if t else [], pa.list_(pa.string()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 8_001 and found[0].as_py() == [] and found[8_000].as_py() == ["x" * 2_000, "漢"]
+    assert peak < 4_000_000  # of 32 MB of texts
+    assert _by_slices(texts.slice(0, 0), lambda t: [], pa.list_(pa.string())).type == pa.list_(pa.string())
