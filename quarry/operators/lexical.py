@@ -121,16 +121,24 @@ def _live(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
     return marked.where(~F.coalesce(has_bit(F.col("dead_bits"), F.col("slot")), F.lit(False))).drop("dead_bits")
 
 
+def _cut(joined: pa.StringArray, sizes: pa.ListArray) -> pa.StringArray:
+    """The terms of all rows, one after the other, from each row's terms joined without a separator and their sizes in bytes."""
+    _, offsets, data = joined.buffers()
+    first = np.frombuffer(offsets, np.int32)[joined.offset] if len(joined) else 0
+    ends = first + np.cumsum(sizes.flatten().to_numpy(), dtype=np.int64)
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(np.concatenate([[first], ends]).astype(np.int32)), data or pa.py_buffer(b""))
+
+
 def _block_rows(lined: pa.Table) -> Iterator[pa.RecordBatch]:
-    """A row a term and block of whole blocks of documents (block, slot, doc_id, dl, terms, tfs); a block's first row has its documents too."""
+    """A row a term and block of whole blocks of documents (block, slot, doc_id, dl, terms, sizes, tfs); a block's first row has its documents too."""
     numbers = lined.column("block").to_numpy()
     begins = np.flatnonzero(np.diff(numbers, prepend=-1))
     for first in range(0, len(begins), SORTED):
         low, high = begins[first], begins[first + SORTED] if first + SORTED < len(begins) else len(numbers)
         part = lined.slice(low, high - low).combine_chunks()
         columns = {c: part.column(c).combine_chunks() for c in part.column_names}
-        terms = columns["terms"].flatten().dictionary_encode()
-        row = np.repeat(np.arange(high - low), columns["terms"].value_lengths().to_numpy())
+        terms = _cut(columns["terms"], columns["sizes"]).dictionary_encode()
+        row = np.repeat(np.arange(high - low), columns["sizes"].value_lengths().to_numpy())
         block = np.searchsorted(begins[first : first + SORTED] - low, np.arange(high - low), side="right") - 1
         n_terms = max(1, len(terms.dictionary))
         key = block[row] * n_terms + terms.indices.to_numpy()
@@ -168,7 +176,9 @@ def _block_rows(lined: pa.Table) -> Iterator[pa.RecordBatch]:
 def _write_segment(docs: DataFrame, path: str, number: int, doc: str, text: str, tokenizer: Tokenizer) -> None:
     runs = _runs(docs, doc, text, tokenizer)
     lead = F.coalesce(F.array_max(F.transform("runs", lambda r: F.struct(r["tf"], r["term"])))["term"], F.lit(""))
-    lists = runs.select("doc_id", F.col("dl").cast("int").alias("dl"), lead.alias("lead"), F.col("runs.term").alias("terms"), F.col("runs.tf").cast("array<int>").alias("tfs"))
+    # terms are shuffled as one string a document: an array of strings takes 8 bytes more for each, and pads it
+    joined, sizes = F.coalesce(F.array_join("runs.term", ""), F.lit("")), F.transform("runs", lambda r: F.octet_length(r["term"]))
+    lists = runs.select("doc_id", F.col("dl").cast("int").alias("dl"), lead.alias("lead"), joined.alias("terms"), sizes.alias("sizes"), F.col("runs.tf").cast("array<int>").alias("tfs"))
     dealt = lists.repartition("lead", F.pmod(F.xxhash64("doc_id"), F.lit(SPREADS))).sortWithinPartitions("lead", "dl", "doc_id")
     lined = dealt.withColumn("place", F.monotonically_increasing_id())
     block = F.shiftright("place", BLOCK_BITS) + F.lit(number << SEGMENT_BITS)
@@ -190,7 +200,7 @@ def _write_segment(docs: DataFrame, path: str, number: int, doc: str, text: str,
 
     kind = lists.schema["doc_id"].dataType.simpleString()
     schema = f"term string, block long, n long, most_tf long, least_dl int, hits array<struct<slot:int,doc_id:{kind},tf:bigint,dl:int>>, members array<struct<slot:int,doc_id:{kind},dl:int>>"
-    rows = lined.select(block.alias("block"), slot.alias("slot"), "doc_id", "dl", "terms", "tfs")
+    rows = lined.select(block.alias("block"), slot.alias("slot"), "doc_id", "dl", "terms", "sizes", "tfs")
     rows.mapInArrow(blocks_of, schema).write.option("compression", "zstd").parquet(f"{path}/blocks/segment={number}")
     written = docs.sparkSession.read.parquet(f"{path}/blocks/segment={number}")
     written.select("block", F.inline("members")).select("doc_id", "block", "slot", "dl").write.option("compression", "zstd").parquet(f"{path}/docs/segment={number}")

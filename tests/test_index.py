@@ -101,10 +101,14 @@ def test_batches_give_a_rebuilt_index(spark, tmp_path):
 
 def shuffled_records(spark) -> int:
     """Records that all stages of the application have shuffled so far."""
+    return sum(s.shuffleWriteRecords() for s in stages_of(spark))
+
+
+def stages_of(spark) -> list:
     context = spark.sparkContext
     context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+    return [stages.apply(i) for i in range(stages.size())]
 
 
 def test_an_index_shuffles_documents_and_not_postings(spark, monkeypatch):
@@ -117,3 +121,23 @@ def test_an_index_shuffles_documents_and_not_postings(spark, monkeypatch):
     assert index.blocks.count() > 2 * len(docs)
     assert shuffled < 3 * len(docs)  # once by this test, once to its block, and each task's terms with their counts
     assert {(r.doc_id, r.dl) for r in index.docs.collect()} == {(i, len(t.split())) for i, t in docs}
+
+
+def test_terms_travel_as_text(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_BITS", 2)
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(400)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    docs.count()
+    before = sum(s.shuffleWriteBytes() for s in stages_of(spark))
+    lexical._write_segment(docs, lexical.scratch_path(spark, "index"), 0, "doc_id", "text", lexical.tokens)
+    shuffled = sum(s.shuffleWriteBytes() for s in stages_of(spark)) - before
+    assert shuffled < 0.9 * sum(map(len, texts))
+
+
+def test_terms_of_any_bytes_come_back(spark):
+    texts = ["é 漢字 😀 a", "", None, " a  b", "漢 字 漢字", "x" * 300 + " é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    index = lexical.write_index(docs, tokenizer=lambda c: F.split(c, " "))
+    plain = {(i, w, n) for i, t in enumerate(texts) if t is not None for w, n in Counter(t.split(" ")).items()}
+    assert {(r.doc_id, r.term, r.tf) for r in index.postings.collect()} == plain
