@@ -385,3 +385,15 @@ def bm25_search(queries: DataFrame, index: Index, k: int = 10, allowed: Pool | D
     """
     pool = pool_of_pairs(index, allowed, queries) if isinstance(allowed, DataFrame) else allowed
     return pruned_search(queries, index, k, pool).hits.where("score > 0")
+
+
+def bm25_searches(forms: dict[str, DataFrame], index: Index, k: int = 10) -> dict[str, DataFrame]:
+    """The hits of ``bm25_search`` for several forms of queries, by name, from one search: what is sent for a block serves all forms."""
+    batch = None
+    for name, queries in forms.items():
+        part = queries.select(F.concat(F.lit(f"{name}\0"), F.col("qid").cast("string")).alias("key"), F.lit(name).alias("form"), "qid", "text")
+        batch = part if batch is None else batch.unionByName(part)
+    batch = stored(batch, "forms")
+    hits = bm25_search(batch.select(F.col("key").alias("qid"), "text"), index, k).withColumnRenamed("qid", "key")
+    named = stored(hits.join(small(batch.select("key", "form", "qid").distinct()), "key").select("form", "qid", "doc_id", "score", "rank"), "hits")
+    return {name: named.where(F.col("form") == name).drop("form") for name in forms}

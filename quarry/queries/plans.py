@@ -14,7 +14,7 @@ from ..session import scratch_path, stored
 from ..sources.cache import new_cache, through_cache
 from . import query, table
 from .parsers import dealt, dealt_values, frame
-from .retrieval import LEGS, _BASE, _FUSED, _RERANK, _SWEEP, _leg, _metrics_sql, _per_query, gold, index_of, items, leg, long_words, rounded, sweep
+from .retrieval import LEGS, _BASE, _FUSED, _RERANK, _SWEEP, _leg, _metrics_sql, _per_query_of_both, gold, index_of, items, leg, long_words, rounded, sweep
 
 # ---- tokenizers ------------------------------------------------------------------------------------------------
 
@@ -239,8 +239,8 @@ def report_table(spark, d):
     """Two runs and one without results; the milliseconds are given."""
     configs = frame(spark, [(1, "full", "a"), (2, "long", "b"), (3, "absent", "c")], "position int, label string, run string")
     results = None
-    for i, (run, form) in enumerate({"a": None, "b": long_words}.items(), 1):
-        part = metrics.macro(_per_query(spark, d, form)).where("k = 10").select(F.lit(run).alias("run"), "n", "recall", "ndcg", "mrr", F.lit(5.0 * i).alias("ms"))
+    for i, (run, per) in enumerate(zip("ab", _per_query_of_both(spark, d).values()), 1):
+        part = metrics.macro(per).where("k = 10").select(F.lit(run).alias("run"), "n", "recall", "ndcg", "mrr", F.lit(5.0 * i).alias("ms"))
         results = part if results is None else results.unionByName(part)
     return metrics.report_lines(configs, results)
 

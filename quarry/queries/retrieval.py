@@ -69,7 +69,9 @@ def leg(spark, d, form=None, k: int = K) -> DataFrame:
 
 
 def both_legs(spark, d, k: int = K) -> dict[str, DataFrame]:
-    return {"full": leg(spark, d, None, k), "long": leg(spark, d, long_words, k)}
+    """The hits of the items and of their long words, searched as one batch: a block's postings are sent once for both."""
+    queries = items(spark, d)
+    return lexical.bm25_searches({"full": queries, "long": long_words(queries)}, index_of(spark, d), k)
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 5) -> DataFrame:
@@ -294,8 +296,12 @@ def rerank_lexical_standin(spark, d):
 _ONE = _BASE + _leg("l1", "q1") + _metrics_sql("l1")
 
 
-def _per_query(spark, d, form=None):
-    return metrics.per_query(items(spark, d), leg(spark, d, form), gold(spark, d))
+def _per_query(spark, d):
+    return metrics.per_query(items(spark, d), leg(spark, d), gold(spark, d))
+
+
+def _per_query_of_both(spark, d) -> dict[str, DataFrame]:
+    return {name: metrics.per_query(items(spark, d), hits, gold(spark, d)) for name, hits in both_legs(spark, d).items()}
 
 
 @query("containment_gold", _BASE + "SELECT qid, doc_id FROM gold")
@@ -338,13 +344,14 @@ _TWO = LEGS + _metrics_sql("l1", "(10)") + _metrics_sql("l2", "(10)").replace(",
 )
 def run_compare_slices(spark, d):
     slices = items(spark, d).select("qid", F.when(F.length("text") > 120, "long").otherwise("short").alias("slice"))
-    return rounded(metrics.compare_runs(_per_query(spark, d), _per_query(spark, d, long_words), slices), "a", "b", "points", places=6)
+    return rounded(metrics.compare_runs(*_per_query_of_both(spark, d).values(), slices), "a", "b", "points", places=6)
 
 
 @query("rescued_broken", _TWO + "SELECT qid, CASE WHEN b.hit > a.hit THEN 'rescued' ELSE 'broken' END AS change FROM l1_m a JOIN l2_m b USING (qid) WHERE a.hit <> b.hit")
 def rescued_broken(spark, d):
-    a = _per_query(spark, d).where("k = 10").select("qid", F.col("hit").alias("a"))
-    b = _per_query(spark, d, long_words).where("k = 10").select("qid", F.col("hit").alias("b"))
+    full, long = _per_query_of_both(spark, d).values()
+    a = full.where("k = 10").select("qid", F.col("hit").alias("a"))
+    b = long.where("k = 10").select("qid", F.col("hit").alias("b"))
     return a.join(b, "qid").where("a <> b").select("qid", F.when(F.col("b") > F.col("a"), "rescued").otherwise("broken").alias("change"))
 
 
@@ -359,8 +366,8 @@ def miss_inspection(spark, d):
 @query("best_run", _TWO + "SELECT run, hit FROM (SELECT 1 AS o, 'full' AS run, round(avg(hit), 6) AS hit FROM l1_m UNION ALL SELECT 2, 'long', round(avg(hit), 6) FROM l2_m) ORDER BY hit DESC, o LIMIT 1")
 def best_run(spark, d):
     """The best run; of equal ones, the first."""
-    runs = [("full", None), ("long", long_words)]
-    parts = [metrics.macro(_per_query(spark, d, form)).where("k = 10").select(F.lit(i).alias("o"), F.lit(name).alias("run"), F.round("hit", 6).alias("hit")) for i, (name, form) in enumerate(runs)]
+    runs = _per_query_of_both(spark, d)
+    parts = [metrics.macro(per).where("k = 10").select(F.lit(i).alias("o"), F.lit(name).alias("run"), F.round("hit", 6).alias("hit")) for i, (name, per) in enumerate(runs.items())]
     best = parts[0].unionByName(parts[1]).agg(F.max_by(F.struct("run", "hit"), F.struct("hit", -F.col("o"))).alias("best"))
     return best.select("best.run", "best.hit")
 

@@ -141,3 +141,27 @@ def test_terms_of_any_bytes_come_back(spark):
     index = lexical.write_index(docs, tokenizer=lambda c: F.split(c, " "))
     plain = {(i, w, n) for i, t in enumerate(texts) if t is not None for w, n in Counter(t.split(" ")).items()}
     assert {(r.doc_id, r.term, r.tf) for r in index.postings.collect()} == plain
+
+
+def test_forms_of_queries_are_one_search(spark, monkeypatch):
+    docs, queries = corpus(5, 200)
+    d, q = frames(spark, docs, queries)
+    other = q.where("qid % 2 = 0").select("qid", F.concat(F.lit("w3 "), "text").alias("text"))
+    index = lexical.write_index(d)
+    apart = {name: found(lexical.bm25_search(form, index, 5)) for name, form in {"one": q, "other": other}.items()}
+    searches, search = [], lexical.pruned_search
+    monkeypatch.setattr(lexical, "pruned_search", lambda *a, **o: searches.append(1) or search(*a, **o))
+    both = lexical.bm25_searches({"one": q, "other": other}, index, 5)
+    assert {name: found(hits) for name, hits in both.items()} == apart
+    assert len(searches) == 1 and apart["one"] != apart["other"]
+
+
+def test_two_runs_are_searched_at_once(spark, monkeypatch):
+    from quarry.queries import load
+
+    sf, searches, search = "/root/testdata/sf0.001", [], lexical.pruned_search
+    monkeypatch.setattr(lexical, "pruned_search", lambda *a, **o: searches.append(1) or search(*a, **o))
+    for name in ("report_table", "best_run"):
+        searches.clear()
+        load()[0][name](spark, sf).collect()
+        assert len(searches) == 1, name
